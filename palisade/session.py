@@ -36,3 +36,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="palisade-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df, label: str):
+    """Write to the shared folder and read back: cuts lineage and fixes the rows of every re-read."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
