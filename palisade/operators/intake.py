@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import ids, text
 from palisade.functions.times import utc_millis_text
+from palisade.session import materialize
 
 
 def first_per_key(
@@ -36,11 +37,14 @@ def raw_evidence(
     stored: DataFrame | None = None,
     order: str = "submission_id",
     max_bytes: int = 50 * 1024 * 1024,
+    stage: bool = False,
 ) -> DataFrame:
     """Hash, key and deduplicate submissions by (source, content hash).
 
     The content is hashed in the scan stage and does not enter the shuffle. Oversized or empty
     content is kept in the output with ``rejection`` set and takes no part in deduplication.
+    ``stage`` writes the narrow hashed rows to the shared folder first, so that the bytes of a large
+    intake are read and hashed once and not again for the second side of the key join.
     """
     hashed = submissions.select(
         *[c for c in submissions.columns if c not in ("content", "mime_type")],
@@ -53,6 +57,8 @@ def raw_evidence(
         .when(F.col("content_size_bytes") > max_bytes, F.lit("content_too_large"))
         .when(F.col("mime_type").isNull(), F.lit("bad_media_type")),
     )
+    if stage:
+        hashed = materialize(hashed, "hashed")
     accepted = first_per_key(
         hashed.filter(F.col("rejection").isNull()), ["source_id", "content_sha256"], order, stored
     )

@@ -90,16 +90,19 @@ def running_before(
     seq: str,
     values: dict[str, tuple[str, Column]],
     span: int = 1_000_000,
+    levels: int = 1,
 ) -> DataFrame:
     """Running aggregates over the rows of a key that come strictly before the current one.
 
     ``seq`` is an integer, unique within the key. Rows are cut into chunks of ``span`` sequence
-    numbers, so no window partition holds more than ``span`` rows whatever the key's share; the
-    chunk totals are combined by a second, far smaller window.
+    numbers and the chunk totals are run up the same way, ``levels`` times. As long as ``seq`` spans
+    no more than ``span ** (levels + 1)`` numbers, no window partition holds more than ``span``
+    rows, whatever share of the table one key has.
     """
+    chunk = f"_chunk{levels}"
     wide = df.withColumns({f"_v_{name}": expr for name, (_, expr) in values.items()})
-    wide = wide.withColumn("_chunk", F.floor(F.col(seq) / F.lit(span)))
-    chunk_keys = [*keys, "_chunk"]
+    wide = wide.withColumn(chunk, F.floor(F.col(seq) / F.lit(span)))
+    chunk_keys = [*keys, chunk]
     inside = Window.partitionBy(*chunk_keys).orderBy(seq).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -109,12 +112,18 @@ def running_before(
     totals = wide.groupBy(*chunk_keys).agg(
         *[_AGG[kind](f"_v_{n}").alias(f"_t_{n}") for n, (kind, _) in values.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in chunk_keys],
-        *[_AGG[kind](f"_t_{n}").over(earlier).alias(f"_b_{n}") for n, (kind, _) in values.items()],
+    upper = {f"_b_{n}": (kind, F.col(f"_t_{n}")) for n, (kind, _) in values.items()}
+    if levels > 1:
+        run = running_before(totals, keys, chunk, upper, span, levels - 1)
+    else:
+        earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        run = totals.withColumns(
+            {name: _AGG[kind](expr).over(earlier) for name, (kind, expr) in upper.items()}
+        )
+    offsets = run.select(
+        *[F.col(k).alias(f"_k_{k}") for k in chunk_keys], *[F.col(name) for name in upper]
     )
     cond = F.lit(True)
     for k in chunk_keys:
