@@ -275,7 +275,7 @@ def version_fold(
 def winners(folded: DataFrame, keys: list[str], seq: str, observed_at: str) -> DataFrame:
     """The one record per key that the fold leaves in place, if it came from this batch.
 
-    Keys first lose all but their newest time in a map-side combined aggregate.
+    Every write is newer than the one before it, so the winner is simply the last write of the key.
     """
     writes = folded.filter(F.col("action").isin("create", "update"))
     last = writes.groupBy(*keys).agg(F.max(F.col(seq)).alias(seq))
