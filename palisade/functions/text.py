@@ -54,6 +54,17 @@ def compat_fold(values: pd.Series) -> pd.Series:
     )
 
 
+@F.pandas_udf(T.StringType())
+def _plain_fold(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else v.casefold(), na_action="ignore")
+
+
+def casefold(col: Column) -> Column:
+    """Case folding without compatibility forms; ASCII rows stay in the JVM."""
+    ascii_only = col.rlike(ASCII_ONLY)
+    return F.when(ascii_only, F.lower(col)).otherwise(_plain_fold(F.when(~ascii_only, col)))
+
+
 @F.pandas_udf(T.StringType())
 def compat_form(values: pd.Series) -> pd.Series:
     """NFKC only."""

@@ -24,16 +24,23 @@ HOT_ROWS = 50_000  # a token with more rows than this on one side is salted
 SALTS = 16
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Standard-library matcher ratio; the order of the arguments matters to it."""
-    return pd.Series(
-        [
-            None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
-            for a, b in zip(left, right)
-        ],
-        dtype="float64",
-    )
+def _ratio(a: str, b: str, floor: float):
+    """Matcher ratio, or None below the floor; the cheap upper bounds are tried first."""
+    matcher = SequenceMatcher(None, a, b)
+    if matcher.real_quick_ratio() < floor or matcher.quick_ratio() < floor:
+        return None
+    ratio = matcher.ratio()
+    return ratio if ratio >= floor else None
+
+
+def sequence_ratio(left: Column, right: Column, floor: float = 0.0) -> Column:
+    """Standard-library matcher ratio in Arrow batches; the order of the arguments matters to it."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_ratio(x, y, floor) for x, y in zip(a, b)], dtype="float64")
+
+    return ratio(left, right)
 
 
 def _numbered(tokens: Column) -> Column:
@@ -57,7 +64,6 @@ def _grams(name: Column, width: int) -> Column:
 def _prefix_length(length: Column, threshold: float, width: int) -> Column:
     """How many leading tokens must be compared so that no partner at the threshold is missed."""
     if width == 1:
-        least = threshold * length * threshold / (2 - threshold)
         least = F.greatest(F.lit(1), F.ceil(length * (threshold / (2 - threshold)) - 1e-9))
         return (length - least + 1).cast("int")
     # deletions d and insertions i of a partner of length m: d + i <= (1 - t)(n + m), d - i = n - m;
@@ -73,8 +79,9 @@ def _prefix_length(length: Column, threshold: float, width: int) -> Column:
 
 
 def _tokens(names: DataFrame, name: str, width: int) -> DataFrame:
-    usable = names.filter(F.length(name) >= width)
-    return usable.select(name, F.explode(_numbered(_grams(F.col(name), width))).alias("_token"))
+    """(name, token); a name shorter than a gram is its own token."""
+    grams = F.when(F.length(name) >= width, _grams(F.col(name), width)).otherwise(F.array(name))
+    return names.select(name, F.explode(_numbered(grams)).alias("_token"))
 
 
 def _signatures(names: DataFrame, name: str, common: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -98,6 +105,8 @@ def similar_pairs(
 
     Both sides are reduced to distinct texts first, so copies cost nothing. Hot tokens are salted.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
     width = 2 if threshold >= BIGRAM_FLOOR else 1
     left = labels.select(F.col(label).alias("_a")).filter(F.length("_a") > 0).distinct()
     right = names.select(F.col(name).alias("_b")).filter(F.length("_b") > 0).distinct()
@@ -129,15 +138,12 @@ def similar_pairs(
         # each pair survives at one of its shared tokens only
         .filter(F.element_at(F.array_intersect("_pa", "_pb"), 1) == F.col("_h"))
         .filter(2 * F.least(la, lb) >= F.lit(threshold) * (la + lb) - 1e-9)
-        .filter(_shared_characters(F.col("_a"), F.col("_b")) * 2 >= F.lit(threshold) * (la + lb) - 1e-9)
         .select("_a", "_b")
     )
-    scored = pairs.withColumn("similarity", sequence_ratio("_a", "_b"))
-    return scored.filter(F.col("similarity") >= threshold).select(
+    scored = pairs.withColumn(
+        "similarity", sequence_ratio(F.col("_a"), F.col("_b"), threshold)
+    )
+    return scored.filter(F.col("similarity").isNotNull()).select(
         F.col("_a").alias(label), F.col("_b").alias(name), "similarity"
     )
 
-
-def _shared_characters(a: Column, b: Column) -> Column:
-    """Size of the common character multiset, an upper bound of the matched characters."""
-    return F.size(F.array_intersect(_numbered(_grams(a, 1)), _numbered(_grams(b, 1))))
