@@ -39,19 +39,21 @@ class Snapshots:
         except AnalysisException:
             return self.spark.createDataFrame([], _COMMIT)
 
-    def latest(self, table: str) -> tuple[int, str] | None:
-        """Newest committed snapshot of a table; the log holds one row per write."""
+    def latest(self, table: str, before: int | None = None) -> tuple[int, str] | None:
+        """Newest committed snapshot of a table (older than ``before``); one log row per write."""
+        rows = self._log().filter(F.col("table") == table)
+        if before is not None:
+            rows = rows.filter(F.col("snapshot_id") < before)
         newest = (
-            self._log()
-            .filter(F.col("table") == table)
+            rows
             .agg(F.max(F.struct("snapshot_id", "path")).alias("m"))
             .first()["m"]
         )
         return (newest["snapshot_id"], newest["path"]) if newest else None
 
-    def read(self, table: str, schema=None) -> DataFrame:
+    def read(self, table: str, schema=None, before: int | None = None) -> DataFrame:
         schema = schema or TABLES[table]
-        found = self.latest(table)
+        found = self.latest(table, before)
         if found is None:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(found[1])
@@ -71,13 +73,18 @@ class Snapshots:
 
     def append(self, table: str, df: DataFrame, batch_id: int) -> str:
         """Append-only tables: one folder per batch id, overwritten if the batch is replayed."""
-        path = f"{self.root}/{table}/batch={batch_id:012d}"
+        path = f"{self.root}/{table}/batch={batch_id}"
         df.write.mode("overwrite").parquet(path)
         return path
 
-    def read_appended(self, table: str, schema) -> DataFrame:
+    def read_appended(self, table: str, schema: str, before: int | None = None) -> DataFrame:
+        """All appended rows with their ``batch``; ``before`` prunes whole folders, so a replay never
+        opens the files it is about to overwrite."""
+        full = f"{schema}, batch bigint"
         try:
-            rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true")
-            return rows.parquet(f"{self.root}/{table}")
+            rows = self.spark.read.schema(full).option("basePath", f"{self.root}/{table}").parquet(
+                f"{self.root}/{table}"
+            )
         except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], full)
+        return rows if before is None else rows.filter(F.col("batch") < before)

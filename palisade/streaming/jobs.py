@@ -76,36 +76,40 @@ def update_feed(stream: DataFrame, after_sequence: int = 0) -> DataFrame:
     return stream.filter(F.col("sequence") > after_sequence)
 
 
+def exact_dedup(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """First arrival per key for all time: keys live in the state store, a batch costs its own size."""
+    return stream.dropDuplicates(keys)
+
+
 class EvidenceIntake:
-    """``foreachBatch`` step: exact deduplication against all stored keys, without a horizon."""
+    """``foreachBatch`` step: exact deduplication against a stored key table that other jobs can read.
+
+    Each batch joins the narrow key table; ``exact_dedup`` keeps the keys in the state store instead.
+    """
+
+    SCHEMA = (
+        "source_id string, content_sha256 string, content_size_bytes bigint, mime_type string, "
+        "storage_key string, submission_id bigint"
+    )
 
     def __init__(self, spark: SparkSession, root: str, max_bytes: int = 50 * 1024 * 1024):
         self.store, self.max_bytes = Snapshots(spark, root), max_bytes
-        self.schema = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        known = self.known(before=batch_id)
-        marked = intake.raw_evidence(batch, known, max_bytes=self.max_bytes)
-        self.store.append("raw_keys", intake.new_rows(marked).select(
-            "source_id", "content_sha256", "content_size_bytes", "mime_type", "storage_key", "submission_id",
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-        ), batch_id)
+        marked = intake.raw_evidence(batch, self.known(batch_id), max_bytes=self.max_bytes)
+        columns = [c.split()[0] for c in self.SCHEMA.split(", ")]
+        self.store.append("raw_keys", intake.new_rows(marked).select(*columns), batch_id)
 
     def known(self, before: int | None = None) -> DataFrame:
-        """Stored keys; a replayed batch does not see its own earlier output."""
-        rows = self.store.read_appended(
-            "raw_keys",
-            "source_id string, content_sha256 string, content_size_bytes bigint, mime_type string, "
-            "storage_key string, submission_id bigint, batch_id bigint",
-        )
-        return rows if before is None else rows.filter(F.col("batch_id") < before)
+        return self.store.read_appended("raw_keys", self.SCHEMA, before)
 
 
 class StreamingNormalization:
     """``foreachBatch`` step over split bundle objects.
 
     The stored observations are the state of the fold, which is associative over batches. Both tables
-    are written as snapshots numbered by batch, so a replay finds its batch committed and skips.
+    are snapshots numbered by batch and are read as of the batch before, so a replay after a crash
+    between the two writes gives the same ledger, and a finished batch is skipped.
     """
 
     OBSERVATION = (
@@ -126,8 +130,8 @@ class StreamingNormalization:
         done = self.store.latest("ledger")
         if done is not None and done[0] >= batch_id:
             return
-        stored = self.store.read("observations", self.OBSERVATION)
-        previous = self.store.read("ledger", self.LEDGER)
+        stored = self.store.read("observations", self.OBSERVATION, before=batch_id)
+        previous = self.store.read("ledger", self.LEDGER, before=batch_id)
         result = normalize.normalize_batch(batch, self.raw_evidence, stored, previous)
         columns = [c.split()[0] for c in self.OBSERVATION.split(", ")]
         merged = normalize.upsert(stored, result.changed.select(*columns), ["source_id", "source_native_id"])
