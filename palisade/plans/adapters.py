@@ -36,119 +36,158 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
+class _Tables:
+    """Input tables, opened on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = configure(spark), sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        df = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        setattr(self, name, df)
+        return df
+
+
 def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Actors, observations, evidence, behaviors, techniques, campaigns and their links."""
-    t = {n: table(spark, sf_dir, n) for n in
-         ("customer", "orders", "lineitem", "part", "supplier", "nation", "events")}
+    t = _Tables(spark, sf_dir)
     born = F.lit("2020-01-01 00:00:00").cast("timestamp")
     stamps = {"created_at": born, "updated_at": born}
-    nations = t["nation"].select(
-        _text("nation:", c("n_name")).alias("id"), c("n_name").alias("name"), F.lit("registry").alias("kind"),
-        _text("https://", F.lower("n_name"), ".example.org").alias("base_url"),
-        _state(c("n_regionkey") != 2).alias("publication_state"),
-    )
-    priorities = t["orders"].select("o_orderpriority").distinct().select(
-        _text("prio:", c("o_orderpriority")).alias("id"), c("o_orderpriority").alias("name"),
-        F.lit("queue").alias("kind"), _null().alias("base_url"),
-        _state(c("o_orderpriority") != "4-NOT SPECIFIED").alias("publication_state"),
-    )
-    sources = nations.unionByName(priorities).withColumns(
-        {"policy_notes": _null(), "license_name": _null(), "license_url": _null(), "metadata": _null(), **stamps}
-    )
-    actors = t["customer"].select(
-        _text("cust-", c("c_custkey")).alias("id"), c("c_name").alias("canonical_name"),
-        F.lower("c_name").alias("normalized_name"), c("c_mktsegment").alias("description"),
-        _null().alias("metadata"), _state(c("c_acctbal") >= 0).alias("publication_state"),
-        _day("2020-01-01", c("c_custkey") % 365).alias("created_at"),
-        _day("2021-01-01", c("c_custkey") % 365).alias("updated_at"),
-    )
-    alias_base = t["customer"].withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-    aliases = alias_base.select(
-        _text("al-", c("c_custkey"), "-", c("k")).alias("id"),
-        F.when(c("k") == 0, _text("nation:NATION_", c("c_nationkey")))
-        .when(c("c_custkey") % 3 == 0, F.lit("prio:4-NOT SPECIFIED")).otherwise(F.lit("prio:1-URGENT")).alias("source_id"),
-        _text("cust-", c("c_custkey")).alias("actor_id"),
-        F.when(c("k") == 0, _text("Alias ", c("c_name"))).otherwise(_text(c("c_mktsegment"), " ", c("c_custkey"))).alias("name"),
-        F.when(c("k") == 0, _text("alias ", F.lower("c_name"))).otherwise(_text(F.lower("c_mktsegment"), " ", c("c_custkey"))).alias("normalized_name"),
-        _text("native-", c("c_custkey")).alias("source_native_id"),
-        (c("c_custkey") % 101).cast("int").alias("confidence"), _null().alias("metadata"),
-        _state(c("c_custkey") % 5 != 0).alias("publication_state"), born.alias("created_at"), born.alias("updated_at"),
-    )
-    observations = t["orders"].select(
-        _text("ord-", c("o_orderkey")).alias("id"), _text("prio:", c("o_orderpriority")).alias("source_id"),
-        _null().alias("raw_evidence_id"), c("o_orderkey").cast("string").alias("source_native_id"),
-        _text("Order ", c("o_orderkey")).alias("title"),
-        _text("Status ", c("o_orderstatus"), " priority ", c("o_orderpriority")).alias("summary"),
-        c("o_orderdate").cast("timestamp").alias("observed_at"),
-        c("o_orderdate").cast("timestamp").alias("first_seen"), F.lit(None).cast("timestamp").alias("last_seen"),
-        F.when(c("o_orderkey") % 7 != 0, c("o_orderkey") % 101).cast("int").alias("confidence"),
-        F.when(c("o_orderstatus") == "F", F.lit("assessed")).otherwise(F.lit("observed")).alias("intelligence_type"),
-        F.lit("imported").alias("origin"), _null().alias("metadata"),
-        _state(c("o_orderstatus") != "P").alias("publication_state"),
-        _day("2022-01-01", c("o_orderkey") % 365).alias("created_at"),
-        _day("2023-01-01", c("o_orderkey") % 365).alias("updated_at"),
-    )
-    items = t["lineitem"].join(
-        t["supplier"].select(c("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey"
-    )
+    def nations():
+        return t.nation.select(
+            _text("nation:", c("n_name")).alias("id"), c("n_name").alias("name"), F.lit("registry").alias("kind"),
+            _text("https://", F.lower("n_name"), ".example.org").alias("base_url"),
+            _state(c("n_regionkey") != 2).alias("publication_state"),
+        )
+
+    def priorities():
+        return t.orders.select("o_orderpriority").distinct().select(
+            _text("prio:", c("o_orderpriority")).alias("id"), c("o_orderpriority").alias("name"),
+            F.lit("queue").alias("kind"), _null().alias("base_url"),
+            _state(c("o_orderpriority") != "4-NOT SPECIFIED").alias("publication_state"),
+        )
+
+    def sources():
+        return nations().unionByName(priorities()).withColumns(
+            {"policy_notes": _null(), "license_name": _null(), "license_url": _null(), "metadata": _null(), **stamps}
+        )
+
+    def actors():
+        return t.customer.select(
+            _text("cust-", c("c_custkey")).alias("id"), c("c_name").alias("canonical_name"),
+            F.lower("c_name").alias("normalized_name"), c("c_mktsegment").alias("description"),
+            _null().alias("metadata"), _state(c("c_acctbal") >= 0).alias("publication_state"),
+            _day("2020-01-01", c("c_custkey") % 365).alias("created_at"),
+            _day("2021-01-01", c("c_custkey") % 365).alias("updated_at"),
+        )
+
+    def alias_base():
+        return t.customer.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+
+    def aliases():
+        return alias_base().select(
+            _text("al-", c("c_custkey"), "-", c("k")).alias("id"),
+            F.when(c("k") == 0, _text("nation:NATION_", c("c_nationkey")))
+            .when(c("c_custkey") % 3 == 0, F.lit("prio:4-NOT SPECIFIED")).otherwise(F.lit("prio:1-URGENT")).alias("source_id"),
+            _text("cust-", c("c_custkey")).alias("actor_id"),
+            F.when(c("k") == 0, _text("Alias ", c("c_name"))).otherwise(_text(c("c_mktsegment"), " ", c("c_custkey"))).alias("name"),
+            F.when(c("k") == 0, _text("alias ", F.lower("c_name"))).otherwise(_text(F.lower("c_mktsegment"), " ", c("c_custkey"))).alias("normalized_name"),
+            _text("native-", c("c_custkey")).alias("source_native_id"),
+            (c("c_custkey") % 101).cast("int").alias("confidence"), _null().alias("metadata"),
+            _state(c("c_custkey") % 5 != 0).alias("publication_state"), born.alias("created_at"), born.alias("updated_at"),
+        )
+
+    def observations():
+        return t.orders.select(
+            _text("ord-", c("o_orderkey")).alias("id"), _text("prio:", c("o_orderpriority")).alias("source_id"),
+            _null().alias("raw_evidence_id"), c("o_orderkey").cast("string").alias("source_native_id"),
+            _text("Order ", c("o_orderkey")).alias("title"),
+            _text("Status ", c("o_orderstatus"), " priority ", c("o_orderpriority")).alias("summary"),
+            c("o_orderdate").cast("timestamp").alias("observed_at"),
+            c("o_orderdate").cast("timestamp").alias("first_seen"), F.lit(None).cast("timestamp").alias("last_seen"),
+            F.when(c("o_orderkey") % 7 != 0, c("o_orderkey") % 101).cast("int").alias("confidence"),
+            F.when(c("o_orderstatus") == "F", F.lit("assessed")).otherwise(F.lit("observed")).alias("intelligence_type"),
+            F.lit("imported").alias("origin"), _null().alias("metadata"),
+            _state(c("o_orderstatus") != "P").alias("publication_state"),
+            _day("2022-01-01", c("o_orderkey") % 365).alias("created_at"),
+            _day("2023-01-01", c("o_orderkey") % 365).alias("updated_at"),
+        )
+
+    def items():
+        return t.lineitem.join(
+            t.supplier.select(c("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey"
+        )
+
     item_id = _text("li-", c("l_orderkey"), "-", c("l_linenumber"), "-", c("l_partkey"), "-", c("l_suppkey"))
-    evidence = items.select(
-        item_id.alias("id"), _text("nation:NATION_", c("s_nationkey")).alias("source_id"),
-        _null().alias("raw_evidence_id"),
-        _text("Shipment ", c("l_orderkey"), "/", c("l_linenumber")).alias("citation"),
-        _text(c("l_returnflag"), " ", c("l_linestatus")).alias("excerpt"),
-        _text("https://evidence.example.org/", c("l_orderkey"), "/", c("l_linenumber")).alias("locator"),
-        c("l_shipdate").cast("timestamp").alias("captured_at"), F.lit(None).cast("int").alias("confidence"),
-        F.lit("imported").alias("origin"), _state(c("l_returnflag") != "R").alias("publication_state"),
-        born.alias("created_at"), born.alias("updated_at"),
-    )
-    techniques = t["part"].select(
-        _text("part-", c("p_partkey")).alias("id"),
-        _text("nation:NATION_", c("p_partkey") % 25).alias("source_id"),
-        _text(c("p_brand"), "-", c("p_partkey")).alias("external_id"), c("p_name").alias("name"),
-        c("p_type").alias("description"), _null().alias("metadata"),
-        _state(c("p_type") != "PROMO").alias("publication_state"), born.alias("created_at"), born.alias("updated_at"),
-    )
-    behaviors = t["orders"].select("o_orderpriority").distinct().select(
-        _text("beh:", c("o_orderpriority")).alias("id"), c("o_orderpriority").alias("name"),
-        F.lower("o_orderpriority").alias("normalized_name"), _null().alias("description"),
-        _null().alias("metadata"), _state(c("o_orderpriority") != "5-LOW").alias("publication_state"),
-        born.alias("created_at"), born.alias("updated_at"),
-    )
-    runs = t["events"].groupBy("user_id", "event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    campaigns = runs.select(
-        _text("camp-", c("user_id"), "-", c("event_type")).alias("id"),
-        _text("nation:NATION_", c("user_id") % 25).alias("source_id"),
-        _text("Campaign ", c("event_type"), " ", c("user_id")).alias("name"),
-        _text("campaign ", c("event_type"), " ", c("user_id")).alias("normalized_name"),
-        c("user_id").cast("string").alias("source_native_id"), c("event_type").alias("description"),
-        F.when(c("user_id") % 4 != 0, c("a").cast("timestamp")).alias("first_seen"),
-        F.when(c("user_id") % 6 != 0, c("b").cast("timestamp")).alias("last_seen"),
-        (c("user_id") % 101).cast("int").alias("confidence"), F.lit("observed").alias("intelligence_type"),
-        F.lit("imported").alias("origin"), _null().alias("metadata"),
-        _state(c("event_type") != "error").alias("publication_state"), born.alias("created_at"), born.alias("updated_at"),
-    )
-    relationships = runs.select(
-        _text("rel-", c("user_id"), "-", c("event_type")).alias("id"), _text("cust-", c("user_id")).alias("actor_id"),
-        F.when(c("event_type") == "purchase", F.lit("attributed-to"))
-        .when(c("event_type") == "signup", F.lit(" Attributed-To ")).otherwise(F.lit("related-to")).alias("relationship_type"),
-        _text("camp-", c("user_id"), "-", c("event_type")).alias("campaign_id"),
-        _text("nation:NATION_", c("user_id") % 25).alias("source_id"), _null().alias("evidence_id"),
-        c("a").cast("timestamp").alias("first_seen"), c("b").cast("timestamp").alias("last_seen"),
-        (c("user_id") % 101).cast("int").alias("confidence"), F.lit("assessed").alias("intelligence_type"),
-        F.lit("imported").alias("origin"), born.alias("created_at"), born.alias("updated_at"),
-    )
+    def evidence():
+        return items().select(
+            item_id.alias("id"), _text("nation:NATION_", c("s_nationkey")).alias("source_id"),
+            _null().alias("raw_evidence_id"),
+            _text("Shipment ", c("l_orderkey"), "/", c("l_linenumber")).alias("citation"),
+            _text(c("l_returnflag"), " ", c("l_linestatus")).alias("excerpt"),
+            _text("https://evidence.example.org/", c("l_orderkey"), "/", c("l_linenumber")).alias("locator"),
+            c("l_shipdate").cast("timestamp").alias("captured_at"), F.lit(None).cast("int").alias("confidence"),
+            F.lit("imported").alias("origin"), _state(c("l_returnflag") != "R").alias("publication_state"),
+            born.alias("created_at"), born.alias("updated_at"),
+        )
+
+    def techniques():
+        return t.part.select(
+            _text("part-", c("p_partkey")).alias("id"),
+            _text("nation:NATION_", c("p_partkey") % 25).alias("source_id"),
+            _text(c("p_brand"), "-", c("p_partkey")).alias("external_id"), c("p_name").alias("name"),
+            c("p_type").alias("description"), _null().alias("metadata"),
+            _state(c("p_type") != "PROMO").alias("publication_state"), born.alias("created_at"), born.alias("updated_at"),
+        )
+
+    def behaviors():
+        return t.orders.select("o_orderpriority").distinct().select(
+            _text("beh:", c("o_orderpriority")).alias("id"), c("o_orderpriority").alias("name"),
+            F.lower("o_orderpriority").alias("normalized_name"), _null().alias("description"),
+            _null().alias("metadata"), _state(c("o_orderpriority") != "5-LOW").alias("publication_state"),
+            born.alias("created_at"), born.alias("updated_at"),
+        )
+
+    def runs():
+        return t.events.groupBy("user_id", "event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+
+    def campaigns():
+        return runs().select(
+            _text("camp-", c("user_id"), "-", c("event_type")).alias("id"),
+            _text("nation:NATION_", c("user_id") % 25).alias("source_id"),
+            _text("Campaign ", c("event_type"), " ", c("user_id")).alias("name"),
+            _text("campaign ", c("event_type"), " ", c("user_id")).alias("normalized_name"),
+            c("user_id").cast("string").alias("source_native_id"), c("event_type").alias("description"),
+            F.when(c("user_id") % 4 != 0, c("a").cast("timestamp")).alias("first_seen"),
+            F.when(c("user_id") % 6 != 0, c("b").cast("timestamp")).alias("last_seen"),
+            (c("user_id") % 101).cast("int").alias("confidence"), F.lit("observed").alias("intelligence_type"),
+            F.lit("imported").alias("origin"), _null().alias("metadata"),
+            _state(c("event_type") != "error").alias("publication_state"), born.alias("created_at"), born.alias("updated_at"),
+        )
+
+    def relationships():
+        return runs().select(
+            _text("rel-", c("user_id"), "-", c("event_type")).alias("id"), _text("cust-", c("user_id")).alias("actor_id"),
+            F.when(c("event_type") == "purchase", F.lit("attributed-to"))
+            .when(c("event_type") == "signup", F.lit(" Attributed-To ")).otherwise(F.lit("related-to")).alias("relationship_type"),
+            _text("camp-", c("user_id"), "-", c("event_type")).alias("campaign_id"),
+            _text("nation:NATION_", c("user_id") % 25).alias("source_id"), _null().alias("evidence_id"),
+            c("a").cast("timestamp").alias("first_seen"), c("b").cast("timestamp").alias("last_seen"),
+            (c("user_id") % 101).cast("int").alias("confidence"), F.lit("assessed").alias("intelligence_type"),
+            F.lit("imported").alias("origin"), born.alias("created_at"), born.alias("updated_at"),
+        )
+
     order_id = _text("ord-", c("l_orderkey"))
     return Graph(spark, {
         "sources": sources, "actors": actors, "aliases": aliases, "observations": observations,
         "evidence": evidence, "techniques": techniques, "behaviors": behaviors, "campaigns": campaigns,
         "relationships": relationships,
-        "actor_observations": t["orders"].select(
+        "actor_observations": lambda: t.orders.select(
             _text("cust-", c("o_custkey")).alias("actor_id"), _text("ord-", c("o_orderkey")).alias("observation_id")),
-        "observation_evidence": t["lineitem"].select(order_id.alias("observation_id"), item_id.alias("evidence_id")),
-        "observation_behaviors": t["orders"].select(
+        "observation_evidence": lambda: t.lineitem.select(order_id.alias("observation_id"), item_id.alias("evidence_id")),
+        "observation_behaviors": lambda: t.orders.select(
             _text("ord-", c("o_orderkey")).alias("observation_id"), _text("beh:", c("o_orderpriority")).alias("behavior_id")),
-        "observation_techniques": t["lineitem"].select(
+        "observation_techniques": lambda: t.lineitem.select(
             order_id.alias("observation_id"), _text("part-", c("l_partkey")).alias("technique_id")).distinct(),
     })
 

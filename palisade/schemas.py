@@ -165,7 +165,10 @@ ENTITY_ORDER = {
 
 @dataclass
 class Graph:
-    """The model's tables by name; absent ones are empty DataFrames of the declared schema."""
+    """The model's tables by name, as DataFrames or as functions that make one on first use.
+
+    Absent tables are empty DataFrames of the declared schema.
+    """
 
     spark: object
     tables: dict = field(default_factory=dict)
@@ -175,4 +178,6 @@ class Graph:
             raise AttributeError(name)
         if name not in self.tables:
             self.tables[name] = self.spark.createDataFrame([], TABLES[name])
+        elif callable(self.tables[name]):
+            self.tables[name] = self.tables[name]()
         return self.tables[name]
