@@ -42,8 +42,17 @@ def payload_sha256(values: pd.Series) -> pd.Series:
     return values.map(_canonical_sha, na_action="ignore")
 
 
-def variant(col: Column) -> Column:
-    return F.try_parse_json(col)
+def strict_json(col: Column) -> Column:
+    """VARIANT of a text that is one whole JSON value, else null.
+
+    Spark's parser stops after the first value and ignores what follows. So the text is parsed as
+    the first item of an array whose second item is the text's own hash, which the text cannot
+    contain: only if the parser reaches that item was everything before it one value.
+    """
+    mark = F.sha2(col, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), col, F.lit(',"'), mark, F.lit('"]')))
+    whole = F.try_variant_get(pair, "$[1]", "string") == mark
+    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
 
 
 def variant_kind(col: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.jsonx import merge_right, variant_kind
+from palisade.functions.jsonx import merge_right, strict_json, variant_kind
 from palisade.functions.text import TECHNIQUE_ID
 from palisade.operators import postings as P
 from palisade.operators.intake import first_per_key
@@ -95,7 +95,7 @@ def validate(artifacts: DataFrame, rule_error: Column | None = None) -> DataFram
     rule (null if it is sound); without it such rules are kept as ``unchecked``.
     """
     rows = artifacts.withColumn(
-        "_v", F.when(F.col("artifact_type") != "sigma", F.try_parse_json("content"))
+        "_v", F.when(F.col("artifact_type") != "sigma", strict_json(F.col("content")))
     )
     v = F.col("_v")
     items = F.try_variant_get(v, "$.objects", "array<variant>")

@@ -32,10 +32,16 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 
 def check_envelope(bundles: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``bundle_id``, ``bundle_error`` (null if usable) and the parsed ``_kinds``/``_texts``."""
-    kinds = F.from_json(content, "type variant, id variant, objects array<variant>")
-    texts = F.from_json(content, "type string, id string, objects array<string>")
-    parsed = bundles.withColumns({"_k": kinds, "_t": texts})
-    is_json = F.try_parse_json(content).isNotNull() | F.col("_k.type").isNotNull()
+    body = F.col(content)
+    mark = F.sha2(body, 256)
+    # the mark behind the body is reached only if the whole body is one JSON value
+    wrapped = F.concat(F.lit('{"v":'), body, F.lit(',"end":"'), mark, F.lit('"}'))
+    kinds = F.from_json(
+        wrapped, "v struct<type:variant,id:variant,objects:array<variant>>, end string"
+    )
+    texts = F.from_json(body, "type string, id string, objects array<string>")
+    parsed = bundles.withColumn("_w", kinds).withColumns({"_k": F.col("_w.v"), "_t": texts})
+    is_json = F.coalesce(F.col("_w.end") == mark, F.lit(False))
     is_bundle = (variant_kind(F.col("_k.type")) == "STRING") & (F.col("_t.type") == "bundle")
     good_id = (variant_kind(F.col("_k.id")) == "STRING") & F.col("_t.id").rlike(BUNDLE_ID)
     error = (
@@ -44,7 +50,7 @@ def check_envelope(bundles: DataFrame, content: str = "content") -> DataFrame:
         .when(~F.coalesce(good_id, F.lit(False)), F.lit(BAD_BUNDLE_ID))
         .when(F.col("_k.objects").isNull(), F.lit(NO_OBJECTS))
     )
-    checked = parsed.withColumn("bundle_error", error)
+    checked = parsed.withColumn("bundle_error", error).drop("_w")
     return checked.withColumn("bundle_id", F.when(F.col("bundle_error").isNull(), F.col("_t.id")))
 
 
