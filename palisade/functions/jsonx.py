@@ -60,6 +60,39 @@ def variant_kind(col: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(col), r"^([A-Z]+)", 1)
 
 
+def fields(col: Column) -> Column:
+    """Top-level members of a VARIANT object as a map, null for anything that is not an object."""
+    return F.try_variant_get(col, "$", "map<string,variant>")
+
+
+def kinds(members: Column) -> Column:
+    """Kind of every member; a JSON null counts as VOID."""
+    return F.transform_values(members, lambda _, v: F.coalesce(variant_kind(v), F.lit("VOID")))
+
+
+class Members:
+    """Typed reads of named members, given the member map and its kind map.
+
+    Both maps belong in a projection of their own, so that each object is taken apart once.
+    """
+
+    def __init__(self, members: Column, member_kinds: Column):
+        self.members, self.member_kinds = members, member_kinds
+
+    def item(self, name: str) -> Column:
+        return F.try_element_at(self.members, F.lit(name))
+
+    def kind(self, name: str) -> Column:
+        """Empty text for an absent member."""
+        return F.coalesce(F.try_element_at(self.member_kinds, F.lit(name)), F.lit(""))
+
+    def text(self, name: str) -> Column:
+        return F.when(self.kind(name) == "STRING", self.read(name, "string"))
+
+    def read(self, name: str, kind: str) -> Column:
+        return F.try_variant_get(self.item(name), "$", kind)
+
+
 def merge_right(left: Column, right: Column) -> Column:
     """Union of two maps where the right one wins on a shared key."""
     kept = F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.jsonx import merge_right, strict_json, variant_kind
+from palisade.functions.jsonx import Members, fields, kinds, merge_right, strict_json, variant_kind
 from palisade.functions.text import TECHNIQUE_ID
 from palisade.operators import postings as P
 from palisade.operators.intake import first_per_key
@@ -50,42 +50,36 @@ INVALID_TITLES = {
 # ------------------------------------------------------------------------------------------
 
 
-def _get(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
-
-
-def _text(v: Column, name: str) -> Column:
-    return F.when(variant_kind(_get(v, name)) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
-
-
-def _missing(v: Column, names) -> Column:
-    gaps = F.array_compact(
-        F.array(*[F.when(_get(v, n).isNull() | (variant_kind(_get(v, n)) == "VOID"), F.lit(n)) for n in names])
-    )
-    return F.when(F.size(gaps) > 0, F.concat(F.lit("Missing required properties: "), F.array_join(gaps, ", ")))
-
-
-def _object_error(v: Column, nested: bool) -> Column:
+def _object_error(m: Members, nested: bool) -> Column:
     """First problem of one STIX object, null if none. Nested objects may not be bundles."""
-    kind = _text(v, "type")
-    known = [name for name in REQUIRED if not (nested and name == "bundle")]
-    error = F.when(variant_kind(v) != "OBJECT", F.lit("STIX content must be a JSON object."))
-    error = error.when(~F.coalesce(kind.isin(*known), F.lit(False)), F.lit("Unknown STIX object type."))
-    error = error.when(
-        ~F.coalesce(_text(v, "id").rlike(OBJECT_ID), F.lit(False))
-        | ~F.coalesce(F.startswith(_text(v, "id"), F.concat(kind, F.lit("--"))), F.lit(False)),
-        F.lit("Invalid STIX identifier."),
+    known = {k: v for k, v in REQUIRED.items() if not (nested and k == "bundle")}
+    needs = F.create_map(
+        *[x for kind, names in known.items() for x in (F.lit(kind), _needs(kind, names))]
+    )
+    kind, ident = m.text("type"), m.text("id")
+    required = F.try_element_at(needs, kind)
+    gaps = F.filter(
+        required,
+        lambda n: F.coalesce(F.try_element_at(m.member_kinds, n), F.lit("VOID")) == "VOID",
     )
-    error = error.when(
-        ~F.coalesce(_text(v, "spec_version"), F.lit("2.1")).isin("2.1"),
-        F.lit("Only STIX 2.1 artifacts are supported."),
+    well_named = ident.rlike(OBJECT_ID) & F.startswith(ident, F.concat(kind, F.lit("--")))
+    return (
+        F.when(m.members.isNull(), F.lit("STIX content must be a JSON object."))
+        .when(required.isNull(), F.lit("Unknown STIX object type."))
+        .when(~F.coalesce(well_named, F.lit(False)), F.lit("Invalid STIX identifier."))
+        .when(
+            ~m.kind("spec_version").isin("", "VOID")
+            & ~F.coalesce(m.text("spec_version") == "2.1", F.lit(False)),
+            F.lit("Only STIX 2.1 artifacts are supported."),
+        )
+        .when(F.size(gaps) > 0,
+              F.concat(F.lit("Missing required properties: "), F.array_join(gaps, ", ")))
     )
-    for name in known:
-        base = () if name == "bundle" else ("created", "modified")
-        gap = _missing(v, (*base, *REQUIRED[name]))
-        if base or REQUIRED[name]:
-            error = error.when((kind == name) & gap.isNotNull(), gap)
-    return error
+
+
+def _needs(kind: str, names: tuple[str, ...]) -> Column:
+    stamps = () if kind == "bundle" else ("created", "modified")
+    return F.array(*[F.lit(n) for n in (*stamps, *names)]).cast("array<string>")
 
 
 def validate(artifacts: DataFrame, rule_error: Column | None = None) -> DataFrame:
@@ -97,32 +91,46 @@ def validate(artifacts: DataFrame, rule_error: Column | None = None) -> DataFram
     rows = artifacts.withColumn(
         "_v", F.when(F.col("artifact_type") != "sigma", strict_json(F.col("content")))
     )
-    v = F.col("_v")
-    items = F.try_variant_get(v, "$.objects", "array<variant>")
+    rows = rows.withColumn("_m", fields(F.col("_v"))).withColumn("_k", kinds(F.col("_m")))
+    m = Members(F.col("_m"), F.col("_k"))
+    items = m.read("objects", "array<variant>")
     inner = F.try_element_at(
-        F.array_compact(F.transform(items, lambda x: _object_error(x, True))), F.lit(1)
+        F.array_compact(
+            F.transform(items, lambda x: _object_error(Members(fields(x), kinds(fields(x))), True))
+        ),
+        F.lit(1),
+    )
+    not_json = F.when(F.col("_v").isNull(), F.lit("Content is not valid JSON."))
+    rows = rows.withColumns(
+        {
+            "_object_error": _object_error(m, False),
+            "_inner_error": F.when(m.text("type") == "bundle", inner),
+        }
     )
-    not_json = F.when(v.isNull(), F.lit("Content is not valid JSON."))
-    stix_error = F.coalesce(not_json, _object_error(v, False), F.when(_text(v, "type") == "bundle", inner))
-    refs = F.try_variant_get(v, "$.external_references", "array<variant>")
+    stix_error = F.coalesce(not_json, F.col("_object_error"), F.col("_inner_error"))
+    refs = m.read("external_references", "array<struct<source_name:variant,external_id:variant>>")
+
+    def as_text(x):
+        return F.when(variant_kind(x) == "STRING", F.try_variant_get(x, "$", "string"))
+
     technique = F.try_element_at(
         F.transform(
             F.filter(
                 refs,
-                lambda r: F.coalesce(_text(r, "source_name").isin(*TECHNIQUE_SOURCES), F.lit(False))
-                & _text(r, "external_id").isNotNull(),
+                lambda r: F.coalesce(as_text(r.getField("source_name")).isin(*TECHNIQUE_SOURCES), F.lit(False))
+                & as_text(r.getField("external_id")).isNotNull(),
             ),
-            lambda r: _text(r, "external_id"),
+            lambda r: as_text(r.getField("external_id")),
         ),
         F.lit(1),
     )
-    name = _text(v, "name")
+    name = m.text("name")
     attack_error = F.coalesce(
         not_json,
-        F.when(variant_kind(v) != "OBJECT", F.lit("ATT&CK technique content must be a JSON object.")),
-        F.when(~F.coalesce(_text(v, "type") == "attack-pattern", F.lit(False)),
+        F.when(m.members.isNull(), F.lit("ATT&CK technique content must be a JSON object.")),
+        F.when(~F.coalesce(m.text("type") == "attack-pattern", F.lit(False)),
                F.lit("ATT&CK technique must be a STIX attack-pattern.")),
-        _object_error(v, False),
+        F.col("_object_error"),
         F.when(~F.coalesce(technique.rlike(TECHNIQUE_ID), F.lit(False)),
                F.lit("ATT&CK technique requires a valid MITRE technique ID.")),
         F.when(F.coalesce(F.trim(name), F.lit("")) == "", F.lit("ATT&CK technique requires a name.")),
@@ -138,8 +146,8 @@ def validate(artifacts: DataFrame, rule_error: Column | None = None) -> DataFram
     status = F.when(bad, F.lit("invalid"))
     if rule_error is None:
         status = status.when(~is_stix & ~is_attack, F.lit("unchecked"))
-    version = F.coalesce(F.nullif(F.try_variant_get(v, "$.x_mitre_version", "string"), F.lit("")), F.lit("2.1"))
-    count = F.when(_text(v, "type") == "bundle", F.coalesce(F.size(items), F.lit(0))).otherwise(F.lit(1))
+    version = F.coalesce(F.nullif(m.read("x_mitre_version", "string"), F.lit("")), F.lit("2.1"))
+    count = F.when(m.text("type") == "bundle", F.coalesce(F.size(items), F.lit(0))).otherwise(F.lit(1))
     pairs = F.create_map
     text_map = "map<string,string>"
     return checked.select(
@@ -147,7 +155,7 @@ def validate(artifacts: DataFrame, rule_error: Column | None = None) -> DataFram
         status.otherwise(F.lit("valid")).alias("validation_status"),
         F.when(bad, F.array("_error")).otherwise(F.array().cast("array<string>")).alias("validation_errors"),
         F.when(bad, F.concat(F.lit("invalid:"), digest))
-        .when(is_stix, F.substring(F.coalesce(F.nullif(_text(v, "id"), F.lit("")),
+        .when(is_stix, F.substring(F.coalesce(F.nullif(m.text("id"), F.lit("")),
                                               F.concat(F.lit("bundle:"), digest)), 1, MAX_ID))
         .when(is_attack, technique)
         .otherwise(F.concat(F.lit("sigma:"), digest)).alias("canonical_id"),
@@ -157,9 +165,9 @@ def validate(artifacts: DataFrame, rule_error: Column | None = None) -> DataFram
         .otherwise(F.lit("Sigma rule")).alias("title"),
         F.when(~bad & is_stix, F.lit("2.1"))
         .when(~bad & is_attack, F.substring(version, 1, MAX_VERSION)).alias("version"),
-        F.when(~bad & is_stix, pairs(F.lit("stix_type"), _text(v, "type"),
+        F.when(~bad & is_stix, pairs(F.lit("stix_type"), m.text("type"),
                                      F.lit("object_count"), count.cast("string")))
-        .when(~bad & is_attack, pairs(F.lit("stix_id"), _text(v, "id")))
+        .when(~bad & is_attack, pairs(F.lit("stix_id"), m.text("id")))
         .otherwise(F.lit(None).cast(text_map)).alias("derived_metadata"),
     )
 

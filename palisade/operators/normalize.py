@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.jsonx import payload_sha256, struct_sha256, variant_kind
+from palisade.functions.jsonx import Members, fields, kinds, payload_sha256, struct_sha256, variant_kind
 from palisade.functions.text import bounded_reason, strip
 from palisade.functions.times import offset_timestamp
 from palisade.operators.scale import running_before
@@ -38,26 +38,7 @@ def record_sequence(bundle_seq: Column, object_index: Column) -> Column:
     return bundle_seq.cast("bigint") * F.lit(SEQ_STRIDE) + object_index.cast("bigint")
 
 
-class _Payload:
-    """Typed reads of one level of a variant column."""
-
-    def __init__(self, column: Column):
-        self.column = column
-
-    def item(self, name: str) -> Column:
-        return F.try_variant_get(self.column, f"$.{name}", "variant")
-
-    def kind(self, name: str) -> Column:
-        """Empty text for an absent field, VOID for a JSON null."""
-        return F.coalesce(variant_kind(self.item(name)), F.lit(""))
-
-    def text(self, name: str) -> Column:
-        return F.when(
-            self.kind(name) == "STRING", F.try_variant_get(self.column, f"$.{name}", "string")
-        )
-
-
-def _optional_text(p: _Payload, name: str, limit: int | None = None) -> Column:
+def _optional_text(p: Members, name: str, limit: int | None = None) -> Column:
     ok = p.kind(name).isin("", "VOID") | (
         (p.kind(name) == "STRING")
         & (F.length(p.text(name)) <= limit if limit else F.lit(True))
@@ -65,37 +46,34 @@ def _optional_text(p: _Payload, name: str, limit: int | None = None) -> Column:
     return ~ok
 
 
-def _bad_time(p: _Payload, name: str, required: bool) -> Column:
+def _bad_time(p: Members, name: str, required: bool) -> Column:
     parsed = offset_timestamp(p.text(name)).isNotNull()
     return ~parsed if required else ~(p.kind(name).isin("", "VOID") | parsed)
 
 
-def _bad_flag(p: _Payload, name: str) -> Column:
-    word = F.lower(F.try_variant_get(p.column, f"$.{name}", "string"))
+def _bad_flag(p: Members, name: str) -> Column:
+    word = F.lower(p.read(name, "string"))
     truthy = word.isin("true", "false", "1", "0", "t", "f", "y", "n", "yes", "no", "on", "off")
     return (p.kind(name) != "") & ~F.coalesce(truthy, F.lit(False))
 
 
-def _bad_percent(p: _Payload, name: str) -> Column:
-    number = F.try_variant_get(p.column, f"$.{name}", "double")
+def _bad_percent(p: Members, name: str) -> Column:
+    number = p.read(name, "double")
     whole = (number == F.floor(number)) & number.between(0, 100)
     usable = p.kind(name).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "STRING", "BOOLEAN")
     return ~(p.kind(name).isin("", "VOID") | (usable & F.coalesce(whole, F.lit(False))))
 
 
-def _items(p: _Payload, name: str) -> Column:
-    return F.try_variant_get(p.column, f"$.{name}", "array<variant>")
-
-
 def parse_intrusion_sets(objects: DataFrame) -> DataFrame:
     """Typed fields of each supported object, or the sorted list of fields it gets wrong.
 
     Input: ``object_type``, ``object_id``, ``payload`` (exact JSON text) beside any envelope columns.
     """
+    supported = F.col("object_type") == SUPPORTED_TYPE
     rows = objects.withColumn(
-        "_v", F.when(F.col("object_type") == SUPPORTED_TYPE, F.try_parse_json("payload"))
-    )
-    p = _Payload(F.col("_v"))
+        "_m", F.when(supported, fields(F.try_parse_json("payload")))
+    ).withColumn("_k", kinds(F.col("_m")))
+    p = Members(F.col("_m"), F.col("_k"))
     names = {
         "id": ~F.coalesce(F.length(p.text("id")).between(1, 512), F.lit(False)),
         "spec_version": ~F.coalesce(p.text("spec_version") == SPEC_VERSION, F.lit(False)),
@@ -116,7 +94,8 @@ def parse_intrusion_sets(objects: DataFrame) -> DataFrame:
         "x_mitre_version": _optional_text(p, "x_mitre_version", 100),
     }
     flat = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in names.items()]))
-    aliases, refs = _items(p, "aliases"), _items(p, "external_references")
+    aliases = p.read("aliases", "array<variant>")
+    refs = p.read("external_references", "array<variant>")
     not_text = F.transform(
         aliases,
         lambda x, i: F.when(
@@ -132,7 +111,7 @@ def parse_intrusion_sets(objects: DataFrame) -> DataFrame:
     ).otherwise(F.array().cast("array<string>"))
 
     def ref_faults(x, i):
-        r = _Payload(x)
+        r = Members(fields(x), kinds(fields(x)))
         at = F.concat(F.lit("external_references."), i.cast("string"))
         bad_name = ~F.coalesce(F.length(r.text("source_name")).between(1, 255), F.lit(False))
         inner = F.array_compact(
@@ -151,19 +130,19 @@ def parse_intrusion_sets(objects: DataFrame) -> DataFrame:
     bad = F.array_sort(F.array_distinct(F.concat(flat, alias_faults, blank_alias, reference_faults)))
     parsed = rows.withColumns(
         {
-            "bad_fields": F.when(F.col("_v").isNotNull(), bad),
+            "bad_fields": F.when(F.col("_m").isNotNull(), bad),
             "name": strip(p.text("name")),
             "description": F.nullif(strip(p.text("description")), F.lit("")),
             "created": offset_timestamp(p.text("created")),
             "modified": offset_timestamp(p.text("modified")),
             "first_seen": offset_timestamp(p.text("first_seen")),
             "last_seen": offset_timestamp(p.text("last_seen")),
-            "confidence": F.try_variant_get(F.col("_v"), "$.confidence", "int"),
+            "confidence": p.read("confidence", "int"),
             "aliases": F.coalesce(alias_texts, F.array().cast("array<string>")),
             "external_references": F.coalesce(F.to_json(p.item("external_references")), F.lit("[]")),
-            "revoked": F.coalesce(F.try_variant_get(F.col("_v"), "$.revoked", "boolean"), F.lit(False)),
+            "revoked": F.coalesce(p.read("revoked", "boolean"), F.lit(False)),
             "x_mitre_deprecated": F.coalesce(
-                F.try_variant_get(F.col("_v"), "$.x_mitre_deprecated", "boolean"), F.lit(False)
+                p.read("x_mitre_deprecated", "boolean"), F.lit(False)
             ),
             "x_mitre_version": F.nullif(strip(p.text("x_mitre_version")), F.lit("")),
         }
@@ -179,7 +158,7 @@ def parse_intrusion_sets(objects: DataFrame) -> DataFrame:
     outcome = F.when(F.col("object_type") != SUPPORTED_TYPE, F.lit("unsupported")).when(
         reason.isNotNull(), F.lit("rejected")
     )
-    return parsed.withColumns({"parse_outcome": outcome, "parse_reason": reason}).drop("_v")
+    return parsed.withColumns({"parse_outcome": outcome, "parse_reason": reason}).drop("_m", "_k")
 
 
 def to_observations(parsed: DataFrame) -> DataFrame:
