@@ -418,6 +418,6 @@ def sql(body: str, *needs: str) -> str:
     if not parts:
         return body
     stripped = body.lstrip()
-    if stripped[:5].upper() == "WITH ":
+    if stripped[:4].upper() == "WITH" and stripped[4].isspace():
         return "WITH " + ",\n".join(parts) + ",\n" + stripped[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
