@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from palisade.plans import intake, normalization, quality, reads, resolution  # noqa: F401
+from palisade.plans import intake, normalization, operations, quality, reads, resolution, retrieval  # noqa: F401
 from palisade.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
