@@ -1,6 +1,16 @@
 """All registered queries."""
 
-from palisade.plans import intake, normalization, operations, quality, reads, resolution, retrieval  # noqa: F401
+from palisade.plans import (  # noqa: F401
+    intake,
+    normalization,
+    operations,
+    publishing,
+    quality,
+    reads,
+    resolution,
+    retrieval,
+    streams,
+)
 from palisade.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
