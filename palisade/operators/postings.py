@@ -144,21 +144,72 @@ def query_terms(queries: DataFrame, stemmed: bool = True, stop_words: bool = Tru
     return terms.join(sizes, ["query_id", "alt", "clause"])
 
 
-def clause_matches(terms: DataFrame, posted: DataFrame) -> DataFrame:
-    """Where each clause occurs: (query_id, alt, clause, negated, document, start, weights).
-
-    The terms of a query table are few and are broadcast after a size check. Rows are then placed
-    by (query, document) once; phrase and document grouping both reuse that placement.
+def candidates(terms: DataFrame, posted: DataFrame) -> DataFrame:
+    """(query_id, entity_type, id, alt, parts): documents holding every positive word of an alternative.
+
+    Postings are cut down to the words asked for, placed by document once, and folded to one row per
+    (document, word) with its positions packed as integers before queries multiply them; every later
+    grouping reuses that placement. Word order is not looked at yet, so that positions are only
+    unpacked for documents that have all the words. The terms of a query table are few and are
+    broadcast after a size check.
     """
-    hits = posted.join(sized_broadcast(terms), "term").repartition("query_id", "entity_type", "id")
+    asked = sized_broadcast(terms)
+    words = sized_broadcast(terms.select("term").distinct())
+    need = terms.filter(~F.col("negated")).groupBy("query_id", "alt").agg(F.count(F.lit(1)).alias("need"))
+    packed = F.col("pos") * 4 + F.array_position(F.array(*[F.lit(w) for w in WEIGHTS]), F.col("weight")) - 1
+    placed = posted.join(words, "term", "left_semi").select(
+        "entity_type", "id", "term", packed.cast("int").alias("_at")
+    ).repartition("entity_type", "id")
+    lists = placed.groupBy("entity_type", "id", "term").agg(F.collect_list("_at").alias("list"))
     return (
-        hits.withColumn("start", F.col("pos") - F.col("offset"))
-        .groupBy("query_id", "entity_type", "id", "alt", "clause", "negated", "size", "start")
+        lists.join(asked, "term")
+        .groupBy("query_id", "entity_type", "id", "alt")
         .agg(
-            F.count_distinct("offset").alias("found"),
-            F.collect_list(F.struct("pos", "weight", "offset")).alias("hits"),
+            F.count_if(~F.col("negated")).alias("have"),
+            F.collect_list(F.struct("clause", "negated", "size", "offset", "list")).alias("parts"),
+        )
+        .join(sized_broadcast(need), ["query_id", "alt"])
+        .filter(F.col("have") == F.col("need"))
+        .drop("have", "need")
+    )
+
+
+def clause_matches(found: DataFrame) -> DataFrame:
+    """(query_id, entity_type, id, alt, clause, negated, hits): clauses a candidate really satisfies.
+
+    A phrase aligns its words on a common start; a one-word clause needs no alignment.
+    """
+    names = F.array(*[F.lit(w) for w in WEIGHTS])
+    part = F.col("p")
+
+    def hit(at):
+        return F.struct(
+            F.shiftright(at, 2).alias("pos"),
+            F.get(names, F.pmod(at, F.lit(4))).alias("weight"),
+            (part.getField("clause") * 1000 + part.getField("offset")).alias("slot"),
+        )
+
+    starts = F.when(
+        part.getField("size") == 1,
+        F.array(F.struct(F.lit(0).alias("start"), F.transform(part.getField("list"), hit).alias("hits"))),
+    ).otherwise(
+        F.transform(
+            part.getField("list"),
+            lambda at: F.struct(
+                (F.shiftright(at, 2) - part.getField("offset")).alias("start"), F.array(hit(at)).alias("hits")
+            ),
         )
-        .filter(F.col("found") == F.col("size"))
+    )
+    document = ["query_id", "entity_type", "id", "alt", "clause", "negated"]
+    return (
+        found.select("query_id", "entity_type", "id", "alt", F.explode("parts").alias("p"))
+        .select("query_id", "entity_type", "id", "alt", "p.clause", "p.negated", "p.size",
+                F.explode(starts).alias("_a"))
+        .groupBy(*document, "size", F.col("_a.start").alias("start"))
+        .agg(F.count(F.lit(1)).alias("words"), F.flatten(F.collect_list("_a.hits")).alias("hits"))
+        .filter(F.col("words") == F.col("size"))
+        .groupBy(*document)
+        .agg(F.flatten(F.collect_list("hits")).alias("hits"))
     )
 
 
@@ -173,19 +224,13 @@ def match(terms: DataFrame, posted: DataFrame) -> DataFrame:
         .groupBy("query_id", "alt")
         .agg(F.count_distinct("clause").alias("need"))
     )
-    hit = F.transform(
-        "hits", lambda h: F.struct(
-            h.getField("pos").alias("pos"), h.getField("weight").alias("weight"),
-            (F.col("clause") * 1000 + h.getField("offset")).alias("slot"),
-        )
-    )
     found = (
-        clause_matches(terms, posted)
+        clause_matches(candidates(terms, posted))
         .groupBy("query_id", "entity_type", "id", "alt")
         .agg(
-            F.count_distinct(F.when(~F.col("negated"), F.col("clause"))).alias("have"),
+            F.count_if(~F.col("negated")).alias("have"),
             F.max("negated").alias("excluded"),
-            F.flatten(F.collect_list(F.when(~F.col("negated"), hit))).alias("hits"),
+            F.flatten(F.collect_list(F.when(~F.col("negated"), F.col("hits")))).alias("hits"),
         )
         .filter(~F.col("excluded"))
     )

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 BIGRAM_FLOOR = 0.82
 COMMON_TOKENS = 20_000  # size bound of the broadcast frequency table
+BITMAP_WORDS = 8  # of 64 bits
 HOT_ROWS = 50_000  # a token with more rows than this on one side is salted
 SALTS = 16
 
@@ -84,17 +85,50 @@ def _tokens(names: DataFrame, name: str, width: int) -> DataFrame:
     return names.select(name, F.explode(_numbered(grams)).alias("_token"))
 
 
+def _lost(n: Column, m: Column, threshold: float, width: int) -> Column:
+    """Most tokens of a name of length n that a partner of length m at the threshold can lack."""
+    both, apart = (1 - threshold) * (n + m), n - m
+    if width == 1:
+        return F.floor(0.5 * both + 0.5 * apart + 1e-9)
+    return F.floor(1.5 * both + 0.5 * apart + 1e-9)
+
+
+def _bitmap(hashes: Column) -> list[Column]:
+    """Token set as a fixed bitmap: two names differ in no more bits than in tokens."""
+    one = F.lit(1).cast("bigint")
+
+    def word(number: int) -> Column:
+        def add(acc, h):
+            bit = F.call_function("shiftleft", one, F.pmod(h, F.lit(64)).cast("int"))
+            mine = F.pmod(F.shiftright(h, 6), F.lit(BITMAP_WORDS)) == number
+            return F.when(mine, acc.bitwiseOR(bit)).otherwise(acc)
+
+        return F.aggregate(hashes, F.lit(0).cast("bigint"), add)
+
+    return [word(number) for number in range(BITMAP_WORDS)]
+
+
+def _bits_only_left(left: str, right: str) -> Column:
+    total = F.lit(0)
+    for i in range(BITMAP_WORDS):
+        total = total + F.bit_count(F.col(f"{left}{i}").bitwiseAND(F.bitwise_not(F.col(f"{right}{i}"))))
+    return total
+
+
 def _signatures(names: DataFrame, name: str, common: DataFrame, threshold: float, width: int) -> DataFrame:
-    """(name, prefix array of token hashes in the global order rare -> common)."""
+    """(name, prefix array of token hashes in the global order rare -> common, token bitmap)."""
     ranked = _tokens(names, name, width).join(F.broadcast(common), "_token", "left")
     key = F.struct(
         F.coalesce("_df", F.lit(0)).alias("df"), F.xxhash64("_token").alias("h")
     )
     packed = ranked.groupBy(name).agg(F.array_sort(F.collect_list(key)).alias("_all"))
     take = _prefix_length(F.length(F.col(name)), threshold, width)
+    hashes = F.transform("_all", lambda x: x.getField("h"))
+    bits = [expr.alias(f"{name}_bits{i}") for i, expr in enumerate(_bitmap(hashes))]
     return packed.select(
         name,
         F.transform(F.slice("_all", F.lit(1), take), lambda x: x.getField("h")).alias("_prefix"),
+        *bits,
     )
 
 
@@ -115,8 +149,10 @@ def similar_pairs(
     common = frequency.orderBy(F.desc("_df"), "_token").limit(COMMON_TOKENS)
     sig_a = _signatures(left, "_a", common, threshold, width)
     sig_b = _signatures(right, "_b", common, threshold, width)
-    exploded_a = sig_a.select("_a", F.col("_prefix").alias("_pa"), F.explode("_prefix").alias("_h"))
-    exploded_b = sig_b.select("_b", F.col("_prefix").alias("_pb"), F.explode("_prefix").alias("_h"))
+    bits_a = [f"_a_bits{i}" for i in range(BITMAP_WORDS)]
+    bits_b = [f"_b_bits{i}" for i in range(BITMAP_WORDS)]
+    exploded_a = sig_a.select("_a", *bits_a, F.col("_prefix").alias("_pa"), F.explode("_prefix").alias("_h"))
+    exploded_b = sig_b.select("_b", *bits_b, F.col("_prefix").alias("_pb"), F.explode("_prefix").alias("_h"))
     hot = F.broadcast(
         common.filter(F.col("_df") > HOT_ROWS).select(
             F.xxhash64("_token").alias("_h"), F.lit(True).alias("_hot")
@@ -135,9 +171,11 @@ def similar_pairs(
     pairs = (
         salted_a.drop("_hot")
         .join(salted_b.drop("_hot"), ["_h", "_salt"])
+        .filter(2 * F.least(la, lb) >= F.lit(threshold) * (la + lb) - 1e-9)
+        .filter(_bits_only_left("_a_bits", "_b_bits") <= _lost(la, lb, threshold, width))
+        .filter(_bits_only_left("_b_bits", "_a_bits") <= _lost(lb, la, threshold, width))
         # each pair survives at one of its shared tokens only
         .filter(F.element_at(F.array_intersect("_pa", "_pb"), 1) == F.col("_h"))
-        .filter(2 * F.least(la, lb) >= F.lit(threshold) * (la + lb) - 1e-9)
         .select("_a", "_b")
     )
     scored = pairs.withColumn(

@@ -17,6 +17,7 @@ from palisade.functions import ids
 from palisade.functions.jsonx import safe_url
 from palisade.functions.times import utc_millis_text
 from palisade.schemas import Graph
+from palisade.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------
 EXPORTED_RELATION = "attributed-to"
@@ -305,11 +306,19 @@ def _campaigns(graph: Graph, publisher: Publisher, relations: DataFrame) -> list
     return [campaigns, attributed]
 
 
-def bundles(objects: DataFrame, publisher: Publisher = Publisher(), max_objects: int = MAX_BUNDLE_OBJECTS) -> DataFrame:
+def bundles(
+    objects: DataFrame,
+    publisher: Publisher = Publisher(),
+    max_objects: int = MAX_BUNDLE_OBJECTS,
+    stage: bool = True,
+) -> DataFrame:
     """(actor_id, part, bundle_id, objects, content): sorted objects, identifier over the sorted ids.
 
-    Sizes are counted first; an actor within ``max_objects`` gets exactly one bundle.
+    Sizes are counted first; an actor within ``max_objects`` gets exactly one bundle. ``stage`` writes
+    the objects to the shared folder once, as both the count and the assembly read them.
     """
+    if stage:
+        objects = materialize(objects, "stix-objects")
     sizes = objects.groupBy("actor_id").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(max_objects)).alias("_parts")
     )

@@ -17,7 +17,6 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     }
     for key, value in settings.items():
@@ -38,6 +37,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan):
+    """A plain file scan over all cores.
+
+    A small table may lie in one row group and so in one task. Only a scan with fewer tasks than the
+    cluster has cores is redistributed; a large table is left as the file splits have it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def materialize(df, label: str):
     """Write to the shared folder and read back: cuts lineage and fixes the rows of every re-read."""
     path = scratch_dir(df.sparkSession, label)
