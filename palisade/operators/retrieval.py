@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +54,6 @@ def embed(texts: DataFrame, text: str, provider, dimensions: int) -> DataFrame:
 
     The provider sees one Arrow batch at a time; ``problem`` says why a vector cannot be stored.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -29,7 +29,7 @@ def _text(*parts) -> Column:
 
 
 def _state(cond: Column) -> Column:
-    return F.when(F.coalesce(cond, F.lit(False)), F.lit("published")).otherwise(F.lit("internal"))
+    return F.when(cond, F.lit("published")).otherwise(F.lit("internal"))
 
 
 def _day(base: str, days: Column) -> Column:

@@ -109,12 +109,13 @@ def next_sequence(spark, sf_dir):
 @query("append_updates", f"""WITH {_ADV}, b AS (SELECT doc_id, 'adv-' || (doc_id % 200) AS advisory_id FROM documents),
 j AS (SELECT b.*, CASE WHEN a.id IS NULL THEN 'advisory does not exist' WHEN NOT a.live OR a.version IS NULL THEN 'publish a revision before adding updates' END AS refused,
    (SELECT max(sequence) FROM upd u WHERE u.advisory_id = b.advisory_id) AS m FROM b LEFT JOIN adv a ON a.id = b.advisory_id)
-SELECT doc_id AS submission_id, advisory_id, refused, CASE WHEN refused IS NULL THEN m + row_number() OVER (PARTITION BY advisory_id, refused IS NULL ORDER BY doc_id) END AS sequence FROM j
+SELECT doc_id AS submission_id, advisory_id, refused, CASE WHEN refused IS NULL THEN (m + row_number() OVER (PARTITION BY advisory_id, refused IS NULL ORDER BY doc_id))::VARCHAR END AS sequence FROM j
 """)
 def append_updates(spark, sf_dir):
     batch = A.table(spark, sf_dir, "documents").select(
         c("doc_id").alias("submission_id"), _adv(c("doc_id") % 200).alias("advisory_id"))
-    return D.append_updates(batch, advisory_graph(spark, sf_dir)).select("submission_id", "advisory_id", "refused", "sequence")
+    return D.append_updates(batch, advisory_graph(spark, sf_dir)).select(
+        "submission_id", "advisory_id", "refused", c("sequence").cast("string").alias("sequence"))
 
 
 _EVENTS = "ev AS (SELECT 'adv-' || user_id AS advisory_id, (event_id % 5 + 1)::INT AS version, ts FROM events), real AS (SELECT * FROM ev WHERE version <= 4)"
@@ -170,7 +171,7 @@ def claim_outcomes(spark, sf_dir):
 
 
 @query("failure_outcomes", """
-SELECT id, d AS disposition, CASE WHEN d = 'retry' THEN least(45 * (2 ** greatest(attempts - 1, 0))::BIGINT, 3600) * 1000 END AS delay_ms, CASE WHEN d <> 'stale' THEN 'boom ' || (id % 3) END AS failure_reason
+SELECT id, d AS disposition, CASE WHEN d = 'retry' THEN (least(45 * (2 ** greatest(attempts - 1, 0))::BIGINT, 3600) * 1000)::VARCHAR END AS delay_ms, CASE WHEN d <> 'stale' THEN 'boom ' || (id % 3) END AS failure_reason
 FROM (SELECT *, CASE WHEN NOT coalesce(state = 'processing' AND lease_token = 'lease-' || id AND attempts = (id % 7)::INT, FALSE) THEN 'stale'
   WHEN id % 5 <> 0 AND attempts < max_attempts THEN 'retry' ELSE 'failed' END AS d FROM jobs)
 """, ("jobs",))
@@ -179,15 +180,15 @@ def failure_outcomes(spark, sf_dir):
     failures = jobs.select(
         "id", F.concat(F.lit("lease-"), c("id").cast("string")).alias("lease_token"), (c("id") % 7).cast("int").alias("attempt"),
         F.concat(F.lit("  boom   "), (c("id") % 3).cast("string")).alias("reason"), (c("id") % 5 != 0).alias("retryable"))
-    return J.failure_outcomes(jobs, failures, 45)
+    return J.failure_outcomes(jobs, failures, 45).withColumn("delay_ms", c("delay_ms").cast("string"))
 
 
 @query("retry_backoff", """
-SELECT id, CASE WHEN attempts < max_attempts THEN least(30 * (2 ** greatest(attempts - 1, 0))::BIGINT, 3600) END AS delay_seconds FROM jobs
+SELECT id, CASE WHEN attempts < max_attempts THEN least(30 * (2 ** greatest(attempts - 1, 0))::BIGINT, 3600)::VARCHAR END AS delay_seconds FROM jobs
 """, ("jobs",))
 def retry_backoff(spark, sf_dir):
     jobs = A.job_table(spark, sf_dir)
-    return jobs.select("id", F.when(c("attempts") < c("max_attempts"), retry_delay_seconds(c("attempts"), 30)).alias("delay_seconds"))
+    return jobs.select("id", F.when(c("attempts") < c("max_attempts"), retry_delay_seconds(c("attempts"), 30)).cast("string").alias("delay_seconds"))
 
 
 @query("latency_summary", """

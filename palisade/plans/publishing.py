@@ -61,13 +61,13 @@ def stix_bundles(spark, sf_dir):
 
 @query("stix_notes", f"""
 SELECT {_sid('note', 'id')} AS id, title || chr(10) || chr(10) || summary || chr(10) || chr(10) || 'PALISADE intelligence time: ' || strftime(observed_at, '%Y-%m-%dT%H:%M:%S.000Z')
-   || chr(10) || 'First seen: ' || strftime(first_seen, '%Y-%m-%dT%H:%M:%S.000Z') AS content, 'palisade:' || intelligence_type AS label, confidence,
+   || chr(10) || 'First seen: ' || strftime(first_seen, '%Y-%m-%dT%H:%M:%S.000Z') AS content, 'palisade:' || intelligence_type AS label, confidence::VARCHAR AS confidence,
    strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created FROM g_obs
 """, ("g_obs",))
 def stix_notes(spark, sf_dir):
     notes = _objects(spark, sf_dir).filter("type = 'note'")
     parsed = F.from_json("json", "content string, labels array<string>, confidence int, created string")
-    return notes.select("id", parsed.alias("o")).select("id", "o.content", F.get("o.labels", F.lit(0)).alias("label"), "o.confidence", "o.created")
+    return notes.select("id", parsed.alias("o")).select("id", "o.content", F.get("o.labels", F.lit(0)).alias("label"), c("o.confidence").cast("string").alias("confidence"), "o.created")
 
 
 @query("stix_intrusion_sets", f"""

@@ -31,7 +31,7 @@ ev AS ({_capped('pub_evidence', 'g_obs_evidence', 'evidence_id', 'citation', 3)}
 be AS ({_capped('pub_behaviors', 'g_obs_behaviors', 'behavior_id', 'name', 3)}),
 te AS ({_capped('pub_techniques', 'g_obs_techniques', 'technique_id', 'external_id', 3)})
 SELECT actor_id, observation_id, position, has_more, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS observed_at,
-       title, confidence, intelligence_type, coalesce(ev.ids, '') AS evidence, coalesce(ev.more, FALSE) AS evidence_truncated,
+       title, confidence::VARCHAR AS confidence, intelligence_type, coalesce(ev.ids, '') AS evidence, coalesce(ev.more, FALSE) AS evidence_truncated,
        coalesce(be.ids, '') AS behaviors, coalesce(te.ids, '') AS techniques, coalesce(te.more, FALSE) AS techniques_truncated
 FROM page LEFT JOIN ev USING (observation_id) LEFT JOIN be USING (observation_id) LEFT JOIN te USING (observation_id)
 WHERE position <= 5
@@ -41,7 +41,7 @@ def actor_timeline(spark, sf_dir):
     rows = reads.timeline(A.order_graph(spark, sf_dir), page_size=5, nested_cap=3)
     return rows.select(
         "actor_id", "observation_id", "position", "has_more", stamp("observed_at").alias("observed_at"), "title",
-        "confidence", "intelligence_type", joined_ids("evidence").alias("evidence"), "evidence_truncated",
+        F.col("confidence").cast("string").alias("confidence"), "intelligence_type", joined_ids("evidence").alias("evidence"), "evidence_truncated",
         joined_ids("behaviors").alias("behaviors"), joined_ids("techniques").alias("techniques"),
         "techniques_truncated",
     )

@@ -48,12 +48,12 @@ ev AS (SELECT DISTINCT o.id AS alias_id, a.id AS actor_id, 'exact canonical name
 per AS (SELECT alias_id, actor_id, string_agg(DISTINCT basis, '|' ORDER BY basis) AS bases, bool_or(basis = 'exact canonical name') AS by_name, max(conf) AS conf, max(rule_reason) AS rule_reason FROM ev GROUP BY ALL)"""
 
 
-@query("exact_evidence", f"WITH {_WORLD} SELECT alias_id, actor_id, bases, by_name, conf AS rule_confidence FROM per")
+@query("exact_evidence", f"WITH {_WORLD} SELECT alias_id, actor_id, bases, by_name, conf::VARCHAR AS rule_confidence FROM per")
 def exact_evidence(spark, sf_dir):
     actors, rules, aliases = _name_world(spark, sf_dir)
     labels = aliases.filter("actor_id is null").select(c("id").alias("alias_id"), "normalized_name")
     rows = R.exact_evidence(labels, actors, rules, aliases)
-    return rows.select("alias_id", "actor_id", F.array_join("bases", "|").alias("bases"), "by_name", "rule_confidence")
+    return rows.select("alias_id", "actor_id", F.array_join("bases", "|").alias("bases"), "by_name", c("rule_confidence").cast("string").alias("rule_confidence"))
 
 
 @query("exact_resolution", f"""WITH {_WORLD},
@@ -61,15 +61,16 @@ one AS (SELECT alias_id, count(*) AS n, max(actor_id) AS actor_id, bool_or(by_na
 SELECT o.id AS alias_id, CASE WHEN n = 1 AND (by_name OR rr IS NOT NULL) THEN one.actor_id END AS actor_id,
   CASE WHEN n = 1 AND (by_name OR rr IS NOT NULL) THEN 'auto_link' ELSE 'unresolved' END AS decision,
   CASE WHEN n > 1 THEN 'ambiguous_exact' WHEN by_name THEN 'exact_actor_name' WHEN rr IS NOT NULL THEN 'known_alias' WHEN n = 1 THEN 'exact_candidates' ELSE 'no_exact_match' END AS method,
-  CASE WHEN n = 1 AND by_name THEN 100 WHEN n = 1 THEN conf END AS confidence
+  CASE WHEN n = 1 AND by_name THEN '100' WHEN n = 1 THEN conf::VARCHAR END AS confidence
 FROM opn o LEFT JOIN one ON one.alias_id = o.id
-UNION ALL SELECT id, actor_id, 'auto_link', 'existing_link', 80 FROM ali WHERE actor_id IS NOT NULL""")
+UNION ALL SELECT id, actor_id, 'auto_link', 'existing_link', '80' FROM ali WHERE actor_id IS NOT NULL""")
 def exact_resolution(spark, sf_dir):
     """The decision ladder; labels without exact evidence are shown as one class here."""
     actors, rules, aliases = _name_world(spark, sf_dir)
     rows = R.resolve(aliases, actors, rules)
     loose = c("method").isin("no_match", "similarity_candidates")
-    return rows.select("alias_id", "actor_id", "decision", F.when(loose, F.lit("no_exact_match")).otherwise(c("method")).alias("method"), "confidence")
+    return rows.select("alias_id", "actor_id", "decision", F.when(loose, F.lit("no_exact_match")).otherwise(c("method")).alias("method"),
+                       c("confidence").cast("string").alias("confidence"))
 
 
 @query("resolution_decisions")
