@@ -32,6 +32,19 @@ def _canonical_sha(text):
     return hashlib.sha256(encoded.encode()).hexdigest()
 
 
+@F.pandas_udf(T.StringType())
+def escaped_sha256(values: pd.Series) -> pd.Series:
+    """Hash of canonical JSON in which non-ASCII characters are written as lower-case escapes."""
+
+    def digest(text):
+        if text is None:
+            return None
+        body = json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+        return hashlib.sha256(body.encode()).hexdigest()
+
+    return values.map(digest, na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def payload_sha256(values: pd.Series) -> pd.Series:
     """Hash of an arbitrary JSON payload in canonical form; null if it is not finite JSON.

@@ -6,7 +6,7 @@ it by semi-join. Caps are applied with ranked windows before anything is collect
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.text import normalize_name
@@ -77,15 +77,8 @@ def timeline(
     if after is not None:
         dated = dated.filter(after_cursor(NEWEST_FIRST, after))
     ranked = top_n(dated, ["actor_id"], NEWEST_FIRST, page_size + 1, "position")
-    page = ranked.select("actor_id", "observation_id", "position")
-    more = (
-        ranked.filter(F.col("position") > page_size)
-        .select("actor_id", F.lit(True).alias("has_more"))
-    )
-    shown = (
-        page.filter(F.col("position") <= page_size)
-        .join(more, "actor_id", "left")
-        .withColumn("has_more", F.coalesce("has_more", F.lit(False)))
+    shown = _drop_probe(ranked, ["actor_id"], page_size, "has_more").select(
+        "actor_id", "observation_id", "position", "has_more"
     )
     ids = shown.select("observation_id").distinct()
     details = seen.select(
@@ -132,22 +125,19 @@ def aliases(graph: Graph, actor_ids: DataFrame | None = None, limit: int = MAX_A
     rows = published(_narrow(graph.aliases, actor_ids), graph.sources, graph.actors)
     ranked = top_n(rows, ["actor_id"], (("normalized_name", True), ("id", True)), limit + 1,
                    "position")
-    return _capped_list(ranked, limit).select(
+    return _drop_probe(ranked, ["actor_id"], limit, "truncated").select(
         "actor_id", "position", "id", "name", "source_native_id", "confidence", "source_id",
         "truncated",
     )
 
 
-def _capped_list(ranked: DataFrame, limit: int) -> DataFrame:
-    """Drop the probe row of a top ``limit + 1`` and keep whether it existed."""
-    more = ranked.filter(F.col("position") > limit).select(
-        "actor_id", F.lit(True).alias("truncated")
-    )
-    return (
-        ranked.filter(F.col("position") <= limit)
-        .join(more, "actor_id", "left")
-        .withColumn("truncated", F.coalesce("truncated", F.lit(False)))
-    )
+def _drop_probe(ranked: DataFrame, by: list[str], limit: int, flag: str) -> DataFrame:
+    """Drop the probe row of a top ``limit + 1`` per group and keep whether it existed.
+
+    The window reuses the placement of the ranking and sees at most ``limit + 1`` rows per group.
+    """
+    last = F.max("position").over(Window.partitionBy(*by))
+    return ranked.withColumn(flag, last > limit).filter(F.col("position") <= limit)
 
 
 def associations(
@@ -174,14 +164,8 @@ def associations(
     order = (("sort_key", True), ("id", True))
     rows = behaviors.unionByName(techniques)
     ranked = top_n(rows, ["actor_id", "kind"], order, limit + 1, "position")
-    more = ranked.filter(F.col("position") > limit).select(
-        "actor_id", "kind", F.lit(True).alias("truncated")
-    )
-    return (
-        ranked.filter(F.col("position") <= limit)
-        .join(more, ["actor_id", "kind"], "left")
-        .select("actor_id", "kind", "position", "id", "name", "sort_key",
-                F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    return _drop_probe(ranked, ["actor_id", "kind"], limit, "truncated").select(
+        "actor_id", "kind", "position", "id", "name", "sort_key", "truncated"
     )
 
 
@@ -220,7 +204,7 @@ def references(
     out = None
     for rows, limit in ((sources, source_limit), (cited, evidence_limit)):
         ranked = top_n(rows, ["actor_id"], order, limit + 1, "position")
-        part = _capped_list(ranked, limit)
+        part = _drop_probe(ranked, ["actor_id"], limit, "truncated")
         out = part if out is None else out.unionByName(part)
     return out.select("actor_id", "kind", "position", "id", "label", "truncated")
 

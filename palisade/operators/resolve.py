@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.jsonx import escaped_sha256
+from palisade.functions.text import ASCII_ONLY
 from palisade.operators.scale import numbered, running_before, top_n
 from palisade.operators.similarity import similar_pairs
 
@@ -32,40 +34,34 @@ MAX_SIMILAR = 10
 # ------------------------------------------------------------------------------------------
 
 
-def exact_evidence(
-    labels: DataFrame, actors: DataFrame, rules: DataFrame, linked: DataFrame
+def name_evidence(
+    names: DataFrame, actors: DataFrame, rules: DataFrame, linked: DataFrame
 ) -> DataFrame:
-    """One row per (alias_id, actor_id) with its bases; three equi joins on the normalized name.
+    """One row per (normalized_name, actor_id) with its bases; three equi joins on the name.
 
-    ``labels``: alias_id, normalized_name. Linked aliases are first reduced to distinct
-    (name, actor, own alias id kept only where a single alias supports it), so that a label shared
-    by very many aliases does not multiply.
+    Works on distinct names: all unlinked aliases of one name have the same evidence, and linked
+    aliases are reduced to distinct (name, actor) pairs, so copies are never multiplied.
     """
-    canonical = actors.select("normalized_name", F.col("id").alias("actor_id"))
-    by_name = labels.join(canonical, "normalized_name").select(
-        "alias_id", "actor_id", F.lit(BASIS_CANONICAL).alias("basis"), F.lit(True).alias("by_name"),
-        F.lit(None).cast("int").alias("rule_confidence"), F.lit(None).cast("string").alias("rule_reason"),
-    )
-    active = rules.filter("active").select(
-        F.col("normalized_alias").alias("normalized_name"), "actor_id", "confidence", "reason"
-    )
-    by_rule = labels.join(active, "normalized_name").select(
-        "alias_id", "actor_id", F.lit(BASIS_RULE).alias("basis"), F.lit(False).alias("by_name"),
-        F.col("confidence").alias("rule_confidence"), F.col("reason").alias("rule_reason"),
-    )
-    support = (
-        linked.filter(F.col("actor_id").isNotNull())
-        .groupBy("normalized_name", "actor_id")
-        .agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    def row(actor, basis, by_name=False, confidence=None, reason=None):
+        return [
+            "normalized_name", F.col(actor).alias("actor_id"), F.lit(basis).alias("basis"),
+            F.lit(by_name).alias("by_name"),
+            (F.col(confidence) if confidence else F.lit(None)).cast("int").alias("rule_confidence"),
+            (F.col(reason) if reason else F.lit(None)).cast("string").alias("rule_reason"),
+        ]
+
+    by_name = actors.join(names, "normalized_name", "left_semi").select(
+        *row("id", BASIS_CANONICAL, by_name=True)
     )
-    others = (F.col("_low") != F.col("alias_id")) | (F.col("_high") != F.col("alias_id"))
-    by_alias = labels.join(support, "normalized_name").filter(others).select(
-        "alias_id", "actor_id", F.lit(BASIS_ALIAS).alias("basis"), F.lit(False).alias("by_name"),
-        F.lit(None).cast("int").alias("rule_confidence"), F.lit(None).cast("string").alias("rule_reason"),
+    active = rules.filter("active").withColumnRenamed("normalized_alias", "normalized_name")
+    by_rule = active.join(names, "normalized_name", "left_semi").select(
+        *row("actor_id", BASIS_RULE, confidence="confidence", reason="reason")
     )
+    held = linked.filter(F.col("actor_id").isNotNull()).select("normalized_name", "actor_id").distinct()
+    by_alias = held.join(names, "normalized_name", "left_semi").select(*row("actor_id", BASIS_ALIAS))
     return (
         by_name.unionByName(by_rule).unionByName(by_alias)
-        .groupBy("alias_id", "actor_id")
+        .groupBy("normalized_name", "actor_id")
         .agg(
             F.array_sort(F.collect_set("basis")).alias("bases"),
             F.max("by_name").alias("by_name"),
@@ -75,6 +71,15 @@ def exact_evidence(
     )
 
 
+def exact_evidence(
+    labels: DataFrame, actors: DataFrame, rules: DataFrame, linked: DataFrame
+) -> DataFrame:
+    """One row per (alias_id, actor_id) of unlinked aliases (alias_id, normalized_name)."""
+    names = labels.select("normalized_name").distinct()
+    found = name_evidence(names, actors, rules, linked)
+    return labels.join(found, "normalized_name").drop("normalized_name")
+
+
 def similar_candidates(
     labels: DataFrame,
     actors: DataFrame,
@@ -83,24 +88,29 @@ def similar_candidates(
     limit: int = MAX_SIMILAR,
 ) -> DataFrame:
     """Ten best actors per label by similarity to a canonical name or an active rule's alias."""
+    names = labels.select("normalized_name").distinct()
+    ranked = similar_to_names(names, actors, rules, threshold, limit)
+    return labels.join(ranked, "normalized_name").drop("normalized_name")
+
+
+def similar_to_names(
+    names: DataFrame, actors: DataFrame, rules: DataFrame, threshold: float, limit: int
+) -> DataFrame:
+    """(normalized_name, actor_id, bases, similarity, position) for distinct names."""
     rule_names = rules.filter("active").select(F.col("normalized_alias").alias("name"), "actor_id")
     known = (
         actors.select(F.col("normalized_name").alias("name"), F.col("id").alias("actor_id"),
                       F.lit(BASIS_SIMILAR_NAME).alias("basis"))
         .unionByName(rule_names.withColumn("basis", F.lit(BASIS_SIMILAR_RULE)))
     )
-    names = labels.select(F.col("normalized_name").alias("label"))
-    pairs = similar_pairs(names, known, threshold)
-    # per distinct label first: a label held by many aliases is ranked once
+    pairs = similar_pairs(names, known, threshold, "normalized_name", "name")
     best = (
         pairs.join(known, "name")
-        .groupBy("label", "actor_id")
+        .groupBy("normalized_name", "actor_id")
         .agg(F.max("similarity").alias("similarity"), F.array_sort(F.collect_set("basis")).alias("bases"))
     )
-    ranked = top_n(best, ["label"], (("similarity", False), ("actor_id", True)), limit, "position")
-    return labels.join(ranked, labels["normalized_name"] == ranked["label"]).select(
-        "alias_id", "actor_id", "bases", "similarity", "position"
-    )
+    order = (("similarity", False), ("actor_id", True))
+    return top_n(best, ["normalized_name"], order, limit, "position")
 
 
 def _candidate_list(rows: DataFrame, actors: DataFrame, order: str) -> DataFrame:
@@ -115,7 +125,9 @@ def _candidate_list(rows: DataFrame, actors: DataFrame, order: str) -> DataFrame
             )
         )
     )
-    return named.groupBy("alias_id").agg(F.transform(packed, lambda x: x.getField("c")).alias("candidates"))
+    return named.groupBy("normalized_name").agg(
+        F.transform(packed, lambda x: x.getField("c")).alias("candidates")
+    )
 
 
 def resolve(
@@ -126,7 +138,7 @@ def resolve(
     threshold: float = THRESHOLD,
     evidence_id: str | None = None,
 ) -> DataFrame:
-    """One decision per alias.
+    """One decision per alias; the work is done once per distinct name.
 
     ``aliases``: id, normalized_name, actor_id (null if unlinked), confidence. ``latest`` holds the
     newest decision per alias; a linked alias returns it unchanged (``repeated``).
@@ -134,20 +146,22 @@ def resolve(
     open_labels = aliases.filter(F.col("actor_id").isNull()).select(
         F.col("id").alias("alias_id"), "normalized_name"
     )
-    exact = exact_evidence(open_labels, actors, rules, aliases)
-    summary = exact.groupBy("alias_id").agg(
+    names = open_labels.select("normalized_name").distinct()
+    exact = name_evidence(names, actors, rules, aliases)
+    summary = exact.groupBy("normalized_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("actor_id").alias("one_actor"),
         F.max("by_name").alias("by_name"),
         F.max("rule_confidence").alias("rule_confidence"),
         F.max("rule_reason").alias("rule_reason"),
     )
-    unmatched = open_labels.join(summary.select("alias_id"), "alias_id", "left_anti")
-    similar = similar_candidates(unmatched, actors, rules, threshold)
+    unmatched = names.join(summary.select("normalized_name"), "normalized_name", "left_anti")
+    similar = similar_to_names(unmatched, actors, rules, threshold, MAX_SIMILAR)
     listed = _candidate_list(
         exact.withColumn("similarity", F.lit(None).cast("double")), actors, "actor_id"
     ).unionByName(_candidate_list(similar, actors, "position"))
-    joined = open_labels.join(summary, "alias_id", "left").join(listed, "alias_id", "left")
+    per_name = names.join(summary, "normalized_name", "left").join(listed, "normalized_name", "left")
+    joined = open_labels.join(per_name, "normalized_name")
     has_similar = F.col("n").isNull() & F.col("candidates").isNotNull()
     method = (
         F.when(F.col("n") > 1, F.lit("ambiguous_exact"))
@@ -217,7 +231,7 @@ def _retained(aliases: DataFrame, latest: DataFrame | None, evidence_id: str | N
 def decision_hash(decisions: DataFrame) -> DataFrame:
     """Adds ``decision_hash``: SHA-256 of the decision as compact JSON with sorted keys.
 
-    Non-ASCII characters are hashed as ``\\uXXXX`` escapes, as the audit format prescribes.
+    Rows with non-ASCII text are re-printed with ``\\uXXXX`` escapes, which the audit format wants.
     """
     candidates = F.transform(
         "candidates",
@@ -231,8 +245,12 @@ def decision_hash(decisions: DataFrame) -> DataFrame:
         "actor_id", candidates.alias("candidates"), "confidence", "decided_by", "decision",
         "evidence_id", "method", "previous_actor_id", "reason",
     )
-    printed = F.to_json(body, {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"})
-    return decisions.withColumn("decision_hash", F.sha2(printed, 256))
+    printed = F.to_json(body, {"ignoreNullFields": "false"})
+    ascii_only = printed.rlike(ASCII_ONLY)
+    native = F.sha2(printed, 256)
+    return decisions.withColumn(
+        "decision_hash", F.when(ascii_only, native).otherwise(escaped_sha256(F.when(~ascii_only, printed)))
+    )
 
 
 def append_decisions(decisions: DataFrame, stored: DataFrame, first_sequence: int) -> DataFrame:

@@ -156,6 +156,7 @@ def numbered(
     if rows <= rows_per_task:
         window = Window.partitionBy(*group).orderBy(*order_columns(order))
         return df.withColumn(number, F.row_number().over(window))
+    df = materialize(df, "numbered")
     total = df.count()
     parts = max(2, min(max_parts, -(-total // rows_per_task)))
     staged = materialize(

@@ -144,6 +144,8 @@ class JobMonitor(StatefulProcessor):
     """State per job: attempts and lease. Emits what each event means and reports expired leases.
 
     Input rows: job_id, seq, at, kind (claim, succeed, fail), lease_token, retryable, max_attempts.
+    The rows of one job in one micro-batch are ordered in memory: a job has at most ten attempts by
+    the table's rules, and the trigger bounds the batch.
     """
 
     LEASE_SECONDS, RETRY_BASE = 300, 30
