@@ -206,19 +206,20 @@ def interval_overlap(spark, sf_dir):
 
 
 @query("interval_join", """
-SELECT c.id AS campaign_id, r.id AS relationship_id FROM g_campaigns c JOIN g_relationships r ON r.source_id = c.source_id
-WHERE (c.last_seen IS NULL OR c.last_seen >= r.first_seen) AND (c.first_seen IS NULL OR c.first_seen <= r.last_seen)
-  AND r.relationship_type = 'attributed-to'
+SELECT c.id AS campaign_id, r.id AS relationship_id FROM g_campaigns c JOIN g_relationships r ON r.campaign_id = c.id
+WHERE (c.last_seen IS NULL OR c.last_seen >= r.first_seen + INTERVAL 10 DAY) AND (c.first_seen IS NULL OR c.first_seen <= r.last_seen)
 """, ("g_campaigns", "g_relationships"))
 def interval_join(spark, sf_dir):
-    """Table-to-table overlap: an equi key first, the interval test as a residual condition."""
+    """Table-to-table overlap: relationships against their own campaign, whose activity has to reach
+    ten days past the relationship's start. The key is an equi join; the interval test is residual."""
     graph = A.order_graph(spark, sf_dir)
-    camps = graph.campaigns.select("source_id", F.col("id").alias("campaign_id"), "first_seen", "last_seen")
-    rels = graph.relationships.filter(F.col("relationship_type") == "attributed-to").select(
-        "source_id", F.col("id").alias("relationship_id"), F.col("first_seen").alias("a"), F.col("last_seen").alias("b"))
+    camps = graph.campaigns.select(F.col("id").alias("campaign_id"), "first_seen", "last_seen")
+    rels = graph.relationships.select(
+        "campaign_id", F.col("id").alias("relationship_id"),
+        F.timestamp_add("DAY", F.lit(10), F.col("first_seen")).alias("a"), F.col("last_seen").alias("b"))
     meets = (F.col("last_seen").isNull() | (F.col("last_seen") >= F.col("a"))) & (
         F.col("first_seen").isNull() | (F.col("first_seen") <= F.col("b")))
-    return camps.join(rels, "source_id").filter(meets).select("campaign_id", "relationship_id")
+    return camps.join(rels, "campaign_id").filter(meets).select("campaign_id", "relationship_id")
 
 
 @query("late_materialised_topk", """
