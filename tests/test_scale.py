@@ -83,3 +83,22 @@ def test_transitions(spark):
         "k string, seq long, state string")
     bad = illegal_transitions(log, ["k"], "seq", "state", span=2).collect()
     assert sorted((r.k, r.seq, r.previous_state) for r in bad) == [("a", 4, "failed"), ("b", 1, None)]
+
+
+def test_scope_hash_ignores_set_order():
+    from datetime import UTC, datetime, timedelta, timezone
+
+    at = datetime(2026, 1, 1, tzinfo=UTC)
+    same = [paging.scope_hash({"q": "x", "kinds": kinds, "from": when})
+            for kinds, when in (({"a", "b"}, at), ({"b", "a"}, at.astimezone(timezone(timedelta(hours=5)))))]
+    assert same[0] == same[1] != paging.scope_hash({"q": "x", "kinds": {"a"}, "from": at})
+
+
+def test_generated_inputs_have_the_asked_size(spark):
+    from palisade.sources import generated
+    from palisade.sources.stix_bundle import check_envelope, split_objects
+
+    objects = split_objects(check_envelope(generated.intrusion_set_bundles(spark, 3, 4)), ["raw_evidence_id"])
+    assert objects.filter("object_error is null").select("object_id").distinct().count() == 12
+    graph = generated.graph(spark, 5, observations_per_actor=3)
+    assert (graph.actors.count(), graph.observations.select("id").distinct().count(), graph.evidence.count()) == (5, 15, 0)
