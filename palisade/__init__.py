@@ -8,6 +8,13 @@ Layout
     streaming/   Structured Streaming jobs over the same operators
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from palisade.session import configure, scratch_dir
 
+# Functions that run inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["configure", "scratch_dir"]

@@ -122,7 +122,7 @@ def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
             t.supplier.select(c("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey"
         )
 
-    item_id = _text("li-", c("l_orderkey"), "-", c("l_linenumber"), "-", c("l_partkey"), "-", c("l_suppkey"))
+    item_id = _text("li-", c("l_orderkey"), "-", c("l_linenumber"), "-", c("l_partkey"), "-", c("l_suppkey"), "-", c("l_quantity").cast("int"))
     def evidence():
         return items().select(
             item_id.alias("id"), _text("nation:NATION_", c("s_nationkey")).alias("source_id"),
@@ -322,7 +322,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                TIMESTAMP '2023-01-01' + to_days((o_orderkey % 365)::INT) AS updated_at FROM orders"""),
     "g_actor_obs": ((), "SELECT 'cust-' || o_custkey AS actor_id, 'ord-' || o_orderkey AS observation_id FROM orders"),
     "g_evidence": ((), f"""
-        SELECT 'li-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id,
+        SELECT 'li-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT AS id,
                'nation:NATION_' || s_nationkey AS source_id,
                'Shipment ' || l_orderkey || '/' || l_linenumber AS citation,
                l_returnflag || ' ' || l_linestatus AS excerpt,
@@ -331,7 +331,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"""),
     "g_obs_evidence": ((), """
         SELECT 'ord-' || l_orderkey AS observation_id,
-               'li-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS evidence_id FROM lineitem"""),
+               'li-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT AS evidence_id FROM lineitem"""),
     "g_techniques": ((), f"""
         SELECT 'part-' || p_partkey AS id, 'nation:NATION_' || (p_partkey % 25) AS source_id,
                p_brand || '-' || p_partkey AS external_id, p_name AS name, p_type AS description,
