@@ -30,3 +30,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 1024, 0)
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a repeated window of 35 words, removed from all documents."""
+    from palisade.llm import substrings
+
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), 35)
+    return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
