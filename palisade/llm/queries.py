@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palisade.llm.common import table
 
@@ -39,3 +40,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"), 35)
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and linked secrets of all documents; spans are those of whole matches."""
+    from palisade.llm import secrets
+
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
+    return found.select(
+        "row.doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.concat("base", "linked")).alias("spans"), F.size("linked").cast("long").alias("n_linked"))
