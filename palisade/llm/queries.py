@@ -30,7 +30,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 1024 token ids."""
     from palisade.llm import packing
 
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 1024, 0)
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 1024, 0,
+                        vocabulary("byte_bpe_50k.tiktoken"))
 
 
 @query
@@ -45,11 +46,43 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and linked secrets of all documents; spans are those of whole matches."""
-    from palisade.llm import secrets
+    from palisade.llm import credentials
 
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    found = credentials.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
     return found.select(
         "row.doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
-        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
-        secrets.listed(F.concat("base", "linked")).alias("spans"), F.size("linked").cast("long").alias("n_linked"))
+        F.sha2(credentials.listed(F.col("base")), 256).alias("base_sha256"),
+        credentials.listed(F.concat("base", "linked")).alias("spans"), F.size("linked").cast("long").alias("n_linked"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of all documents and the cascade's verdict."""
+    from palisade.llm import quality
+
+    found = quality.cascade(table(spark, sf_dir, "documents"), figures=True)
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op2_quality_rules"] = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w,
+             generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM t),
+g AS (SELECT r, i, w || ' ' || lead(w) OVER (PARTITION BY r ORDER BY i) || ' ' || lead(w, 2) OVER (PARTITION BY r ORDER BY i) AS g FROM w),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g WHERE g IS NOT NULL) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM d) GROUP BY r),
+f AS (SELECT r, doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words,
+             length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+             length(text) - length(replace(text, '!', '')) AS marks,
+             length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper_,
+             length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS lower_ FROM t),
+m AS (SELECT f.*, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM f LEFT JOIN c USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * marks > 3 * n_words
+            OR upper_ > lower_ OR 2 * n_dup_lines > len(lines) OR word_chars < 2 * n_words OR word_chars > 30 * n_words) AS kept
+FROM m"""
