@@ -139,3 +139,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "row.doc_id", held_out(F.col("row.doc_id"), 5, 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document (its smallest doc_id) and the document's number of links to other texts."""
+    from palisade.llm import near_duplicates
+
+    found = near_duplicates.classes(table(spark, sf_dir, "documents"), 0.8)
+    return found.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
