@@ -148,3 +148,15 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates.classes(table(spark, sf_dir, "documents"), 0.8)
     return found.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
+
+
+@query
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and the texts decoded from them."""
+    from palisade.llm import pieces
+
+    path = vocabulary("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        "row.doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
