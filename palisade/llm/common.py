@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -40,6 +42,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_in_worker(key: tuple, make):
+    """What ``make`` gives, made once per Python worker and key: functions are shipped by value, so globals are not shared."""
+    held = sys.modules.setdefault("palisade_worker", types.ModuleType("palisade_worker")).__dict__
+    if held.get("key", {}).get(key[0]) != key:
+        held.setdefault("key", {})[key[0]] = key
+        held[key[0]] = make()
+    return held[key[0]]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import slices, stage
+from palisade.llm.common import kept_in_worker, slices, stage
 
 #: The characters with Unicode's White_Space property.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -49,7 +49,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.paths, self.tokenizer, self.ranked = (path, ranks), Tokenizer.from_file(path), None
+        self.tokenizer, self.ranked = Tokenizer.from_file(path), None
         self.tokenizer.encode_special_tokens = True
         if ranks:
             import tiktoken
@@ -96,15 +96,9 @@ class Encoder:
         return [b"".join(map(of, units)) for units in split]
 
 
-_encoder: Encoder | None = None
-
-
 def encoder(path: str, ranks: str | None) -> Encoder:
     """The worker's encoder; what it has met stays known for later tasks."""
-    global _encoder
-    if _encoder is None or _encoder.paths != (path, ranks):
-        _encoder = Encoder(path, ranks)
-    return _encoder
+    return kept_in_worker(("encoder", path, ranks), lambda: Encoder(path, ranks))
 
 
 def _cut(tokenizer_path: str, ranks_path: str | None, window: int, end_id: int):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import slices, stage
+from palisade.llm.common import kept_in_worker, slices, stage
 
 SIGN = "▁"
 FAN = 256
@@ -47,7 +47,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.path, self.tree, self.longest = path, {}, 1
+        self.tree, self.longest = {}, 1
         self.bytes_: dict[int, bytes] = {}
         self.byte_id: dict[int, int] = {}
         for k in range(model.vocab_size()):
@@ -143,15 +143,9 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-_pieces: Pieces | None = None
-
-
 def pieces(path: str) -> Pieces:
     """The worker's pieces; units met stay known for later tasks."""
-    global _pieces
-    if _pieces is None or _pieces.path != path:
-        _pieces = Pieces(path)
-    return _pieces
+    return kept_in_worker(("pieces", path), lambda: Pieces(path))
 
 
 def normalised(text: str | None) -> str:

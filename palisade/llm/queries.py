@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import held_out, table
+from palisade.llm.common import held_out, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,15 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "row.doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"),
         F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of all documents; ids whose checksum leaves 2 by 7 are not learned from."""
+    from palisade.llm import language_model
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = docs.filter(~held_out(F.col("doc_id"), 7, 2))
+    counts = stage(language_model.count_words(train), "lm-counts")
+    found = language_model.score(docs, language_model.fit(train, counts), counts)
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
