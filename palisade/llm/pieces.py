@@ -65,8 +65,8 @@ class Pieces:
         self.unknown = model.unk_id()
         self.table = [self.bytes_.get(k, b"") for k in range(model.vocab_size())]
         self.letters = self._letters(self.tree)
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, float]] = {}
+        self.before: dict[str, tuple[bytes, float]] = {}
 
     @staticmethod
     def _letters(tree: dict) -> set[str]:
@@ -122,21 +122,23 @@ class Pieces:
             ids += [node[""][1]] if "" in node else self.single(s[a:b])[1]
         return ids
 
-    def _unit(self, unit: str) -> bytes:
+    def _unit(self, unit: str) -> tuple[bytes, float]:
         made = self.before.get(unit)
         if made is None:
-            _, back = self.paths(unit, 0, len(unit))
-            made = np.asarray(self.trace(unit, back, 0, len(unit)), "<u4").tobytes()
+            best, back = self.paths(unit, 0, len(unit))
+            made = np.asarray(self.trace(unit, back, 0, len(unit)), "<u4").tobytes(), best[-1]
         self.known[unit] = made
         return made
 
-    def encode(self, s: str) -> bytes:
-        """Ids of normalised text that begins and ends with whole units."""
+    def units(self, s: str) -> list[tuple[bytes, float]]:
+        """Ids and best score of each unit of normalised text that begins and ends with whole units."""
+        if len(self.known) > _KEEP:
+            self.before, self.known = self.known, {}
         known = self.known
-        if len(known) > _KEEP:
-            self.before, self.known = known, {}
-            known = self.known
-        return b"".join([known.get(u) or self._unit(u) for u in _UNIT.findall(s)])
+        return [known.get(u) or self._unit(u) for u in _UNIT.findall(s)]
+
+    def encode(self, s: str) -> bytes:
+        return b"".join([ids for ids, _ in self.units(s)])
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -189,9 +191,7 @@ def transfer(model: Pieces, s: str, size: int, states: int, last: bool) -> np.nd
     head = [_NO] * states
     for i in range(min(states, first + 1)):
         head[i] = model.paths(s[:first], i, first)[0][first]
-    middle = 0.0
-    for unit in _UNIT.findall(s[first:border]):
-        middle += model.paths(unit, 0, len(unit))[0][len(unit)]
+    middle = sum(score for _, score in model.units(s[first:border]))
     tail, _ = model.paths(s[border:], 0, size - border)
     out = [middle + tail[size - border + o] if size + o <= len(s) else _NO for o in range(1 if last else states)]
     made[:, : len(out)] = np.add.outer(head, out)
@@ -247,22 +247,22 @@ def _content(text: str) -> bytes:
     return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
-def _whole(path: str, chunk: int):
+def _whole(path: str):
     def run(batches):
         model = pieces(path)
         for batch in (part for all_ in batches for part in slices(all_, "text")):
-            ids, contents = [], []
-            for text in batch.column(1).to_pylist():
-                s = normalised(text)
-                giant = len(s) > chunk
-                ids.append(None if giant else model.encode(s))
-                contents.append(_content(text) if giant else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary()), pa.array(ids, pa.binary())],
-                                             ["row", "content", "ids"])
+            ids = [model.encode(normalised(text)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["row", "ids"])
 
     return run
 
 
+def _named(batches):
+    for batch in (part for all_ in batches for part in slices(all_, "text")):
+        contents = [_content(text) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], ["row", "content"])
+
+
 def _chunks(path: str, chunk: int):
     schema = pa.schema([("content", pa.binary()), ("k", pa.int32()), ("last", pa.bool_()), ("size", pa.int32()), ("text", pa.string())])
 
@@ -335,7 +335,7 @@ def _joined(frame: pd.DataFrame) -> pd.DataFrame:
 def encode_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     """content, ids of the distinct texts of more than ``chunk`` code points."""
     rows = texts.mapInArrow(_chunks(path, chunk), "content binary, k int, last boolean, size int, text string")
-    rows = stage(rows.repartition(F.xxhash64("content", "k")).dropDuplicates(["content", "k"]), "piece-chunks")
+    rows = stage(rows.dropDuplicates(["content", "k"]), "piece-chunks")
     matrices = stage(rows.mapInPandas(_transfers(path), "content binary, k int, matrix binary"), "piece-matrices")
     blocks = (matrices.withColumn("block", F.floor(F.col("k") / FAN)).groupBy("content", "block")
               .applyInPandas(_block_product, "content binary, k int, matrix binary"))
@@ -346,15 +346,17 @@ def encode_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     return traced.groupBy("content").applyInPandas(_joined, "content binary, ids binary")
 
 
-def encode(docs: DataFrame, path: str, chunk: int = 16_384) -> DataFrame:
+def encode(docs: DataFrame, path: str, chunk: int = 65_536) -> DataFrame:
     """row (the other columns) and ids (little-endian 32-bit numbers) of every row."""
     others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
     rows = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(_whole(path, chunk), f"row {rows.schema['row'].dataType.simpleString()}, content binary, ids binary")
-    made = stage(made, "pieces")
-    giants = encode_giants(rows.select("text").filter(F.length("text") >= chunk), path, chunk).withColumnRenamed("ids", "found")
-    return (made.filter("content is null").select("row", "ids")
-            .unionByName(made.filter("content is not null").drop("ids").join(giants, "content").select("row", F.col("found").alias("ids"))))
+    kind = f"row {rows.schema['row'].dataType.simpleString()}"
+    giant = F.coalesce(F.length("text"), F.lit(0)) >= chunk  # the sign before the first word makes one more
+    whole = rows.filter(~giant).mapInArrow(_whole(path), f"{kind}, ids binary")
+    large = rows.filter(giant)
+    found = encode_giants(large.select("text"), path, chunk)
+    named = large.mapInArrow(_named, f"{kind}, content binary")
+    return whole.unionByName(named.join(found, "content").select("row", "ids"))
 
 
 def _decoded(path: str):
