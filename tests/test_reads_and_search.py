@@ -8,17 +8,17 @@ from palisade.operators import artifacts, evaluate, postings, reads, search
 from palisade.schemas import Graph
 
 CASES = [
-    ("Sandworm Team", {}, "actor", "Sandworm Team"),
-    ("Voodoo Bear", {}, "alias", "Voodoo Bear"),
-    ("Northern Gale Campaign", {"entity_types": {"campaign"}}, "campaign", "Northern Gale Campaign"),
-    ("PowerShell Scripting", {"entity_types": {"behavior"}}, "behavior", "PowerShell Scripting"),
-    ("T1059.001", {}, "technique", "PowerShell"),
-    ("credential phishing", {"entity_types": {"observation"}}, "observation", "Credential phishing activity"),
-    ('"credential harvesting operation"', {}, "observation", "Credential phishing activity"),
-    ("blackenergy archive", {"entity_types": {"source"}}, "source", "Alpha Intelligence"),
-    ("campaign", {"entity_types": {"campaign"}, "source_id": "s2"}, "campaign", "Northern Gale Campaign"),
-    ("credential risk", {"intelligence_type": "assessed"}, "observation", "Credential risk assessment"),
-    ("credential", {"entity_types": {"observation"}, "date_from": datetime(2026, 2, 1)}, "observation", "Credential risk assessment"),
+    ("Copper Lantern", {}, "actor", "Copper Lantern"),
+    ("Amber Heron", {}, "alias", "Amber Heron"),
+    ("Salt Marsh Campaign", {"entity_types": {"campaign"}}, "campaign", "Salt Marsh Campaign"),
+    ("Macro Dropper", {"entity_types": {"behavior"}}, "behavior", "Macro Dropper"),
+    ("T1137.006", {}, "technique", "Macro Loading"),
+    ("invoice wave", {"entity_types": {"observation"}}, "observation", "Invoice fraud wave"),
+    ('"forged invoice round"', {}, "observation", "Invoice fraud wave"),
+    ("tidewater shelf", {"entity_types": {"source"}}, "source", "Orchard Lab"),
+    ("campaign", {"entity_types": {"campaign"}, "source_id": "s2"}, "campaign", "Salt Marsh Campaign"),
+    ("invoice outlook", {"intelligence_type": "assessed"}, "observation", "Invoice fraud outlook"),
+    ("invoice", {"entity_types": {"observation"}, "date_from": datetime(2025, 7, 4)}, "observation", "Invoice fraud outlook"),
 ]
 
 
@@ -29,12 +29,12 @@ def test_expected_hit_is_first(spark, query, filters, kind, title):
     hits = search.search(search_graph(spark), asked, **filters)
     verdict = evaluate.first_hit(cases, hits).first()
     assert verdict.passed, verdict
-    if query in ("Sandworm Team", "Voodoo Bear", "T1059.001"):
+    if query in ("Copper Lantern", "Amber Heron", "T1137.006"):
         assert verdict.score >= 100
 
 
 def test_internal_rows_stay_hidden(spark):
-    asked = spark.createDataFrame([("a", "Secret Team"), ("b", "Hidden Bear"), ("c", "Secret Bear"), ("d", "Credential secret"), ("e", "Hidden Feed")], "query_id string, query string")
+    asked = spark.createDataFrame([("a", "Quiet Lantern"), ("b", "Buried Heron"), ("c", "Quiet Heron"), ("d", "Invoice draft"), ("e", "Cellar Feed")], "query_id string, query string")
     assert search.search(search_graph(spark), asked).count() == 0
 
 
@@ -90,8 +90,8 @@ def test_actor_search_takes_five_aliases_before_removing_repeats(spark):
 def test_artifacts_validate_and_search(spark):
     import json
 
-    good = {"type": "attack-pattern", "spec_version": "2.1", "id": "attack-pattern--aaaaaaaa-aaaa-4aaa-8aaa-aaaaaaaaaaaa", "created": "x", "modified": "x",
-            "name": "PowerShell", "x_mitre_version": "1.4", "external_references": [{"source_name": "mitre-attack", "external_id": "T1059.001"}]}
+    good = {"type": "attack-pattern", "spec_version": "2.1", "id": "attack-pattern--1d9be2f4-77c3-4a58-8b16-0e4f2c9a6d35", "created": "x", "modified": "x",
+            "name": "Macro Loading", "x_mitre_version": "1.4", "external_references": [{"source_name": "mitre-attack", "external_id": "T1137.006"}]}
     inner = {**good, "name": None}
     cases = [("stix", good, "valid"), ("attack_technique", good, "valid"), ("stix", {**good, "spec_version": "2.0"}, "invalid"),
              ("attack_technique", {**good, "external_references": []}, "invalid"), ("stix", {"type": "bundle", "id": "bundle--" + "a" * 36, "objects": [good]}, "valid"),
@@ -99,5 +99,5 @@ def test_artifacts_validate_and_search(spark):
     df = spark.createDataFrame([(i, "s", t, json.dumps(c)) for i, (t, c, _) in enumerate(cases)], "submission_id long, source_id string, artifact_type string, content string")
     got = artifacts.intake(df).orderBy("submission_id").collect()
     assert [r.validation_status for r in got] == [w for _, _, w in cases]
-    assert (got[1].canonical_id, got[1].version, got[0].version) == ("T1059.001", "1.4", "2.1")
+    assert (got[1].canonical_id, got[1].version, got[0].version) == ("T1137.006", "1.4", "2.1")
     assert got[4].derived_metadata == {"stix_type": "bundle", "object_count": "1"} and got[2].canonical_id.startswith("invalid:")

@@ -15,7 +15,7 @@ from palisade.streaming import jobs as streams
 
 def test_budget_equals_a_greedy_loop(spark):
     rng = random.Random(4)
-    at = datetime(2026, 1, 1)
+    at = datetime(2025, 4, 2)
     rows = [(f"q{q}", f"e{i:02d}", i + 1, "src", "c" * rng.randrange(1, 60), at, "observed", "x" * rng.choice([0, 3, rng.randrange(400)]), i / 100)
             for q in range(40) for i in range(rng.randrange(1, 12))]
     df = spark.createDataFrame(rows, "question_id string, evidence_id string, position int, source_name string, citation string, observed_at timestamp, intelligence_type string, excerpt string, distance double")
@@ -35,7 +35,7 @@ def test_budget_equals_a_greedy_loop(spark):
 
 
 def test_retrieval_isolates_actors_and_dates(spark):
-    day = datetime(2026, 1, 1)
+    day = datetime(2025, 4, 2)
     cand = spark.createDataFrame(
         [("alpha", "m", 3, [0.0, 1.0, 0.0], day, "e1"), ("alpha", "m", 3, [1.0, 0.0, 0.0], day + timedelta(50), "e2"), ("beta", "m", 3, [1.0, 0.0, 0.0], day, "e3"), ("alpha", "other", 3, [1.0, 0.0, 0.0], day, "e4")],
         "actor_id string, embedding_model string, dimensions int, embedding array<float>, observed_at timestamp, evidence_id string")
@@ -63,10 +63,10 @@ def test_export_is_complete_and_repeatable(spark):
     assert ids == [o["id"] for o in sorted(body["objects"], key=lambda o: (o["type"], o["id"]))]
     assert body["id"] == "bundle--" + str(uuid.uuid5(me.namespace, f"bundle:actor:a1:{','.join(ids)}"))
     by_type = {o["type"]: o for o in body["objects"] if o["type"] != "relationship"}
-    assert by_type["intrusion-set"]["aliases"] == ["Hidden Bear", "Voodoo Bear"] and "url" not in by_type["campaign"]["external_references"][0]
+    assert by_type["intrusion-set"]["aliases"] == ["Buried Heron", "Amber Heron"] and "url" not in by_type["campaign"]["external_references"][0]
     link = next(o for o in body["objects"] if o.get("relationship_type") == "attributed-to")
     assert (link["start_time"], link["stop_time"], link["confidence"]) == ("2026-02-02T00:00:00.000Z", "2026-03-04T00:00:00.000Z", 70)
-    assert {"description": "Report 1 — phishing kit", "source_name": "Beta Research", "url": "https://beta.example.org/1"} in link["external_references"]
+    assert {"description": "Round of March — scanned letter", "source_name": "Mill Street Desk", "url": "https://millstreet.example.org/round"} in link["external_references"]
     again = stix_export.bundles(stix_export.export_objects(search_graph(spark), me), me).filter("actor_id = 'a1'").first()
     assert again.content == bundle.content
 
@@ -107,7 +107,7 @@ def test_each_bad_row_breaks_exactly_its_rule(spark):
 
 
 def test_queue_arithmetic(spark):
-    now = datetime(2026, 1, 1)
+    now = datetime(2025, 4, 2)
     df = spark.createDataFrame([("queued", now, now), ("queued", now + timedelta(1), now), ("processing", None, now)], "state string, next_attempt_at timestamp, created_at timestamp")
     row = jobs.queue_metrics(df, now, 2).first()
     assert (row.queued, row.due, row.processing, row.active, row.available) == (2, 1, 1, 3, 0)
@@ -139,7 +139,7 @@ def monitor_by_hand(events):
 
 def test_job_monitor_over_several_batches(spark, tmp_path):
     rng = random.Random(2)
-    start = datetime(2026, 1, 1)
+    start = datetime(2025, 4, 2)
     events = [(f"j{rng.randrange(6)}", s, start + timedelta(seconds=70 * s), rng.choice(["claim", "claim", "fail", "succeed"]), f"t{rng.randrange(2)}", rng.random() < 0.7, 4) for s in range(120)]
     schema = "job_id string, seq long, at timestamp, kind string, lease_token string, retryable boolean, max_attempts int"
     for i in range(3):
