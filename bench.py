@@ -48,7 +48,7 @@ def pipeline_rates(spark) -> dict:
     staged = bundles.withColumn("bundle_seq", F.xxhash64("raw_evidence_id") % 1000000)
     raw = bundles.select(F.col("raw_evidence_id").alias("id"), "source_id")
     objects = split_objects(check_envelope(staged), ["raw_evidence_id", "source_id", "bundle_seq"])
-    seconds = timed(lambda: run(normalize.normalize_batch(objects, raw, stage=False).outcomes))
+    seconds = timed(lambda: run(normalize.normalize_batch(objects, raw).outcomes))
     actors = generated.graph(spark, 1000).actors
     hashes = F.translate(F.sha2(F.col("id").cast("string"), 256), "0123456789", "ghijklmnop")
     labels = spark.range(20000).select(

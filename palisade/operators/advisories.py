@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.operators.scale import capped_children, numbered, top_n
@@ -49,9 +49,12 @@ def detail(graph: Graph, advisory_ids: DataFrame | None = None, updates: int = D
         rows = rows.join(advisory_ids, "advisory_id", "left_semi")
     head = rows.select("advisory_id", "slug", "version", F.col("id").alias("revision_id"), "title", "summary")
     ids = head.select("advisory_id")
-    sections = capped_children(
-        graph.advisory_sections, ["revision_id"], (("position", True),), 100,
-        ["section_type", "position", "intelligence_type", "content"], "sections",
+    ordered = F.array_sort(F.collect_list(F.struct(
+        F.col("position").alias("at"),
+        F.struct("section_type", "position", "intelligence_type", "content").alias("section"),
+    )))
+    sections = graph.advisory_sections.groupBy("revision_id").agg(
+        F.transform(ordered, lambda x: x.getField("section")).alias("sections")
     )
     recent = capped_children(
         graph.advisory_updates.join(ids, "advisory_id", "left_semi"),
@@ -63,21 +66,24 @@ def detail(graph: Graph, advisory_ids: DataFrame | None = None, updates: int = D
 
 def recent_updates(updates: DataFrame, limit: int = DETAIL_UPDATES) -> DataFrame:
     """Newest updates per advisory, numbered oldest first."""
-    newest = top_n(updates, ["advisory_id"], (("sequence", False),), limit, "from_end")
-    return top_n(newest, ["advisory_id"], (("sequence", True),), limit, "position").drop("from_end")
+    newest = top_n(updates, ["advisory_id"], (("sequence", False),), limit, "_from_end")
+    shown = F.count(F.lit(1)).over(Window.partitionBy("advisory_id"))
+    return newest.withColumn("position", (shown - F.col("_from_end") + 1).cast("int")).drop("_from_end")
 
 
-def update_feed(updates: DataFrame, advisory_id: str, after_sequence: int, limit: int) -> DataFrame:
-    rows = updates.filter((F.col("advisory_id") == advisory_id) & (F.col("sequence") > after_sequence))
-    return rows.orderBy("sequence").limit(limit)
+def update_feed(graph: Graph, advisory_id: str, after_sequence: int, limit: int) -> DataFrame:
+    """Updates of a published advisory after a sequence number; a draft's feed is empty."""
+    live = graph.advisories.filter(
+        (F.col("status") == "published") & (F.col("id") == advisory_id)
+    ).select(F.col("id").alias("advisory_id"))
+    rows = graph.advisory_updates.join(live, "advisory_id", "left_semi")
+    return rows.filter(F.col("sequence") > after_sequence).orderBy("sequence").limit(limit)
 
 
-def next_numbers(
-    batch: DataFrame, stored: DataFrame, key: str, number: str, order: str, rows_per_task: int = 2_000_000
-) -> DataFrame:
+def next_numbers(batch: DataFrame, stored: DataFrame, key: str, number: str, order: str) -> DataFrame:
     """Append numbers: the stored maximum of the key plus the position within the batch."""
     held = stored.groupBy(key).agg(F.max(number).alias("_held"))
-    placed = numbered(batch, ((order, True),), [key], "_n", rows_per_task)
+    placed = numbered(batch, ((order, True),), [key], "_n")
     return placed.join(held, key, "left").withColumn(
         number, (F.coalesce("_held", F.lit(0)) + F.col("_n")).cast("bigint")
     ).drop("_held", "_n")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.jsonx import Members, fields, kinds, merge_right, strict_json, variant_kind
-from palisade.functions.text import TECHNIQUE_ID
+from palisade.functions.text import TECHNIQUE_ID, clean_query
 from palisade.operators import postings as P
 from palisade.operators.intake import first_per_key
 from palisade.sources.stix_bundle import OBJECT_ID
@@ -43,7 +43,7 @@ REQUIRED = {
 TECHNIQUE_SOURCES = ("mitre-attack", "mitre-mobile-attack")
 MAX_ID, MAX_TITLE, MAX_VERSION, MAX_ERROR = 512, 500, 100, 500
 INVALID_TITLES = {
-    "stix": "Invalid STIX 2.1 artifact",
+    "stix_2_1": "Invalid STIX 2.1 artifact",
     "attack_technique": "Invalid ATT&CK technique reference",
     "sigma": "Invalid Sigma rule",
 }
@@ -135,7 +135,7 @@ def validate(artifacts: DataFrame, rule_error: Column | None = None) -> DataFram
                F.lit("ATT&CK technique requires a valid MITRE technique ID.")),
         F.when(F.coalesce(F.trim(name), F.lit("")) == "", F.lit("ATT&CK technique requires a name.")),
     )
-    is_stix, is_attack = F.col("artifact_type") == "stix", F.col("artifact_type") == "attack_technique"
+    is_stix, is_attack = F.col("artifact_type") == "stix_2_1", F.col("artifact_type") == "attack_technique"
     error = F.when(is_stix, stix_error).when(is_attack, attack_error)
     if rule_error is not None:
         error = error.otherwise(rule_error)
@@ -199,5 +199,6 @@ def search(artifacts: DataFrame, queries: DataFrame | None = None, posted: DataF
         return rows.orderBy(F.col("created_at").desc(), "id").limit(limit)
     if posted is None:
         posted = P.postings(P.artifact_documents(rows), stemmed, stop_words)
+    queries = queries.select("query_id", clean_query(F.col("query")).alias("query")).filter(F.col("query").isNotNull())
     hits = P.match(P.query_terms(queries, stemmed, stop_words), posted).select("query_id", "id").distinct()
     return top_n(rows.join(hits, "id"), ["query_id"], (("created_at", False), ("id", True)), limit, "position")

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from palisade.functions.jsonx import Members, fields, kinds, payload_sha256, struct_sha256, variant_kind
 from palisade.functions.text import bounded_reason, strip
 from palisade.functions.times import offset_timestamp
-from palisade.operators.scale import running_before
-from palisade.session import materialize
+from palisade.operators.scale import numbered, running_before
 
 # --- fixed values: reasons written to the ledger --------------------------------------------
 UNSUPPORTED = "unsupported object type: "
@@ -30,12 +29,8 @@ SPEC_VERSION = "2.1"
 LISTED_FIELDS = 8
 # ------------------------------------------------------------------------------------------
 
-SEQ_STRIDE = 1 << 20  # objects per bundle that a sequence number has room for
-
-
-def record_sequence(bundle_seq: Column, object_index: Column) -> Column:
-    """Total arrival order: bundle by bundle, then by position in the bundle."""
-    return bundle_seq.cast("bigint") * F.lit(SEQ_STRIDE) + object_index.cast("bigint")
+#: Total arrival order: bundle by bundle, then by position in the bundle.
+ARRIVAL = (("bundle_seq", True), ("raw_evidence_id", True), ("object_index", True))
 
 
 def _optional_text(p: Members, name: str, limit: int | None = None) -> Column:
@@ -217,20 +212,25 @@ def version_fold(
 
     The held row is always the earliest arrival at the greatest time seen so far: a tie is either a
     repeat (kept) or a conflict (rejected) and never replaces it. So the held row is a running
-    maximum of (time, -seq), which is computed over bounded chunks; a stored row enters at seq -1.
+    maximum of (time, stored, -seq), which is computed over bounded chunks; a stored row came before
+    all others and is joined once per key.
     """
-    order = F.struct(
-        F.col(observed_at).alias("at"), (-F.col(seq)).alias("nseq"), F.col(fingerprint).alias("fp")
+    def held(is_stored: bool, nseq: Column) -> Column:
+        return F.struct(F.col(observed_at).alias("at"), F.lit(is_stored).alias("stored"),
+                        nseq.alias("nseq"), F.col(fingerprint).alias("fp"))
+
+    run = running_before(
+        records, keys, seq, {"_held": ("max", held(False, -F.col(seq).cast("bigint")))}, span, levels
     )
-    rows = records.withColumn("_stored", F.lit(False))
     if stored is not None:
-        touched = records.select(*keys).distinct()
-        held = stored.join(touched, keys, "left_semi").select(
-            *keys, F.lit(-1).cast("bigint").alias(seq), F.col(observed_at), F.col(fingerprint),
-            F.lit(True).alias("_stored"),
+        first = stored.select(*[F.col(k).alias(f"_s_{k}") for k in keys],
+                              held(True, F.lit(0).cast("bigint")).alias("_first"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"_s_{k}"))
+        run = run.join(first, same, "left").withColumn("_held", F.greatest("_held", "_first")).drop(
+            "_first", *[f"_s_{k}" for k in keys]
         )
-        rows = rows.unionByName(held, allowMissingColumns=True)
-    run = running_before(rows, keys, seq, {"_held": ("max", order)}, span, levels)
     at, fp = F.col(observed_at), F.col(fingerprint)
     action = (
         F.when(F.col("_held").isNull(), F.lit("create"))
@@ -245,9 +245,8 @@ def version_fold(
         .when(at == F.col("_held.at"), F.lit(SAME_TIME_CONFLICT))
     )
     return (
-        run.filter(~F.col("_stored"))
-        .withColumns({"action": action, "reason": reason})
-        .drop("_held", "_stored")
+        run.withColumns({"action": action, "reason": reason})
+        .drop("_held")
     )
 
 
@@ -347,23 +346,18 @@ def normalize_batch(
     raw_evidence: DataFrame,
     stored: DataFrame | None = None,
     previous_ledger: DataFrame | None = None,
-    stage: bool = True,
 ) -> NormalizationResult:
     """Run all five stages over split bundle objects.
 
     ``objects``: raw_evidence_id, source_id, bundle_seq, object_index, object_id, object_type, payload,
-    object_error. ``stage`` writes the parsed records once, since three outputs read them.
+    object_error. Parsed records are numbered in order of arrival and thereby written once; three outputs read them.
     """
     sound = objects.filter(F.col("object_error").isNull())
     parsed = parse_intrusion_sets(sound)
-    shaped = check_raw_provenance(to_observations(parsed), raw_evidence).withColumns(
-        {
-            "seq": record_sequence(F.col("bundle_seq"), F.col("object_index")),
-            "payload_sha256": payload_sha256(F.col("payload")),
-        }
+    shaped = check_raw_provenance(to_observations(parsed), raw_evidence).withColumn(
+        "payload_sha256", payload_sha256(F.col("payload"))
     ).drop("payload")
-    if stage:
-        shaped = materialize(shaped, "normalized")
+    shaped = numbered(shaped, ARRIVAL, number="seq")
     early = F.coalesce("parse_reason", "provenance_reason")
     stopped = shaped.filter(early.isNotNull()).withColumns(
         {

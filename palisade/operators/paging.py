@@ -54,10 +54,9 @@ def paginate_all(
     order: Order,
     page_size: int,
     group: Sequence[str] = (),
-    rows_per_task: int = 2_000_000,
 ) -> DataFrame:
     """Page number and position of every row in one pass, per group or over the table."""
-    rows = numbered(df, order, group, "_n", rows_per_task)
+    rows = numbered(df, order, group, "_n")
     at = F.col("_n") - 1
     return rows.select(
         *df.columns,
@@ -69,7 +68,7 @@ def paginate_all(
 def late_top_k(keys: DataFrame, details: DataFrame, id_col: str, order: Order, k: int) -> DataFrame:
     """Rank on narrow key rows, then fetch the wide columns of the ``k`` winners only."""
     winners = keys.orderBy(*order_columns(order)).limit(k)
-    return details.join(F.broadcast(winners), id_col)
+    return details.join(winners, id_col)
 
 
 def scope_hash(filters: dict) -> str:

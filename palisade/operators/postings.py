@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.operators.scale import sized_broadcast
 from palisade.schemas import Graph
 
 # --- fixed values: field weights and English stop words -------------------------------------
@@ -150,11 +149,11 @@ def candidates(terms: DataFrame, posted: DataFrame) -> DataFrame:
     Postings are cut down to the words asked for, placed by document once, and folded to one row per
     (document, word) with its positions packed as integers before queries multiply them; every later
     grouping reuses that placement. Word order is not looked at yet, so that positions are only
-    unpacked for documents that have all the words. The terms of a query table are few and are
-    broadcast after a size check.
+    unpacked for documents that have all the words. Whether the terms are broadcast is left to the
+    sizes that Spark sees.
     """
-    asked = sized_broadcast(terms)
-    words = sized_broadcast(terms.select("term").distinct())
+    asked = terms
+    words = terms.select("term").distinct()
     need = terms.filter(~F.col("negated")).groupBy("query_id", "alt").agg(F.count(F.lit(1)).alias("need"))
     packed = F.col("pos") * 4 + F.array_position(F.array(*[F.lit(w) for w in WEIGHTS]), F.col("weight")) - 1
     placed = posted.join(words, "term", "left_semi").select(
@@ -168,7 +167,7 @@ def candidates(terms: DataFrame, posted: DataFrame) -> DataFrame:
             F.count_if(~F.col("negated")).alias("have"),
             F.collect_list(F.struct("clause", "negated", "size", "offset", "list")).alias("parts"),
         )
-        .join(sized_broadcast(need), ["query_id", "alt"])
+        .join(need, ["query_id", "alt"])
         .filter(F.col("have") == F.col("need"))
         .drop("have", "need")
     )
@@ -186,7 +185,7 @@ def clause_matches(found: DataFrame) -> DataFrame:
         return F.struct(
             F.shiftright(at, 2).alias("pos"),
             F.get(names, F.pmod(at, F.lit(4))).alias("weight"),
-            (part.getField("clause") * 1000 + part.getField("offset")).alias("slot"),
+            (F.shiftleft(part.getField("clause").cast("bigint"), 32) + part.getField("offset")).alias("slot"),
         )
 
     starts = F.when(
@@ -234,7 +233,7 @@ def match(terms: DataFrame, posted: DataFrame) -> DataFrame:
         )
         .filter(~F.col("excluded"))
     )
-    joined = found.join(sized_broadcast(need), ["query_id", "alt"])
+    joined = found.join(need, ["query_id", "alt"])
     return joined.filter(F.col("have") == F.col("need")).drop("have", "need", "excluded")
 
 

@@ -6,7 +6,7 @@ it by semi-join. Caps are applied with ranked windows before anything is collect
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.text import normalize_name
@@ -209,38 +209,43 @@ def references(
     return out.select("actor_id", "kind", "position", "id", "label", "truncated")
 
 
-def actor_search(graph: Graph, queries: DataFrame, hits: int = SEARCH_HITS,
-                 names: int = MATCHED_NAMES) -> DataFrame:
-    """Substring search on canonical names and public aliases for a small table of queries.
+def _substrings(text: Column, width: int) -> Column:
+    """Distinct substrings of one width."""
+    places = F.sequence(F.lit(1), F.length(text) - (width - 1))
+    return F.when(
+        F.length(text) >= width, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, width)))
+    ).otherwise(F.array().cast("array<string>"))
+
 
-    ``queries`` has (query_id, query) and comes from requests, so it is tiny next to the names: it
-    is checked for size and broadcast, and names are tested in one pass over each table. Rank 0
-    canonical equal, 1 alias equal, 2 canonical contains, 3 alias contains. Matched names: the first
-    five aliases by (normalized, id), repeats removed after that cut, canonical name put first, five
-    kept.
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text) of all distinct texts that contain a needle: an equi join on three-letter substrings.
+
+    A needle is looked up by its three letters that the fewest texts hold, a shorter one by itself; ``contains`` decides.
     """
-    wanted = queries.select("query_id", normalize_name(F.col("query")).alias("needle")).filter(
-        F.col("needle").isNotNull()
+    needles, texts = needles.select("needle").distinct(), texts.select("text").distinct()
+    grams = texts.select("text", F.explode(F.concat(*[_substrings(F.col("text"), w) for w in (1, 2, 3)])).alias("gram"))
+    width = F.least(F.length("needle"), F.lit(3))
+    asked = needles.select("needle", F.explode(F.when(F.length("needle") >= 3, _substrings(F.col("needle"), 3))
+                                               .otherwise(F.array(F.substring(F.col("needle"), F.lit(1), width)))).alias("gram"))
+    found = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
+    held = found.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = asked.join(held, "gram", "left").groupBy("needle").agg(
+        F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), F.col("gram"))).alias("gram")
     )
-    terms = [(r["query_id"], r["needle"]) for r in wanted.limit(1001).collect()]
-    if len(terms) > 1000:
-        raise ValueError("actor_search takes at most 1,000 queries per call; split the table")
-    spark = graph.actors.sparkSession
-    if not terms:
-        terms_column = F.expr("cast(array() as array<struct<query_id:string,needle:string>>)")
-    else:
-        terms_column = F.array(
-            *[
-                F.struct(F.lit(str(q)).alias("query_id"), F.lit(n).alias("needle"))
-                for q, n in terms
-            ]
-        )
+    return found.join(rarest, "gram").filter(F.contains(F.col("text"), F.col("needle"))).select("needle", "text")
 
-    def matching(name_col: str):
-        return F.explode(
-            F.filter(terms_column, lambda t: F.contains(F.col(name_col), t.getField("needle")))
-        )
 
+def actor_search(graph: Graph, queries: DataFrame, hits: int = SEARCH_HITS,
+                 names: int = MATCHED_NAMES) -> DataFrame:
+    """Substring search on canonical names and public aliases for a table of queries of any size.
+
+    ``queries`` has (query_id, query). Rank 0 canonical equal, 1 alias equal, 2 canonical contains, 3 alias
+    contains. Matched names: the first five aliases by (normalized, id), repeats removed after that cut,
+    canonical name put first, five kept.
+    """
+    needles = queries.select(
+        F.col("query_id").cast("string").alias("query_id"), normalize_name(F.col("query")).alias("needle")
+    ).filter(F.col("needle").isNotNull())
     actors = own_published(graph.actors).select(
         F.col("id").alias("actor_id"), "canonical_name", "normalized_name", "description"
     )
@@ -248,16 +253,18 @@ def actor_search(graph: Graph, queries: DataFrame, hits: int = SEARCH_HITS,
         graph.aliases.filter(F.col("actor_id").isNotNull()), graph.sources, graph.actors
     ).select("actor_id", F.col("id").alias("alias_id"), "name",
              F.col("normalized_name").alias("alias_norm"))
-    by_actor = actors.select("actor_id", "normalized_name", matching("normalized_name").alias("t"))
-    canonical = by_actor.select(
-        "t.query_id", "actor_id",
-        F.when(F.col("normalized_name") == F.col("t.needle"), 0).otherwise(2).alias("match_rank"),
+    texts = actors.select(F.col("normalized_name").alias("text")).unionByName(
+        alias_rows.select(F.col("alias_norm").alias("text"))
+    )
+    met = containing(needles, texts).join(needles, "needle").select("query_id", "needle", "text")
+    canonical = actors.join(met, F.col("normalized_name") == F.col("text")).select(
+        "query_id", "actor_id",
+        F.when(F.col("normalized_name") == F.col("needle"), 0).otherwise(2).alias("match_rank"),
     )
-    by_alias = alias_rows.select("actor_id", "alias_id", "name", "alias_norm",
-                                 matching("alias_norm").alias("t"))
+    by_alias = alias_rows.join(met, F.col("alias_norm") == F.col("text"))
     through = by_alias.select(
-        "t.query_id", "actor_id",
-        F.when(F.col("alias_norm") == F.col("t.needle"), 1).otherwise(3).alias("match_rank"),
+        "query_id", "actor_id",
+        F.when(F.col("alias_norm") == F.col("needle"), 1).otherwise(3).alias("match_rank"),
     )
     best = (
         canonical.unionByName(through)
@@ -268,8 +275,7 @@ def actor_search(graph: Graph, queries: DataFrame, hits: int = SEARCH_HITS,
     order = (("match_rank", True), ("normalized_name", True), ("actor_id", True))
     top = top_n(best, ["query_id"], order, hits, "position")
     first = top_n(
-        by_alias.select(F.col("t.query_id").alias("query_id"), "actor_id", "alias_id", "name",
-                        "alias_norm"),
+        by_alias.select("query_id", "actor_id", "alias_id", "name", "alias_norm"),
         ["query_id", "actor_id"], (("alias_norm", True), ("alias_id", True)), names, "_r",
     )
     listed = first.groupBy("query_id", "actor_id").agg(
@@ -279,10 +285,7 @@ def actor_search(graph: Graph, queries: DataFrame, hits: int = SEARCH_HITS,
             )
         ).alias("alias_names")
     )
-    needles = spark.createDataFrame([(str(q), n) for q, n in terms], "query_id string, needle string")
-    joined = top.join(listed, ["query_id", "actor_id"], "left").join(
-        F.broadcast(needles), "query_id"
-    )
+    joined = top.join(listed, ["query_id", "actor_id"], "left").join(needles, "query_id")
     alias_names = F.coalesce("alias_names", F.array().cast("array<string>"))
     own = F.contains(F.col("normalized_name"), F.col("needle")) & ~F.array_contains(
         alias_names, F.col("canonical_name")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import classify_intent, collapse, has_control, strip, token_estimate
 from palisade.functions.vectors import cosine_distance, norm, vector_problem
-from palisade.operators.scale import Order, sized_broadcast, top_n
+from palisade.operators.scale import Order, top_n
 from palisade.schemas import Graph
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -76,12 +76,12 @@ def nearest(
 
     ``questions``: question_id, actor_id, embedding_model, dimensions, vector, date_from, date_to.
     ``candidates``: actor_id, embedding_model, dimensions, embedding, observed_at, evidence_id, ...
-    An equi join: each candidate meets only the questions about its actor. Questions are requests,
-    so they are broadcast when a count shows they are few; otherwise AQE splits a hot actor.
+    An equi join: each candidate meets only the questions about its actor. Questions are
+    broadcast if Spark sees that they are few; otherwise AQE splits a hot actor.
     """
     asked = questions.withColumn("_qnorm", norm(F.col("vector")))
     near = candidates.withColumn("_norm", norm(F.col("embedding"))).join(
-        sized_broadcast(asked), ["actor_id", "embedding_model", "dimensions"]
+        asked, ["actor_id", "embedding_model", "dimensions"]
     )
     dated = near.filter(
         (F.col("date_from").isNull() | (F.col("observed_at") >= F.col("date_from")))

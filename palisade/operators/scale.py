@@ -20,18 +20,11 @@ def order_columns(order: Order) -> list[Column]:
     return [F.col(name).asc() if asc else F.col(name).desc() for name, asc in order]
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only when a bounded count shows the side is small; else left to AQE."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def top_n(df: DataFrame, by: Sequence[str], order: Order, n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per group.
 
-    Up to the optimizer's threshold (1,000 by default) ``rank <= n`` plans a WindowGroupLimit before
-    the shuffle, so a hot group sends at most ``n`` rows per input task.
+    ``rank <= n`` plans a WindowGroupLimit before the shuffle (``configure`` lifts the optimizer's
+    bound on n), so a hot group sends at most ``n`` rows per input task.
     """
     window = Window.partitionBy(*by).orderBy(*order_columns(order))
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
@@ -139,30 +132,16 @@ def running_before(
 
 
 def numbered(
-    df: DataFrame,
-    order: Order,
-    group: Sequence[str] = (),
-    number: str = "row_number",
-    rows_per_task: int = 2_000_000,
-    max_parts: int = 20_000,
+    df: DataFrame, order: Order, group: Sequence[str] = (), number: str = "row_number"
 ) -> DataFrame:
     """Exact 1-based row number, per group or over the whole table, without a single-task sort.
 
     The rows are range-partitioned on the full order (so one hot leading value is split as well),
     written once so that the ranges stay fixed, numbered inside each range, and shifted by the
-    sizes of the earlier ranges. Tables below ``rows_per_task`` rows take one plain window.
+    sizes of the earlier ranges. There are as many ranges as shuffle partitions.
     """
-    rows = df.limit(rows_per_task + 1).count()
-    if rows <= rows_per_task:
-        window = Window.partitionBy(*group).orderBy(*order_columns(order))
-        return df.withColumn(number, F.row_number().over(window))
-    df = materialize(df, "numbered")
-    total = df.count()
-    parts = max(2, min(max_parts, -(-total // rows_per_task)))
     staged = materialize(
-        df.repartitionByRange(parts, *order_columns(order)).withColumn(
-            "_part", F.spark_partition_id()
-        ),
+        df.repartitionByRange(*order_columns(order)).withColumn("_part", F.spark_partition_id()),
         "ranges",
     )
     part_keys = [*group, "_part"]
@@ -192,7 +171,6 @@ def nearest_rank(
     group: Sequence[str],
     value: str,
     fractions: dict[str, float],
-    rows_per_task: int = 2_000_000,
 ) -> DataFrame:
     """Nearest-rank percentiles: the value at position ``ceil(fraction * n)`` of each group.
 
@@ -201,8 +179,7 @@ def nearest_rank(
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    ordered = numbered(counted, [(value, True), *[(g, True) for g in group]], group, "_i",
-                       rows_per_task)
+    ordered = numbered(counted, [(value, True), *[(g, True) for g in group]], group, "_i")
     upto = running_before(ordered, group, "_i", {"_before": ("sum", F.col("_n"))})
     sizes = counted.groupBy(*group).agg(F.sum("_n").alias("_total"))
     cond = F.lit(True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions.text import casefold, clean_query, normalize_name
 from palisade.functions.times import overlaps, within
 from palisade.operators import postings as P
-from palisade.operators.scale import Order, sized_broadcast, top_n
+from palisade.operators.scale import Order, top_n
 from palisade.operators.visibility import own_published, published
 from palisade.schemas import ENTITY_ORDER, Graph
 
@@ -158,7 +158,7 @@ def search(
     ).filter(F.col("_key").isNotNull())
     exact = (
         rows.select("entity_type", "id", F.explode("exact_keys").alias("_key"))
-        .join(sized_broadcast(keys), "_key")
+        .join(keys, "_key")
         .select("query_id", "entity_type", "id", F.lit(0.0).alias("rank"), F.lit(True).alias("exact"))
     )
     hits = (

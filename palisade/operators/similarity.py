@@ -21,8 +21,7 @@ from pyspark.sql import types as T
 BIGRAM_FLOOR = 0.82
 COMMON_TOKENS = 20_000  # size bound of the broadcast frequency table
 BITMAP_WORDS = 8  # of 64 bits
-HOT_ROWS = 50_000  # a token with more rows than this on one side is salted
-SALTS = 16
+PAIRS_PER_TASK = 20_000_000  # a token whose two sides make more pairs is dealt to several tasks
 
 
 def _ratio(a: str, b: str, floor: float):
@@ -137,7 +136,8 @@ def similar_pairs(
 ) -> DataFrame:
     """(label, name, similarity) of all distinct pairs whose ratio reaches the threshold.
 
-    Both sides are reduced to distinct texts first, so copies cost nothing. Hot tokens are salted.
+    Both sides are reduced to distinct texts first, so copies cost nothing. A token that is frequent on
+    both sides is dealt to as many tasks as its number of pairs asks for.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -153,24 +153,17 @@ def similar_pairs(
     bits_b = [f"_b_bits{i}" for i in range(BITMAP_WORDS)]
     exploded_a = sig_a.select("_a", *bits_a, F.col("_prefix").alias("_pa"), F.explode("_prefix").alias("_h"))
     exploded_b = sig_b.select("_b", *bits_b, F.col("_prefix").alias("_pb"), F.explode("_prefix").alias("_h"))
-    hot = F.broadcast(
-        common.filter(F.col("_df") > HOT_ROWS).select(
-            F.xxhash64("_token").alias("_h"), F.lit(True).alias("_hot")
-        )
-    )
-    salted_a = exploded_a.join(hot, "_h", "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_a"), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    salted_b = exploded_b.join(hot, "_h", "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
+    counts_a = exploded_a.groupBy("_h").agg(F.count(F.lit(1)).alias("_na"))
+    counts_b = exploded_b.groupBy("_h").agg(F.count(F.lit(1)).alias("_nb"))
+    parts = F.ceil(F.col("_na") * F.col("_nb") / F.lit(PAIRS_PER_TASK)).cast("int")
+    hot = counts_a.join(counts_b, "_h").select("_h", parts.alias("_parts")).filter(F.col("_parts") > 1)
+    dealt = F.coalesce("_parts", F.lit(1))
+    salted_a = exploded_a.join(hot, "_h", "left").withColumn("_salt", F.pmod(F.xxhash64("_a"), dealt).cast("int"))
+    salted_b = exploded_b.join(hot, "_h", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), dealt - 1)))
     la, lb = F.length("_a"), F.length("_b")
     pairs = (
-        salted_a.drop("_hot")
-        .join(salted_b.drop("_hot"), ["_h", "_salt"])
+        salted_a.drop("_parts")
+        .join(salted_b.drop("_parts"), ["_h", "_salt"])
         .filter(2 * F.least(la, lb) >= F.lit(threshold) * (la + lb) - 1e-9)
         .filter(_bits_only_left("_a_bits", "_b_bits") <= _lost(la, lb, threshold, width))
         .filter(_bits_only_left("_b_bits", "_a_bits") <= _lost(lb, la, threshold, width))

@@ -1,30 +1,31 @@
 """STIX 2.1 export of every actor in one job.
 
-Objects are built one kind at a time as (actor_id, type, id, json) rows and stay distributed. Bundles
-are assembled from them; an actor with more objects than fit one document gets several bundles, each
-with its own identifier, so that no group of unbounded size is collected.
+Objects are built one kind at a time as (actor_id, type, id, json) rows and stay distributed. Every actor has
+one bundle: its identifier is a hash fed with the sorted object identifiers one after the other, and its
+content is a run of ordered rows, so that nothing of unbounded size is collected.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from uuid import NAMESPACE_URL, UUID, uuid5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import ids
 from palisade.functions.jsonx import safe_url
 from palisade.functions.times import utc_millis_text
+from palisade.operators.scale import numbered
 from palisade.schemas import Graph
-from palisade.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------
 EXPORTED_RELATION = "attributed-to"
 MAX_DESCRIPTION = 1000
 REFERENCE_DASH = " — "
 # ------------------------------------------------------------------------------------------
-MAX_BUNDLE_OBJECTS = 50_000
 _PLAIN = {"writeNonAsciiCharacterAsCodePoint": "true"}
 
 
@@ -306,39 +307,55 @@ def _campaigns(graph: Graph, publisher: Publisher, relations: DataFrame) -> list
     return [campaigns, attributed]
 
 
-def bundles(
-    objects: DataFrame,
-    publisher: Publisher = Publisher(),
-    max_objects: int = MAX_BUNDLE_OBJECTS,
-    stage: bool = True,
-) -> DataFrame:
-    """(actor_id, part, bundle_id, objects, content): sorted objects, identifier over the sorted ids.
-
-    Sizes are counted first; an actor within ``max_objects`` gets exactly one bundle. ``stage`` writes
-    the objects to the shared folder once, as both the count and the assembly read them.
-    """
-    if stage:
-        objects = materialize(objects, "stix-objects")
-    sizes = objects.groupBy("actor_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(max_objects)).alias("_parts")
-    )
-    placed = objects.join(sizes, "actor_id").withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")
-    )
-    packed = placed.groupBy("actor_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("type", "id", "json"))).alias("_objects")
+def _identified(namespace: bytes):
+    """Bundle identifiers of runs of (actor_id, type, id) rows that are sorted and whole in their task."""
+    def run(batches):
+        actor, digest, count = None, None, 0
+
+        def made():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([actor]), pa.array([f"bundle--{UUID(bytes=digest.digest()[:16], version=5)}"]),
+                 pa.array([count], pa.int64())], ["actor_id", "bundle_id", "objects"])
+
+        for batch in batches:
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != actor or digest is None:
+                    if digest is not None:
+                        yield made()
+                    actor, count = key, 0
+                    digest = hashlib.sha1(namespace + f"bundle:actor:{key}:".encode())
+                digest.update((("," if count else "") + name).encode())
+                count += 1
+        if digest is not None:
+            yield made()
+
+    return run
+
+
+def bundle_ids(objects: DataFrame, publisher: Publisher = Publisher()) -> DataFrame:
+    """(actor_id, bundle_id, objects): a name-based identifier over all sorted object identifiers."""
+    ordered = objects.select("actor_id", "id", "type").repartition("actor_id").sortWithinPartitions("actor_id", "type", "id")
+    return ordered.select("actor_id", "id").mapInArrow(
+        _identified(publisher.namespace.bytes), "actor_id string, bundle_id string, objects long"
     )
-    object_ids = F.array_join(F.transform("_objects", lambda o: o.getField("id")), ",")
-    name = F.concat(F.lit("bundle:actor:"), F.col("actor_id"), F.lit(":"), object_ids)
-    bodies = F.array_join(F.transform("_objects", lambda o: o.getField("json")), ",")
-    named = packed.withColumn("bundle_id", F.concat(F.lit("bundle--"), ids.uuid5(publisher.namespace, name)))
-    return named.select(
-        "actor_id", "part", "bundle_id", F.size("_objects").alias("objects"),
-        F.concat(F.lit('{"type":"bundle","id":"'), F.col("bundle_id"), F.lit('","objects":['), bodies,
-                 F.lit("]}")).alias("content"),
+
+
+def bundles(objects: DataFrame, publisher: Publisher = Publisher()) -> DataFrame:
+    """(actor_id, bundle_id, objects, ordinal, id, json): the objects of each actor's one bundle, numbered in order."""
+    placed = numbered(objects, (("actor_id", True), ("type", True), ("id", True)), ["actor_id"], "ordinal")
+    return placed.join(bundle_ids(placed, publisher), "actor_id").select(
+        "actor_id", "bundle_id", "objects", "ordinal", "id", "json"
     )
 
 
+def bundle_lines(bundled: DataFrame) -> DataFrame:
+    """(actor_id, ordinal, line): an actor's lines, joined in order, are its JSON document."""
+    head = F.when(F.col("ordinal") == 1, F.concat(F.lit('{"type":"bundle","id":"'), F.col("bundle_id"), F.lit('","objects":['))).otherwise("")
+    tail = F.when(F.col("ordinal") == F.col("objects"), F.lit("]}")).otherwise(",")
+    return bundled.select("actor_id", "ordinal", F.concat(head, "json", tail).alias("line"))
+
+
 def write_bundles(bundled: DataFrame, path: str) -> None:
-    """One JSON document per line."""
-    bundled.select("content").write.mode("overwrite").text(path)
+    """Text files that hold the documents one after the other in the order of their actors."""
+    lines = bundle_lines(bundled).repartitionByRange("actor_id", "ordinal").sortWithinPartitions("actor_id", "ordinal")
+    lines.select("line").write.mode("overwrite").text(path)

@@ -208,11 +208,11 @@ def _artifact_rows(spark, sf_dir):
     ))
     return A.table(spark, sf_dir, "part").select(
         k.alias("submission_id"), c("p_brand").alias("source_id"),
-        F.when(c("p_size") % 2 == 0, F.lit("stix")).otherwise(F.lit("attack_technique")).alias("artifact_type"),
+        F.when(c("p_size") % 2 == 0, F.lit("stix_2_1")).otherwise(F.lit("attack_technique")).alias("artifact_type"),
         F.when(k % 31 == 0, F.concat(body, F.lit("]"))).otherwise(body).alias("content"))
 
 
-_VALID = """v AS (SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'stix' ELSE 'attack_technique' END AS artifact_type, p_name,
+_VALID = """v AS (SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'stix_2_1' ELSE 'attack_technique' END AS artifact_type, p_name,
   CASE WHEN p_partkey % 31 = 0 THEN 'Content is not valid JSON.'
        WHEN p_size % 2 <> 0 AND p_partkey % 13 = 0 THEN 'ATT&CK technique must be a STIX attack-pattern.'
        WHEN p_partkey % 29 = 0 THEN 'Only STIX 2.1 artifacts are supported.'
@@ -223,8 +223,8 @@ _VALID = """v AS (SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'stix' EL
 
 @query("artifact_validation", f"""WITH {_VALID}
 SELECT k AS submission_id, artifact_type, CASE WHEN error IS NULL THEN 'valid' ELSE 'invalid' END AS validation_status, coalesce(error, '') AS errors,
-  CASE WHEN error IS NOT NULL THEN (CASE artifact_type WHEN 'stix' THEN 'Invalid STIX 2.1 artifact' ELSE 'Invalid ATT&CK technique reference' END)
-       WHEN artifact_type = 'stix' AND k % 7 = 0 THEN 'STIX 2.1 bundle' ELSE p_name END AS title,
+  CASE WHEN error IS NOT NULL THEN (CASE artifact_type WHEN 'stix_2_1' THEN 'Invalid STIX 2.1 artifact' ELSE 'Invalid ATT&CK technique reference' END)
+       WHEN artifact_type = 'stix_2_1' AND k % 7 = 0 THEN 'STIX 2.1 bundle' ELSE p_name END AS title,
   CASE WHEN error IS NULL THEN '2.1' END AS version,
   CASE WHEN error IS NULL AND artifact_type = 'attack_technique' THEN 'T' || lpad((k % 10000)::VARCHAR, 4, '0')
        WHEN error IS NULL THEN kind || '--' || regexp_replace(md5(k::VARCHAR), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') END AS canonical_id
@@ -246,5 +246,5 @@ def artifact_intake(spark, sf_dir):
     """Documents submitted as STIX: no JSON, so each distinct one is kept as invalid."""
     rows = A.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("submission_id"), F.concat_ws("/", "source", "lang").alias("source_id"),
-        F.lit("stix").alias("artifact_type"), F.col("text").alias("content"))
+        F.lit("stix_2_1").alias("artifact_type"), F.col("text").alias("content"))
     return artifacts.intake(rows).select("submission_id", "duplicate", "canonical_id")

@@ -107,7 +107,7 @@ def parse_rejects(spark, sf_dir):
 
 @query("normalization_outcomes", f"WITH {_ENV} SELECT raw_evidence_id, object_index::BIGINT AS object_index, object_id, action, stage, reason, status, failed FROM outc")
 def normalization_outcomes(spark, sf_dir):
-    result = N.normalize_batch(objects(spark, sf_dir), raw_rows(spark, sf_dir), stage=False)
+    result = N.normalize_batch(objects(spark, sf_dir), raw_rows(spark, sf_dir))
     return result.outcomes.select("raw_evidence_id", F.col("object_index").cast("bigint").alias("object_index"), "object_id",
                                   "action", "stage", "reason", "status", "failed")
 
@@ -116,7 +116,7 @@ def normalization_outcomes(spark, sf_dir):
 SELECT source_id, object_id AS source_native_id, 'Group ' || turn || ' ' || role AS title, sha256(CASE WHEN turn % 2 = 0 THEN role ELSE text END) AS summary_sha256,
   strftime(obs_at, '%Y-%m-%d %H:%M:%S') AS observed_at, (turn * 30)::INT AS confidence FROM w WHERE seq = last""")
 def normalized_observations(spark, sf_dir):
-    result = N.normalize_batch(objects(spark, sf_dir), raw_rows(spark, sf_dir), stage=False)
+    result = N.normalize_batch(objects(spark, sf_dir), raw_rows(spark, sf_dir))
     return result.changed.select("source_id", "source_native_id", "title", F.sha2("summary", 256).alias("summary_sha256"),
                                  stamp("observed_at").alias("observed_at"), "confidence")
 
@@ -125,7 +125,7 @@ def normalized_observations(spark, sf_dir):
 def ledger_replay(spark, sf_dir):
     """A second run over the same bundles: every ledger row is met again and counts two attempts."""
     batch, raw = objects(spark, sf_dir), raw_rows(spark, sf_dir)
-    first = N.normalize_batch(batch, raw, stage=False)
+    first = N.normalize_batch(batch, raw)
     again = N.ledger(first.outcomes, first.ledger)
     return again.select("raw_evidence_id", F.col("object_index").cast("bigint").alias("object_index"), "status", "stage",
                         "attempts", "identity_conflict")
@@ -146,7 +146,7 @@ def bundle_outcome(spark, sf_dir):
         "raw_evidence_id", "bundle_error", F.octet_length("content").cast("bigint").alias("bytes"),
         (F.col("bundle_seq") % 31 == 2).alias("already_succeeded"))
     all_objects = objects(spark, sf_dir)
-    done = N.normalize_batch(all_objects, raw_rows(spark, sf_dir), stage=False).outcomes.select("raw_evidence_id", "failed")
+    done = N.normalize_batch(all_objects, raw_rows(spark, sf_dir)).outcomes.select("raw_evidence_id", "failed")
     broken = all_objects.filter("object_error is not null").select("raw_evidence_id", F.lit(True).alias("failed"))
     return N.bundle_outcomes(checked, done.unionByName(broken)).drop("bytes")
 

@@ -89,9 +89,9 @@ def recent_updates(spark, sf_dir):
     return D.recent_updates(advisory_graph(spark, sf_dir).advisory_updates, 3).select("advisory_id", "sequence", "position")
 
 
-@query("update_feed", f"WITH {_ADV} SELECT id, sequence FROM (SELECT 'upd-' || conv_id || '-' || (sequence - 1) AS id, sequence FROM upd WHERE advisory_id = 'adv-1' AND sequence > 2 ORDER BY sequence LIMIT 10)")
+@query("update_feed", f"WITH {_ADV} SELECT id, sequence FROM (SELECT 'upd-' || upd.conv_id || '-' || (sequence - 1) AS id, sequence FROM upd JOIN adv ON adv.id = advisory_id WHERE advisory_id = 'adv-1' AND live AND sequence > 2 ORDER BY sequence LIMIT 10)")
 def update_feed(spark, sf_dir):
-    return D.update_feed(advisory_graph(spark, sf_dir).advisory_updates, "adv-1", 2, 10).select("id", "sequence")
+    return D.update_feed(advisory_graph(spark, sf_dir), "adv-1", 2, 10).select("id", "sequence")
 
 
 @query("next_sequence", """

@@ -56,7 +56,13 @@ def stix_objects(spark, sf_dir):
 b AS (SELECT actor_id, count(*)::BIGINT AS objects, string_agg(id, ',' ORDER BY type, id) AS ids FROM obj GROUP BY actor_id)
 SELECT actor_id, objects, 'bundle--' || {_uuid("'bundle:actor:' || actor_id || ':' || ids")} AS bundle_id FROM b""", _NEEDS)
 def stix_bundles(spark, sf_dir):
-    return X.bundles(_objects(spark, sf_dir), PUBLISHER).select("actor_id", c("objects").cast("bigint").alias("objects"), "bundle_id")
+    return X.bundles(_objects(spark, sf_dir), PUBLISHER).filter("ordinal = 1").select("actor_id", "objects", "bundle_id")
+
+
+@query("stix_bundle_rows", f"""WITH {_OBJECTS}
+SELECT actor_id, id, row_number() OVER (PARTITION BY actor_id ORDER BY type, id) AS ordinal FROM obj""", _NEEDS)
+def stix_bundle_rows(spark, sf_dir):
+    return X.bundles(_objects(spark, sf_dir), PUBLISHER).select("actor_id", "id", "ordinal")
 
 
 @query("stix_notes", f"""

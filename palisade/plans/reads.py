@@ -164,7 +164,8 @@ def references_union(spark, sf_dir):
 
 @query("actor_search", """
 WITH q AS (SELECT 'n' || n_nationkey AS query_id, lower(regexp_replace(n_name, 'NATION_', '#00000')) AS needle FROM nation
-           UNION ALL SELECT 's' || r_regionkey, 'furniture ' || r_regionkey FROM region),
+           UNION ALL SELECT 's' || r_regionkey, 'furniture ' || r_regionkey FROM region
+           UNION ALL SELECT 'c' || c_custkey, lower(c_name) FROM customer),
 c AS (SELECT q.query_id, a.id AS actor_id, CASE WHEN a.normalized_name = q.needle THEN 0 ELSE 2 END AS r
       FROM q JOIN pub_actors a ON contains(a.normalized_name, q.needle)),
 al AS (SELECT q.query_id, b.actor_id, b.id, b.name, b.normalized_name, CASE WHEN b.normalized_name = q.needle THEN 1 ELSE 3 END AS r
@@ -188,7 +189,11 @@ def actor_search(spark, sf_dir):
         F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("query_id"),
         F.concat(F.lit("Furniture  "), F.col("r_regionkey").cast("string")).alias("query"),
     )
-    hits = reads.actor_search(A.order_graph(spark, sf_dir), nations.unionByName(regions))
+    customers = A.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("query_id"), F.col("c_name").alias("query"),
+    )
+    asked = nations.unionByName(regions).unionByName(customers)
+    hits = reads.actor_search(A.order_graph(spark, sf_dir), asked)
     return hits.withColumn("matched_names", F.array_join("matched_names", "|"))
 
 

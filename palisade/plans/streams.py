@@ -110,19 +110,3 @@ def stream_normalization(spark, sf_dir):
 def stream_update_feed(spark, sf_dir):
     stream = _stream(spark, sf_dir, "conversations").select("conv_id", (c("turn") + 1).alias("sequence"), "role")
     return _finish(spark, ST.update_feed(stream, 2), "feed")
-
-
-def job_events(events):
-    """Twenty consecutive events are the log of one job."""
-    return ST.event_time(events, "ts").select(
-        F.concat(F.lit("job-"), F.floor(c("event_id") / 20).cast("string")).alias("job_id"), c("event_id").alias("seq"), c("ts").alias("at"),
-        F.when(c("event_type").isin("signup", "view"), F.lit("claim")).when(c("event_type") == "purchase", F.lit("succeed")).otherwise(F.lit("fail")).alias("kind"),
-        F.concat(F.lit("lease-"), (c("event_id") % 2).cast("string")).alias("lease_token"), (c("event_id") % 3 != 0).alias("retryable"), F.lit(5).alias("max_attempts"))
-
-
-@query("job_monitor")
-def job_monitor(spark, sf_dir):
-    """Outcome of every job event from per-job state (custom state has no SQL form)."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _finish(spark, ST.monitor_jobs(job_events(_stream(spark, sf_dir, "events"))), "monitor")

@@ -18,6 +18,8 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        # rank filters cut every input task's rows before the shuffle, whatever the rank
+        "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
     }
     for key, value in settings.items():
         spark.conf.set(key, value)
@@ -27,26 +29,18 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    Only where the session names no such folder (tests, a laptop) is a machine-local one made,
-    and then the session is told about it, so that ``checkpoint()`` uses the same place.
+    Only a local session that names no such folder (tests, a laptop) gets one; on a cluster, where
+    executors would not share it, a missing setting is an error.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="palisade-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(scan):
-    """A plain file scan over all cores.
-
-    A small table may lie in one row group and so in one task. Only a scan with fewer tasks than the
-    cluster has cores is redistributed; a large table is left as the file splits have it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def materialize(df, label: str):
     """Write to the shared folder and read back: cuts lineage and fixes the rows of every re-read."""
     path = scratch_dir(df.sparkSession, label)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +26,12 @@ def load_graph(spark: SparkSession, root: str, tables: Sequence[str]) -> Graph:
     return Graph(spark, {name: scan(spark, root, name) for name in tables})
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there; any other trouble with it is an error of its own."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 class Snapshots:
     """Versions of tables below one root, newest committed one wins."""
 
@@ -34,10 +39,10 @@ class Snapshots:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_COMMIT).json(f"{self.root}/_commits")
-        except AnalysisException:
+        path = f"{self.root}/_commits"
+        if not _exists(self.spark, path):
             return self.spark.createDataFrame([], _COMMIT)
+        return self.spark.read.schema(_COMMIT).json(path)
 
     def latest(self, table: str, before: int | None = None) -> tuple[int, str] | None:
         """Newest committed snapshot of a table (older than ``before``); one log row per write."""
@@ -81,10 +86,8 @@ class Snapshots:
         """All appended rows with their ``batch``; ``before`` prunes whole folders, so a replay never
         opens the files it is about to overwrite."""
         full = f"{schema}, batch bigint"
-        try:
-            rows = self.spark.read.schema(full).option("basePath", f"{self.root}/{table}").parquet(
-                f"{self.root}/{table}"
-            )
-        except AnalysisException:
+        path = f"{self.root}/{table}"
+        if not _exists(self.spark, path):
             return self.spark.createDataFrame([], full)
+        rows = self.spark.read.schema(full).option("basePath", path).parquet(path)
         return rows if before is None else rows.filter(F.col("batch") < before)

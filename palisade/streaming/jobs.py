@@ -6,14 +6,9 @@ table, so a restart resumes from the checkpoint and a replayed micro-batch chang
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from palisade.functions.times import retry_delay_seconds
 from palisade.operators import intake, normalize
 from palisade.sources.tables import Snapshots
 
@@ -140,68 +135,7 @@ class StreamingNormalization:
         self.store.write("ledger", result.ledger.select(*ledger_columns), batch_id)
 
 
-class JobMonitor(StatefulProcessor):
-    """State per job: attempts and lease. Emits what each event means and reports expired leases.
-
-    Input rows: job_id, seq, at, kind (claim, succeed, fail), lease_token, retryable, max_attempts.
-    The rows of one job in one micro-batch are ordered in memory: a job has at most ten attempts by
-    the table's rules, and the trigger bounds the batch.
-    """
-
-    LEASE_SECONDS, RETRY_BASE = 300, 30
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", "attempts int, lease string, expires_ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        attempts, lease, expires = self.job.get() if self.job.exists() else (0, None, None)
-        out = []
-        frame = pd.concat(list(rows)).sort_values("seq")
-        for row in frame.itertuples():
-            at = int(row.at.timestamp() * 1000)
-            if lease is not None and expires <= at:
-                out.append((key[0], int(row.seq), "lease_expired", attempts, None))
-                lease, expires = None, None
-            if row.kind == "claim":
-                if attempts >= row.max_attempts:
-                    out.append((key[0], int(row.seq), "exhausted", attempts, None))
-                    continue
-                attempts, lease = attempts + 1, row.lease_token
-                expires = at + self.LEASE_SECONDS * 1000
-                out.append((key[0], int(row.seq), "claimed", attempts, None))
-            elif row.lease_token != lease:
-                out.append((key[0], int(row.seq), "stale", attempts, None))
-            else:
-                lease, expires = None, None
-                if row.kind == "succeed":
-                    out.append((key[0], int(row.seq), "succeeded", attempts, None))
-                elif row.retryable and attempts < row.max_attempts:
-                    delay = min(self.RETRY_BASE * 2 ** min(max(attempts - 1, 0), 30), 3600)
-                    out.append((key[0], int(row.seq), "retry_due", attempts, delay))
-                else:
-                    out.append((key[0], int(row.seq), "failed", attempts, None))
-        self.job.update((attempts, lease, expires))
-        yield pd.DataFrame(out, columns=["job_id", "seq", "outcome", "attempts", "delay_seconds"]).astype(
-            {"seq": "int64", "attempts": "int32", "delay_seconds": "Int64"}
-        )
-
-    def close(self) -> None:
-        pass
-
-
-MONITOR_OUTPUT = "job_id string, seq bigint, outcome string, attempts int, delay_seconds bigint"
-
-
-def monitor_jobs(stream: DataFrame) -> DataFrame:
-    """One output row per event; state lives in the RocksDB store and survives lost executors."""
-    return stream.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobMonitor(), outputStructType=MONITOR_OUTPUT, outputMode="append", timeMode="none"
-    )
-
-
 __all__ = [
-    "EvidenceIntake", "JobMonitor", "StreamingNormalization", "activity_sessions", "bounded_dedup",
-    "event_time", "monitor_jobs", "retry_delay_seconds", "run_batches", "run_to_table", "update_feed",
-    "windowed_queue",
+    "EvidenceIntake", "StreamingNormalization", "activity_sessions", "bounded_dedup", "event_time",
+    "run_batches", "run_to_table", "update_feed", "windowed_queue",
 ]

@@ -25,16 +25,15 @@ def test_running_before_equals_a_loop(spark, span, levels):
     assert out == want
 
 
-@pytest.mark.parametrize("limit", [10, 10_000])
-def test_numbering_by_ranges_equals_one_sort(spark, limit):
+def test_numbering_by_ranges_equals_one_sort(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([7, 7, 7, 7, rng.randrange(20)]), rng.choice("ab")) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, score int, g string")
     order = (("score", False), ("id", True))
-    whole = {r.id: r.n for r in scale.numbered(df, order, number="n", rows_per_task=limit).collect()}
+    whole = {r.id: r.n for r in scale.numbered(df, order, number="n").collect()}
     want = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
     assert whole == want
-    grouped = {r.id: r.n for r in scale.numbered(df, order, ["g"], "n", limit).collect()}
+    grouped = {r.id: r.n for r in scale.numbered(df, order, ["g"], "n").collect()}
     for g in "ab":
         mine = sorted((r for r in rows if r[2] == g), key=lambda r: (-r[1], r[0]))
         assert [grouped[r[0]] for r in mine] == list(range(1, len(mine) + 1))
@@ -72,7 +71,7 @@ def test_pages_concatenate_to_the_whole(spark):
             break
         cursor = (page[6].score, page[6].t, page[6].id)
     assert got == want
-    whole = paging.paginate_all(df, order, 7, rows_per_task=10).collect()
+    whole = paging.paginate_all(df, order, 7).collect()
     assert [r.id for r in sorted(whole, key=lambda r: (r.page, r.position))] == want
     assert "TakeOrderedAndProject" in paging.page(df, order, 7)._jdf.queryExecution().executedPlan().toString()
 
