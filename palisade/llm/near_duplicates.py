@@ -10,8 +10,10 @@ A candidate pair is aligned: its equal labelled k-mers, within the diagonal band
 chained in order. The similarity is aligned k-mers over all (n_a + n_b - aligned); 0.8 or more is a link.
 
 Equal texts are one content from the start. A bucket of at most ``SMALL`` contents is compared in full; in a larger one all
-are compared with one of them, and those that are no match go into two new buckets each, split by a further sketch, until
-none is left. No bucket is ever collected and none is cut; a large group of copies costs a comparison per member and band.
+are compared with its most central member, the one that is met most often over all its buckets (of a group of copies the text
+that they come from), and those that are no match go on in buckets split by a further sketch, until none is left. No bucket is
+ever collected and none is cut; a large group of copies costs about one comparison per member. What this can miss is a link
+between two members of a large bucket of which one is no match of the centre, unless another band shows it.
 
 Classes are the connected components of the links. Defined results: texts without words (null, empty, blank) are equal to each
 other; texts of fewer than five words match only equal ones; repeated rows fall into one class; a null doc_id is the
@@ -169,15 +171,19 @@ def links(docs: DataFrame, known: DataFrame, similarity: float = 0.8) -> DataFra
         raise ValueError("similarity lies above 0 and at most at 1")
     distinct = stage(known.filter("n_words > 0").dropDuplicates(["content"]).select("content", "n_words", "sketch"), "omh-contents")
     keys = [F.xxhash64(F.lit(b), *[F.col("sketch")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]
-    members = distinct.select("content", "n_words", "sketch", F.posexplode(F.array(*keys)).alias("band", "bucket"))
+    members = distinct.select("content", "n_words", F.posexplode(F.array(*keys)).alias("band", "bucket"))
 
     def crowded(rows: DataFrame) -> DataFrame:
-        """The rows of buckets with two contents or more, with their number and one of them as hub."""
-        hub = F.min_by(F.struct("content", "n_words"), F.xxhash64("content", "bucket"))
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), hub.alias("hub")).filter("n > 1")
-        return rows.join(sizes, "bucket")
-
-    members = stage(crowded(members), "omh-buckets")
+        """The rows of buckets with two contents or more, with their number and the most central one as hub."""
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sized = stage(rows.join(sizes, "bucket"), "omh-buckets")
+        large = sized.filter(F.col("n") > SMALL)
+        met = large.groupBy("content").agg(F.sum("n").alias("met"))
+        hubs = large.join(met, "content").groupBy("bucket").agg(
+            F.max_by(F.struct("content", "n_words"), F.struct("met", "content")).alias("hub"))
+        return stage(sized.join(hubs, "bucket", "left"), "omh-hubs")
+
+    members = crowded(members)
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     wanted = members.select("content").distinct()
     tokens = stage(texts.mapInArrow(_contents(True), "content long, tokens binary").join(wanted, "content", "left_semi")
@@ -208,9 +214,10 @@ def links(docs: DataFrame, known: DataFrame, similarity: float = 0.8) -> DataFra
         met = new.select("a", "b").unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         left = large.join(met, (F.col("hub.content") == F.col("a")) & (F.col("content") == F.col("b")), "left_anti")
         turn += 1
-        further = [(F.col("band") * ROWS + ROWS + (2 * turn + r) % (BANDS * ROWS - ROWS)) % (BANDS * ROWS) for r in range(2)]
-        split = F.array(*[F.xxhash64("bucket", F.lit(r), F.get("sketch", further[r])) for r in range(2)])
-        members = stage(crowded(left.select("content", "n_words", "sketch", "band", F.explode(split).alias("bucket"))), "omh-buckets")
+        further = (F.col("band") * ROWS + ROWS + turn % (BANDS * ROWS - ROWS)) % (BANDS * ROWS)
+        split = F.xxhash64("bucket", F.get("sketch", further))
+        left = left.select("content", "n_words", "band", "bucket").join(distinct.select("content", "sketch"), "content")
+        members = crowded(left.select("content", "n_words", "band", split.alias("bucket")))
         if not members.limit(1).count():
             return stage(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "omh-links")
 
