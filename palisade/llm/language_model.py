@@ -8,7 +8,7 @@ output is factored: the probability of a word's class times that of the word in
 costs the probability of the class of such words times (c + 1) / (their tokens + their words + 1). A text is scored from its
 first token to its end; the state is carried from window to window and starts anew with each text.
 
-Counts of the ``frequent`` most frequent words go to every task (a bound of 8 MB); the other words of a text are kept as
+Counts of the most frequent words, at most ``frequent`` of them, go to every task (a bound of 6 MB); the other words of a text are kept as
 hashes, joined with the whole count table and added up per row.
 
 Defined results: null and empty texts consist of the end alone; rows of equal texts get equal scores; a null id counts as the
@@ -275,14 +275,22 @@ def _as_ids(keys: np.ndarray, ids: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, counts: DataFrame, vocabulary: int = 2048, frequent: int = 1 << 19, hidden: int = 32,
+def fit(docs: DataFrame, counts: DataFrame, vocabulary: int = 2048, frequent: int = 1 << 18, hidden: int = 32,
         max_tokens: int = 400_000, max_texts: int = 2_000) -> Model:
     """Learn from docs (training texts only) and their staged counts."""
     if vocabulary > 65_000:
         raise ValueError("ids are kept in 16 bits")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("words")).first()
-    top = counts.orderBy((F.col("word") == END).desc(), F.desc("n"), "word").limit(frequent).toPandas()
-    words, n = top["word"].to_numpy(np.int64).view(_U), top["n"].to_numpy(np.int64)
+    size = F.floor(F.log2("n") * 8).cast("int")
+    floor, taken = 0, 0
+    for row in counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("size")).collect():
+        if taken + row["words"] > frequent:
+            floor = row["size"] + 1
+            break
+        taken += row["words"]
+    top = counts.filter((size >= floor) | (F.col("word") == END)).toPandas()
+    order = np.lexsort((top["word"], -top["n"], top["word"] != END))
+    words, n = top["word"].to_numpy(np.int64)[order].view(_U), top["n"].to_numpy(np.int64)[order]
     ids = np.where(np.arange(len(words)) < vocabulary, np.arange(len(words)) + 1, 0)
     known = int(n[:vocabulary].sum())
     by_id = np.r_[max(int(total["n"]) - known, 0), n[:vocabulary]].astype(np.float64)

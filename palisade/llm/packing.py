@@ -33,7 +33,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNIT = re.compile(f" ?[{_LETTERS}]++(?![^\\W\\d_])|\n(?=[^{_WS}])|[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Fixed value: the pattern that splits text before the merges.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_KEEP = 350_000
+_KEEP = 120_000
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
 
 

@@ -36,7 +36,7 @@ from palisade.llm.common import kept_in_worker, slices, stage
 SIGN = "▁"
 FAN = 256
 _UNIT = re.compile(f"{SIGN}*[^{SIGN}]+|{SIGN}+")
-_KEEP = 300_000
+_KEEP = 120_000
 _NO = -np.inf
 
 

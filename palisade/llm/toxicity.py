@@ -21,7 +21,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,19 +103,24 @@ def regression(rows: list[np.ndarray], twins: list[tuple[np.ndarray, np.ndarray]
 
 
 def _featured(batches):
-    for frame in batches:
-        words = [words_of(text) for text in frame["text"]]
+    kind = pa.list_(pa.string())
+    for batch in (part for whole in batches for part in slices(whole, "text", 1 << 19)):
+        words = [words_of(text) for text in batch.column(1).to_pylist()]
         other = [swapped(w) for w in words]
-        yield pd.DataFrame({"label": frame["label"], "features": [sorted(features_of(w)) for w in words],
-                            "twin": [sorted(features_of(w)) if w is not None else None for w in other]})
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([sorted(features_of(w)) for w in words], kind),
+             pa.array([sorted(features_of(w)) if w is not None else None for w in other], kind)], ["label", "features", "twin"])
 
 
 def _numbered(index: dict[str, int]):
     def run(batches):
-        for frame in batches:
-            for label, features, twin in zip(frame["label"], frame["features"], frame["twin"]):
-                at = lambda names: [index[x] for x in names if x in index]
-                yield pd.DataFrame({"label": [label], "features": [at(features)], "twin": [at(twin) if twin is not None else None]})
+        kind = pa.list_(pa.int32())
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                at = lambda column: pa.array([None if names is None else [index[x] for x in names if x in index]
+                                              for names in column.to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), at(part.column(1)), at(part.column(2))], ["label", "features", "twin"])
 
     return run
 
@@ -129,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features
              .orderBy(F.xxhash64("labelled"), "labelled", "label").limit(max_rows))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = stage(texts.join(known, F.col("doc_id") == F.col("labelled")).select("label", "text")
-                 .mapInPandas(_featured, "label int, features array<string>, twin array<string>"), "toxic-features")
+                 .mapInArrow(_featured, "label int, features array<string>, twin array<string>"), "toxic-features")
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     toxic, clean = n["toxic"], n["n"] - n["toxic"]
     counted = (rows.select("label", F.explode("features").alias("feature")).groupBy("feature")
@@ -139,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features
     chosen = [r["feature"] for r in counted.orderBy(F.desc(uneven), "feature").limit(max_features).select("feature").collect()]
     named = sorted(features_of(set(_NEXT)) - set(chosen))
     index = {name: k for k, name in enumerate([*chosen, *named])}
-    found = rows.mapInPandas(_numbered(index), "label int, features array<int>, twin array<int>").toPandas()
+    found = rows.mapInArrow(_numbered(index), "label int, features array<int>, twin array<int>").toPandas()
     sparse = lambda column: [np.asarray(x, np.int64) for x in column]
     twins = found[found["twin"].notna()]
     weights, intercept = regression(sparse(found["features"]), list(zip(sparse(twins["features"]), sparse(twins["twin"]))),
