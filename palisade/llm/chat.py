@@ -59,16 +59,18 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
                           F.lit(1).cast("long").alias("length")), "chat-links")
     inner = state.filter("above is not null").select("tree_id", F.col("above").alias("node")).distinct()
     leaves = state.select("tree_id", "node").join(inner, ["tree_id", "node"], "left_anti")
-    tables, open_now, open_before = [], state.filter("above is not null").count(), None
-    while open_now and open_now != open_before:
-        tables.append(state.filter("above is not null").select("tree_id", "node", "above"))
-        upper = state.select("tree_id", F.col("node").alias("above"), F.col("above").alias("next"), F.col("sum").alias("more"),
-                             F.col("length").alias("further"))
-        state = stage(state.join(upper, ["tree_id", "above"], "left")
-                      .select("tree_id", "node", F.col("next").alias("above"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"),
-                              (F.col("length") + F.coalesce("further", F.lit(0))).alias("length")), "chat-links")
-        open_before, open_now = open_now, state.filter("above is not null").count()
-    rooted = state.filter("above is null").select("tree_id", "node", "sum", "length")
+    rooted, hanging, tables = state.filter("above is null"), state.filter("above is not null"), []
+    open_now, open_before = hanging.count(), None
+    while open_now and open_now != open_before:  # rows that stay open hang on a cycle
+        tables.append(hanging.select("tree_id", "node", "above"))
+        upper = rooted.unionByName(hanging).select(
+            "tree_id", F.col("node").alias("above"), F.col("above").alias("next"), F.col("sum").alias("more"), F.col("length").alias("further"))
+        moved = stage(hanging.join(upper, ["tree_id", "above"])
+                      .select("tree_id", "node", F.col("next").alias("above"), (F.col("sum") + F.col("more")).alias("sum"),
+                              (F.col("length") + F.col("further")).alias("length")), "chat-links")
+        rooted, hanging = rooted.unionByName(moved.filter("above is null")), moved.filter("above is not null")
+        open_before, open_now = open_now, hanging.count()
+    rooted = rooted.select("tree_id", "node", "sum", "length")
     order = Window.partitionBy("tree_id").orderBy(F.desc("sum"), F.desc("length"), "node")
     best = (leaves.join(rooted, ["tree_id", "node"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep))
     marks = best.select("tree_id", F.col("node").alias("leaf_id"), "rank", "node")
