@@ -7,10 +7,8 @@ key, so a word that occurs in a third of all documents spreads over all tasks.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palisade.schemas import Graph
 
@@ -255,44 +253,41 @@ def frequency_rank(matched: DataFrame) -> DataFrame:
     )
 
 
-def _covers(positions, weights, slots) -> float:
-    """Sum over minimal intervals holding every query word: density, damped by foreign words."""
-    order = sorted(range(len(positions)), key=lambda k: (positions[k], slots[k]))
-    wanted = len(set(slots))
-    last: dict = {}
-    total, start_after = 0.0, -1
-    for at, k in enumerate(order):
-        last[slots[k]] = at
-        if len(last) < wanted:
-            continue
-        first = min(last.values())
-        if first <= start_after:
-            continue
-        inside = order[first : at + 1]
-        density = len(inside) / sum(1.0 / WEIGHTS[weights[i]] for i in inside)
-        noise = (positions[k] - positions[order[first]]) - (len(inside) - 1)
-        total += density / (1 + max(noise, 0))
-        start_after = first
-    return total
-
-
-@F.pandas_udf(T.DoubleType())
-def cover_density(hits: pd.Series) -> pd.Series:
-    """Cover density (Clarke, Cormack and Tudhope) of one document's hits, bounded by r / (r + 1)."""
-
-    def rank(items):
-        if items is None or not len(items):
-            return 0.0
-        r = _covers(
-            [h["pos"] for h in items], [h["weight"] for h in items], [h["slot"] for h in items]
-        )
-        return r / (r + 1)
+def cover_density(hits: Column) -> Column:
+    """Cover density (Clarke, Cormack and Tudhope) of one document's hits, bounded by r / (r + 1).
+
+    One sweep over the hits by position: for each query word the last hit so far; where all words have one and the
+    earliest of these lies after the begin of the last cover, a new cover ends. It counts by the density of
+    its weights, damped by the foreign words inside.
+    """
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(
+        h.getField("pos").alias("pos"), h.getField("slot").alias("slot"), (1.0 / weight_of(h.getField("weight"))).alias("cost"))))
+    slots = F.array_distinct(F.transform(hits, lambda h: h.getField("slot")))
+
+    def sweep(items: Column, words: Column) -> Column:
+        start = F.struct(
+            F.transform(words, lambda _: F.lit(-1)).alias("last"), F.lit(0.0).alias("total"), F.lit(-1).alias("begin"))
+
+        def step(state: Column, at: Column) -> Column:
+            hit = F.get(items, at)
+            last = F.transform(words, lambda w, j: F.when(w == hit.getField("slot"), at).otherwise(F.get(state.getField("last"), j)))
+            first = F.array_min(last)
+            inside = F.slice(items, first + 1, at - first + 1)
+            cost = F.aggregate(inside, F.lit(0.0), lambda acc, x: acc + x.getField("cost"))
+            noise = hit.getField("pos") - F.get(items, first).getField("pos") - (at - first)
+            worth = (at - first + 1) / cost / (1 + F.greatest(noise, F.lit(0)))
+            new = (first >= 0) & (first > state.getField("begin"))
+            return F.struct(last.alias("last"), F.when(new, state.getField("total") + worth).otherwise(state.getField("total")).alias("total"),
+                            F.when(new, first).otherwise(state.getField("begin")).alias("begin"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(items) - 1), start, step).getField("total")
 
-    return hits.map(rank)
+    total = F.when(F.size(hits) > 0, sweep(ordered, slots)).otherwise(F.lit(0.0))
+    return total / (total + 1)
 
 
 def cover_rank(matched: DataFrame) -> DataFrame:
-    """Exact ranking of matched documents only; Python sees one array per (query, document)."""
-    return matched.withColumn("_r", cover_density("hits")).groupBy("query_id", "entity_type", "id").agg(
+    """Exact ranking of matched documents only."""
+    return matched.withColumn("_r", cover_density(F.col("hits"))).groupBy("query_id", "entity_type", "id").agg(
         F.max("_r").alias("rank")
     )

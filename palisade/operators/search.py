@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.text import casefold, clean_query, normalize_name
 from palisade.functions.times import overlaps, within
 from palisade.operators import postings as P
+from palisade.operators.paging import after_cursor
 from palisade.operators.scale import Order, top_n
 from palisade.operators.visibility import own_published, published
 from palisade.schemas import ENTITY_ORDER, Graph
@@ -132,10 +135,14 @@ def search(
     stemmed: bool = True,
     stop_words: bool = True,
     limit: int = 25,
+    after: Sequence | None = None,
     **filters,
 ) -> DataFrame:
     """Best ``limit`` rows per query of ``queries`` (query_id, query), exact names before text.
 
+    ``after``: the values of RESULT_ORDER of the last row of a page; the page that follows it is returned. ``has_more``
+    tells whether a further row follows.
+
     Pass stored ``posted`` postings for repeated use; otherwise they are built in the same job.
     Keys and scores are joined to the entity rows after matching, so unmatched rows carry nothing.
     """
@@ -175,4 +182,9 @@ def search(
             "sort_title": F.lower("title"),
         }
     )
-    return top_n(scored.drop("rank", "exact"), ["query_id"], RESULT_ORDER, limit, "position")
+    scored = scored.drop("rank", "exact")
+    if after is not None:
+        scored = scored.filter(after_cursor(RESULT_ORDER, after))
+    found = top_n(scored, ["query_id"], RESULT_ORDER, limit + 1, "position")
+    more = F.max("position").over(Window.partitionBy("query_id")) > limit
+    return found.withColumn("has_more", more).filter(F.col("position") <= limit)

@@ -15,13 +15,17 @@ from palisade.streaming import jobs as ST
 c = F.col
 
 
-def _stream(spark, sf_dir, name, files_per_batch=1):
-    """The table as a file stream: the folder is watched, the name selects the file."""
-    schema = A.table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
-    )
+def _stream(spark, sf_dir, name, order):
+    """The table as a file stream: its thirds in the order of a column, written one after the other and
+    read a file per micro-batch, so that state lasts over batches."""
+    rows = A.table(spark, sf_dir, name)
+    value = c(order).cast("timestamp" if order == "ts" else "bigint")
+    low, high = rows.agg(F.percentile_approx(value.cast("double"), [1 / 3, 2 / 3])).first()[0] or (0, 0)
+    third = F.when(value.cast("double") <= low, 0).when(value.cast("double") <= high, 1).otherwise(2)
+    root = scratch_dir(spark, f"feed-{name}")
+    for k in range(3):
+        rows.filter(third == k).write.mode("append").parquet(root)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
 
 
 def _finish(spark, stream, label, mode="append"):
@@ -40,7 +44,7 @@ _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 @query("sessions", f"""WITH {_RUNS} SELECT user_id, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, events
 FROM ses WHERE last_seen + INTERVAL 6 HOUR <= {_CLOSED}""")
 def sessions(spark, sf_dir):
-    out = ST.activity_sessions(_stream(spark, sf_dir, "events"), "user_id", "ts", "6 hours", "1 hour")
+    out = ST.activity_sessions(_stream(spark, sf_dir, "events", "ts"), "user_id", "ts", "6 hours", "1 hour")
     rows = _finish(spark, out, "sessions")
     return rows.withColumns({"first_seen": stamp("first_seen"), "last_seen": stamp("last_seen")})
 
@@ -60,7 +64,7 @@ SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, queued, processing, fai
     count_if(event_type = 'error')::BIGINT AS failed, count(*)::BIGINT AS total FROM events GROUP BY 1) WHERE w + INTERVAL 6 HOUR <= {_CLOSED}
 """)
 def windowed_queue(spark, sf_dir):
-    out = ST.windowed_queue(_stream(spark, sf_dir, "events"), "ts", "6 hours", "1 hour",
+    out = ST.windowed_queue(_stream(spark, sf_dir, "events", "ts"), "ts", "6 hours", "1 hour",
                             {"queued": "signup", "processing": "click", "failed": "error"})
     return _finish(spark, out, "queue").select(stamp("window_start").alias("window_start"), "queued", "processing", "failed", "total")
 
@@ -68,14 +72,14 @@ def windowed_queue(spark, sf_dir):
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type, ts::DATE::VARCHAR AS day FROM events")
 def stream_dedup(spark, sf_dir):
     """One row per (user, kind, day): keys are remembered for longer than the day they belong to."""
-    stream = ST.event_time(_stream(spark, sf_dir, "events"), "ts").withColumn("day", F.to_date("ts").cast("string"))
+    stream = ST.event_time(_stream(spark, sf_dir, "events", "ts"), "ts").withColumn("day", F.to_date("ts").cast("string"))
     out = ST.bounded_dedup(stream, ["user_id", "event_type", "day"], "ts", "2 days")
     return _finish(spark, out, "dedup").select("user_id", "event_type", "day")
 
 
 @query("stream_exact_dedup", "SELECT DISTINCT source AS source_id, sha256(text) AS content_sha256 FROM documents")
 def stream_exact_dedup(spark, sf_dir):
-    stream = _stream(spark, sf_dir, "documents").select(
+    stream = _stream(spark, sf_dir, "documents", "doc_id").select(
         c("source").alias("source_id"), F.sha2("text", 256).alias("content_sha256"))
     return _finish(spark, ST.exact_dedup(stream, ["source_id", "content_sha256"]), "exact")
 
@@ -85,7 +89,7 @@ SELECT min(doc_id) AS submission_id, source AS source_id, sha256(text) AS conten
 """)
 def stream_intake(spark, sf_dir):
     root = scratch_dir(spark, "intake")
-    stream = _stream(spark, sf_dir, "documents").select(
+    stream = _stream(spark, sf_dir, "documents", "doc_id").select(
         c("doc_id").alias("submission_id"), c("source").alias("source_id"), F.encode("text", "UTF-8").alias("content"), F.lit("text/plain").alias("mime_type"))
     step = ST.EvidenceIntake(spark, f"{root}/store")
     ST.run_batches(stream, step, f"{root}/checkpoint")
@@ -95,11 +99,11 @@ def stream_intake(spark, sf_dir):
 @query("stream_normalization", f"""WITH {normalization._ENV}, w AS (SELECT *, max(seq) FILTER (action IN ('create', 'update')) OVER (PARTITION BY source_id, object_id) AS last FROM acted)
 SELECT source_id, object_id AS source_native_id, 'Group ' || turn || ' ' || role AS title, strftime(obs_at, '%Y-%m-%d %H:%M:%S') AS observed_at FROM w WHERE seq = last""")
 def stream_normalization(spark, sf_dir):
-    """Bundle objects are written as files once and then followed as a stream, several files per batch."""
+    """Bundle objects are written as files once and then followed as a stream, a file per batch."""
     root = scratch_dir(spark, "normalize")
     source = normalization.objects(spark, sf_dir).withColumn("object_index", c("object_index").cast("int"))
     source.repartitionByRange(3, "bundle_seq").sortWithinPartitions("bundle_seq").write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(source.schema).parquet(f"{root}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     step = ST.StreamingNormalization(spark, f"{root}/store", normalization.raw_rows(spark, sf_dir))
     ST.run_batches(stream, step, f"{root}/checkpoint")
     rows = step.store.read("observations", step.OBSERVATION)
@@ -108,5 +112,5 @@ def stream_normalization(spark, sf_dir):
 
 @query("stream_update_feed", "SELECT conv_id, turn + 1 AS sequence, role FROM conversations WHERE turn + 1 > 2")
 def stream_update_feed(spark, sf_dir):
-    stream = _stream(spark, sf_dir, "conversations").select("conv_id", (c("turn") + 1).alias("sequence"), "role")
+    stream = _stream(spark, sf_dir, "conversations", "conv_id").select("conv_id", (c("turn") + 1).alias("sequence"), "role")
     return _finish(spark, ST.update_feed(stream, 2), "feed")

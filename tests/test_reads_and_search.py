@@ -101,3 +101,27 @@ def test_artifacts_validate_and_search(spark):
     assert [r.validation_status for r in got] == [w for _, _, w in cases]
     assert (got[1].canonical_id, got[1].version, got[0].version) == ("T1137.006", "1.4", "2.1")
     assert got[4].derived_metadata == {"stix_type": "bundle", "object_count": "1"} and got[2].canonical_id.startswith("invalid:")
+
+
+def test_pages_of_a_ranked_search_join_up(spark):
+    asked = spark.createDataFrame([("q", "invoice")], "query_id string, query string")
+    whole = search.search(search_graph(spark), asked).orderBy("position").collect()
+    assert len(whole) >= 3 and not whole[0].has_more
+    pages, after = [], None
+    while True:
+        page = search.search(search_graph(spark), asked, limit=2, after=after).orderBy("position").collect()
+        pages += page
+        if not page[-1].has_more:
+            break
+        after = tuple(page[-1][name] for name, _ in search.RESULT_ORDER)
+    assert [(r.entity_type, r.id) for r in pages] == [(r.entity_type, r.id) for r in whole]
+
+
+def test_cover_density_counts_minimal_covers(spark):
+    """By hand: two words at 0 and 1 and again at 4 and 6; the covers are (0, 1), (1, 4) and (4, 6)."""
+    hits = [(0, "A", 1), (1, "A", 2), (4, "A", 1), (6, "A", 2)]
+    df = spark.createDataFrame([(hits,), ([],)], "hits array<struct<pos:int,weight:string,slot:bigint>>")
+    got = [r.r for r in df.select(postings.cover_density(F.col("hits")).alias("r")).collect()]
+    a = postings.WEIGHTS["A"]
+    total = a / 1 + a / (1 + 2) + a / (1 + 1)
+    assert abs(got[0] - total / (1 + total)) < 1e-12 and got[1] == 0.0
