@@ -119,7 +119,7 @@ def safe_url(col: Column) -> Column:
 
 def clean_strings(col: Column) -> Column:
     """Sorted distinct texts with ends trimmed; blanks and nulls removed."""
-    trimmed = F.transform(col, F.trim)
+    trimmed = F.transform(col, lambda x: F.trim(x))  # alone, trim would take the index for its second argument
     return F.array_sort(F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_FINDINGS = 100
@@ -49,9 +49,15 @@ def counts(reconciled: DataFrame) -> DataFrame:
 
 
 def findings(reconciled: DataFrame, limit: int = MAX_FINDINGS) -> DataFrame:
-    """First findings in report order: references by id, then stray keys."""
-    bad = reconciled.filter(F.col("kind") != "verified")
-    return bad.orderBy(F.col("raw_evidence_id").asc_nulls_last(), "storage_key").limit(limit)
+    """First findings in report order (references by id, then stray keys); ``truncated`` if there are more."""
+    order = [F.col("raw_evidence_id").asc_nulls_last(), F.col("storage_key").asc()]
+    first = reconciled.filter(F.col("kind") != "verified").orderBy(*order).limit(limit + 1)
+    every = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (
+        first.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+        .withColumn("truncated", F.count(F.lit(1)).over(every) > limit)
+        .filter(F.col("_n") <= limit).drop("_n")
+    )
 
 
 def write_report(spark, reconciled: DataFrame, path: str) -> None:

@@ -267,9 +267,9 @@ def append_decisions(decisions: DataFrame, stored: DataFrame, first_sequence: in
 
 
 def latest_decision(decisions: DataFrame, columns: list[str]) -> DataFrame:
-    """Newest decision per alias: the greatest sequence number first, then one lookup join."""
-    newest = decisions.groupBy("alias_id").agg(F.max("sequence").alias("sequence"))
-    return decisions.join(newest, ["alias_id", "sequence"], "left_semi").select("alias_id", *columns)
+    """Newest decision per alias, the one with the greatest sequence number, in one scan."""
+    newest = decisions.groupBy("alias_id").agg(F.max_by(F.struct(*columns), "sequence").alias("_newest"))
+    return newest.select("alias_id", *[F.col(f"_newest.{name}") for name in columns])
 
 
 def manual_corrections(

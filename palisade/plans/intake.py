@@ -169,7 +169,7 @@ def integrity_counts(spark, sf_dir):
     return integrity.counts(_reconciled(spark, sf_dir))
 
 
-@query("integrity_findings", f"WITH {_RECONCILED} SELECT * FROM rec WHERE kind <> 'verified' ORDER BY raw_evidence_id NULLS LAST, storage_key LIMIT 100")
+@query("integrity_findings", f"WITH {_RECONCILED} SELECT *, (SELECT count(*) FROM rec WHERE kind <> 'verified') > 100 AS truncated FROM rec WHERE kind <> 'verified' ORDER BY raw_evidence_id NULLS LAST, storage_key LIMIT 100")
 def integrity_findings(spark, sf_dir):
     return integrity.findings(_reconciled(spark, sf_dir))
 

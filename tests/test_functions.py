@@ -63,5 +63,15 @@ def test_open_intervals_overlap(spark):
 
 def test_retry_delay_and_intent(spark):
     assert one(spark, [0, 1, 2, 5, 9, 60], lambda c: times.retry_delay_seconds(c, 30), "int") == [30, 30, 60, 480, 3600, 3600]
-    questions = ["What changed in PowerShell behavior?", "What evidence supports it?", "Who are they?", "source CHANGES"]
+    questions = ["What changed at the dockside office?", "What evidence supports it?", "Who are they?", "source CHANGES"]
     assert one(spark, questions, text.classify_intent) == ["behavior_change", "evidence_support", "actor_overview", "behavior_change"]
+
+
+def test_clean_strings_and_first_match(spark):
+    df = spark.createDataFrame([([" b", "a ", "", None, "b"],), ([],), (None,)], "xs array<string>")
+    got = df.select(jsonx.clean_strings(F.col("xs")).alias("c")).collect()
+    assert [r.c for r in got] == [["a", "b"], [], None]
+    pairs = spark.createDataFrame([([("k", 1), ("m", 2), ("m", 3)],)], "p array<struct<name:string,v:int>>")
+    row = pairs.select(jsonx.first_match(F.col("p"), lambda x: x.getField("name") == "m", "v").alias("m"),
+                       jsonx.first_match(F.col("p"), lambda x: x.getField("name") == "z", "v").alias("z")).first()
+    assert (row.m, row.z) == (2, None)
