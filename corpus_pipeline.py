@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import credentials, near_duplicates, packing, substrings, toxicity
-from palisade.llm.common import stage, table
+from palisade.llm.common import bounded_batches, stage, table
 from palisade.llm.queries import vocabulary
 
 ORACLE_SQL = None
@@ -31,6 +31,7 @@ def _like(docs: DataFrame, rows: DataFrame, changed: bool) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """Documents that the classifier scores below the threshold."""
+    bounded_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, keep_text=True)
     return _like(docs, scored.filter(F.col("score") < threshold), False)
@@ -38,22 +39,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: flo
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    bounded_batches(spark)
     return _like(docs, near_duplicates.one_of_each(docs, 0.8), False)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated 35-word windows; texts without any stay as they are."""
+    bounded_batches(spark)
     found = substrings.remove_repeats(docs, 35)
     return _like(docs, found.select("row", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias("text")), True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced."""
+    bounded_batches(spark)
     return _like(docs, credentials.mask_secrets(docs), True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 token ids."""
+    bounded_batches(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), 1024, 0, vocabulary("byte_bpe_50k.tiktoken"))
 
 

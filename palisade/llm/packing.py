@@ -33,7 +33,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNIT = re.compile(f" ?[{_LETTERS}]++(?![^\\W\\d_])|\n(?=[^{_WS}])|[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Fixed value: the pattern that splits text before the merges.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_KEEP = 120_000
+_KEEP = 100_000
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -46,12 +46,14 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.ranked = Tokenizer.from_file(path), None
-        self.tokenizer.encode_special_tokens = True
-        if ranks:
+        self.tokenizer = self.ranked = None
+        if not ranks:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
+        else:
             import tiktoken
 
             with open(ranks, "rb") as file:
