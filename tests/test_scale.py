@@ -43,7 +43,7 @@ def test_nearest_rank(spark):
     rng = random.Random(9)
     data = {g: [rng.randrange(30) / 2 for _ in range(n)] for g, n in (("a", 1), ("b", 20), ("c", 333))}
     df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g string, v double")
-    got = {r.g: (r.p50, r.p95) for r in scale.nearest_rank(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}, 8).collect()}
+    got = {r.g: (r.p50, r.p95) for r in scale.nearest_rank(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
     for g, vs in data.items():
         ordered = sorted(vs)
         assert got[g] == tuple(ordered[ceil(p * len(vs)) - 1] for p in (0.5, 0.95))
