@@ -9,11 +9,11 @@ probability of about 2 in 10,000.
 A candidate pair is aligned: its equal labelled k-mers, within the diagonal band that a similarity of 0.8 leaves room for, are
 chained in order. The similarity is aligned k-mers over all (n_a + n_b - aligned); 0.8 or more is a link.
 
-Equal texts are one content from the start. A bucket of at most ``SMALL`` contents is compared in full; in a larger one all
-are compared with its most central member, the one that is met most often over all its buckets (of a group of copies the text
-that they come from), and those that are no match go on in buckets split by a further sketch, until none is left. No bucket is
-ever collected and none is cut; a large group of copies costs about one comparison per member. What this can miss is a link
-between two members of a large bucket of which one is no match of the centre, unless another band shows it.
+Equal texts are one content from the start. Every bucket is compared in full. The pairs of one of at most ``SMALL`` contents are
+rows; a larger one is dealt into blocks of about ``BLOCK`` contents or ``BLOCK_WORDS`` words, and every two of its blocks meet in
+one group, which gives each content's number of links and as many links as hold its parts together, not a row for each pair. A
+pair that shares several large buckets counts in that of its first band; one that also shares small ones counts in the large
+one only. So the only links that can be missed are those of texts that share no band.
 
 Classes are the connected components of the links. Defined results: texts without words (null, empty, blank) are equal to each
 other; texts of fewer than five words match only equal ones; repeated rows fall into one class; a null doc_id is the
@@ -33,7 +33,7 @@ from palisade.llm.common import BASES, Rolling, Words, mix, slices, stage, texts
 from palisade.llm.graph import components
 
 K, BANDS, ROWS = 5, 16, 2
-SMALL = 16
+SMALL, BLOCK, BLOCK_WORDS = 16, 1000, 1_000_000
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -145,90 +145,133 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
     return len(tails)
 
 
+def _matches(one: int, others: np.ndarray, ids: np.ndarray, first: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the others are as similar to one: ``aligned`` for many texts at once; ``place`` is -1 throughout and left so."""
+    own, sizes = ids[first[one] : first[one + 1]], first[others + 1] - first[others]
+    n_own = len(own)
+    place[own] = np.arange(n_own)
+    owner = np.repeat(np.arange(len(others)), sizes)
+    j = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    i = place[ids[np.repeat(first[others], sizes) + j]]
+    place[own] = -1
+    band = ((1 - similarity) / (1 + similarity) * (n_own + sizes)).astype(np.int64) + 1
+    near = np.flatnonzero((i >= 0) & (np.abs(i - j) <= band[owner]))
+    i, owner = i[near], owner[near]
+    n = np.bincount(owner, minlength=len(others))
+    crossed = np.zeros(len(others), bool)
+    crossed[owner[1:][(owner[1:] == owner[:-1]) & (i[1:] < i[:-1])]] = True
+    edges = np.append(0, np.cumsum(n))
+    for k in np.flatnonzero(crossed & (n / (n_own + sizes - n) >= similarity)):
+        tails: list[int] = []
+        for x in i[edges[k] : edges[k + 1]].tolist():
+            t = bisect_left(tails, x)
+            tails[t : t + 1] = [x]
+        n[k] = len(tails)
+    return others[n / (n_own + sizes - n) >= similarity]
+
+
+def _blocks(similarity: float):
+    """All pairs of two blocks of a bucket (or of one): links that join their parts (a, b, 0) and numbers of links (a, null, n)."""
+    def run(rows: pa.Table) -> pa.Table:
+        content, part, band = (rows.column(c).to_numpy() for c in ("content", "part", "band"))
+        keys = np.array(rows.column("large").to_pylist(), np.int64)[:, : band[0]]
+        kmers = [_kmers(t) for t in rows.column("tokens").to_pylist()]
+        first = np.append(0, np.cumsum([len(k) for k in kmers]))
+        size = np.diff(first)
+        seen, ids = np.unique(np.concatenate(kmers), return_inverse=True)
+        place = np.full(len(seen), -1, np.int64)
+        two = np.flatnonzero(part == part.max())
+        within = len(two) == len(part)
+        degree, group = np.zeros(len(content), np.int64), np.arange(len(content))
+        a, b = [], []
+        for one in range(len(content)) if within else np.flatnonzero(part != part.max()):
+            rest = two[two > one] if within else two
+            rest = rest[(size[rest] >= similarity * size[one]) & (size[one] >= similarity * size[rest])]
+            rest = rest[~((keys[rest] == keys[one]) & (keys[one] != 0)).any(axis=1)]
+            for at in range(0, len(rest), BLOCK):
+                found = _matches(one, rest[at : at + BLOCK], ids, first, place, similarity)
+                degree[one] += len(found)
+                degree[found] += 1
+                labels, where = np.unique(group[found], return_index=True)
+                for label, k in zip(labels.tolist(), where.tolist()):
+                    if label != group[one]:
+                        a.append(content[one])
+                        b.append(content[found[k]])
+                        group[group == label] = group[one]
+        some = np.flatnonzero(degree)
+        return pa.table({"a": pa.array([*a, *content[some].tolist()], pa.int64()), "b": pa.array([*b, *[None] * len(some)], pa.int64()),
+                         "n": pa.array([*[0] * len(a), *degree[some].tolist()], pa.int64())})
+
+    return run
+
+
 def _compared(similarity: float):
     def run(batches):
         for batch in batches:
-            links, shares, last, kmers = [], [], None, None
+            links, last, kmers = [], None, None
             for a, b, left, right in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if left is not last:
                     last, kmers = left, _kmers(left)
                 other = _kmers(right)
                 n = aligned(kmers, other, similarity)
-                share = n / (len(kmers) + len(other) - n)
-                if share >= similarity:
+                if n / (len(kmers) + len(other) - n) >= similarity:
                     links.append((a, b))
-                    shares.append(share)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links]), pa.array(shares)],
-                                                 ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], ["a", "b"])
 
     return run
 
 
-def links(docs: DataFrame, known: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """a < b, similarity: linked contents among those of ``known`` (content, n_words, sketch)."""
+def links(docs: DataFrame, known: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Links among the contents of ``known`` (content, n_words, sketch).
+
+    First a, b: enough links to join all that are linked, directly or not; then node, n_links: the number of all links of a content.
+    """
     if not 0 < similarity <= 1:
         raise ValueError("similarity lies above 0 and at most at 1")
-    distinct = stage(known.filter("n_words > 0").dropDuplicates(["content"]).select("content", "n_words", "sketch"), "omh-contents")
+    distinct = known.filter("n_words > 0").dropDuplicates(["content"]).select("content", "n_words", "sketch")
     keys = [F.xxhash64(F.lit(b), *[F.col("sketch")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]
-    members = distinct.select("content", "n_words", F.posexplode(F.array(*keys)).alias("band", "bucket"))
-
-    def crowded(rows: DataFrame) -> DataFrame:
-        """The rows of buckets with two contents or more, with their number and the most central one as hub."""
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sized = stage(rows.join(sizes, "bucket"), "omh-buckets")
-        large = sized.filter(F.col("n") > SMALL)
-        met = large.groupBy("content").agg(F.sum("n").alias("met"))
-        hubs = large.join(met, "content").groupBy("bucket").agg(
-            F.max_by(F.struct("content", "n_words"), F.struct("met", "content")).alias("hub"))
-        return stage(sized.join(hubs, "bucket", "left"), "omh-hubs")
-
-    members = crowded(members)
+    members = stage(distinct.select("content", "n_words", F.posexplode(F.array(*keys)).alias("band", "bucket")), "omh-members")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).filter("n > 1")
+    members = stage(members.join(sizes, "bucket"), "omh-buckets")
+    is_large = F.col("n") > SMALL
+    of_band = [F.coalesce(F.max(F.when(is_large & (F.col("band") == b), F.col("bucket"))), F.lit(0)) for b in range(BANDS)]
+    wanted = members.groupBy("content").agg(F.array(*of_band).alias("large"))
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    wanted = members.select("content").distinct()
-    tokens = stage(texts.mapInArrow(_contents(True), "content long, tokens binary").join(wanted, "content", "left_semi")
+    tokens = stage(texts.mapInArrow(_contents(True), "content long, tokens binary").join(wanted, "content")
                    .dropDuplicates(["content"]), "omh-tokens")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Verified links of (x, y) pairs: lengths first, then alignment; the hub's tokens join last and are not moved."""
-        shingles = lambda c: F.greatest(F.col(c) - (K - 1), F.lit(1))
-        fits = (shingles("n_x") >= similarity * shingles("n_y")) & (shingles("n_y") >= similarity * shingles("n_x"))
-        pairs = pairs.filter(fits).select("x", "y").distinct()
-        rows = (pairs.join(tokens.select(F.col("content").alias("y"), F.col("tokens").alias("right")), "y")
-                .join(tokens.select(F.col("content").alias("x"), F.col("tokens").alias("left")), "x")
-                .select("x", "y", "left", "right"))
-        found = rows.mapInArrow(_compared(similarity), "a long, b long, similarity double")
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
-
-    found, turn = None, 0
-    while True:
-        small = members.filter(F.col("n") <= SMALL).select("bucket", "content", "n_words")
-        pairs = (small.select("bucket", F.col("content").alias("x"), F.col("n_words").alias("n_x"))
-                 .join(small.select("bucket", F.col("content").alias("y"), F.col("n_words").alias("n_y")), "bucket").filter("x < y")
-                 .select("x", "y", "n_x", "n_y"))
-        large = members.filter((F.col("n") > SMALL) & (F.col("content") != F.col("hub.content")))
-        stars = large.select(F.col("hub.content").alias("x"), F.col("content").alias("y"), F.col("hub.n_words").alias("n_x"),
-                             F.col("n_words").alias("n_y"))
-        new = stage(compared(pairs.unionByName(stars)), "omh-links")
-        found = new if found is None else found.unionByName(new)
-        met = new.select("a", "b").unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        left = large.join(met, (F.col("hub.content") == F.col("a")) & (F.col("content") == F.col("b")), "left_anti")
-        turn += 1
-        further = (F.col("band") * ROWS + ROWS + turn % (BANDS * ROWS - ROWS)) % (BANDS * ROWS)
-        split = F.xxhash64("bucket", F.get("sketch", further))
-        left = left.select("content", "n_words", "band", "bucket").join(distinct.select("content", "sketch"), "content")
-        members = crowded(left.select("content", "n_words", "band", split.alias("bucket")))
-        if not members.limit(1).count():
-            return stage(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "omh-links")
+    small = members.filter(~is_large).select("bucket", "content", "n_words")
+    shingles = lambda c: F.greatest(F.col(c) - (K - 1), F.lit(1))
+    fits = (shingles("n_x") >= similarity * shingles("n_y")) & (shingles("n_y") >= similarity * shingles("n_x"))
+    pairs = (small.select("bucket", F.col("content").alias("x"), F.col("n_words").alias("n_x"))
+             .join(small.select("bucket", F.col("content").alias("y"), F.col("n_words").alias("n_y")), "bucket")
+             .filter((F.col("x") < F.col("y")) & fits).select("x", "y").distinct())
+    side = lambda c, name, large: tokens.select(F.col("content").alias(c), F.col("tokens").alias(name), F.col("large").alias(large))
+    elsewhere = F.exists(F.zip_with("large_x", "large_y", lambda p, q: (p == q) & (p != 0)), lambda same: same)
+    rows = pairs.join(side("y", "right", "large_y"), "y").join(side("x", "left", "large_x"), "x").filter(~elsewhere)
+    few = rows.select("x", "y", "left", "right").mapInArrow(_compared(similarity), "a long, b long").withColumn("n", F.lit(1).cast("long"))
+
+    # every two blocks of a large bucket meet once; a content goes to as many groups as its bucket has blocks
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    part = F.pmod(F.xxhash64("content", F.lit(5)), F.col("blocks")).cast("int")
+    dealt = (members.filter(is_large).withColumn("blocks", blocks).withColumn("part", part)
+             .select("bucket", "band", "content", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
+             .join(tokens, "content"))
+    many = dealt.groupBy("bucket", "low", "high").applyInArrow(_blocks(similarity), "a long, b long, n long")
+    found = stage(few.unionByName(many), "omh-links")
+    ends = F.when(F.col("b").isNull(), F.array("a")).otherwise(F.array("a", "b"))
+    degree = found.filter("n > 0").select(F.explode(ends).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("n_links"))
+    return found.filter("b is not null").select("a", "b"), degree
 
 
 def classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, content, n_words, class_id (the smallest doc_id of the class) and n_links (links to other texts) per row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = stage(rows.mapInArrow(_contents(False), "doc_id long, content long, n_words int, sketch array<int>"), "omh-sketches")
-    found = links(docs, known, similarity)
+    found, degree = links(docs, known, similarity)
     labels = components(found)
-    degree = (found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
     labels = labels.join(degree, "node").withColumnRenamed("node", "content")
     each = (known.select("doc_id", "content", "n_words").join(labels, "content", "left")
             .select("doc_id", "content", "n_words", F.coalesce("label", "content").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")))

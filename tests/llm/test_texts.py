@@ -197,6 +197,50 @@ def test_near_duplicates(spark):
     assert Counter(r.row.doc_id for r in kept) == Counter(c for c, _ in groups)
 
 
+def test_links_of_large_groups_are_whole(spark, monkeypatch):
+    """A chain of 500 graded edits and a group of copies that are nearly all similar, against all pairs."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 20)  # large buckets meet in several blocks
+    chain, texts = [f"c{k}" for k in range(150)], []
+    for k in range(500):
+        chain[11 * k % 150] = f"edit{k}"
+        texts.append(" ".join(chain))
+    for k in range(90):
+        group = [f"g{j}" for j in range(150)]
+        group[k + 20] = f"own{k}"
+        texts.append(" ".join(group))
+    runs = [{(p, *w[p : p + 5]) for p in range(146)} for t in texts for w in [t.split()]]  # edits move no word
+    want = Counter({k: 0 for k in range(len(texts))})
+    for k, x in enumerate(runs):
+        for j in range(k):
+            n = len(x & runs[j])
+            if n / (len(x) + len(runs[j]) - n) >= 0.8:
+                want.update((j, k))
+    assert max(want.values()) > 80
+    got = near_duplicates.classes(frame(spark, list(enumerate(texts)))).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert {r.class_id for r in got} == {0, 500}
+
+
+def test_many_at_once_equal_one_by_one():
+    rng = np.random.default_rng(4)
+    base = rng.permutation(60).astype(np.uint64)
+    some = [base]
+    for k in range(60):  # cut, moved and changed parts
+        a, b = sorted(rng.integers(0, 60, 2))
+        x = np.concatenate([base[a:b], base[:a], base[b:]]) if k % 2 else np.delete(base, slice(a, min(b, a + 9)))
+        x[rng.integers(0, len(x))] = 1000 + k
+        some.append(x)
+    first = np.append(0, np.cumsum([len(x) for x in some]))
+    seen, ids = np.unique(np.concatenate(some), return_inverse=True)
+    place = np.full(len(seen), -1, np.int64)
+    for t in (0.5, 0.8):
+        for k, x in enumerate(some):
+            others = np.arange(k + 1, len(some))
+            want = [j for j in others if (n := near_duplicates.aligned(x, some[j], t)) / (len(x) + len(some[j]) - n) >= t]
+            assert near_duplicates._matches(k, others, ids, first, place, t).tolist() == want
+    assert (place == -1).all()
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert credentials.find_secrets(none).count() == 0
