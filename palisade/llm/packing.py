@@ -227,12 +227,13 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
     """
     spark = docs.sparkSession
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = stage(pieces.mapInArrow(_cut(tokenizer_path, ranks_path, window, end_id), _PIECES), "pack-pieces")
-    pieces = pieces.withColumn("row", F.monotonically_increasing_id())
+    pieces = pieces.mapInArrow(_cut(tokenizer_path, ranks_path, window, end_id), _PIECES).withColumn("row", F.monotonically_increasing_id())
+    # written with their numbers: these would be others in a scan that packs the files into other partitions
+    pieces = stage(pieces.withColumn("part", F.shiftright("row", 33)), "pack-pieces")
     out = ["doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens"]
 
     whole = pieces.filter("ids is null").select(*out, (F.col("row") * 3).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.filter("ids is not null").withColumn("part", F.shiftright("row", 33))
+    rest = pieces.filter("ids is not null")
 
     # ranks within a length: a part's own numbering, after the counts of the parts before it
     counted = rest.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -133,6 +133,30 @@ def test_packing(spark, window):
     assert packing.pack(frame(spark, []), BYTES, window).count() == 0
 
 
+def test_packing_does_not_depend_on_how_scans_are_split(spark, monkeypatch):
+    rows, name, write = [(k, "a " * (k % 40)) for k in range(300)], "spark.sql.files.minPartitionNum", packing.stage
+
+    def then_fewer_partitions(df, label):
+        made = write(df, label)
+        if label == "pack-placed":
+            spark.conf.set(name, "1")
+        return made
+
+    monkeypatch.setattr(packing, "stage", then_fewer_partitions)
+    spark.conf.set(name, "64")
+    try:
+        docs = frame(spark, rows).repartition(16)
+        got = packing.pack(docs, BYTES, 64, 0, RANKS).collect()
+    finally:
+        spark.conf.unset(name)
+    length = Counter()
+    for r in got:
+        length[r.doc_id] += r.length
+    assert length == {r.doc_id: r.doc_tokens for r in got} and len(length) == 300
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
+
+
 def test_least_squares():
     used = packing.combinations(64)
     assert all(sum(c) == 64 for c in used)
