@@ -3,8 +3,10 @@
 Tokens are words (A-Z lower-cased) and one end. The words of all training texts are counted by a distributed aggregation; these counts
 give the model's vocabulary (the ``vocabulary`` most frequent), its classes (runs of the frequency order), its first biases,
 the probabilities of words outside the vocabulary, and the base score. The recurrent weights are fitted in numpy by
-truncated backpropagation on at most ``max_tokens`` tokens of training texts (those with the smallest hash of their id). The
-output is factored: the probability of a word's class times that of the word in its class. A word outside the vocabulary
+truncated backpropagation: first weights on up to ``max_tokens`` tokens of at most ``max_texts`` texts (those with the smallest hash
+of their id; a text that does not fit is cut), then one pass over all training texts. For that the texts are dealt by hash into
+shards of about ``shard_tokens`` tokens; each shard goes on from the first weights, and the results are averaged by their
+numbers of tokens. The output is factored: the probability of a word's class times that of the word in its class. A word outside the vocabulary
 costs the probability of the class of such words times (c + 1) / (their tokens + their words + 1). A text is scored from its
 first token to its end; the state is carried from window to window and starts anew with each text.
 
@@ -119,16 +121,22 @@ class Network:
                 d_h[at] += d @ self.words[a:b]
         return found, d_h
 
-    def fit(self, stream: np.ndarray, end: int, batch: int = 64, window: int = 32, epochs: int = 3, rate: float = 4e-3) -> list[float]:
-        """Truncated backpropagation over a stream of ids in which ``end`` closes each text; mean loss of each epoch."""
+    def fit(self, stream: np.ndarray, end: int, batch: int = 64, window: int = 32, epochs: int = 3, rate: float = 4e-3,
+            moments: dict | None = None) -> list[float]:
+        """Truncated backpropagation over a stream of ids in which ``end`` closes each text; mean loss of each epoch.
+
+        ``moments`` carries the optimizer's state from one call to the next.
+        """
         batch = max(1, min(batch, len(stream) // (2 * window)))
         steps = (len(stream) - 1) // batch
         if steps < 1:
             return []
         rows = np.lib.stride_tricks.sliding_window_view(stream, steps + 1)[::steps][:batch].T
-        first, second, turn, losses, k = {}, {}, 0, [], self.hidden
-        for name in self.NAMES:
-            first[name], second[name] = np.zeros_like(getattr(self, name)), np.zeros_like(getattr(self, name))
+        losses, k, moments = [], self.hidden, {} if moments is None else moments
+        if not moments:
+            moments |= {"turn": 0} | {name: (np.zeros_like(getattr(self, name)), np.zeros_like(getattr(self, name))) for name in self.NAMES}
+        turn = moments["turn"]
+        first, second = ({name: moments[name][i] for name in self.NAMES} for i in (0, 1))
         for _ in range(epochs):
             h, loss = np.zeros((rows.shape[1], k), np.float32), 0.0
             for begin in range(0, steps, window):
@@ -170,6 +178,7 @@ class Network:
                     step = rate * (first[name] / (1 - 0.9**turn)) / (np.sqrt(second[name] / (1 - 0.99**turn)) + 1e-6)
                     getattr(self, name)[...] -= step
             losses.append(loss / (steps * rows.shape[1]))
+        moments["turn"] = turn
         return losses
 
     def score(self, texts: list[np.ndarray], end: int, window: int = 32, most: int = 60_000) -> np.ndarray:
@@ -275,8 +284,61 @@ def _as_ids(keys: np.ndarray, ids: np.ndarray):
     return run
 
 
+#: Weights are averaged in so many pieces, each in a group of its own.
+_PIECES = 64
+
+
+def _trained(shared, stretch: int):
+    """The weights after a shard's texts, in pieces, with the number of its tokens."""
+    def run(rows: pa.Table) -> pa.Table:
+        arrays, end = shared.value
+        network = Network(*[x.copy() for x in arrays])
+        rows = rows.sort_by([("place", "ascending"), ("ids", "ascending")])
+        close = np.array([end], "<u2").tobytes()
+        stream = np.frombuffer(close + b"".join(x for ids in rows.column("ids").to_pylist() for x in (ids, close)), "<u2")
+        moments: dict = {}
+        for begin in range(0, len(stream) - 1, stretch):
+            network.fit(stream[begin : begin + stretch + 1].astype(np.int64), end, epochs=1, rate=1e-3, moments=moments)
+        flat = np.concatenate([getattr(network, name).ravel() for name in Network.NAMES])
+        parts = [x.astype("<f4").tobytes() for x in np.array_split(flat, _PIECES)]
+        n = len(parts)
+        return pa.table({"piece": pa.array(range(n), pa.int32()), "shard": pa.array([rows.column("shard")[0].as_py()] * n, pa.int32()),
+                         "tokens": pa.array([len(stream) - 1] * n, pa.int64()), "weights": pa.array(parts, pa.binary())})
+
+    return run
+
+
+def _averaged(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("shard")
+    total, tokens = 0.0, 0
+    for n, weights in zip(rows.column("tokens").to_pylist(), rows.column("weights")):
+        total = total + n * np.frombuffer(weights.as_py(), "<f4").astype(np.float64)
+        tokens += n
+    return pa.table({"piece": rows.column("piece")[:1], "tokens": pa.array([tokens], pa.int64()),
+                     "weights": pa.array([(total / tokens).astype("<f4").tobytes()], pa.binary())})
+
+
+def refine(network: Network, texts: DataFrame, end: int, tokens: int, shard_tokens: int, stretch: int) -> int:
+    """One pass over all texts (place, ids), each shard from the same weights, then their average; the tokens learned from."""
+    spark = texts.sparkSession
+    shards = max(1, -(-tokens // shard_tokens))
+    shared = spark.sparkContext.broadcast(([getattr(network, name) for name in (*Network.NAMES, "edges")], end))
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("place", "ids"), F.lit(shards)).cast("int"))
+    made = dealt.groupBy("shard").applyInArrow(_trained(shared, stretch), "piece int, shard int, tokens long, weights binary")
+    rows = made.groupBy("piece").applyInArrow(_averaged, "piece int, tokens long, weights binary").collect()
+    if not rows:
+        return 0
+    flat = np.concatenate([np.frombuffer(r["weights"], "<f4") for r in sorted(rows, key=lambda r: r["piece"])])
+    at = 0
+    for name in Network.NAMES:
+        own = getattr(network, name)
+        own[...] = flat[at : at + own.size].reshape(own.shape)
+        at += own.size
+    return rows[0]["tokens"]
+
+
 def fit(docs: DataFrame, counts: DataFrame, vocabulary: int = 2048, frequent: int = 1 << 18, hidden: int = 32,
-        max_tokens: int = 400_000, max_texts: int = 2_000) -> Model:
+        max_tokens: int = 400_000, max_texts: int = 2_000, shard_tokens: int = 2_000_000) -> Model:
     """Learn from docs (training texts only) and their staged counts."""
     if vocabulary > 65_000:
         raise ValueError("ids are kept in 16 bits")
@@ -300,17 +362,18 @@ def fit(docs: DataFrame, counts: DataFrame, vocabulary: int = 2048, frequent: in
                   float(by_id[0] + max(int(total["words"]) - vocabulary, 0) + 1))
     own = ids[order] > 0
     place = F.xxhash64("doc_id", F.lit(11))
-    picked = docs.select("doc_id", place.alias("place")).orderBy("place").limit(max_texts).agg(F.max("place")).first()[0]
-    if picked is not None:
-        chosen = docs.filter(place <= picked).select(place.alias("place"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        made = stage(chosen.mapInArrow(_as_ids(words[order][own], ids[order][own].astype(np.int64)), "place long, ids binary"), "lm-sample")
-        sizes = made.select("place", F.length("ids").alias("n")).orderBy("place", "n").limit(max_texts).toPandas()
-        fits = sizes["place"][(sizes["n"] / 2 + 1).cumsum() <= max_tokens]
-        if len(fits):
-            rows = made.filter(F.col("place") <= int(fits.max())).orderBy("place", "ids").limit(len(fits)).collect()
-            end = model.end_id
-            stream = np.concatenate([[end], *[x for r in rows for x in (np.frombuffer(r["ids"], "<u2"), [end])]]).astype(np.int64)
-            network.fit(stream, end)
+    texts = docs.select(place.alias("place"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    made = stage(texts.mapInArrow(_as_ids(words[order][own], ids[order][own].astype(np.int64)), "place long, ids binary"), "lm-texts")
+    sizes = made.select("place", F.length("ids").alias("n")).orderBy("place", "n").limit(max_texts).toPandas()
+    size = sizes["n"] // 2 + 1
+    fits = sizes["place"][size.cumsum() - size < max_tokens]
+    if len(fits):
+        head = made.filter(F.col("place") <= int(fits.max())).select("place", F.substring("ids", 1, 2 * max_tokens).alias("ids"))
+        rows = head.orderBy("place", "ids").limit(len(fits)).collect()
+        end = model.end_id
+        stream = np.concatenate([[end], *[x for r in rows for x in (np.frombuffer(r["ids"], "<u2"), [end])]]).astype(np.int64)
+        network.fit(stream[: max_tokens + 1], end)
+        refine(network, made, end, int(total["n"]), shard_tokens, max_tokens)
     return model
 
 

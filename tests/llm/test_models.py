@@ -94,3 +94,19 @@ def test_training_learns_an_order():
     network = language_model.Network.start(np.bincount(stream, minlength=8).astype(float), 16)
     losses = network.fit(stream, 1, batch=16, window=16, epochs=4)
     assert losses[-1] < 0.35 < losses[0]
+
+
+def test_all_texts_are_learned_from_and_a_long_first_text_is_cut(spark):
+    order = "a b c d e f g h".split()
+    rows = [(k, " ".join(order * 12)) for k in range(60)]
+    docs = frame(spark, rows)
+    counts = stage(language_model.count_words(docs), "t")
+    start = language_model.fit(docs, counts, hidden=8, max_texts=0)
+    cut = language_model.fit(docs, counts, hidden=8, max_tokens=90, shard_tokens=2000)  # no text fits as a whole
+    assert not np.array_equal(start.network.state, cut.network.state)
+    log = lambda m: [r.score for r in language_model.score(docs, m, counts).collect()]
+    assert np.mean(log(cut)) > np.mean(log(start)) + 1
+
+    texts = stage(spark.createDataFrame([(k, bytes(np.arange(2, 10, dtype="<u2")) * 12) for k in range(60)], "place long, ids binary"), "t")
+    network = language_model.Network.start(np.ones(12), 8)
+    assert language_model.refine(network, texts, 1, 60 * 97, 1000, 300) == 60 * 97
