@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palisade.functions.text import collapse, fold
 from palisade.operators import evaluate, postings as P, resolve as R, search as S
 from palisade.operators import artifacts as art
 from palisade.plans import adapters as A
@@ -83,14 +84,13 @@ def resolution_decisions(spark, sf_dir):
 
 @query("similar_candidates")
 def similar_candidates(spark, sf_dir):
-    """Page titles (as labels) against the first sentence of each article heading: near copies pair up."""
+    """Page titles (as labels) against all distinct titles, both folded alike; titles of any length and script take part."""
     pages = A.table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    named = pages.select("page_id", title.alias("t")).filter(F.length("t").between(2, 255))
-    actors = named.groupBy(F.lower("t").alias("normalized_name")).agg(F.min("page_id").alias("k")).select(
+    named = pages.select("page_id", collapse(fold(title)).alias("normalized_name")).filter("normalized_name != ''")
+    actors = named.groupBy("normalized_name").agg(F.min("page_id").alias("k")).select(
         F.concat(F.lit("actor-"), c("k").cast("string")).alias("id"), "normalized_name")
-    labels = named.select(F.concat(F.lit("alias-"), c("page_id").cast("string")).alias("alias_id"),
-                          F.regexp_replace(F.lower("t"), "[^a-z ]", "").alias("normalized_name")).filter(F.length("normalized_name") > 0)
+    labels = named.select(F.concat(F.lit("alias-"), c("page_id").cast("string")).alias("alias_id"), "normalized_name")
     rules = spark.createDataFrame([], "normalized_alias string, actor_id string, active boolean")
     rows = R.similar_candidates(labels, actors, rules)
     return rows.select("alias_id", "actor_id", F.array_join("bases", "|").alias("bases"), F.round("similarity", 6).alias("similarity"), "position")

@@ -96,3 +96,20 @@ def test_registration_outcomes(spark):
          (3, "new", "a", None, None, None, None, None), (4, "new", "a", None, None, None, None, None), (5, "new", "b", None, None, None, None, None)], schema)
     got = {r.submission_id: r.outcome for r in intake.register_sources(batch, stored).collect()}
     assert got == {1: "duplicate", 2: "conflict", 3: "created", 4: "duplicate", 5: "conflict"}
+
+
+def test_query_of_similar_titles_keeps_every_title(spark, tmp_path):
+    from palisade.plans.resolution import similar_candidates as asked
+
+    long = "".join(random.Random(3).choice("abcdefgh ") for _ in range(400)) + "x"
+    titles = ["Москва сегодня утром", "Москва сегодня  утром", "Crème brûlée À LA carte", "crème brûlée à la cartes", "x", long, long + "y", "", "東京都庁舎案内"]
+    rows = [(k, f"<html><title>{t}</title></html>") for k, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.alias_id, r.actor_id): r.similarity for r in asked(spark, str(tmp_path)).collect()}
+    names = {k: " ".join(t.casefold().split()) for k, t in enumerate(titles) if t}
+    first = {}
+    for k, n in names.items():
+        first.setdefault(n, k)
+    want = {(f"alias-{k}", f"actor-{a}"): round(s, 6) for k, n in names.items() for m, a in first.items()
+            if (s := SequenceMatcher(None, n, m).ratio()) >= 0.84}
+    assert got == want and len(names) == 8
