@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
 ``documents``; where a stage changes texts, ``n_chars`` is counted anew. ``run`` writes each stage's rows as Parquet and reads them
-again. No stage has an SQL form: classifier, sketches and least squares are compared with brute force in tests/llm.
+again. No stage has an SQL form: tests/llm checks the operators that the stages call, not the stages themselves.
 """
 
 from __future__ import annotations
