@@ -42,6 +42,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete a table that ``stage`` gave, once nothing reads it any more."""
+    hadoop = staged.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for folder in {name.rpartition("/")[0] for name in staged.inputFiles()}:
+        path = hadoop(folder)
+        path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def other_columns(docs: DataFrame) -> list:
+    """All columns but the text, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c != "text"]
+
+
 def kept_in_worker(key: tuple, make):
     """What ``make`` gives, made once per Python worker and key: functions are shipped by value, so globals are not shared."""
     held = sys.modules.setdefault("palisade_worker", types.ModuleType("palisade_worker")).__dict__
