@@ -172,3 +172,115 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stage(language_model.count_words(train), "lm-counts")
     found = language_model.score(docs, language_model.fit(train, counts), counts)
     return found.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed towards the benchmark texts; the highest tenth of the scores is ranked."""
+    from palisade.llm import resampling
+
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The unsigned crc32 of a text's UTF-8 bytes, given the one-row table ``crc``.
+_CRC_TABLE = """crc AS (SELECT list(c ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def _crc32(text: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode({text})) + 1), "
+            f"lambda i: ('0x' || substr(hex({text}), (2 * i - 1)::BIGINT, 2))::BIGINT)), "
+            "lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)")
+
+
+_LOWERED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op12_importance_resampling"] = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, unnest(coalesce(nullif(regexp_extract_all({_LOWERED.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []), [NULL])) AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all({_LOWERED.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+v AS (SELECT w, {_crc32('w')} % 10000 AS k FROM (SELECT DISTINCT w FROM (SELECT w FROM d UNION ALL SELECT w FROM b) WHERE w IS NOT NULL), crc),
+s AS (SELECT k, count(*) AS s FROM d JOIN v USING (w) GROUP BY k), t AS (SELECT k, count(*) AS t FROM b JOIN v USING (w) GROUP BY k),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t_all),
+g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000) / ((coalesce(s, 0) + 1.0::DOUBLE) * (t_all + 10000))))::BIGINT AS gain
+      FROM s FULL JOIN t USING (k), n),
+m AS (SELECT r, doc_id, count(w)::BIGINT AS n_features, coalesce(sum(gain), 0)::BIGINT AS weight
+      FROM d LEFT JOIN v USING (w) LEFT JOIN g USING (k) GROUP BY r, doc_id),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM m),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, r) AS place, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM z LEFT JOIN o USING (r)"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of all documents, folded with lower-cased texts where 5 divides the id's checksum."""
+    from palisade.llm import manifest
+
+    return manifest.manifest(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+ORACLES["op13_merkle_manifest"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+rows_ AS (SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+                 CASE WHEN {_crc32("coalesce(doc_id::VARCHAR, '')")} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+          FROM documents, crc),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, count(*) OVER (PARTITION BY source) AS n,
+                  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS idx FROM rows_),
+low AS (SELECT 0 AS level, tree, idx, leaf AS hash, n FROM leaves
+        UNION ALL SELECT level + 1, tree, idx // 16, sha256(string_agg(hash, '' ORDER BY idx)), max((n + 15) // 16)
+        FROM low WHERE n > 1 GROUP BY level, tree, idx // 16),
+subs AS (SELECT tree, hash AS subroot, level AS depth FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, tree - 1 AS idx, subroot AS hash, count(*) OVER () AS n FROM subs
+         UNION ALL SELECT level + 1, idx // 16, sha256(string_agg(hash, '' ORDER BY idx)), max((n + 15) // 16)
+         FROM high WHERE n > 1 GROUP BY level, idx // 16),
+root AS (SELECT hash AS root, level AS height FROM high WHERE n = 1),
+steps AS (SELECT s.tree, i.idx, k.level,
+                 (i.idx // pow(16, k.level)::BIGINT) AS at FROM leaves i JOIN subs s USING (tree), range(20) k(level) WHERE k.level < s.depth),
+sides AS (SELECT s.tree, s.idx, s.level, coalesce(string_agg(l.hash, '' ORDER BY l.idx) FILTER (l.idx < s.at), '') AS left_,
+                 coalesce(string_agg(l.hash, '' ORDER BY l.idx) FILTER (l.idx > s.at), '') AS right_
+          FROM steps s JOIN low l ON l.tree = s.tree AND l.level = s.level AND l.idx // 16 = s.at // 16 GROUP BY s.tree, s.idx, s.level),
+up AS (SELECT s.tree, k.level, (s.tree - 1) // pow(16, k.level)::BIGINT AS at FROM subs s, root r, range(20) k(level) WHERE k.level < r.height),
+tops AS (SELECT u.tree, u.level, coalesce(string_agg(h.hash, '' ORDER BY h.idx) FILTER (h.idx < u.at), '') AS left_,
+                coalesce(string_agg(h.hash, '' ORDER BY h.idx) FILTER (h.idx > u.at), '') AS right_
+         FROM up u JOIN high h ON h.level = u.level AND h.idx // 16 = u.at // 16 GROUP BY u.tree, u.level),
+way AS (SELECT tree, idx, level AS step, left_, right_ FROM sides
+        UNION ALL SELECT i.tree, i.idx, s.depth + t.level, t.left_, t.right_ FROM leaves i JOIN subs s USING (tree) JOIN tops t USING (tree)),
+fold AS (SELECT tree, idx, 0 AS step, coalesce(changed, leaf) AS value FROM leaves
+         UNION ALL SELECT f.tree, f.idx, f.step + 1, sha256(w.left_ || f.value || w.right_) FROM fold f JOIN way w
+         ON w.tree = f.tree AND w.idx = f.idx AND w.step = f.step),
+proof AS (SELECT tree, idx, sha256(string_agg(left_ || right_, '' ORDER BY step)) AS proof_sha256 FROM way GROUP BY tree, idx),
+done AS (SELECT tree, idx, value AS folded_root FROM fold JOIN subs USING (tree), root WHERE step = depth + height)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subs USING (tree) LEFT JOIN proof USING (tree, idx) JOIN done USING (tree, idx), root"""
+
+
+@query
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document under links of Jaccard similarity 0.9 on sets of three words, and its number of links."""
+    from palisade.llm import jaccard
+
+    return jaccard.joined(table(spark, sf_dir, "documents"), 90)
+
+
+ORACLES["op11_ngram_jaccard"] = rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM t),
+c AS (SELECT s, dense_rank() OVER (ORDER BY s) AS c, r, doc_id FROM g),
+u AS (SELECT DISTINCT c, s, len(s) AS n FROM c WHERE len(s) > 0),
+e AS (SELECT c, n, unnest(s) AS g FROM u),
+p AS (SELECT x.c AS a, y.c AS b FROM e x JOIN e y ON x.g = y.g AND x.c <> y.c AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+      GROUP BY x.c, y.c, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach AS (SELECT c AS a, c AS b FROM u UNION SELECT reach.a, p.b FROM reach JOIN p ON p.a = reach.b),
+small AS (SELECT a AS c, min(doc_id) AS component_id FROM reach JOIN c ON c.c = reach.b GROUP BY a),
+m AS (SELECT c, count(*) AS copies FROM c GROUP BY c),
+k AS (SELECT a AS c, sum(copies) AS others FROM p JOIN m ON m.c = p.b GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id,
+       CASE WHEN len(s) = 0 THEN 0 ELSE coalesce(others, 0) + copies - 1 END::BIGINT AS n_links
+FROM c LEFT JOIN small USING (c) LEFT JOIN m USING (c) LEFT JOIN k USING (c)"""
