@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from palisade.llm.common import Words, mix, slices, stage, texts_of
 from palisade.llm.graph import components
 
-N, BINS, RANGES = 3, 1 << 20, 16
+N, BINS, RANGES = 3, 1 << 18, 64
 SMALL, BLOCK, BLOCK_WORDS, COLUMNS = 16, 1000, 1_000_000, 4096
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -278,9 +278,9 @@ def _blocks(percent: int):
 
 def _bins(texts: DataFrame) -> np.ndarray:
     """The estimates: at most BINS numbers."""
-    sums = texts.mapInArrow(_counted, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    sums = texts.mapInArrow(_counted, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     bins = np.zeros(BINS, np.int64)
-    bins[sums["bin"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    bins[sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
     return bins
 
 
@@ -313,13 +313,11 @@ def links(texts: DataFrame, contents: DataFrame, percent: int = 90) -> DataFrame
     """
     members = _buckets(texts, contents, percent)
     is_large = F.col("size") > SMALL
-    large = (members.filter(is_large).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("large")))
-    wanted = members.select("cid", "one", "two").distinct().join(large, "cid", "left")
-    held = stage(texts.mapInArrow(_firsts, "one long, two long, text string").join(wanted, ["one", "two"])
-                 .dropDuplicates(["cid"]).select("cid", "text", "large"), "jaccard-texts")
+    large = stage(members.filter(is_large).groupBy("cid", "one", "two")
+                  .agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("large")), "jaccard-large")
 
-    side = lambda s: (members.filter(~is_large).join(large, "cid", "left")
-                      .select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "place", "ranges", "copies", "large")]))
+    side = lambda s: (members.filter(~is_large).join(large.select("cid", "large"), "cid", "left")
+                      .select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "one", "two", "n", "place", "ranges", "copies", "large")]))
     n_x, n_y = F.col("n_x"), F.col("n_y")
     needed = _needed(n_x, n_y, percent)
     apart = F.aggregate(F.zip_with("ranges_x", "ranges_y", lambda p, q: F.abs(p - q).cast("long")), F.lit(0).cast("long"), lambda s, d: s + d)
@@ -328,7 +326,15 @@ def links(texts: DataFrame, contents: DataFrame, percent: int = 90) -> DataFrame
              .filter(F.least(n_x - F.col("place_x"), n_y - F.col("place_y")) >= needed)
              .filter(apart <= n_x + n_y - 2 * needed)
              .filter(~F.coalesce(F.arrays_overlap(F.transform("large_x", lambda t: t.token), F.transform("large_y", lambda t: t.token)), F.lit(False)))
-             .select("cid_x", "cid_y", "copies_x", "copies_y").dropDuplicates(["cid_x", "cid_y"]))
+             .select(*[f"{c}_{s}" for s in "xy" for c in ("cid", "one", "two", "copies")]).dropDuplicates(["cid_x", "cid_y"]))
+    pairs = stage(pairs, "jaccard-pairs")
+
+    # texts of the contents that stand in a pair or in a large bucket, and of no others
+    ends = [pairs.select(*[F.col(f"{c}_{s}").alias(c) for c in ("cid", "one", "two")]) for s in "xy"]
+    wanted = ends[0].unionByName(ends[1]).unionByName(large.select("cid", "one", "two")).distinct()
+    wanted = wanted.join(large.select("cid", "large"), "cid", "left")
+    held = stage(texts.mapInArrow(_firsts, "one long, two long, text string").join(wanted, ["one", "two"])
+                 .dropDuplicates(["cid"]).select("cid", "text", "large"), "jaccard-texts")
     text = lambda s: held.select(F.col("cid").alias(f"cid_{s}"), F.col("text").alias(f"text_{s}"))
     rows = pairs.join(text("y"), "cid_y").join(text("x"), "cid_x")
     few = (rows.select("cid_x", "cid_y", "copies_x", "copies_y", "text_x", "text_y")
