@@ -16,10 +16,11 @@ A pair belongs to its rarest common bucket. Buckets of up to ``SMALL`` contents
   bucket, where nothing common stands before it; so no pair is lost in all its buckets);
 * the suffix filter: counted by ranges of the hash, the sets differ in no more n-grams than a link allows;
 
-and are verified once. A larger bucket is dealt into blocks of about ``BLOCK`` contents or ``BLOCK_WORDS`` words; every two
-blocks meet in one task, which takes the sizes of all intersections from a matrix product and leaves out the pairs that have an
-earlier large bucket in common (small buckets leave out pairs with any large one). It writes a row for each content, not for
-each pair: its number of links, and one link to hold linked parts together.
+and are verified once. A larger bucket is dealt into blocks of about ``BLOCK`` contents or ``BLOCK_WORDS`` words, and every two
+blocks meet in one task, twice: first without texts, which leaves the contents that have a partner by the length and the suffix filter
+and no earlier large bucket in common with it (small buckets leave out pairs with any large one); then these contents come with
+their texts, and a matrix product gives the sizes of all intersections. A task writes a row for each content, not for each pair:
+its number of links, and one link to hold linked parts together.
 
 Runs are told apart by 64 bits, which is checked nowhere else: in one set or pair a mistake needs two runs of equal hash and a
 similarity at the very limit. Contents are told apart by 128 bits of two independent hashes.
@@ -239,27 +240,52 @@ def _earlier(lists: list[list], current: tuple) -> np.ndarray:
     return masks
 
 
+def _halves(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows are of the lower and of the higher block; which pairs of them have no earlier large bucket in common."""
+    part, (low, high) = rows.column("part").to_numpy(), (rows.column(c)[0].as_py() for c in ("low", "high"))
+    masks = _earlier(rows.column("large").to_pylist(), (rows.column("often")[0].as_py(), rows.column("token")[0].as_py()))
+    one, two = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    first = np.ones((len(one), len(two)), bool)
+    for w in range(masks.shape[1]):
+        first &= (masks[one, w][:, None] & masks[two, w][None, :]) == 0
+    if low == high:
+        np.fill_diagonal(first, False)
+    return one, two, first
+
+
+def _survivors(percent: int):
+    """The rows of two blocks (or of one) that have a partner by the length and the suffix filter."""
+    def run(rows: pa.Table) -> pa.Table:
+        one, two, first = _halves(rows)
+        n = rows.column("n").to_numpy().astype(np.float64)
+        ranges = np.array(rows.column("ranges").to_pylist(), np.float32)
+        n_x, n_y = n[one][:, None], n[two][None, :]
+        first &= 100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
+        room = n_x + n_y - 2 * np.ceil((n_x + n_y) * percent / (100.0 + percent) - 1e-9)
+        for k, row in enumerate(one):
+            some = np.flatnonzero(first[k])
+            first[k, some] = np.abs(ranges[two[some]] - ranges[row]).sum(axis=1, dtype=np.float64) <= room[k, some]
+        alive = np.zeros(rows.num_rows, bool)
+        alive[one[first.any(axis=1)]] = alive[two[first.any(axis=0)]] = True
+        return rows.select(["token", "often", "cid", "copies", "part", "low", "high"]).filter(pa.array(alive))
+
+    return run
+
+
 def _blocks(percent: int):
     """All pairs of two blocks of a bucket (or of one): for each linked content a, weighted number of links n, and a link b."""
     def run(rows: pa.Table) -> pa.Table:
-        cid, part, copies = (rows.column(c).to_numpy() for c in ("cid", "part", "copies"))
-        masks = _earlier(rows.column("large").to_pylist(), (rows.column("often")[0].as_py(), rows.column("token")[0].as_py()))
+        cid, copies = (rows.column(c).to_numpy() for c in ("cid", "copies"))
+        low, high, first = _halves(rows)
+        if not first.any():
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n")})
         sets = _Texts(rows.column("text")).sets()
         size = np.array([len(s) for s in sets], np.float64)
-        within = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
-        high = np.flatnonzero(part == rows.column("high")[0].as_py())
-        low = np.flatnonzero(part == rows.column("low")[0].as_py())
-        if not len(low) or not len(high):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n")})
         both = _overlaps([sets[k] for k in low], [sets[k] for k in high])
-        linked = 100 * both >= percent * (size[low][:, None] + size[high][None, :] - both)
-        for w in range(masks.shape[1]):
-            linked &= (masks[low, w][:, None] & masks[high, w][None, :]) == 0
-        if within:
-            np.fill_diagonal(linked, False)
+        linked = first & (100 * both >= percent * (size[low][:, None] + size[high][None, :] - both))
         degree = np.zeros(len(cid), np.int64)
         degree[low] += linked @ copies[high]
-        if not within:
+        if rows.column("low")[0] != rows.column("high")[0]:
             degree[high] += linked.T @ copies[low]
         group = np.arange(len(cid))
         while True:  # the smallest index among all that are linked, directly or not
@@ -329,10 +355,21 @@ def links(texts: DataFrame, contents: DataFrame, percent: int = 90) -> DataFrame
              .select(*[f"{c}_{s}" for s in "xy" for c in ("cid", "one", "two", "copies")]).dropDuplicates(["cid_x", "cid_y"]))
     pairs = stage(pairs, "jaccard-pairs")
 
-    # texts of the contents that stand in a pair or in a large bucket, and of no others
+    # every two blocks of a large bucket meet once; a content goes to as many groups as its bucket has blocks
+    words = members.filter(is_large).groupBy("token").agg(F.sum("n_words").alias("words"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    dealt = (members.filter(is_large).join(words, "token").withColumn("blocks", blocks)
+             .withColumn("part", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("blocks")).cast("int"))
+             .select("token", "often", "cid", "copies", "n", "ranges", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
+             .join(large.select("cid", "large"), "cid"))
+    alive = stage(dealt.groupBy("token", "low", "high").applyInArrow(
+        _survivors(percent), "token long, often long, cid long, copies long, part int, low int, high int"), "jaccard-alive")
+
+    # texts of the contents that are left in a pair or in a large bucket, and of no others
     ends = [pairs.select(*[F.col(f"{c}_{s}").alias(c) for c in ("cid", "one", "two")]) for s in "xy"]
-    wanted = ends[0].unionByName(ends[1]).unionByName(large.select("cid", "one", "two")).distinct()
-    wanted = wanted.join(large.select("cid", "large"), "cid", "left")
+    ends.append(large.join(alive.select("cid").distinct(), "cid").select("cid", "one", "two"))
+    wanted = ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct().join(large.select("cid", "large"), "cid", "left")
     held = stage(texts.mapInArrow(_firsts, "one long, two long, text string").join(wanted, ["one", "two"])
                  .dropDuplicates(["cid"]).select("cid", "text", "large"), "jaccard-texts")
     text = lambda s: held.select(F.col("cid").alias(f"cid_{s}"), F.col("text").alias(f"text_{s}"))
@@ -340,15 +377,7 @@ def links(texts: DataFrame, contents: DataFrame, percent: int = 90) -> DataFrame
     few = (rows.select("cid_x", "cid_y", "copies_x", "copies_y", "text_x", "text_y")
            .mapInArrow(_verified(percent), "a long, b long, n long"))
 
-    # every two blocks of a large bucket meet once; a content goes to as many groups as its bucket has blocks
-    words = members.filter(is_large).groupBy("token").agg(F.sum("n_words").alias("words"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
-    dealt = (members.filter(is_large).join(words, "token").withColumn("blocks", blocks)
-             .withColumn("part", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("blocks")).cast("int"))
-             .select("token", "often", "cid", "copies", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-             .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
-             .join(held, "cid"))
-    many = dealt.groupBy("token", "low", "high").applyInArrow(_blocks(percent), "a long, b long, n long")
+    many = alive.join(held, "cid").groupBy("token", "low", "high").applyInArrow(_blocks(percent), "a long, b long, n long")
     return stage(few.unionByName(many), "jaccard-links")
 
 
