@@ -1,8 +1,8 @@
 """Weighted search documents as a postings table, and Boolean / phrase matching over it.
 
-Postings are computed once and stored (partitioned by entity kind); queries arrive as a table, are
-turned into terms, and meet the postings in one join. A (query, document) pair is the finest shuffle
-key, so a word that occurs in a third of all documents spreads over all tasks.
+Postings are computed once and stored (``sources.postings_index``); queries arrive as a table, are turned into terms, and meet
+the stored lists of their words in one join. Postings that are not stored can be passed as a table. A (query, document) pair is
+the finest shuffle key, so a word that occurs in a third of all documents spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.schemas import Graph
+from palisade.sources.postings_index import PostingsIndex
 
 # --- fixed values: field weights and English stop words -------------------------------------
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -141,25 +142,34 @@ def query_terms(queries: DataFrame, stemmed: bool = True, stop_words: bool = Tru
     return terms.join(sizes, ["query_id", "alt", "clause"])
 
 
-def candidates(terms: DataFrame, posted: DataFrame) -> DataFrame:
+def packed() -> Column:
+    """Position and weight of a posting in one integer."""
+    return (F.col("pos") * 4 + F.array_position(F.array(*[F.lit(w) for w in WEIGHTS]), F.col("weight")) - 1).cast("int")
+
+
+def word_lists(terms: DataFrame, posted: DataFrame | PostingsIndex) -> DataFrame:
+    """(entity_type, id, term, list) of the words asked for.
+
+    A stored index has them; postings are cut down to the words, placed by document once, and folded to one row per
+    (document, word) before queries multiply them; every later grouping reuses that placement.
+    """
+    if isinstance(posted, PostingsIndex):
+        return posted.lists(terms)
+    placed = posted.join(terms.select("term").distinct(), "term", "left_semi").select(
+        "entity_type", "id", "term", packed().alias("_at")
+    ).repartition("entity_type", "id")
+    return placed.groupBy("entity_type", "id", "term").agg(F.collect_list("_at").alias("list"))
+
+
+def candidates(terms: DataFrame, posted: DataFrame | PostingsIndex) -> DataFrame:
     """(query_id, entity_type, id, alt, parts): documents holding every positive word of an alternative.
 
-    Postings are cut down to the words asked for, placed by document once, and folded to one row per
-    (document, word) with its positions packed as integers before queries multiply them; every later
-    grouping reuses that placement. Word order is not looked at yet, so that positions are only
-    unpacked for documents that have all the words. Whether the terms are broadcast is left to the
-    sizes that Spark sees.
+    Word order is not looked at yet, so that positions are only unpacked for documents that have all the words. Whether the
+    terms are broadcast is left to the sizes that Spark sees.
     """
-    asked = terms
-    words = terms.select("term").distinct()
     need = terms.filter(~F.col("negated")).groupBy("query_id", "alt").agg(F.count(F.lit(1)).alias("need"))
-    packed = F.col("pos") * 4 + F.array_position(F.array(*[F.lit(w) for w in WEIGHTS]), F.col("weight")) - 1
-    placed = posted.join(words, "term", "left_semi").select(
-        "entity_type", "id", "term", packed.cast("int").alias("_at")
-    ).repartition("entity_type", "id")
-    lists = placed.groupBy("entity_type", "id", "term").agg(F.collect_list("_at").alias("list"))
     return (
-        lists.join(asked, "term")
+        word_lists(terms, posted).join(terms, "term")
         .groupBy("query_id", "entity_type", "id", "alt")
         .agg(
             F.count_if(~F.col("negated")).alias("have"),
@@ -171,68 +181,54 @@ def candidates(terms: DataFrame, posted: DataFrame) -> DataFrame:
     )
 
 
-def clause_matches(found: DataFrame) -> DataFrame:
-    """(query_id, entity_type, id, alt, clause, negated, hits): clauses a candidate really satisfies.
+def _satisfied(parts: Column, clause: Column) -> Column:
+    """Hits (pos, weight, slot) of one clause of a candidate, empty if it isn't satisfied.
 
-    A phrase aligns its words on a common start; a one-word clause needs no alignment.
+    A phrase needs all its words at one start: the starts of its words are intersected, and each word keeps the positions at
+    what is left. Array intersections hash, so the work is linear in the positions.
     """
     names = F.array(*[F.lit(w) for w in WEIGHTS])
-    part = F.col("p")
+    words = F.filter(parts, lambda p: p.getField("clause") == clause)
 
-    def hit(at):
-        return F.struct(
-            F.shiftright(at, 2).alias("pos"),
-            F.get(names, F.pmod(at, F.lit(4))).alias("weight"),
-            (F.shiftleft(part.getField("clause").cast("bigint"), 32) + part.getField("offset")).alias("slot"),
-        )
+    def starts(word: Column) -> Column:
+        return F.transform(word.getField("list"), lambda at: F.shiftright(at, 2) - word.getField("offset"))
 
-    starts = F.when(
-        part.getField("size") == 1,
-        F.array(F.struct(F.lit(0).alias("start"), F.transform(part.getField("list"), hit).alias("hits"))),
-    ).otherwise(
-        F.transform(
-            part.getField("list"),
-            lambda at: F.struct(
-                (F.shiftright(at, 2) - part.getField("offset")).alias("start"), F.array(hit(at)).alias("hits")
-            ),
-        )
-    )
-    document = ["query_id", "entity_type", "id", "alt", "clause", "negated"]
-    return (
-        found.select("query_id", "entity_type", "id", "alt", F.explode("parts").alias("p"))
-        .select("query_id", "entity_type", "id", "alt", "p.clause", "p.negated", "p.size",
-                F.explode(starts).alias("_a"))
-        .groupBy(*document, "size", F.col("_a.start").alias("start"))
-        .agg(F.count(F.lit(1)).alias("words"), F.flatten(F.collect_list("_a.hits")).alias("hits"))
-        .filter(F.col("words") == F.col("size"))
-        .groupBy(*document)
-        .agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    )
+    def hits(word: Column, lists: Column) -> Column:
+        slot = F.shiftleft(word.getField("clause").cast("bigint"), 32) + word.getField("offset")
+        return F.transform(lists, lambda at: F.struct(
+            F.shiftright(at, 2).alias("pos"), F.get(names, F.pmod(at, F.lit(4))).alias("weight"), slot.alias("slot")))
+
+    def at_starts(word: Column, common: Column) -> Column:
+        places = F.flatten(F.transform(common, lambda s: F.transform(
+            F.sequence(F.lit(0), F.lit(3)), lambda w: ((s + word.getField("offset")) * 4 + w).cast("int"))))
+        return hits(word, F.array_intersect(word.getField("list"), places))
+
+    def phrase(all_words: Column) -> Column:
+        common = F.aggregate(
+            all_words, starts(F.get(all_words, F.lit(0))), lambda kept, w: F.array_intersect(kept, starts(w)))
+        return F.flatten(F.transform(F.array(common), lambda kept: F.flatten(F.transform(all_words, lambda w: at_starts(w, kept)))))
+
+    first = F.get(words, F.lit(0))
+    whole = F.size(words) == first.getField("size")
+    nothing = F.slice(hits(first, first.getField("list")), 1, 0)
+    return F.when(first.getField("size") == 1, hits(first, first.getField("list"))).when(whole, phrase(words)).otherwise(nothing)
 
 
-def match(terms: DataFrame, posted: DataFrame) -> DataFrame:
+def match(terms: DataFrame, posted: DataFrame | PostingsIndex) -> DataFrame:
     """(query_id, entity_type, id, alt, hits): documents that satisfy an alternative of a query.
 
-    A query whose alternative has no positive word matches nothing. ``hits`` are the positions of
-    the positive words, at most the length of the one document.
+    A query whose alternative has no positive word matches nothing. ``hits`` are the positions of the positive words, at most
+    the length of the one document. A candidate has all its words in one row, so that clauses are tested where it stands.
     """
-    need = (
-        terms.filter(~F.col("negated"))
-        .groupBy("query_id", "alt")
-        .agg(F.count_distinct("clause").alias("need"))
-    )
-    found = (
-        clause_matches(candidates(terms, posted))
-        .groupBy("query_id", "entity_type", "id", "alt")
-        .agg(
-            F.count_if(~F.col("negated")).alias("have"),
-            F.max("negated").alias("excluded"),
-            F.flatten(F.collect_list(F.when(~F.col("negated"), F.col("hits")))).alias("hits"),
-        )
-        .filter(~F.col("excluded"))
-    )
-    joined = found.join(need, ["query_id", "alt"])
-    return joined.filter(F.col("have") == F.col("need")).drop("have", "need", "excluded")
+    clauses = F.transform(
+        F.array_distinct(F.transform("parts", lambda p: F.struct(p.getField("clause").alias("clause"), p.getField("negated").alias("negated")))),
+        lambda k: F.struct(k.getField("negated").alias("negated"), _satisfied(F.col("parts"), k.getField("clause")).alias("hits")))
+    tested = candidates(terms, posted).select("query_id", "entity_type", "id", "alt", clauses.alias("clauses"))
+    return tested.filter(
+        F.forall("clauses", lambda k: k.getField("negated") != (F.size(k.getField("hits")) > 0))
+    ).select(
+        "query_id", "entity_type", "id", "alt",
+        F.flatten(F.transform(F.filter("clauses", lambda k: ~k.getField("negated")), lambda k: k.getField("hits"))).alias("hits"))
 
 
 def weight_of(col: Column) -> Column:

@@ -14,6 +14,7 @@ from palisade.operators.paging import after_cursor
 from palisade.operators.scale import Order, top_n
 from palisade.operators.visibility import own_published, published
 from palisade.schemas import ENTITY_ORDER, Graph
+from palisade.sources.postings_index import PostingsIndex, stored_postings
 
 SUMMARY_LENGTH = 500
 EXACT_SCORE = 100.0
@@ -127,10 +128,19 @@ def entity_rows(
     return out
 
 
+def stored_index(graph: Graph, label: str, inputs: Sequence[str], stemmed: bool = True, stop_words: bool = True) -> PostingsIndex:
+    """The stored index over all entity kinds of a graph made from the files ``inputs``."""
+    def build():
+        exact = entity_rows(graph).select("entity_type", "id", "exact_keys")
+        return P.postings(P.documents(graph), stemmed, stop_words), exact
+
+    return stored_postings(graph.spark, f"{label}-{int(stemmed)}{int(stop_words)}", inputs, build)
+
+
 def search(
     graph: Graph,
     queries: DataFrame,
-    posted: DataFrame | None = None,
+    posted: DataFrame | PostingsIndex | None = None,
     rank: str = "cover",
     stemmed: bool = True,
     stop_words: bool = True,
@@ -143,7 +153,8 @@ def search(
     ``after``: the values of RESULT_ORDER of the last row of a page; the page that follows it is returned. ``has_more``
     tells whether a further row follows.
 
-    Pass stored ``posted`` postings for repeated use; otherwise they are built in the same job.
+    Pass a stored index as ``posted`` for repeated use: it answers for words and exact names, and the entity rows are read
+    once, for the hits. Postings as a table serve for words only; without either they are built in the same job.
     Keys and scores are joined to the entity rows after matching, so unmatched rows carry nothing.
     """
     rows = entity_rows(graph, **filters)
@@ -163,9 +174,12 @@ def search(
             )
         ).alias("_key"),
     ).filter(F.col("_key").isNotNull())
+    if isinstance(posted, PostingsIndex):
+        named = posted.exact(keys)
+    else:
+        named = rows.select("entity_type", "id", F.explode("exact_keys").alias("_key"))
     exact = (
-        rows.select("entity_type", "id", F.explode("exact_keys").alias("_key"))
-        .join(keys, "_key")
+        named.join(keys, "_key")
         .select("query_id", "entity_type", "id", F.lit(0.0).alias("rank"), F.lit(True).alias("exact"))
     )
     hits = (

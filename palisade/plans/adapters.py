@@ -210,6 +210,10 @@ def document_sources(documents: DataFrame) -> DataFrame:
                           _state(c("_any")).alias("publication_state"))
 
 
+#: The tables that ``text_graph`` is made of.
+TEXT_GRAPH_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+
+
 def text_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Documents as observations beside actors, aliases, techniques, behaviors and sources with text."""
     docs = labelled_documents(spark, sf_dir)

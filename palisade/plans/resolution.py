@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import collapse, fold
 from palisade.operators import evaluate, postings as P, resolve as R, search as S
+from palisade.sources.postings_index import stored_postings
 from palisade.operators import artifacts as art
 from palisade.plans import adapters as A
 from palisade.plans.registry import query, stamp
@@ -160,16 +161,26 @@ phit AS (SELECT DISTINCT query_id, doc_id FROM (SELECT q.query_id, d.doc_id, d.p
 pstart AS (SELECT q.query_id, d.doc_id, d.pos - q.off AS s, q.n FROM qw q JOIN dw d USING (term) WHERE phrase GROUP BY ALL HAVING count(DISTINCT q.off) = q.n)"""
 
 
-def _doc_postings(spark, sf_dir):
-    graph = A.text_graph(spark, sf_dir)
-    docs = P.documents(A.Graph(spark, {"observations": graph.observations}))
-    return P.postings(docs, stemmed=False, stop_words=False)
+def _doc_index(spark, sf_dir):
+    """The stored index of the documents' texts: built by the first query that asks for it."""
+    def build():
+        graph = A.text_graph(spark, sf_dir)
+        docs = P.documents(A.Graph(spark, {"observations": graph.observations}))
+        return P.postings(docs, stemmed=False, stop_words=False), None
+
+    return stored_postings(spark, "documents", [f"{sf_dir}/documents.parquet"], build)
+
+
+def _graph_index(spark, sf_dir, stemmed):
+    inputs = [f"{sf_dir}/{name}.parquet" for name in A.TEXT_GRAPH_TABLES]
+    return S.stored_index(A.text_graph(spark, sf_dir), "graph", inputs, stemmed, stemmed)
 
 
 @query("postings", f"""WITH {_DOCTOK} SELECT term, count(*)::BIGINT AS positions, count(DISTINCT doc_id)::BIGINT AS documents, min(pos)::BIGINT AS first_pos, round(sum(weight), 4) AS weight FROM dw GROUP BY term""")
 def postings(spark, sf_dir):
-    rows = _doc_postings(spark, sf_dir)
-    per_doc = rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("p"), F.sum(P.weight_of(c("weight"))).alias("w"))
+    weight = F.aggregate("list", F.lit(0.0), lambda acc, at: acc + P.weight_of(F.get(F.array(*[F.lit(w) for w in P.WEIGHTS]), F.pmod(at, F.lit(4)))))
+    per_doc = _doc_index(spark, sf_dir).rows().select(
+        "term", F.size("list").alias("n"), F.shiftright(F.array_min("list"), 2).alias("p"), weight.alias("w"))
     return per_doc.groupBy("term").agg(
         F.sum("n").cast("bigint").alias("positions"), F.count(F.lit(1)).alias("documents"), F.min("p").cast("bigint").alias("first_pos"),
         F.round(F.sum("w"), 4).alias("weight"))
@@ -178,13 +189,13 @@ def postings(spark, sf_dir):
 @query("search_and", f"WITH {_MATCH} SELECT query_id, 'doc-' || doc_id AS id FROM andhit", ("bench_queries",))
 def search_and(spark, sf_dir):
     asked = A.benchmark_queries(spark, sf_dir).filter(F.startswith("query_id", F.lit("and-")))
-    return P.match(P.query_terms(asked, False, False), _doc_postings(spark, sf_dir)).select("query_id", "id")
+    return P.match(P.query_terms(asked, False, False), _doc_index(spark, sf_dir)).select("query_id", "id")
 
 
 @query("search_phrase", f"WITH {_MATCH} SELECT query_id, 'doc-' || doc_id AS id FROM phit", ("bench_queries",))
 def search_phrase(spark, sf_dir):
     asked = A.benchmark_queries(spark, sf_dir).filter(~F.startswith("query_id", F.lit("and-")))
-    return P.match(P.query_terms(asked, False, False), _doc_postings(spark, sf_dir)).select("query_id", "id")
+    return P.match(P.query_terms(asked, False, False), _doc_index(spark, sf_dir)).select("query_id", "id")
 
 
 @query("search_or_not", f"""WITH {_MATCH},
@@ -201,7 +212,7 @@ def search_or_not(spark, sf_dir):
     asked = items.select(
         F.concat(F.lit("x-"), c("item_id").cast("string")).alias("query_id"),
         F.concat(at(0), F.lit(" -"), at(1), F.lit(" OR "), at(2), F.lit(" "), at(3)).alias("query"))
-    hits = P.match(P.query_terms(asked, False, False), _doc_postings(spark, sf_dir))
+    hits = P.match(P.query_terms(asked, False, False), _doc_index(spark, sf_dir))
     return hits.select("query_id", "id").distinct()
 
 
@@ -216,7 +227,7 @@ SELECT query_id, 'doc-' || doc_id AS id, round(r / (r + 1), 6) AS rank FROM r
 """, ("bench_queries",))
 def search_ranked(spark, sf_dir):
     asked = A.benchmark_queries(spark, sf_dir)
-    hits = P.frequency_rank(P.match(P.query_terms(asked, False, False), _doc_postings(spark, sf_dir)))
+    hits = P.frequency_rank(P.match(P.query_terms(asked, False, False), _doc_index(spark, sf_dir)))
     return hits.select("query_id", "id", F.round("rank", 6).alias("rank"))
 
 
@@ -224,7 +235,7 @@ def search_ranked(spark, sf_dir):
 def cover_rank(spark, sf_dir):
     """Cover-density scores (an interval sweep over positions has no SQL form)."""
     asked = A.benchmark_queries(spark, sf_dir)
-    hits = P.cover_rank(P.match(P.query_terms(asked, True, True), P.postings(P.documents(A.text_graph(spark, sf_dir)))))
+    hits = P.cover_rank(P.match(P.query_terms(asked, True, True), _graph_index(spark, sf_dir, True)))
     return hits.select("query_id", "entity_type", "id", F.round("rank", 6).alias("rank"))
 
 
@@ -266,7 +277,7 @@ def cross_entity_search(spark, sf_dir):
     asked = t("nation").select(F.concat(F.lit("n"), c("n_nationkey").cast("string")).alias("query_id"), c("n_name").alias("query"))
     for tag, text in (("a", "furniture "), ("d", "DOCUMENT  "), ("p", "campaign purchase ")):
         asked = asked.unionByName(t("region").select(F.concat(F.lit(tag), region).alias("query_id"), F.concat(F.lit(text), region).alias("query")))
-    hits = S.search(A.text_graph(spark, sf_dir), asked, rank="frequency", stemmed=False, stop_words=False, limit=10)
+    hits = S.search(A.text_graph(spark, sf_dir), asked, _graph_index(spark, sf_dir, False), rank="frequency", stemmed=False, stop_words=False, limit=10)
     return hits.select("query_id", "entity_type", "id", "title", F.coalesce("summary", F.lit("")).alias("summary"), "match_kind",
                        F.round("score", 6).alias("score"), "position")
 
@@ -281,7 +292,7 @@ def search_filtered(spark, sf_dir):
     """Type and date filters leave only dated kinds; exact titles are reported."""
     asked = A.table(spark, sf_dir, "region").select(
         F.concat(F.lit("d"), c("r_regionkey").cast("string")).alias("query_id"), F.concat(F.lit("Document "), c("r_regionkey").cast("string")).alias("query"))
-    hits = S.search(A.text_graph(spark, sf_dir), asked, rank="frequency", stemmed=False, stop_words=False, limit=50,
+    hits = S.search(A.text_graph(spark, sf_dir), asked, _graph_index(spark, sf_dir, False), rank="frequency", stemmed=False, stop_words=False, limit=50,
                     intelligence_type="observed", date_to=F.lit("2024-06-01").cast("timestamp"))
     return hits.filter("match_kind = 'exact'").select("query_id", "id", stamp("observed_at").alias("observed_at"))
 
@@ -295,7 +306,7 @@ def search_eval(spark, sf_dir):
         F.concat(F.lit("d"), c("r_regionkey").cast("string")).alias("query_id"), F.lit("observation").alias("expected_type"),
         F.concat(F.lit("Document "), c("r_regionkey").cast("string")).alias("expected_title"))
     asked = cases.select("query_id", c("expected_title").alias("query"))
-    hits = S.search(A.text_graph(spark, sf_dir), asked, limit=5)
+    hits = S.search(A.text_graph(spark, sf_dir), asked, _graph_index(spark, sf_dir, True), limit=5)
     return evaluate.first_hit(cases, hits).select("query_id", "expected_type", "expected_title", "passed")
 
 

@@ -26,8 +26,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
+def scratch_root(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
 
     Only a local session that names no such folder (tests, a laptop) gets one; on a cluster, where
     executors would not share it, a missing setting is an error.
@@ -38,7 +38,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="palisade-")
         spark.conf.set(CHECKPOINT_KEY, root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder under the shared folder."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df, label: str):
