@@ -260,12 +260,6 @@ def winners(folded: DataFrame, keys: list[str], seq: str, observed_at: str) -> D
     return writes.join(last, [*keys, seq], "left_semi")
 
 
-def upsert(stored: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
-    """New snapshot: stored rows whose key was not written, plus the written rows."""
-    untouched = stored.join(changed.select(*keys), keys, "left_anti")
-    return untouched.unionByName(changed.select(*stored.columns))
-
-
 def ledger(
     outcomes: DataFrame, previous: DataFrame | None = None, payload_hash: str = "payload_sha256"
 ) -> DataFrame:

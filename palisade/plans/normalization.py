@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from palisade.operators import normalize as N
 from palisade.plans import adapters as A
 from palisade.plans.registry import query, stamp
+from palisade.session import scratch_dir
+from palisade.sources.changes import ChangeTable
 from palisade.sources.stix_bundle import check_envelope, split_objects
 
 
@@ -173,9 +175,12 @@ def version_fold(spark, sf_dir):
 SELECT source, lang, max(doc_id) FILTER (action IN ('create', 'update')) AS seq FROM a GROUP BY ALL
 UNION ALL SELECT DISTINCT 'nation', n_name, -1 FROM nation""")
 def observation_upsert(spark, sf_dir):
-    """New snapshot: stored rows with untouched keys and the winners of the batch."""
+    """Stored rows with untouched keys and the winners of the batch, which appends those and no others."""
     folded = N.version_fold(_document_versions(spark, sf_dir), ["source", "lang"], "seq", "observed_at", "fingerprint")
     changed = N.winners(folded, ["source", "lang"], "seq", "observed_at").select("source", "lang", "seq")
     stored = A.table(spark, sf_dir, "nation").select(F.lit("nation").alias("source"), F.col("n_name").alias("lang"), F.lit(-1).cast("bigint").alias("seq"))
     held = changed.select("source", "lang", F.lit(-2).cast("bigint").alias("seq"))
-    return N.upsert(stored.unionByName(held), changed, ["source", "lang"])
+    kept = ChangeTable(spark, scratch_dir(spark, "upsert"), "source string, lang string, seq bigint", ["source", "lang"])
+    kept.write(stored.unionByName(held), 0)
+    kept.write(changed, 1)
+    return kept.rows()

@@ -106,8 +106,7 @@ def stream_normalization(spark, sf_dir):
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     step = ST.StreamingNormalization(spark, f"{root}/store", normalization.raw_rows(spark, sf_dir))
     ST.run_batches(stream, step, f"{root}/checkpoint")
-    rows = step.store.read("observations", step.OBSERVATION)
-    return rows.select("source_id", "source_native_id", "title", stamp("observed_at").alias("observed_at"))
+    return step.observations.rows().select("source_id", "source_native_id", "title", stamp("observed_at").alias("observed_at"))
 
 
 @query("stream_update_feed", "SELECT conv_id, turn + 1 AS sequence, role FROM conversations WHERE turn + 1 > 2")

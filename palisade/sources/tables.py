@@ -1,20 +1,13 @@
-"""Scans and sinks of model tables, and snapshot folders with a commit log.
-
-Parquet has no row-level update, so a changed table is written as a new snapshot folder. A snapshot
-counts only once its commit row is written, so a job that dies half-way leaves nothing visible.
-"""
+"""Scans of model tables with their declared schemas."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from palisade.schemas import TABLES, Graph
 
-_COMMIT = "snapshot_id bigint, table string, path string"
-
 
 def scan(spark: SparkSession, root: str, table: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Model table with its declared schema: no inference job, only the named columns are read."""
@@ -24,70 +17,3 @@ def scan(spark: SparkSession, root: str, table: str, columns: Sequence[str] | No
 
 def load_graph(spark: SparkSession, root: str, tables: Sequence[str]) -> Graph:
     return Graph(spark, {name: scan(spark, root, name) for name in tables})
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there; any other trouble with it is an error of its own."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
-class Snapshots:
-    """Versions of tables below one root, newest committed one wins."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _log(self) -> DataFrame:
-        path = f"{self.root}/_commits"
-        if not _exists(self.spark, path):
-            return self.spark.createDataFrame([], _COMMIT)
-        return self.spark.read.schema(_COMMIT).json(path)
-
-    def latest(self, table: str, before: int | None = None) -> tuple[int, str] | None:
-        """Newest committed snapshot of a table (older than ``before``); one log row per write."""
-        rows = self._log().filter(F.col("table") == table)
-        if before is not None:
-            rows = rows.filter(F.col("snapshot_id") < before)
-        newest = (
-            rows
-            .agg(F.max(F.struct("snapshot_id", "path")).alias("m"))
-            .first()["m"]
-        )
-        return (newest["snapshot_id"], newest["path"]) if newest else None
-
-    def read(self, table: str, schema=None, before: int | None = None) -> DataFrame:
-        schema = schema or TABLES[table]
-        found = self.latest(table, before)
-        if found is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(found[1])
-
-    def write(self, table: str, df: DataFrame, snapshot_id: int, partition_by: Sequence[str] = ()) -> str:
-        """Write a snapshot and commit it. Repeating a committed id does nothing, so a replayed
-        micro-batch is harmless."""
-        found = self.latest(table)
-        if found is not None and found[0] >= snapshot_id:
-            return found[1]
-        path = f"{self.root}/{table}/snapshot={snapshot_id:012d}"
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        commit = self.spark.createDataFrame([(snapshot_id, table, path)], _COMMIT)
-        commit.coalesce(1).write.mode("append").json(f"{self.root}/_commits")
-        return path
-
-    def append(self, table: str, df: DataFrame, batch_id: int) -> str:
-        """Append-only tables: one folder per batch id, overwritten if the batch is replayed."""
-        path = f"{self.root}/{table}/batch={batch_id}"
-        df.write.mode("overwrite").parquet(path)
-        return path
-
-    def read_appended(self, table: str, schema: str, before: int | None = None) -> DataFrame:
-        """All appended rows with their ``batch``; ``before`` prunes whole folders, so a replay never
-        opens the files it is about to overwrite."""
-        full = f"{schema}, batch bigint"
-        path = f"{self.root}/{table}"
-        if not _exists(self.spark, path):
-            return self.spark.createDataFrame([], full)
-        rows = self.spark.read.schema(full).option("basePath", path).parquet(path)
-        return rows if before is None else rows.filter(F.col("batch") < before)

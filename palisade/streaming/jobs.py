@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions.ids import content_sha256
 from palisade.operators import intake, normalize
-from palisade.sources.tables import Snapshots
+from palisade.sources.changes import ChangeTable
 
 
 def event_time(df: DataFrame, column: str) -> DataFrame:
@@ -79,32 +80,35 @@ def exact_dedup(stream: DataFrame, keys: list[str]) -> DataFrame:
 class EvidenceIntake:
     """``foreachBatch`` step: exact deduplication against a stored key table that other jobs can read.
 
-    Each batch joins the narrow key table; ``exact_dedup`` keeps the keys in the state store instead.
+    A batch looks its own keys up and appends the new ones; ``exact_dedup`` keeps the keys in the state store instead.
     """
 
+    KEYS = ("source_id", "content_sha256")
     SCHEMA = (
         "source_id string, content_sha256 string, content_size_bytes bigint, mime_type string, "
         "storage_key string, submission_id bigint"
     )
 
     def __init__(self, spark: SparkSession, root: str, max_bytes: int = 50 * 1024 * 1024):
-        self.store, self.max_bytes = Snapshots(spark, root), max_bytes
+        self.keys, self.max_bytes = ChangeTable(spark, f"{root}/raw_keys", self.SCHEMA, self.KEYS), max_bytes
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        marked = intake.raw_evidence(batch, self.known(batch_id), max_bytes=self.max_bytes)
-        columns = [c.split()[0] for c in self.SCHEMA.split(", ")]
-        self.store.append("raw_keys", intake.new_rows(marked).select(*columns), batch_id)
+        if self.keys.done(batch_id):
+            return
+        asked = batch.select("source_id", content_sha256(F.col("content")).alias("content_sha256"))
+        marked = intake.raw_evidence(batch, self.keys.rows(batch_id, asked), max_bytes=self.max_bytes)
+        self.keys.write(intake.new_rows(marked), batch_id)
 
     def known(self, before: int | None = None) -> DataFrame:
-        return self.store.read_appended("raw_keys", self.SCHEMA, before)
+        return self.keys.rows(before)
 
 
 class StreamingNormalization:
     """``foreachBatch`` step over split bundle objects.
 
-    The stored observations are the state of the fold, which is associative over batches. Both tables
-    are snapshots numbered by batch and are read as of the batch before, so a replay after a crash
-    between the two writes gives the same ledger, and a finished batch is skipped.
+    The stored observations are the state of the fold, which is associative over batches. Observations and ledger are kept
+    as changes and are read as of the batch before, for the keys of the batch, so a replay after a crash between the two
+    writes gives the same rows, and a finished batch is skipped.
     """
 
     OBSERVATION = (
@@ -119,20 +123,18 @@ class StreamingNormalization:
     )
 
     def __init__(self, spark: SparkSession, root: str, raw_evidence: DataFrame):
-        self.store, self.raw_evidence = Snapshots(spark, root), raw_evidence
+        self.raw_evidence = raw_evidence
+        self.observations = ChangeTable(spark, f"{root}/observations", self.OBSERVATION, ["source_id", "source_native_id"])
+        self.ledger = ChangeTable(spark, f"{root}/ledger", self.LEDGER, ["raw_evidence_id", "object_index"])
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        done = self.store.latest("ledger")
-        if done is not None and done[0] >= batch_id:
+        if self.ledger.done(batch_id):
             return
-        stored = self.store.read("observations", self.OBSERVATION, before=batch_id)
-        previous = self.store.read("ledger", self.LEDGER, before=batch_id)
+        named = batch.select("source_id", F.col("object_id").alias("source_native_id"))
+        stored, previous = self.observations.rows(batch_id, named), self.ledger.rows(batch_id, batch)
         result = normalize.normalize_batch(batch, self.raw_evidence, stored, previous)
-        columns = [c.split()[0] for c in self.OBSERVATION.split(", ")]
-        merged = normalize.upsert(stored, result.changed.select(*columns), ["source_id", "source_native_id"])
-        ledger_columns = [c.split()[0] for c in self.LEDGER.split(", ")]
-        self.store.write("observations", merged, batch_id)
-        self.store.write("ledger", result.ledger.select(*ledger_columns), batch_id)
+        self.observations.write(result.changed, batch_id)
+        self.ledger.write(result.ledger, batch_id)
 
 
 __all__ = [

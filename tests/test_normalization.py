@@ -119,6 +119,6 @@ def test_batches_equal_one_run_and_replays_change_nothing(spark, tmp_path):
             step(rows.filter(F.col("bundle_seq").between(low, high)), batch_id)
     whole = N.normalize_batch(rows, raw(spark))
     key = lambda df: sorted((r.source_native_id, r.title) for r in df.collect())
-    assert key(step.store.read("observations", step.OBSERVATION)) == key(whole.changed)
+    assert key(step.observations.rows()) == key(whole.changed)
     statuses = lambda df: sorted((r.raw_evidence_id, r.object_index, r.status, r.attempts) for r in df.collect())
-    assert statuses(step.store.read("ledger", step.LEDGER)) == statuses(whole.ledger)
+    assert statuses(step.ledger.rows()) == statuses(whole.ledger)
