@@ -8,6 +8,7 @@ from palisade.operators import normalize as N
 from palisade.plans import adapters as A
 from palisade.plans.registry import query, stamp
 from palisade.session import scratch_dir
+from palisade.sources.bundle_ranges import read_split_bundles
 from palisade.sources.changes import ChangeTable
 from palisade.sources.stix_bundle import check_envelope, split_objects
 
@@ -101,6 +102,30 @@ def bundle_rejects(spark, sf_dir):
     return check_envelope(bundles(spark, sf_dir)).filter("bundle_error is not null").select("raw_evidence_id", "bundle_error")
 
 
+@query("bundle_file_objects", """
+SELECT lang AS bundle, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS object_index, 'note--' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4)
+  || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS object_id, 'note' AS object_type, NULL::VARCHAR AS object_error, sha256(text) AS content_sha256
+FROM (SELECT *, md5(doc_id::VARCHAR) AS m FROM documents)
+""")
+def bundle_file_objects(spark, sf_dir):
+    """A bundle file for each language, a note for each document; the files are read in byte ranges."""
+    c = F.col
+    native = F.concat(F.lit("note--"), F.regexp_replace(F.md5(c("doc_id").cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    docs = A.table(spark, sf_dir, "documents").select("lang", c("doc_id").alias("n"), F.to_json(F.struct(
+        F.lit("note").alias("type"), native.alias("id"), F.struct(F.array(F.lit("}{")).alias("x_{")).alias("x_nested"), c("text").alias("content"))).alias("line"))
+    ends = docs.groupBy("lang").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    heads = ends.select("lang", (c("low") - 1).alias("n"), F.concat(F.lit('{"type": "bundle", "x_list": [{"a": 1}], "id": "bundle--'), F.lit("0" * 36), F.lit('", "objects": [')).alias("line"))
+    tails = ends.select("lang", (c("high") + 1).alias("n"), F.lit('], "x_{after": "\\"}]"}').alias("line"))
+    notes = docs.join(F.broadcast(ends), "lang").select("lang", "n", F.when(c("n") > c("low"), F.concat(F.lit(","), c("line"))).otherwise(c("line")).alias("line"))
+    root = scratch_dir(spark, "bundle-files")
+    # a file is one sorted run of lines: it can be larger than a row
+    (heads.unionByName(notes).unionByName(tails).repartition("lang").sortWithinPartitions("lang", "n")
+     .withColumnRenamed("line", "value").select("lang", "value").write.partitionBy("lang").text(root))
+    _, rows = read_split_bundles(spark, root)
+    return rows.select(F.regexp_extract("raw_path", "lang=([^/]*)/", 1).alias("bundle"), c("object_index").cast("bigint").alias("object_index"), "object_id",
+                       "object_type", "object_error", F.sha2(F.get_json_object("payload", "$.content"), 256).alias("content_sha256"))
+
+
 @query("parse_rejects", f"WITH {_ENV} SELECT raw_evidence_id, object_id, parse_reason FROM parsed WHERE parse_reason IS NOT NULL")
 def parse_rejects(spark, sf_dir):
     sound = objects(spark, sf_dir).filter("object_error is null")

@@ -1,7 +1,7 @@
 """STIX bundles: scan files, check the envelope, split into one row per object.
 
-A bundle is one JSON document and so one input row; the objects are spread over the cluster right
-after the split. Object payloads keep their exact text, which the payload hash needs.
+A bundle is one JSON document and here one input row (``bundle_ranges`` reads larger ones in many tasks); the objects are spread
+over the cluster right after the split. Object payloads keep their exact text, which the payload hash needs.
 """
 
 from __future__ import annotations
@@ -68,6 +68,11 @@ def split_objects(checked: DataFrame, keep: list[str]) -> DataFrame:
         *keep, "bundle_id", "object_index", F.col("item.kind").alias("kind"),
         F.col("item.payload").alias("payload"),
     )
+    return check_objects(rows)
+
+
+def check_objects(rows: DataFrame) -> DataFrame:
+    """Adds object_id, object_type and object_error to rows of object_index, kind (dropped) and payload."""
     payload = F.when(F.col("kind") == "OBJECT", F.col("payload"))
     head = F.from_json(payload, "id variant, type variant")
     rows = rows.withColumn("_h", head)
