@@ -180,11 +180,11 @@ def _blocks(similarity: float):
         size = np.diff(first)
         seen, ids = np.unique(np.concatenate(kmers), return_inverse=True)
         place = np.full(len(seen), -1, np.int64)
-        two = np.flatnonzero(part == part.max())
-        within = len(two) == len(part)
+        two = np.flatnonzero(part == rows.column("high")[0].as_py())
+        within = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
         degree, group = np.zeros(len(content), np.int64), np.arange(len(content))
         a, b = [], []
-        for one in range(len(content)) if within else np.flatnonzero(part != part.max()):
+        for one in range(len(content)) if within else np.flatnonzero(part == rows.column("low")[0].as_py()):
             rest = two[two > one] if within else two
             rest = rest[(size[rest] >= similarity * size[one]) & (size[one] >= similarity * size[rest])]
             rest = rest[~((keys[rest] == keys[one]) & (keys[one] != 0)).any(axis=1)]

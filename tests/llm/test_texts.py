@@ -247,3 +247,18 @@ def test_empty_tables(spark):
     assert quality.cascade(none).count() == 0
     assert substrings.remove_repeats(none).count() == 0
     assert near_duplicates.classes(none).count() == 0
+
+
+def test_a_block_without_members_gives_no_links():
+    """Of two blocks one can be empty: the pairs of the other belong to its own group."""
+    import numpy as np
+    import pyarrow as pa
+
+    from palisade.llm import near_duplicates
+
+    tokens = np.arange(30, dtype="<u4").tobytes()
+    rows = lambda low, high: pa.table({
+        "content": [1, 2], "part": pa.array([low, low], pa.int32()), "band": [0, 0], "large": [[0] * 16] * 2, "tokens": [tokens] * 2,
+        "low": pa.array([low] * 2, pa.int32()), "high": pa.array([high] * 2, pa.int32())})
+    assert near_duplicates._blocks(0.8)(rows(0, 1)).num_rows == 0
+    assert near_duplicates._blocks(0.8)(rows(1, 1)).num_rows == 3
