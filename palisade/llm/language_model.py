@@ -5,8 +5,8 @@ give the model's vocabulary (the ``vocabulary`` most frequent), its classes (run
 the probabilities of words outside the vocabulary, and the base score. The recurrent weights are fitted in numpy by
 truncated backpropagation: first weights on up to ``max_tokens`` tokens of at most ``max_texts`` texts (those with the smallest hash
 of their id; a text that does not fit is cut), then one pass over all training texts. For that the texts are dealt by hash into
-shards of about ``shard_tokens`` tokens; each shard goes on from the first weights, and the results are averaged by their
-numbers of tokens. The output is factored: the probability of a word's class times that of the word in its class. A word outside the vocabulary
+shards of about ``shard_tokens`` tokens; each shard goes on from the first weights in 512 streams, and the results are averaged by
+their numbers of tokens: added up within a task, then in a tree. The output is factored: the probability of a word's class times that of the word in its class. A word outside the vocabulary
 costs the probability of the class of such words times (c + 1) / (their tokens + their words + 1). A text is scored from its
 first token to its end; the state is carried from window to window and starts anew with each text.
 
@@ -21,6 +21,7 @@ empty one; further columns of the input are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,11 @@ class Network:
     def hidden(self) -> int:
         return len(self.state)
 
+    @cached_property
+    def class_of(self) -> np.ndarray:
+        """The class of each id (16 bits, which numpy sorts by counting)."""
+        return np.repeat(np.arange(len(self.edges) - 1, dtype=np.uint16), np.diff(self.edges))
+
     def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         """The next state, with what backpropagation needs."""
         k = self.hidden
@@ -87,39 +93,44 @@ class Network:
 
     def likelihood(self, h: np.ndarray, targets: np.ndarray, slopes: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each target after its state; with slopes also the slope by the states."""
+        order = np.argsort(self.class_of[targets], kind="stable")
+        targets, h = targets[order], h[order]
+        which, rows = self.class_of[targets], np.arange(len(targets))
         logits = h @ self.classes + self.class_bias
         logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
+        own = logits[rows, which]
+        e = np.exp(logits, out=logits)
         total = e.sum(axis=1)
-        which = np.searchsorted(self.edges, targets, side="right") - 1
-        rows = np.arange(len(targets))
-        found = logits[rows, which] - np.log(total)
+        value = own - np.log(total)
         d_h = None
         if slopes is not None:
-            d = e / total[:, None]
-            d[rows, which] -= 1
-            slopes["classes"] += h.T @ d
-            slopes["class_bias"] += d.sum(axis=0)
-            d_h = d @ self.classes.T
-        order = np.argsort(which, kind="stable")
-        starts = np.searchsorted(which[order], np.arange(len(self.edges)))
+            e /= total[:, None]
+            e[rows, which] -= 1
+            slopes["classes"] += h.T @ e
+            slopes["class_bias"] += e.sum(axis=0)
+            d_h = e @ self.classes.T
+        starts = np.searchsorted(which, np.arange(len(self.edges)))
         for k in np.flatnonzero(np.diff(starts)):
-            at, a, b = order[starts[k] : starts[k + 1]], self.edges[k], self.edges[k + 1]
+            at, a, b = slice(starts[k], starts[k + 1]), self.edges[k], self.edges[k + 1]
             if b - a == 1:
                 continue
-            own = h[at]
-            logits = own @ self.words[a:b].T + self.word_bias[a:b]
+            state, place = h[at], targets[at] - a
+            rows = np.arange(len(place))
+            logits = state @ self.words[a:b].T + self.word_bias[a:b]
             logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total, place = e.sum(axis=1), targets[at] - a
-            found[at] += logits[np.arange(len(at)), place] - np.log(total)
+            own = logits[rows, place]
+            e = np.exp(logits, out=logits)
+            total = e.sum(axis=1)
+            value[at] += own - np.log(total)
             if slopes is not None:
-                d = e / total[:, None]
-                d[np.arange(len(at)), place] -= 1
-                slopes["words"][a:b] += d.T @ own
-                slopes["word_bias"][a:b] += d.sum(axis=0)
-                d_h[at] += d @ self.words[a:b]
-        return found, d_h
+                e /= total[:, None]
+                e[rows, place] -= 1
+                slopes["words"][a:b] += e.T @ state
+                slopes["word_bias"][a:b] += e.sum(axis=0)
+                d_h[at] += e @ self.words[a:b]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return value[back], None if d_h is None else d_h[back]
 
     def fit(self, stream: np.ndarray, end: int, batch: int = 64, window: int = 32, epochs: int = 3, rate: float = 4e-3,
             moments: dict | None = None) -> list[float]:
@@ -153,23 +164,25 @@ class Network:
                 found, d_all = self.likelihood(np.concatenate(states), targets, slopes)
                 loss -= found.sum()
                 d_all = d_all.reshape(len(kept), -1, k)
-                d_h = np.zeros_like(h)
-                at, parts = [], []
+                ids, old, z, r, n, un = (np.stack(x) for x in zip(*kept))
+                by_n, by_z, by_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), un * r * (1 - r)
+                goes_on = (ids != end).astype(np.float32)[:, :, None]
+                d_u = np.empty((*ids.shape, 3 * k), np.float32)
+                d_x, d_h, back = np.empty_like(d_u), np.zeros_like(h), self.state.T.copy()
                 for t in range(len(kept) - 1, -1, -1):
-                    ids, old, z, r, n, un = kept[t]
                     d = d_all[t] + d_h
-                    d_n = d * (1 - z) * (1 - n * n)
-                    d_z = d * (old - n) * z * (1 - z)
-                    d_r = d_n * un * r * (1 - r)
-                    d_u = np.concatenate([d_z, d_r, d_n * r], axis=1)
-                    slopes["state"] += old.T @ d_u
-                    at.append(ids)
-                    parts.append(np.concatenate([d_z, d_r, d_n], axis=1))
-                    d_h = np.where((ids == end)[:, None], np.float32(0), d * z + d_u @ self.state.T)
-                at, parts = np.concatenate(at), np.concatenate(parts)
+                    d_n = d * by_n[t]
+                    np.multiply(d, by_z[t], out=d_u[t, :, :k])
+                    np.multiply(d_n, by_r[t], out=d_u[t, :, k : 2 * k])
+                    np.multiply(d_n, r[t], out=d_u[t, :, 2 * k :])
+                    d_x[t, :, 2 * k :] = d_n
+                    d_h = (d * z[t] + d_u[t] @ back) * goes_on[t]
+                d_x[:, :, : 2 * k] = d_u[:, :, : 2 * k]
+                slopes["state"] += old.reshape(-1, k).T @ d_u.reshape(-1, 3 * k)
+                at = ids.ravel().astype(np.uint16)
                 order = np.argsort(at, kind="stable")
                 runs = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
-                slopes["inputs"][at[order][runs]] = np.add.reduceat(parts[order], runs, axis=0)
+                slopes["inputs"][at[order][runs]] = np.add.reduceat(d_x.reshape(-1, 3 * k)[order].T.copy(), runs, axis=1).T
                 turn += 1
                 for name in self.NAMES:
                     g = np.clip(slopes[name] / len(targets), -0.1, 0.1)
@@ -181,7 +194,7 @@ class Network:
         moments["turn"] = turn
         return losses
 
-    def score(self, texts: list[np.ndarray], end: int, window: int = 32, most: int = 60_000) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], end: int, window: int = 32, most: int = 16_000) -> np.ndarray:
         """Natural log-probability of each text (ids without the end, which is added)."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = np.array([len(texts[i]) + 1 for i in order])
@@ -284,7 +297,7 @@ def _as_ids(keys: np.ndarray, ids: np.ndarray):
     return run
 
 
-#: Weights are averaged in so many pieces, each in a group of its own.
+#: Weights are averaged in so many pieces.
 _PIECES = 64
 
 
@@ -298,7 +311,7 @@ def _trained(shared, stretch: int):
         stream = np.frombuffer(close + b"".join(x for ids in rows.column("ids").to_pylist() for x in (ids, close)), "<u2")
         moments: dict = {}
         for begin in range(0, len(stream) - 1, stretch):
-            network.fit(stream[begin : begin + stretch + 1].astype(np.int64), end, epochs=1, rate=1e-3, moments=moments)
+            network.fit(stream[begin : begin + stretch + 1].astype(np.int64), end, batch=512, epochs=1, rate=6e-3, moments=moments)
         flat = np.concatenate([getattr(network, name).ravel() for name in Network.NAMES])
         parts = [x.astype("<f4").tobytes() for x in np.array_split(flat, _PIECES)]
         n = len(parts)
@@ -308,14 +321,46 @@ def _trained(shared, stretch: int):
     return run
 
 
-def _averaged(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("shard")
-    total, tokens = 0.0, 0
-    for n, weights in zip(rows.column("tokens").to_pylist(), rows.column("weights")):
-        total = total + n * np.frombuffer(weights.as_py(), "<f4").astype(np.float64)
-        tokens += n
-    return pa.table({"piece": rows.column("piece")[:1], "tokens": pa.array([tokens], pa.int64()),
-                     "weights": pa.array([(total / tokens).astype("<f4").tobytes()], pa.binary())})
+_SUMS = "piece int, node int, tokens long, sums binary"
+
+
+def _task_sums(batches):
+    """Token-weighted sums of all shards of one task: one row for each piece, whatever the number of shards."""
+    found: dict = {}
+    for batch in batches:
+        for piece, shard, tokens, weights in zip(*(c.to_pylist() for c in batch.columns)):
+            part = tokens * np.frombuffer(weights, "<f4").astype(np.float64)
+            node, n, total = found.get(piece, (shard, 0, 0.0))
+            found[piece] = (min(node, shard), n + tokens, total + part)
+    if found:
+        yield _sum_rows([(piece, *rest) for piece, rest in sorted(found.items())])
+
+
+def _sum_rows(rows: list[tuple]) -> pa.RecordBatch:
+    piece, node, tokens, sums = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(node, pa.int32()), pa.array(tokens, pa.int64()),
+                                       pa.array([x.astype("<f8").tobytes() for x in sums], pa.binary())], ["piece", "node", "tokens", "sums"])
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("node", "ascending"), ("tokens", "ascending")])
+    total = np.zeros(len(rows.column("sums")[0].as_py()) // 8)
+    for sums in rows.column("sums"):
+        total += np.frombuffer(sums.as_py(), "<f8")
+    row = (rows.column("piece")[0].as_py(), rows.column("node")[0].as_py(), sum(rows.column("tokens").to_pylist()), total)
+    return pa.Table.from_batches([_sum_rows([row])])
+
+
+def averaged(made: DataFrame, shards: int, fan: int = 32) -> DataFrame:
+    """piece, node, tokens, sums over all rows (piece, shard, tokens, weights) of all shards.
+
+    Each task adds up its own shards first; what is left is added in a tree, at most ``fan`` rows of a piece in a group.
+    """
+    rows = made.select("piece", "shard", "tokens", "weights").mapInArrow(_task_sums, _SUMS)
+    while shards > 1:
+        rows = rows.withColumn("node", F.floor(F.col("node") / fan).cast("int")).groupBy("piece", "node").applyInArrow(_added, _SUMS)
+        shards = -(-shards // fan)
+    return rows
 
 
 def refine(network: Network, texts: DataFrame, end: int, tokens: int, shard_tokens: int, stretch: int) -> int:
@@ -325,10 +370,10 @@ def refine(network: Network, texts: DataFrame, end: int, tokens: int, shard_toke
     shared = spark.sparkContext.broadcast(([getattr(network, name) for name in (*Network.NAMES, "edges")], end))
     dealt = texts.withColumn("shard", F.pmod(F.xxhash64("place", "ids"), F.lit(shards)).cast("int"))
     made = dealt.groupBy("shard").applyInArrow(_trained(shared, stretch), "piece int, shard int, tokens long, weights binary")
-    rows = made.groupBy("piece").applyInArrow(_averaged, "piece int, tokens long, weights binary").collect()
+    rows = averaged(made, shards).collect()
     if not rows:
         return 0
-    flat = np.concatenate([np.frombuffer(r["weights"], "<f4") for r in sorted(rows, key=lambda r: r["piece"])])
+    flat = np.concatenate([(np.frombuffer(r["sums"], "<f8") / r["tokens"]).astype("<f4") for r in sorted(rows, key=lambda r: r["piece"])])
     at = 0
     for name in Network.NAMES:
         own = getattr(network, name)

@@ -96,6 +96,36 @@ def test_training_learns_an_order():
     assert losses[-1] < 0.35 < losses[0]
 
 
+def test_slopes_agree_with_finite_differences():
+    network = language_model.Network.start(np.arange(20.0, 0, -1), 5)
+    for name in network.NAMES:
+        setattr(network, name, getattr(network, name).astype(np.float64))
+    rng = np.random.default_rng(2)
+    h, targets = rng.normal(size=(30, 5)), rng.integers(0, 20, 30)
+    slopes = {name: np.zeros_like(getattr(network, name)) for name in network.NAMES}
+    d_h = network.likelihood(h, targets, slopes)[1]
+    loss = lambda x: -network.likelihood(x, targets)[0].sum()
+    for array, slope in [(h, d_h), *((getattr(network, n), slopes[n]) for n in ("classes", "class_bias", "words", "word_bias"))]:
+        for at in [tuple(rng.integers(0, n) for n in array.shape) for _ in range(6)]:
+            kept, step = array[at], 1e-6
+            array[at] = kept + step
+            up = loss(h)
+            array[at] = kept - step
+            down = loss(h)
+            array[at] = kept
+            assert math.isclose((up - down) / (2 * step), slope[at], rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_averages_are_weighted_and_added_in_a_tree(spark):
+    rng = np.random.default_rng(5)
+    rows = [(p, s, 1 + s % 7, rng.normal(size=6).astype("<f4").tobytes()) for p in range(3) for s in range(100)]
+    made = spark.createDataFrame(rows, "piece int, shard int, tokens long, weights binary").repartition(9)
+    got = {r["piece"]: (r["tokens"], np.frombuffer(r["sums"], "<f8")) for r in language_model.averaged(made, 100, fan=4).collect()}
+    for p in range(3):
+        own = [(n, np.frombuffer(w, "<f4").astype(float)) for q, _, n, w in rows if q == p]
+        assert got[p][0] == sum(n for n, _ in own) and np.allclose(got[p][1], sum(n * w for n, w in own))
+
+
 def test_all_texts_are_learned_from_and_a_long_first_text_is_cut(spark):
     order = "a b c d e f g h".split()
     rows = [(k, " ".join(order * 12)) for k in range(60)]
