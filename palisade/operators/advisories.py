@@ -9,6 +9,15 @@ from palisade.operators.scale import capped_children, numbered, top_n
 from palisade.schemas import Graph
 
 DETAIL_UPDATES = 50
+#: Links of a kind nested under one revision or update; ``revision_links`` gives all in long form.
+DETAIL_LINKS = 500
+#: kind of link of a revision: table, column
+REVISION_LINKS = {
+    "evidence": ("revision_evidence", "evidence_id"),
+    "actors": ("revision_actors", "actor_id"),
+    "campaigns": ("revision_campaigns", "campaign_id"),
+    "techniques": ("revision_techniques", "technique_id"),
+}
 
 
 def listing(graph: Graph, limit: int) -> DataFrame:
@@ -64,6 +73,81 @@ def detail(graph: Graph, advisory_ids: DataFrame | None = None, updates: int = D
     return head.join(sections, "revision_id", "left").join(recent, "advisory_id", "left")
 
 
+def revision_links(graph: Graph, revision_ids: DataFrame | None = None) -> DataFrame:
+    """revision_id, kind, target_id of all kinds of links, in long form; a repeated link counts once."""
+    rows = None
+    for kind, (table, column) in REVISION_LINKS.items():
+        part = getattr(graph, table).select("revision_id", F.lit(kind).alias("kind"), F.col(column).alias("target_id"))
+        if revision_ids is not None:
+            part = part.join(revision_ids, "revision_id", "left_semi")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.distinct()
+
+
+def nested_links(graph: Graph, revision_ids: DataFrame | None = None, cap: int = DETAIL_LINKS) -> DataFrame:
+    """Per revision an array of ids for each kind, ascending, and whether any kind was cut.
+
+    All kinds share one ranking and one aggregation: links past the cap never reach an array.
+    """
+    packed = capped_children(
+        revision_links(graph, revision_ids), ["revision_id", "kind"], (("target_id", True),), cap, ["target_id"], "ids"
+    )
+    ids = F.transform("ids", lambda x: x.getField("target_id"))
+    none = F.array().cast("array<string>")
+    return packed.groupBy("revision_id").agg(
+        *[F.coalesce(F.first(F.when(F.col("kind") == kind, ids), ignorenulls=True), none).alias(kind) for kind in REVISION_LINKS],
+        F.max("ids_truncated").alias("links_truncated"),
+    )
+
+
+def _with_links(rows: DataFrame, graph: Graph, cap: int) -> DataFrame:
+    linked = rows.join(nested_links(graph, rows.select("revision_id"), cap), "revision_id", "left")
+    none = F.array().cast("array<string>")
+    return linked.withColumns({
+        **{kind: F.coalesce(kind, none) for kind in REVISION_LINKS},
+        "links_truncated": F.coalesce("links_truncated", F.lit(False)),
+    })
+
+
+def linked_detail(
+    graph: Graph, advisory_ids: DataFrame | None = None, updates: int = DETAIL_UPDATES, links: int = DETAIL_LINKS
+) -> DataFrame:
+    """``detail`` with the links of the revision and, in each update, the ids of its evidence.
+
+    Evidence is looked up for the updates shown only.
+    """
+    rows = _with_links(detail(graph, advisory_ids, updates), graph, links)
+    shown = rows.select("advisory_id", F.explode("updates").alias("u")).select("advisory_id", F.col("u.id").alias("update_id"))
+    cited = graph.update_evidence.distinct().join(shown, "update_id")
+    packed = capped_children(cited, ["advisory_id", "update_id"], (("evidence_id", True),), links, ["evidence_id"], "evidence_ids")
+    ids = F.transform("evidence_ids", lambda x: x.getField("evidence_id"))
+    by_update = packed.groupBy("advisory_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("update_id", ids.alias("ids")))).alias("_cited")
+    )
+    none = F.array().cast("array<string>")
+    return rows.join(by_update, "advisory_id", "left").withColumn(
+        "updates",
+        F.transform("updates", lambda u: u.withField("evidence_ids", F.coalesce(F.col("_cited")[u.getField("id")], none))),
+    ).drop("_cited")
+
+
+def historic(graph: Graph, asked: DataFrame | None = None, links: int = DETAIL_LINKS) -> DataFrame:
+    """Any readable revision of a published advisory, with sections and links and without updates.
+
+    ``asked``: advisory_id, version; a revision that was never published has no row.
+    """
+    rows = revisions(graph)
+    if asked is not None:
+        rows = rows.join(asked, ["advisory_id", "version"], "left_semi")
+    head = rows.select("advisory_id", "slug", "version", "current", F.col("id").alias("revision_id"), "title", "summary")
+    section = F.struct("position", "section_type", "intelligence_type", "content")
+    sections = (
+        graph.advisory_sections.join(head.select("revision_id"), "revision_id", "left_semi")
+        .groupBy("revision_id").agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    )
+    return _with_links(head.join(sections, "revision_id", "left"), graph, links)
+
+
 def recent_updates(updates: DataFrame, limit: int = DETAIL_UPDATES) -> DataFrame:
     """Newest updates per advisory, numbered oldest first."""
     newest = top_n(updates, ["advisory_id"], (("sequence", False),), limit, "_from_end")

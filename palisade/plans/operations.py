@@ -81,6 +81,76 @@ def advisory_revisions(spark, sf_dir):
     return D.revisions(advisory_graph(spark, sf_dir)).select("advisory_id", "version", "current")
 
 
+def linked_graph(spark, sf_dir) -> Graph:
+    """Advisories with links: documents are evidence, customers actors, runs of events campaigns, parts techniques."""
+    base = advisory_graph(spark, sf_dir)
+    turns = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    named = lambda prefix: F.concat(F.lit(prefix), c("conv_id").cast("string"), F.lit("-"), c("turn").cast("string"))
+    docs = A.table(spark, sf_dir, "documents").select((c("doc_id") % 50).alias("conv_id"), "doc_id", F.concat(F.lit("doc-"), c("doc_id").cast("string")).alias("evidence_id"))
+    user = turns.filter("role = 'user'").select("conv_id", "turn", named("rev-").alias("revision_id"))
+    customers = A.table(spark, sf_dir, "customer").select((c("c_custkey") % 60).alias("conv_id"), F.concat(F.lit("cust-"), c("c_custkey").cast("string")).alias("actor_id"))
+    runs = A.table(spark, sf_dir, "events").select((c("user_id") % 70).alias("conv_id"), F.concat(F.lit("camp-"), c("user_id").cast("string"), F.lit("-"), "event_type").alias("campaign_id"))
+    parts = A.table(spark, sf_dir, "part").select((c("p_partkey") % 80).alias("conv_id"), F.concat(F.lit("part-"), c("p_partkey").cast("string")).alias("technique_id"))
+    cited = turns.join(docs, "conv_id").filter((c("doc_id") + c("turn")) % 3 == 0).select(named("upd-").alias("update_id"), "evidence_id")
+    return Graph(spark, {
+        **base.tables,
+        "revision_evidence": user.join(docs, "conv_id").filter((c("doc_id") + c("turn")) % 2 == 0).select("revision_id", "evidence_id"),
+        "revision_actors": user.join(customers, "conv_id").select("revision_id", "actor_id"),
+        "revision_campaigns": user.join(runs, "conv_id").select("revision_id", "campaign_id"),
+        "revision_techniques": user.join(parts, "conv_id").select("revision_id", "technique_id"),
+        "update_evidence": cited})
+
+
+def _linked(kind, source, key, prefix, more="TRUE"):
+    """SQL of the first 20 links of a kind, per user turn."""
+    return f"""{kind}_ AS (SELECT conv_id, turn, string_agg(id, ',' ORDER BY id) AS ids, max(n) > 20 AS cut FROM (
+  SELECT conv_id, turn, id, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM (
+    SELECT DISTINCT r.conv_id, r.turn, {prefix} AS id FROM rev r JOIN {source} x ON {key} = r.conv_id AND {more})
+  WINDOW w AS (PARTITION BY conv_id, turn ORDER BY id)) WHERE k <= 20 GROUP BY ALL)"""
+
+
+_LINKS = ",\n".join((
+    _linked("evidence", "documents", "x.doc_id % 50", "'doc-' || x.doc_id", "(x.doc_id + r.turn) % 2 = 0"),
+    _linked("actors", "customer", "x.c_custkey % 60", "'cust-' || x.c_custkey"),
+    _linked("campaigns", "events", "x.user_id % 70", "'camp-' || x.user_id || '-' || x.event_type"),
+    _linked("techniques", "part", "x.p_partkey % 80", "'part-' || x.p_partkey")))
+_LINK_COLUMNS = ", ".join(f"coalesce({k}_.ids, '') AS {k}" for k in D.REVISION_LINKS) + ", " + " OR ".join(
+    f"coalesce({k}_.cut, FALSE)" for k in D.REVISION_LINKS) + " AS links_truncated"
+_LINK_JOINS = " ".join(f"LEFT JOIN {k}_ ON {k}_.conv_id = r.conv_id AND {k}_.turn = r.turn" for k in D.REVISION_LINKS)
+
+
+def _link_texts():
+    return [F.array_join(kind, ",").alias(kind) for kind in D.REVISION_LINKS]
+
+
+@query("advisory_history", f"""WITH {_ADV}, {_LINKS}
+SELECT a.id AS advisory_id, r.version, r.version = a.version AS current, r.title, 'overview,detection' AS sections, {_LINK_COLUMNS}
+FROM adv a JOIN rev r ON r.conv_id = a.conv_id {_LINK_JOINS} WHERE live AND pub
+""")
+def advisory_history(spark, sf_dir):
+    """Every published revision of every published advisory, as it was, with its links."""
+    rows = D.historic(linked_graph(spark, sf_dir), links=20)
+    names = F.array_join(F.transform("sections", lambda x: x.getField("section_type")), ",")
+    return rows.select("advisory_id", "version", "current", "title", names.alias("sections"), *_link_texts(), "links_truncated")
+
+
+@query("advisory_linked_detail", f"""WITH {_ADV}, {_LINKS},
+cited AS (SELECT conv_id, turn, string_agg(id, ',' ORDER BY id) AS ids FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY id) AS k FROM (
+    SELECT c.conv_id, c.turn, 'doc-' || x.doc_id AS id FROM conversations c JOIN documents x ON x.doc_id % 50 = c.conv_id AND (x.doc_id + c.turn) % 3 = 0)) WHERE k <= 20 GROUP BY ALL),
+u AS (SELECT v.conv_id, string_agg(sequence || ':' || coalesce(ids, ''), ';' ORDER BY sequence) AS updates FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY sequence DESC) AS k FROM upd) v
+  LEFT JOIN cited ON cited.conv_id = v.conv_id AND cited.turn = v.sequence - 1 WHERE k <= 3 GROUP BY 1)
+SELECT a.id AS advisory_id, r.version, u.updates, {_LINK_COLUMNS}
+FROM adv a JOIN rev r ON r.conv_id = a.conv_id AND r.version = a.version LEFT JOIN u ON u.conv_id = a.conv_id {_LINK_JOINS} WHERE live AND pub
+""")
+def advisory_linked_detail(spark, sf_dir):
+    """The current revision with its links and its newest updates with their evidence."""
+    rows = D.linked_detail(linked_graph(spark, sf_dir), updates=3, links=20)
+    one = F.transform("updates", lambda u: F.concat(u.getField("sequence").cast("string"), F.lit(":"), F.array_join(u.getField("evidence_ids"), ",")))
+    return rows.select("advisory_id", "version", F.array_join(one, ";").alias("updates"), *_link_texts(), "links_truncated")
+
+
 @query("recent_updates", f"""WITH {_ADV}
 SELECT advisory_id, sequence, row_number() OVER (PARTITION BY advisory_id ORDER BY sequence) AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY advisory_id ORDER BY sequence DESC) AS k FROM upd) WHERE k <= 3

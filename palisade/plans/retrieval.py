@@ -9,6 +9,7 @@ from palisade.functions.vectors import vector_problem
 from palisade.operators import evaluate, retrieval as V
 from palisade.plans import adapters as A
 from palisade.plans.registry import query
+from palisade.schemas import Graph
 
 c = F.col
 
@@ -52,6 +53,36 @@ def vector_topk(spark, sf_dir):
     return rows.select("question_id", "evidence_id", (F.round("distance", 6) + 0.0).alias("distance"), "position")
 
 
+@query("graph_retrieval", """WITH vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+linked AS (SELECT ao.actor_id, o.observed_at, e.id AS evidence_id, s.name AS source_name, o.intelligence_type, vec.v FROM g_actor_obs ao
+  JOIN g_obs o ON o.id = ao.observation_id JOIN g_obs_evidence oe ON oe.observation_id = o.id
+  JOIN (SELECT DISTINCT 'li-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT AS id, l_partkey FROM lineitem) k ON k.id = oe.evidence_id
+  JOIN vec ON vec.vec_id = k.l_partkey JOIN g_evidence e ON e.id = oe.evidence_id JOIN g_sources s ON s.id = e.source_id),
+asked AS (SELECT 'q-' || c_custkey AS question_id, 'cust-' || c_custkey AS actor_id, v AS qv, CASE WHEN c_custkey % 2 = 1 THEN TIMESTAMP '1995-01-01' END AS date_from
+  FROM customer JOIN vec ON vec_id = c_custkey),
+scored AS (SELECT *, list_cosine_distance(v, qv) AS distance FROM linked JOIN asked USING (actor_id) WHERE date_from IS NULL OR observed_at >= date_from)
+SELECT question_id, evidence_id, source_name, intelligence_type, round(distance, 6) + 0.0 AS distance, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, observed_at DESC, evidence_id) AS position FROM scored WHERE distance <= 0.95) WHERE position <= 12
+""", ("g_actor_obs", "g_obs", "g_obs_evidence", "g_evidence", "g_sources"))
+def graph_retrieval(spark, sf_dir):
+    """A question about every customer with a vector, answered from the evidence behind its orders."""
+    graph = A.order_graph(spark, sf_dir)
+    vectors = A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    # the part of an item decides the vector of its evidence
+    part = F.split_part("id", F.lit("-"), F.lit(4)).cast("bigint")
+    embedded = graph.evidence.select(c("id").alias("evidence_id"), part.alias("vec_id")).distinct().join(vectors, "vec_id").select(
+        "evidence_id", F.lit("m1").alias("embedding_model"), F.size("embedding").alias("dimensions"), "embedding")
+    linked = Graph(spark, {**graph.tables, "evidence_embeddings": embedded})
+    key = c("c_custkey")
+    asked = A.table(spark, sf_dir, "customer").select("c_custkey").join(vectors, key == c("vec_id")).select(
+        F.concat(F.lit("q-"), key.cast("string")).alias("question_id"), F.concat(F.lit("cust-"), key.cast("string")).alias("actor_id"),
+        F.lit("m1").alias("embedding_model"), F.size("embedding").alias("dimensions"), c("embedding").alias("vector"),
+        F.when(key % 2 == 1, F.lit("1995-01-01").cast("timestamp")).alias("date_from"), F.lit(None).cast("timestamp").alias("date_to"))
+    # only actors that are asked about reach the chain of joins
+    rows = V.nearest(asked, V.candidates(linked, asked.select("actor_id")), max_distance=0.95)
+    return rows.select("question_id", "evidence_id", "source_name", "intelligence_type", (F.round("distance", 6) + 0.0).alias("distance"), "position")
+
+
 def _allocated(spark, sf_dir):
     near = V.nearest(question_rows(spark, sf_dir), candidate_rows(spark, sf_dir), max_distance=0.95)
     return near, V.allocate_context(near, budget=300)
