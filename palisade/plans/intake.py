@@ -9,7 +9,8 @@ from palisade.operators import artifacts, integrity
 from palisade.operators import intake as I
 from palisade.plans import adapters as A
 from palisade.plans.registry import query
-from palisade.sources.blobs import key_collisions as collisions
+from palisade.session import scratch_dir
+from palisade.sources.blobs import key_collisions as collisions, streamed_hashes, write_blobs
 
 
 def _submissions(spark, sf_dir):
@@ -157,6 +158,32 @@ _RECONCILED = """rec AS (
   UNION ALL SELECT NULL, 'raw/page/' || page_id, 'orphaned' FROM pages)"""
 
 
+_STORED_FILES = """one AS (SELECT text, sha256(text) AS sha, min(doc_id) AS first FROM documents GROUP BY text),
+kinds AS (SELECT d.doc_id, 'raw/' || substr(sha, 1, 2) || '/' || sha AS storage_key,
+    CASE WHEN first % 17 = 3 THEN 'missing' WHEN first % 17 = 5 THEN 'mismatched' ELSE 'verified' END AS kind FROM documents d JOIN one USING (text))"""
+
+
+@query("integrity_files", f"""WITH {_STORED_FILES}
+SELECT 'raw-' || doc_id AS raw_evidence_id, storage_key, kind FROM kinds
+UNION ALL SELECT NULL, 'raw/stray/' || page_id, 'orphaned' FROM pages
+""")
+def integrity_files(spark, sf_dir):
+    """Texts and pages are stored as files, some changed and some left out, and the folder is audited against the references."""
+    root = scratch_dir(spark, "blobs")
+    docs = A.table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text", F.sha2("text", 256).alias("sha"))
+    key = F.concat(F.lit("raw/"), F.substring("sha", 1, 2), F.lit("/"), "sha")
+    refs = docs.select(F.concat(F.lit("raw-"), F.col("doc_id").cast("string")).alias("raw_evidence_id"), key.alias("storage_key"),
+                       F.col("sha").alias("content_sha256"), F.octet_length("text").cast("bigint").alias("content_size_bytes"))
+    one = docs.groupBy("sha").agg(F.min("doc_id").alias("first"), F.any_value("text").alias("text"))
+    fault = F.pmod("first", F.lit(17))
+    kept = one.filter(fault != 3).select(key.alias("storage_key"), F.encode(
+        F.when(fault == 5, F.concat("text", F.lit("x"))).otherwise(F.col("text")), "UTF-8").alias("content"))
+    stray = A.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("raw/stray/"), F.col("page_id").cast("string")).alias("storage_key"), F.encode("html", "UTF-8").alias("content"))
+    write_blobs(kept.unionByName(stray), root).agg(F.count(F.lit(1))).first()
+    return integrity.reconcile(refs, streamed_hashes(spark, root, references=refs))
+
+
 @query("integrity_reconcile", f"WITH {_RECONCILED} SELECT * FROM rec")
 def integrity_reconcile(spark, sf_dir):
     return _reconciled(spark, sf_dir)

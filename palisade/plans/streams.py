@@ -69,6 +69,39 @@ def windowed_queue(spark, sf_dir):
     return _finish(spark, out, "queue").select(stamp("window_start").alias("window_start"), "queued", "processing", "failed", "total")
 
 
+# events in thirds of the time span; every 50th event of the first third arrives with the last
+_THIRDS = """span AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events),
+fed AS (SELECT ts, CASE WHEN third = 0 AND event_id % 50 = 7 THEN 2 ELSE third END AS feed FROM (
+  SELECT event_id, ts, least(2, (epoch_us(ts) - a) * 3 // greatest(b - a, 1)) AS third FROM events, span)),
+mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS early FROM fed WHERE feed < 2),
+placed AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS w, feed = 2 AND time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= early AS late FROM fed, mark)"""
+
+
+@query("windowed_queue_late", f"""WITH {_THIRDS}
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count_if(NOT late)::BIGINT AS total, count_if(late)::BIGINT AS late FROM placed
+WHERE w + INTERVAL 6 HOUR <= {_CLOSED} GROUP BY w
+""")
+def windowed_queue_late(spark, sf_dir):
+    """Events per window as the stream counts them, beside those that came after their window had closed."""
+    rows = A.table(spark, sf_dir, "events").withColumn("ts", c("ts").cast("timestamp"))
+    us = F.unix_micros("ts")
+    a, b = rows.agg(F.min(us), F.max(us)).first()
+    third = F.least(F.lit(2), F.floor((us - F.lit(a or 0)) * 3 / F.lit(max((b or 0) - (a or 0), 1))))
+    feed = F.when((third == 0) & (c("event_id") % 50 == 7), 2).otherwise(third)
+    root = scratch_dir(spark, "late")
+    step = ST.LateRows(spark, f"{root}/store", "ts", "6 hours", "1 hour")
+    for k in range(3):
+        # a feed arrives and both streams run over what is new, whatever its number of files
+        rows.filter(feed == k).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        queue = ST.windowed_queue(stream, "ts", "6 hours", "1 hour", {})
+        ST.run_to_table(queue, f"{root}/out", f"{root}/queue")
+        ST.run_batches(stream, step, f"{root}/steps")
+    counted = spark.read.schema(queue.schema).parquet(f"{root}/out")
+    both = counted.join(step.total(), "window_start", "left")
+    return both.select(stamp("window_start").alias("window_start"), "total", F.coalesce("late", F.lit(0)).cast("bigint").alias("late"))
+
+
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type, ts::DATE::VARCHAR AS day FROM events")
 def stream_dedup(spark, sf_dir):
     """One row per (user, kind, day): keys are remembered for longer than the day they belong to."""

@@ -24,6 +24,47 @@ def scan_blobs(spark: SparkSession, root: str, prefix: str = "raw") -> DataFrame
     )
 
 
+def write_blobs(rows: DataFrame, root: str) -> DataFrame:
+    """Store (storage_key, content) as files below ``root`` and return the keys with their sizes.
+
+    Every file is written under another name and then renamed, so a retried task leaves whole files only. ``root`` is any
+    folder that the executors mount; the rows stay where Spark has them.
+    """
+    base = root.rstrip("/").removeprefix("file:")
+
+    def store(batches):
+        import os
+        import uuid
+
+        import pandas as pd
+
+        for frame in batches:
+            sizes = []
+            for key, content in zip(frame["storage_key"], frame["content"]):
+                path = os.path.join(base, key)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                made = os.path.join(base, f".{uuid.uuid4().hex}.part")
+                with open(made, "wb") as handle:
+                    handle.write(content)
+                os.replace(made, path)
+                sizes.append(len(content))
+            yield pd.DataFrame({"storage_key": frame["storage_key"], "blob_size": sizes})
+
+    return rows.select("storage_key", "content").mapInPandas(store, "storage_key string, blob_size bigint")
+
+
+def streamed_hashes(spark: SparkSession, root: str, prefix: str = "raw", references: DataFrame | None = None) -> DataFrame:
+    """(storage_key, blob_sha256, blob_size, blob_status) of every listed file and every key of ``references``.
+
+    Spark lists the files and each is read in streams of 1 MiB, so that one may be larger than a row. The file source does not list
+    empty files: an empty blob is found by its reference only, a stray one is not reported.
+    """
+    keys = scan_blobs(spark, root, prefix).select("storage_key")
+    if references is not None:
+        keys = keys.unionByName(references.filter(F.col("storage_key").isNotNull()).select("storage_key"))
+    return read_listed_blobs(keys, root)
+
+
 def hash_blobs(blobs: DataFrame) -> DataFrame:
     """(storage_key, blob_sha256, blob_size); the bytes do not travel past the scan."""
     return blobs.select(
@@ -40,7 +81,7 @@ def read_listed_blobs(references: DataFrame, root: str) -> DataFrame:
     ``missing`` and ``storage_error`` apart opens keys one by one inside the tasks, in streams of
     1 MiB; the key list stays partitioned by Spark. ``root`` is any folder the executors mount.
     """
-    base = root.rstrip("/")
+    base = root.rstrip("/").removeprefix("file:")
 
     def check(batches):
         import hashlib

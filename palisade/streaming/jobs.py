@@ -56,6 +56,43 @@ def windowed_queue(stream: DataFrame, at: str, width: str, lateness: str, states
                           *states, "total")
 
 
+class LateRows:
+    """``foreachBatch`` step: rows that ``windowed_queue`` drops because their window had closed, counted per window.
+
+    For streams that run over what is available and stop: a run ends by closing the windows that its rows made due, so the watermark
+    of the next is the newest event time so far, less the lateness, and a row is late if its window ends at or before it. (Within a
+    run of several batches Spark drops rows by the watermark of one batch earlier; use one batch a run.) A batch stores its counts and its newest time, so a replay finds the watermark it had
+    and replaces its own counts. Reading the watermark touches one key of one row per batch. Rows without a time have no window and
+    are not counted.
+    """
+
+    COUNTS = "batch_id bigint, window_start timestamp, late bigint"
+    MARKS = "name string, newest timestamp"
+
+    def __init__(self, spark: SparkSession, root: str, at: str, width: str, lateness: str):
+        self.at, self.width, self.lateness = at, width, lateness
+        self.counts = ChangeTable(spark, f"{root}/late_rows", self.COUNTS, ["batch_id", "window_start"])
+        self.marks = ChangeTable(spark, f"{root}/marks", self.MARKS, ["name"], buckets=1)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.marks.done(batch_id):
+            return
+        held = self.marks.rows(batch_id).first()
+        newest = held["newest"] if held else None
+        times = event_time(batch.select(self.at), self.at).filter(F.col(self.at).isNotNull())
+        closed = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {self.lateness}")
+        late = times.select(F.window(self.at, self.width).alias("w")).filter(F.col("w.end") <= closed)
+        self.counts.write(late.groupBy(F.col("w.start").alias("window_start")).agg(F.count(F.lit(1)).alias("late"))
+                          .withColumn("batch_id", F.lit(batch_id).cast("bigint")), batch_id)
+        seen = times.agg(F.max(self.at).alias("newest")).select(
+            F.lit("newest").alias("name"), F.greatest("newest", F.lit(newest).cast("timestamp")).alias("newest"))
+        self.marks.write(seen, batch_id)
+
+    def total(self) -> DataFrame:
+        """window_start, late over all batches."""
+        return self.counts.rows().groupBy("window_start").agg(F.sum("late").alias("late"))
+
+
 def activity_sessions(stream: DataFrame, key: str, at: str, gap: str, lateness: str) -> DataFrame:
     """First and last event of each run of activity with no pause of ``gap`` or more."""
     merged = (
@@ -138,6 +175,6 @@ class StreamingNormalization:
 
 
 __all__ = [
-    "EvidenceIntake", "StreamingNormalization", "activity_sessions", "bounded_dedup", "event_time",
+    "EvidenceIntake", "LateRows", "StreamingNormalization", "activity_sessions", "bounded_dedup", "event_time",
     "run_batches", "run_to_table", "update_feed", "windowed_queue",
 ]
