@@ -43,15 +43,42 @@ def _lowered(column: pa.Array) -> Words:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """The logistic function of x, in place."""
+    x *= x.dtype.type(0.5)
+    np.tanh(x, out=x)
+    x *= x.dtype.type(0.5)
+    x += x.dtype.type(0.5)
+    return x
+
+
+def _with_ones(x: np.ndarray) -> np.ndarray:
+    """The rows of x, each with a 1 at its end: a bias becomes one more weight."""
+    wide = np.empty((len(x), x.shape[1] + 1), x.dtype)
+    wide[:, :-1] = x
+    wide[:, -1] = 1
+    return wide
+
+
+#: While no logit can be larger than this, its exponential needs no shift.
+_SAFE = 60.0
+
+
+def _exponentials(logits: np.ndarray, bound: float, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials in place of the logits, their sums, and the log-probability of the entry ``which`` of each row."""
+    if not bound < _SAFE:
+        logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(logits)), which]
+    e = np.exp(logits, out=logits)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    return e, total, own - np.log(total)
 
 
 @dataclass
 class Network:
     """Weights; ids of one class are neighbours: class k holds edges[k] up to edges[k + 1]."""
 
-    inputs: np.ndarray  # per word: its part of update, reset and new state
-    state: np.ndarray
+    inputs: np.ndarray  # for update, reset and new state: the part of each word
+    state: np.ndarray  # for the same three: the part of the state before
     classes: np.ndarray
     class_bias: np.ndarray
     words: np.ndarray
@@ -70,12 +97,12 @@ class Network:
         share = (counts + 1.0) / (counts + 1.0).sum()
         mass = np.add.reduceat(share, edges[:-1])
         scale = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return cls(scale(n, 3 * hidden), scale(hidden, 3 * hidden), scale(hidden, len(mass)), np.log(mass).astype(np.float32),
+        return cls(scale(3, n, hidden), scale(3, hidden, hidden), scale(hidden, len(mass)), np.log(mass).astype(np.float32),
                    scale(n, hidden), np.log(share).astype(np.float32), edges)
 
     @property
     def hidden(self) -> int:
-        return len(self.state)
+        return self.state.shape[-1]
 
     @cached_property
     def class_of(self) -> np.ndarray:
@@ -84,53 +111,120 @@ class Network:
 
     def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         """The next state, with what backpropagation needs."""
-        k = self.hidden
-        x, u = self.inputs[ids], h @ self.state
-        gates = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
-        z, r = gates[:, :k], gates[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * u[:, 2 * k :])
-        return n + z * (h - n), z, r, n, u[:, 2 * k :]
+        x, u = np.take(self.inputs, ids, axis=1), np.matmul(h, self.state)
+        x[:2] += u[:2]
+        z, r = _sigmoid(x[:2])
+        n = x[2]
+        n += r * u[2]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, u[2]
 
     def likelihood(self, h: np.ndarray, targets: np.ndarray, slopes: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each target after its state; with slopes also the slope by the states."""
+        """Natural log-probability of each target after its state; with slopes also the slope by the states.
+
+        States lie between -1 and 1, which bounds every logit by the weights.
+        """
         order = np.argsort(self.class_of[targets], kind="stable")
-        targets, h = targets[order], h[order]
-        which, rows = self.class_of[targets], np.arange(len(targets))
-        logits = h @ self.classes + self.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        own = logits[rows, which]
-        e = np.exp(logits, out=logits)
-        total = e.sum(axis=1)
-        value = own - np.log(total)
+        targets, h = targets[order], _with_ones(np.take(h, order, axis=0))
+        which, k = self.class_of[targets], h.shape[1] - 1
+        weights = np.concatenate([self.classes, self.class_bias[None]])
+        e, total, value = _exponentials(h @ weights, float(np.abs(weights).sum(axis=0).max()), which)
         d_h = None
         if slopes is not None:
             e /= total[:, None]
-            e[rows, which] -= 1
-            slopes["classes"] += h.T @ e
-            slopes["class_bias"] += e.sum(axis=0)
+            e[np.arange(len(e)), which] -= 1
+            slope = h.T @ e
+            slopes["classes"] += slope[:-1]
+            slopes["class_bias"] += slope[-1]
             d_h = e @ self.classes.T
+        weights = np.concatenate([self.words, self.word_bias[:, None]], axis=1)
+        bounds = np.maximum.reduceat(np.abs(weights).sum(axis=1), self.edges[:-1]).tolist()
         starts = np.searchsorted(which, np.arange(len(self.edges)))
-        for k in np.flatnonzero(np.diff(starts)):
-            at, a, b = slice(starts[k], starts[k + 1]), self.edges[k], self.edges[k + 1]
+        for c in np.flatnonzero(np.diff(starts)):
+            at, a, b = slice(starts[c], starts[c + 1]), self.edges[c], self.edges[c + 1]
             if b - a == 1:
                 continue
             state, place = h[at], targets[at] - a
-            rows = np.arange(len(place))
-            logits = state @ self.words[a:b].T + self.word_bias[a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            own = logits[rows, place]
-            e = np.exp(logits, out=logits)
-            total = e.sum(axis=1)
-            value[at] += own - np.log(total)
+            e, total, found = _exponentials(state @ weights[a:b].T, bounds[c], place)
+            value[at] += found
             if slopes is not None:
                 e /= total[:, None]
-                e[rows, place] -= 1
-                slopes["words"][a:b] += e.T @ state
-                slopes["word_bias"][a:b] += e.sum(axis=0)
-                d_h[at] += e @ self.words[a:b]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return value[back], None if d_h is None else d_h[back]
+                e[np.arange(len(e)), place] -= 1
+                slope = e.T @ state
+                slopes["words"][a:b] += slope[:, :k]
+                slopes["word_bias"][a:b] += slope[:, k]
+                d_h[at] += e @ weights[a:b, :k]
+        made = np.empty_like(value)
+        made[order] = value
+        if d_h is None:
+            return made, None
+        back = np.empty_like(d_h)
+        back[order] = d_h
+        return made, back
+
+    def _input_slopes(self, ids: np.ndarray, d_x: list[np.ndarray]) -> np.ndarray:
+        """The slopes of ``inputs``: the rows of d_x (for each of its three parts) added up by id, class by class."""
+        order = np.argsort(self.class_of[ids], kind="stable")
+        ids = ids[order]
+        starts, found = np.searchsorted(self.class_of[ids], np.arange(len(self.edges))), np.zeros_like(self.inputs)
+        parts = [np.take(x, order, axis=0) for x in d_x]
+        for c in np.flatnonzero(np.diff(starts)):
+            at, a, b = slice(starts[c], starts[c + 1]), self.edges[c], self.edges[c + 1]
+            if b - a == 1:
+                for own, part in zip(found, parts):
+                    own[a] = part[at].sum(axis=0)
+                continue
+            marks = np.zeros((b - a, at.stop - at.start), found.dtype)
+            marks[ids[at] - a, np.arange(at.stop - at.start)] = 1
+            for own, part in zip(found, parts):
+                own[a:b] = marks @ part[at]
+        return found
+
+    def _slopes(self, ids: np.ndarray, targets: np.ndarray, h: np.ndarray, end: int, room: np.ndarray) -> tuple[dict, float, np.ndarray]:
+        """Slopes of one window of streams (time, stream), its loss, and the states after it.
+
+        ``h`` are the states before it; they start anew at each ``end``. ``room`` holds what backpropagation needs.
+        """
+        k, steps = self.hidden, len(ids)
+        old, z, r, n, un, new = room[:6, :steps]
+        d_u = room[6:, :steps]
+        for t in range(steps):
+            old[t] = h
+            old[t, ids[t] == end] = 0
+            new[t], z[t], r[t], n[t], un[t] = self.step(old[t], ids[t])
+            h = new[t]
+        slopes = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
+        found, d_all = self.likelihood(new.reshape(-1, k), targets.ravel(), slopes)
+        d_all = d_all.reshape(new.shape)
+        d_h, back = np.zeros_like(h), self.state.transpose(0, 2, 1).copy()
+        for t in range(steps - 1, -1, -1):
+            d, d_z, d_r, d_un = d_all[t], *d_u[:, t]
+            d += d_h
+            keep = 1 - z[t]
+            np.subtract(old[t], n[t], out=d_z)
+            d_z *= z[t]
+            d_z *= keep
+            d_z *= d
+            d_n = n[t]
+            d_n *= d_n
+            np.subtract(1, d_n, out=d_n)
+            d_n *= keep
+            d_n *= d
+            np.multiply(d_n, r[t], out=d_un)
+            np.subtract(1, r[t], out=d_r)
+            d_r *= un[t]
+            d_r *= d_un
+            d *= z[t]
+            d_h = d
+            for part in np.matmul(d_u[:, t], back):
+                d_h += part
+            d_h[ids[t] == end] = 0
+        slopes["state"] += np.matmul(old.reshape(-1, k).T, d_u.reshape(3, -1, k))
+        slopes["inputs"] += self._input_slopes(ids.ravel(), [x.reshape(-1, k) for x in (d_u[0], d_u[1], n)])
+        return slopes, -float(found.sum()), h.copy()
 
     def fit(self, stream: np.ndarray, end: int, batch: int = 64, window: int = 32, epochs: int = 3, rate: float = 4e-3,
             moments: dict | None = None) -> list[float]:
@@ -142,50 +236,22 @@ class Network:
         steps = (len(stream) - 1) // batch
         if steps < 1:
             return []
-        rows = np.lib.stride_tricks.sliding_window_view(stream, steps + 1)[::steps][:batch].T
-        losses, k, moments = [], self.hidden, {} if moments is None else moments
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(stream, steps + 1)[::steps][:batch].T)
+        losses, moments = [], {} if moments is None else moments
         if not moments:
             moments |= {"turn": 0} | {name: (np.zeros_like(getattr(self, name)), np.zeros_like(getattr(self, name))) for name in self.NAMES}
         turn = moments["turn"]
         first, second = ({name: moments[name][i] for name in self.NAMES} for i in (0, 1))
         for _ in range(epochs):
-            h, loss = np.zeros((rows.shape[1], k), np.float32), 0.0
+            h, loss = np.zeros((rows.shape[1], self.hidden), self.state.dtype), 0.0
+            room = np.empty((9, min(window, steps), *h.shape), h.dtype)
             for begin in range(0, steps, window):
-                slopes = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
-                kept, states = [], []
-                for t in range(begin, min(begin + window, steps)):
-                    ids = rows[t]
-                    h = np.where((ids == end)[:, None], np.float32(0), h)
-                    new, z, r, n, un = self.step(h, ids)
-                    kept.append((ids, h, z, r, n, un))
-                    states.append(new)
-                    h = new
-                targets = rows[begin + 1 : begin + 1 + len(kept)].ravel()
-                found, d_all = self.likelihood(np.concatenate(states), targets, slopes)
-                loss -= found.sum()
-                d_all = d_all.reshape(len(kept), -1, k)
-                ids, old, z, r, n, un = (np.stack(x) for x in zip(*kept))
-                by_n, by_z, by_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), un * r * (1 - r)
-                goes_on = (ids != end).astype(np.float32)[:, :, None]
-                d_u = np.empty((*ids.shape, 3 * k), np.float32)
-                d_x, d_h, back = np.empty_like(d_u), np.zeros_like(h), self.state.T.copy()
-                for t in range(len(kept) - 1, -1, -1):
-                    d = d_all[t] + d_h
-                    d_n = d * by_n[t]
-                    np.multiply(d, by_z[t], out=d_u[t, :, :k])
-                    np.multiply(d_n, by_r[t], out=d_u[t, :, k : 2 * k])
-                    np.multiply(d_n, r[t], out=d_u[t, :, 2 * k :])
-                    d_x[t, :, 2 * k :] = d_n
-                    d_h = (d * z[t] + d_u[t] @ back) * goes_on[t]
-                d_x[:, :, : 2 * k] = d_u[:, :, : 2 * k]
-                slopes["state"] += old.reshape(-1, k).T @ d_u.reshape(-1, 3 * k)
-                at = ids.ravel().astype(np.uint16)
-                order = np.argsort(at, kind="stable")
-                runs = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
-                slopes["inputs"][at[order][runs]] = np.add.reduceat(d_x.reshape(-1, 3 * k)[order].T.copy(), runs, axis=1).T
+                ids, targets = rows[begin : min(begin + window, steps)], rows[begin + 1 : min(begin + window, steps) + 1]
+                slopes, lost, h = self._slopes(ids, targets, h, end, room)
+                loss += lost
                 turn += 1
                 for name in self.NAMES:
-                    g = np.clip(slopes[name] / len(targets), -0.1, 0.1)
+                    g = np.clip(slopes[name] / targets.size, -0.1, 0.1)
                     first[name] += 0.1 * (g - first[name])
                     second[name] += 0.01 * (g * g - second[name])
                     step = rate * (first[name] / (1 - 0.9**turn)) / (np.sqrt(second[name] / (1 - 0.99**turn)) + 1e-6)

@@ -96,6 +96,44 @@ def test_training_learns_an_order():
     assert losses[-1] < 0.35 < losses[0]
 
 
+def test_slopes_through_time_agree_with_finite_differences():
+    network = language_model.Network.start(np.arange(20.0, 0, -1), 5)
+    for name in network.NAMES:
+        setattr(network, name, getattr(network, name).astype(np.float64))
+    rng = np.random.default_rng(8)
+    rows = rng.integers(0, 20, (8, 6))
+    rows[3, 2] = rows[0, 1] = 1
+    begin = rng.normal(0, 0.3, (6, 5))
+
+    def loss() -> float:
+        h, lost = begin, 0.0
+        for ids, targets in zip(rows, rows[1:]):
+            h = network.step(np.where((ids == 1)[:, None], 0.0, h), ids)[0]
+            lost -= network.likelihood(h, targets)[0].sum()
+        return lost
+
+    slopes, lost, after = network._slopes(rows[:-1], rows[1:], begin, 1, np.empty((9, 7, 6, 5)))
+    assert np.isclose(lost, loss()) and after.shape == begin.shape
+    for name in network.NAMES:
+        array = getattr(network, name)
+        for at in zip(*(rng.integers(0, n, 12) for n in array.shape)):
+            kept = array[at]
+            array[at] = kept + 1e-5
+            more = loss()
+            array[at] = kept - 1e-5
+            less = loss()
+            array[at] = kept
+            assert np.isclose((more - less) / 2e-5, slopes[name][at], atol=1e-5), (name, at)
+
+
+def test_large_weights_are_shifted_before_their_exponentials():
+    network = language_model.Network.start(np.arange(30.0, 0, -1), 4)
+    network.words *= 5_000
+    network.classes *= 5_000
+    value = network.likelihood(np.full((30, 4), 0.9, np.float32), np.arange(30))[0]
+    assert np.isfinite(value).all() and np.isclose(np.exp(value.astype(float)).sum(), 1, atol=1e-4)
+
+
 def test_slopes_agree_with_finite_differences():
     network = language_model.Network.start(np.arange(20.0, 0, -1), 5)
     for name in network.NAMES:
