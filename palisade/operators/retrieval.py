@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.functions.text import classify_intent, collapse, has_control, strip, token_estimate
-from palisade.functions.vectors import cosine_distance, norm, vector_problem
+from palisade.functions.vectors import norm, vector_problem
 from palisade.operators.scale import Order, top_n
 from palisade.schemas import Graph
+from palisade.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------
 RETRIEVAL_LIMIT = 12
@@ -66,6 +71,89 @@ def embed(texts: DataFrame, text: str, provider, dimensions: int) -> DataFrame:
     return rows.withColumn("problem", vector_problem(F.col("embedding"), F.lit(dimensions)))
 
 
+#: Questions are asked about one actor, model and vector size.
+_ASKED = ["actor_id", "embedding_model", "dimensions"]
+#: A block of vectors holds at most about so many numbers, and so many rows.
+_BLOCK_VALUES, _BLOCK_ROWS = 1 << 21, 2048
+#: Rows of one actor meet the sizes of its group in so many parts.
+_SALTS = 32
+#: Products of matrices are added up in another order; what lies this close to a bound is worked out exactly.
+_SLACK = 1e-9
+
+
+def _dealt(rows: DataFrame, groups: DataFrame, mark: Column, own: str, other: str) -> DataFrame:
+    """Each row in its block (column ``own``), once for every block of the other side."""
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    met = rows.withColumn("_mark", mark).withColumn("_salt", F.pmod("_mark", F.lit(_SALTS)).cast("int")).join(salted, [*_ASKED, "_salt"])
+    return (
+        met.withColumn(own, F.pmod(F.xxhash64("_mark"), F.col(own)).cast("int"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        .drop("_mark", "_salt")
+    )
+
+
+def _vectors(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all vectors, with the start and the length of each."""
+    column = rows.column(name).combine_chunks()
+    edges = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False).astype(np.float64), edges[:-1], np.diff(edges)
+
+
+def _ordered_dot(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Dot products of rows ``left`` of a and ``right`` of b, added up from left to right."""
+    total = np.zeros(len(left))
+    for x, y in zip(a.T, b.T):
+        total += x[left] * y[right]
+    return total
+
+
+def _block_pairs(asked: pa.Table, found: pa.Table, limit: int, max_distance: float, most: int = 1 << 22):
+    """Question row, candidate row and distance of all pairs that can be among the first ``limit`` of their question."""
+    dated = lambda rows, name, default: rows.column(name).fill_null(default).to_numpy()
+    first, last = -(1 << 63), (1 << 63) - 1
+    at, since, until = dated(found, "_at", first), dated(asked, "_since", first), dated(asked, "_until", last)
+    undated = found.column("_at").is_null().to_numpy()
+    free = (since == first) & (until == last)
+    norm_a, norm_b = asked.column("_norm").to_numpy(), found.column("_norm").to_numpy()
+    (a, a_start, a_size), (b, b_start, b_size) = _vectors(asked, "vector"), _vectors(found, "embedding")
+    for size in np.intersect1d(a_size, b_size):
+        own, other = np.flatnonzero(a_size == size), np.flatnonzero(b_size == size)
+        span = np.arange(size)
+        left, right = a[a_start[own][:, None] + span], b[b_start[other][:, None] + span]
+        step = max(1, most // len(other))
+        for part in (slice(k, k + step) for k in range(0, len(own), step)):
+            rows = own[part]
+            with np.errstate(all="ignore"):
+                near = 1.0 - (left[part] @ right.T) / (norm_a[rows][:, None] * norm_b[other])
+            outside = (at[other] < since[rows][:, None]) | (at[other] > until[rows][:, None]) | (undated[other] & ~free[rows][:, None])
+            near[outside | np.isnan(near)] = np.inf
+            bound = np.full(len(rows), max_distance)
+            if len(other) > limit:
+                bound = np.minimum(bound, np.partition(near, limit - 1, axis=1)[:, limit - 1])
+            i, j = np.nonzero(near <= bound[:, None] + _SLACK)
+            distance = 1.0 - _ordered_dot(left[part], right, i, j) / (norm_a[rows[i]] * norm_b[other[j]])
+            kept = distance <= max_distance
+            yield rows[i[kept]], other[j[kept]], distance[kept]
+
+
+def _block_nearest(limit: int, max_distance: float):
+    def run(asked: pa.Table, found: pa.Table) -> pa.Table:
+        parts = list(_block_pairs(asked, found, limit, max_distance)) if len(asked) and len(found) else []
+        q, k = (np.concatenate([p[n] for p in parts] or [np.zeros(0, np.int64)]) for n in (0, 1))
+        distance = np.concatenate([p[2] for p in parts] or [np.zeros(0)])
+        ids = found.column("evidence_id").take(pa.array(k))
+        pairs = pa.table({"q": q, "distance": distance, "at": found.column("_at").take(pa.array(k)), "named": pc.is_valid(ids).cast(pa.int8()), "id": ids})
+        keys = [("q", "ascending"), ("distance", "ascending"), ("at", "descending"), ("named", "ascending"), ("id", "ascending")]
+        order = pc.sort_indices(pairs, sort_keys=keys, null_placement="at_end").to_numpy().astype(np.int64)
+        first = np.flatnonzero(np.r_[True, np.diff(q[order]) > 0]) if len(order) else order
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        kept = order[place < limit]
+        return pa.table({"_asked": asked.column("_asked").take(pa.array(q[kept])), "_found": found.column("_found").take(pa.array(k[kept])),
+                         "distance": pa.array(distance[kept])})
+
+    return run
+
+
 def nearest(
     questions: DataFrame,
     candidates: DataFrame,
@@ -76,22 +164,31 @@ def nearest(
 
     ``questions``: question_id, actor_id, embedding_model, dimensions, vector, date_from, date_to.
     ``candidates``: actor_id, embedding_model, dimensions, embedding, observed_at, evidence_id, ...
-    An equi join: each candidate meets only the questions about its actor. Questions are
-    broadcast if Spark sees that they are few; otherwise AQE splits a hot actor.
+    Further columns of both are kept. Questions and candidates of an actor are dealt into blocks of bounded size, so many that an
+    actor with any number of either is many groups; a pair of blocks is one product of matrices, of which the first
+    ``limit`` per question go on. Distances near a bound are added up in the order of the vector's elements, so they (and ties)
+    don't depend on the blocks. Null, empty, zero and non-finite vectors and those of another length are never near.
     """
-    asked = questions.withColumn("_qnorm", norm(F.col("vector")))
-    near = candidates.withColumn("_norm", norm(F.col("embedding"))).join(
-        asked, ["actor_id", "embedding_model", "dimensions"]
-    )
-    dated = near.filter(
-        (F.col("date_from").isNull() | (F.col("observed_at") >= F.col("date_from")))
-        & (F.col("date_to").isNull() | (F.col("observed_at") <= F.col("date_to")))
-    )
-    scored = dated.withColumn(
-        "distance", cosine_distance(F.col("embedding"), F.col("vector"), F.col("_norm"), F.col("_qnorm"))
-    ).filter(F.col("distance") <= max_distance)
-    slim = scored.drop("vector", "embedding", "_norm", "_qnorm", "date_from", "date_to")
-    return top_n(slim, ["question_id"], NEAREST, limit, "position")
+    a, b = questions.groupBy(*_ASKED), candidates.groupBy(*_ASKED)
+    rows = F.greatest(F.lit(1), F.least(F.lit(_BLOCK_ROWS), F.floor(F.lit(_BLOCK_VALUES) / F.greatest("dimensions", F.lit(1)))))
+    blocks = lambda name: F.ceil(F.count(F.lit(1)) / F.first(rows)).cast("int").alias(name)
+    groups = materialize(a.agg(blocks("_qblock")).join(b.agg(blocks("_cblock")), _ASKED), "retrieval-groups")
+    usable = F.col("_norm").isNotNull() & ~F.isnan("_norm") & (F.col("_norm") > 0)
+    micros = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
+    own = [c for c in questions.columns if c not in ("vector", "date_from", "date_to")]
+    other = [c for c in candidates.columns if c not in (*_ASKED, "embedding")]
+    asked = questions.select(*_ASKED, "vector", norm(F.col("vector")).alias("_norm"), micros("date_from").alias("_since"),
+                             micros("date_to").alias("_until"), F.struct(*own).alias("_asked")).filter(usable)
+    found = candidates.select(*_ASKED, "embedding", "evidence_id", norm(F.col("embedding")).alias("_norm"), micros("observed_at").alias("_at"),
+                              F.struct(*other).alias("_found")).filter(usable)
+    keys = [*_ASKED, "_qblock", "_cblock"]
+    left = _dealt(asked, groups, F.xxhash64("_asked"), "_qblock", "_cblock").groupBy(*keys)
+    right = _dealt(found, groups, F.xxhash64("_found"), "_cblock", "_qblock").groupBy(*keys)
+    kind = T.StructType([asked.schema["_asked"], found.schema["_found"], T.StructField("distance", T.DoubleType())])
+    near = left.cogroup(right).applyInArrow(_block_nearest(limit, max_distance), kind)
+    columns = [*[F.col("_asked")[c].alias(c) for c in _ASKED], *[F.col("_found")[c].alias(c) for c in other],
+               *[F.col("_asked")[c].alias(c) for c in own if c not in _ASKED]]
+    return top_n(near.select(*columns, "distance"), ["question_id"], NEAREST, limit, "position")
 
 
 def candidates(graph: Graph, actor_ids: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from graphs import search_graph
+from palisade.functions.vectors import cosine_distance
 from palisade.operators import integrity, jobs, quality, retrieval, stix_export
 from palisade.sources import blobs
 from palisade.streaming import jobs as streams
@@ -46,6 +47,55 @@ def test_retrieval_isolates_actors_and_dates(spark):
     assert got == [("q1", "e1", 0.0), ("q2", "e2", 0.0), ("q3", "e3", 0.0)]
 
 
+def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    """A hot actor in many blocks, ties, odd vectors, null dates, further columns, repeated rows."""
+    monkeypatch.setattr(retrieval, "_BLOCK_ROWS", 7)
+    rng = random.Random(9)
+    day = datetime(2025, 4, 2)
+    def vector():
+        kind = rng.random()
+        if kind < 0.1:
+            return rng.choice([None, [], [0.0] * 4, [1.0, None, 0.0, 0.0], [1.0, float("nan"), 0.0, 0.0], [1.0, float("inf"), 0.0, 0.0], [1.0, 2.0]])
+        return [float(rng.randrange(-2, 3)) for _ in range(4)] if kind < 0.5 else [rng.gauss(0, 1) for _ in range(4)]
+
+    def moment():
+        return None if rng.random() < 0.15 else day + timedelta(rng.randrange(6))
+
+    actor = lambda: rng.choice(["hot", "hot", "hot", "a", "b", None])
+    cand = [(actor(), rng.choice(["m", "m", "n"]), 4, vector(), moment(), f"e{i}", f"cited {i}") for i in range(120)]
+    asked = [(f"q{i}", actor(), "m", 4, vector(), rng.choice([None, day + timedelta(2)]), rng.choice([None, day + timedelta(4)]), i) for i in range(60)]
+    c = spark.createDataFrame(cand, "actor_id string, embedding_model string, dimensions int, embedding array<double>, observed_at timestamp, evidence_id string, citation string")
+    q = spark.createDataFrame(asked, "question_id string, actor_id string, embedding_model string, dimensions int, vector array<double>, date_from timestamp, date_to timestamp, more int")
+    made = retrieval.nearest(q, c, limit=5, max_distance=0.8)
+    assert made.columns == ["actor_id", "embedding_model", "dimensions", "observed_at", "evidence_id", "citation", "question_id", "more", "distance", "position"]
+    got = sorted(((r.question_id, r.position, r.evidence_id, r.distance, r.citation, r.more) for r in made.collect()))
+    # the same by expressions over all pairs
+    pairs = q.join(c, ["actor_id", "embedding_model", "dimensions"]).withColumn("distance", cosine_distance(F.col("embedding"), F.col("vector"))).collect()
+    want = []
+    for name in sorted({r.question_id for r in pairs}):
+        near = [r for r in pairs if r.question_id == name and r.distance is not None and r.distance <= 0.8
+                and (r.date_from is None or (r.observed_at and r.observed_at >= r.date_from)) and (r.date_to is None or (r.observed_at and r.observed_at <= r.date_to))]
+        near.sort(key=lambda r: (r.distance, r.observed_at is None, -(r.observed_at or day).timestamp(), r.evidence_id))
+        want += [(name, k + 1, r.evidence_id, r.distance, r.citation, r.more) for k, r in enumerate(near[:5])]
+    assert got == sorted(want) and len(got) > 100
+    assert retrieval.nearest(q.limit(0), c).count() == retrieval.nearest(q, c.limit(0)).count() == 0
+    assert retrieval.nearest(q, c, max_distance=-1.0).count() == 0
+
+
+def test_equal_vectors_tie_exactly_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "_BLOCK_ROWS", 5)
+    day = datetime(2025, 4, 2)
+    same = [0.1, 0.7, -0.3]
+    cand = [("a", "m", 3, same, day, f"e{i:03d}") for i in range(90)]
+    asked = [(f"q{i}", "a", "m", 3, [0.2 * i, 1.0, 0.1], None, None) for i in range(12)]
+    c = spark.createDataFrame(cand, "actor_id string, embedding_model string, dimensions int, embedding array<float>, observed_at timestamp, evidence_id string")
+    q = spark.createDataFrame(asked, "question_id string, actor_id string, embedding_model string, dimensions int, vector array<float>, date_from timestamp, date_to timestamp")
+    found = {}
+    for r in retrieval.nearest(q, c, limit=3, max_distance=2.0).collect():
+        found.setdefault(r.question_id, []).append((r.position, r.evidence_id))
+    assert len(found) == 12 and all(sorted(x) == [(1, "e000"), (2, "e001"), (3, "e002")] for x in found.values())
+
+
 def test_embedding_provider_runs_in_batches(spark):
     texts = spark.createDataFrame([("a",), ("bb",)], "t string")
     out = retrieval.embed(texts, "t", lambda batch: [[float(len(x)), 0.0] for x in batch], 2).collect()
