@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words, [\x20\x09-\x0D].
 WORD_SPACE = b" \t\n\x0b\x0c\r"
@@ -55,6 +56,17 @@ def other_columns(docs: DataFrame) -> list:
     return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c != "text"]
 
 
+def rows_and_text(docs: DataFrame) -> DataFrame:
+    """row (all columns but the text, as a struct) and text (as a string)."""
+    others = other_columns(docs) or [F.lit(None).cast("int").alias("none")]
+    return docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def with_row(rows: DataFrame, more: str) -> T.StructType:
+    """The schema of ``row`` as rows hold it, then the fields that ``more`` lists."""
+    return T.StructType([rows.schema["row"], *T.StructType.fromDDL(more)])
+
+
 def kept_in_worker(key: tuple, make):
     """What ``make`` gives, made once per Python worker and key: functions are shipped by value, so globals are not shared."""
     held = sys.modules.setdefault("palisade_worker", types.ModuleType("palisade_worker")).__dict__

@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import kept_in_worker, slices, stage
+from palisade.llm.common import kept_in_worker, rows_and_text, slices, stage, with_row
 
 SIGN = "▁"
 FAN = 256
 _UNIT = re.compile(f"{SIGN}*[^{SIGN}]+|{SIGN}+")
 _KEEP = 120_000
+#: New units of at most ``_WIDE`` characters go through arrays together if there are ``_FEW`` or more.
+_WIDE, _FEW = 64, 32
 _NO = -np.inf
 
 
@@ -64,20 +66,30 @@ class Pieces:
                 self.bytes_[k] = piece.replace(SIGN, " ").encode()
         self.unknown = model.unk_id()
         self.table = [self.bytes_.get(k, b"") for k in range(model.vocab_size())]
-        self.letters = self._letters(self.tree)
+        self._number()
         self.known: dict[str, tuple[bytes, float]] = {}
         self.before: dict[str, tuple[bytes, float]] = {}
 
-    @staticmethod
-    def _letters(tree: dict) -> set[str]:
-        found, todo = set(), [tree]
-        while todo:
-            node = todo.pop()
+    def _number(self) -> None:
+        """The tree as arrays: numbered letters and nodes, the node behind (node, letter), and the piece that ends at a node."""
+        nodes, letters, edges = [self.tree], {}, []
+        for at, node in enumerate(nodes):  # grows as it is read
             for c, below in node.items():
                 if c:
-                    found.add(c)
-                    todo.append(below)
-        return found
+                    edges.append((at, letters.setdefault(c, len(letters) + 1), len(nodes)))
+                    nodes.append(below)
+        self.letter_of = np.zeros(0x110000, np.int64)
+        self.letter_of[[ord(c) for c in letters]] = list(letters.values())
+        self.fan = len(letters) + 1
+        ends = [node.get("", (_NO, self.unknown)) for node in nodes]
+        self.score_at, self.id_at = np.array([e[0] for e in ends]), np.array([e[1] for e in ends], np.int64)
+        edges_ = np.array(edges, np.int64).reshape(-1, 3)
+        keys = edges_[:, 0] * self.fan + edges_[:, 1]
+        order = np.argsort(keys)
+        self.edge, self.below = keys[order], edges_[order, 2]
+        self.first = np.zeros(self.fan, np.int64)
+        top = edges_[edges_[:, 0] == 0]
+        self.first[top[:, 1]] = top[:, 2]
 
     def single(self, c: str) -> tuple[float, list[int]]:
         """Score and ids of one character by itself: its piece or its bytes."""
@@ -123,23 +135,95 @@ class Pieces:
         return ids
 
     def _unit(self, unit: str) -> tuple[bytes, float]:
-        made = self.before.get(unit)
-        if made is None:
-            best, back = self.paths(unit, 0, len(unit))
-            made = np.asarray(self.trace(unit, back, 0, len(unit)), "<u4").tobytes(), best[-1]
-        self.known[unit] = made
+        best, back = self.paths(unit, 0, len(unit))
+        return np.asarray(self.trace(unit, back, 0, len(unit)), "<u4").tobytes(), best[-1]
+
+    def _many(self, units: list[str]) -> list[tuple[bytes, float]]:
+        """What ``_unit`` gives for each: the same additions and comparisons in the same order, for all units at once.
+
+        Every character must be a piece by itself.
+        """
+        units_at = sorted(range(len(units)), key=lambda k: -len(units[k]))
+        sizes = np.array([len(units[k]) for k in units_at])
+        letters = self.letter_of[np.frombuffer("".join([units[k] for k in units_at]).encode("utf-32-le"), "<u4")]
+        begin = np.cumsum(sizes) - sizes
+        start = begin + np.arange(len(sizes))
+        best = np.full(int(sizes.sum()) + len(sizes), _NO)
+        back, piece = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
+        best[start] = 0.0
+        for i in range(int(sizes[0])):
+            own = np.arange(int(np.searchsorted(-sizes, -i, side="left")))
+            base, node, j = best[start[own] + i], self.first[letters[begin[own] + i]], i + 1
+            while len(own):
+                total, at = base + self.score_at[node], start[own] + j
+                better = total > best[at]
+                at = at[better]
+                best[at], back[at], piece[at] = total[better], i, self.id_at[node[better]]
+                longer = sizes[own] > j
+                own, base, node = own[longer], base[longer], node[longer]
+                key = node * self.fan + letters[begin[own] + j]
+                edge = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                met = self.edge[edge] == key
+                own, base, node = own[met], base[met], self.below[edge[met]]
+                j += 1
+        owners, ids, own, place = [], [], np.arange(len(sizes)), sizes.copy()
+        while len(own):
+            at = start[own] + place
+            owners.append(own)
+            ids.append(piece[at])
+            place = back[at]
+            own, place = own[place > 0], place[place > 0]
+        owner = np.concatenate(owners)[::-1]
+        order = np.argsort(owner, kind="stable")
+        flat = np.concatenate(ids)[::-1][order].astype("<u4").tobytes()
+        edges = (4 * np.cumsum(np.r_[0, np.bincount(owner, minlength=len(sizes))])).tolist()
+        made: list = [None] * len(units)
+        for k, a, b, total in zip(units_at, edges, edges[1:], best[start + sizes].tolist()):
+            made[k] = flat[a:b], total
         return made
 
-    def units(self, s: str) -> list[tuple[bytes, float]]:
-        """Ids and best score of each unit of normalised text that begins and ends with whole units."""
+    def learn(self, units: set[str]) -> dict[str, tuple[bytes, float]]:
+        """Ids and best score of units; those met lately are looked up."""
         if len(self.known) > _KEEP:
             self.before, self.known = self.known, {}
-        known = self.known
-        return [known.get(u) or self._unit(u) for u in _UNIT.findall(s)]
+        new = []
+        for unit in units:
+            if unit not in self.known:
+                made = self.before.get(unit)
+                if made is None:
+                    new.append(unit)
+                else:
+                    self.known[unit] = made
+        alone = self.first > 0
+        alone &= self.score_at[self.first] > _NO
+        several = [u for u in new if len(u) <= _WIDE] if len(new) >= _FEW else []
+        if several:
+            codes = np.frombuffer("".join(several).encode("utf-32-le"), "<u4")
+            sizes = np.array([len(u) for u in several])
+            plain = np.logical_and.reduceat(alone[self.letter_of[codes]], np.cumsum(sizes) - sizes)
+            several = [u for u, x in zip(several, plain.tolist()) if x]
+            if several:
+                self.known.update(zip(several, self._many(several)))
+        for unit in new:
+            if unit not in self.known:
+                self.known[unit] = self._unit(unit)
+        return self.known
+
+    def units(self, s: str) -> list[tuple[bytes, float]]:
+        """Ids and best score of each unit of normalised text that begins and ends with whole units."""
+        found = _UNIT.findall(s)
+        known = self.learn(set(found))
+        return [known[u] for u in found]
 
     def encode(self, s: str) -> bytes:
         return b"".join([ids for ids, _ in self.units(s)])
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each normalised text."""
+        found = [_UNIT.findall(s) for s in texts]
+        known = self.learn(set().union(*found))
+        return [b"".join([known[u][0] for u in units]) for units in found]
+
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
@@ -251,7 +335,7 @@ def _whole(path: str):
     def run(batches):
         model = pieces(path)
         for batch in (part for all_ in batches for part in slices(all_, "text")):
-            ids = [model.encode(normalised(text)) for text in batch.column(1).to_pylist()]
+            ids = model.encode_all([normalised(text) for text in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["row", "ids"])
 
     return run
@@ -348,14 +432,12 @@ def encode_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, chunk: int = 65_536) -> DataFrame:
     """row (the other columns) and ids (little-endian 32-bit numbers) of every row."""
-    others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
-    rows = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = f"row {rows.schema['row'].dataType.simpleString()}"
+    rows = rows_and_text(docs)
     giant = F.coalesce(F.length("text"), F.lit(0)) >= chunk  # the sign before the first word makes one more
-    whole = rows.filter(~giant).mapInArrow(_whole(path), f"{kind}, ids binary")
+    whole = rows.filter(~giant).mapInArrow(_whole(path), with_row(rows, "ids binary"))
     large = rows.filter(giant)
     found = encode_giants(large.select("text"), path, chunk)
-    named = large.mapInArrow(_named, f"{kind}, content binary")
+    named = large.mapInArrow(_named, with_row(rows, "content binary"))
     return whole.unionByName(named.join(found, "content").select("row", "ids"))
 
 
@@ -372,4 +454,4 @@ def _decoded(path: str):
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """row, ids and the text that they stand for."""
     rows = encoded.select("row", "ids")
-    return rows.mapInArrow(_decoded(path), f"row {rows.schema['row'].dataType.simpleString()}, ids binary, text string")
+    return rows.mapInArrow(_decoded(path), with_row(rows, "ids binary, text string"))
