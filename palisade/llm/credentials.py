@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import slices, stage
+from palisade.llm.common import rows_and_text, slices, stage, with_row
 
 #: The base patterns, in the order in which kinds are listed, and the least lengths.
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -126,10 +126,9 @@ def linked_parts(scanned: DataFrame, reach: int) -> DataFrame:
 
 def find_secrets(docs: DataFrame, reach: int = 200, keep_text: bool = False) -> DataFrame:
     """Rows with row (the other columns), base and linked spans, and the text if it is to be kept."""
-    others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
-    rows = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows_and_text(docs)
     text = "text string, " if keep_text else ""
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, {text}content binary, base {_SPAN}, parts {_PART}"
+    schema = with_row(rows, f"{text}content binary, base {_SPAN}, parts {_PART}")
     scanned = rows.mapInArrow(_scan(keep_text), schema)
     if not keep_text:
         scanned = stage(scanned, "secret-spans")
@@ -166,4 +165,4 @@ def mask_secrets(docs: DataFrame, reach: int = 200, placeholder: str = "[SECRET]
     """row and text, with every span (overlapping ones as one) replaced."""
     found = find_secrets(docs, reach, keep_text=True)
     rows = found.select("row", "text", F.concat("base", "linked").alias("spans"))
-    return rows.mapInArrow(_masked(placeholder), f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(_masked(placeholder), with_row(rows, "text string"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import BASES, Rolling, Words, mix, slices, stage, texts_of
+from palisade.llm.common import BASES, Rolling, Words, mix, rows_and_text, slices, stage, texts_of, with_row
 from palisade.llm.graph import components
 
 K, BANDS, ROWS = 5, 16, 2
@@ -284,9 +284,8 @@ def classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """row (the other columns) and text of one document per class: the one with the smallest doc_id."""
     firsts = stage(classes(docs, similarity).select("class_id", F.col("class_content").alias("content")).distinct(), "omh-firsts")
-    others = [F.col(c) for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
-    keyed = rows.mapInArrow(_keyed, f"row {rows.schema['row'].dataType.simpleString()}, text string, content long")
+    rows = rows_and_text(docs)
+    keyed = rows.mapInArrow(_keyed, with_row(rows, "text string, content long"))
     same = (F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))) == F.coalesce("class_id", F.lit(-(1 << 63))))
     kept = keyed.join(firsts, "content").filter(same)
     return kept.dropDuplicates(["content", "class_id"]).select("row", "text")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import WORD_SPACE, Words, mix, slices, texts_of
+from palisade.llm.common import WORD_SPACE, Words, mix, rows_and_text, slices, texts_of, with_row
 
 #: The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -211,8 +211,7 @@ def _judged(rules, order: list[int], figures: bool):
 def cascade(docs: DataFrame, rules=RULES, sample_rows: int = 2000, figures: bool = False) -> DataFrame:
     """row, kept and rejected_by of every row; with ``figures`` the base figures of each text, else the text itself."""
     order = plan(docs, rules, sample_rows)
-    others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
-    rows = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows_and_text(docs)
     middle = "".join(f"{f} long, " for f in _FIGURES) + "base_failed boolean, " if figures else "text string, "
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, {middle}kept boolean, rejected_by string"
+    schema = with_row(rows, f"{middle}kept boolean, rejected_by string")
     return rows.mapInArrow(_judged(rules, order, figures), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import BASES, Rolling, Words, mix, slices, stage, texts_of
+from palisade.llm.common import BASES, Rolling, Words, mix, rows_and_text, slices, stage, texts_of, with_row
 
 MARGIN = 8
 LONGEST = 8
@@ -242,10 +242,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     if window <= 2 * MARGIN:
         raise ValueError(f"a window has more than {2 * MARGIN} words")
-    others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
     ranges = stage(repeated_ranges(docs, window), "repeat-ranges")
-    rows = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string"
-    keyed = rows.mapInArrow(_keyed, f"{schema}, content long, n_words int")
+    rows = rows_and_text(docs)
+    keyed = rows.mapInArrow(_keyed, with_row(rows, "text string, content long, n_words int"))
     return (keyed.join(ranges, ["content", "n_words"], "left").select("row", "text", "n_words", "ranges")
-            .mapInArrow(_without(window), f"{schema}, n_words long, n_removed long, kept_sha256 string, kept_text string"))
+            .mapInArrow(_without(window), with_row(rows, "text string, n_words long, n_removed long, kept_sha256 string, kept_text string")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import slices, stage
+from palisade.llm.common import rows_and_text, slices, stage, with_row
 
 #: Identity terms by kind; a twin swaps each for the next of its kind.
 IDENTITY = (
@@ -164,7 +164,6 @@ def _scored(model: Model, keep_text: bool):
 
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """row (the other columns), the text if it is to be kept, and score."""
-    others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
-    rows = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows_and_text(docs)
     text = "text string, " if keep_text else ""
-    return rows.mapInArrow(_scored(model, keep_text), f"row {rows.schema['row'].dataType.simpleString()}, {text}score double")
+    return rows.mapInArrow(_scored(model, keep_text), with_row(rows, f"{text}score double"))

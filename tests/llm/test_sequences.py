@@ -79,6 +79,16 @@ def test_scan_over_chunks(model):
                 assert got == model.encode(s)
 
 
+def test_units_together_equal_units_one_by_one(model):
+    rng = random.Random(12)
+    letters = "abcdeèß日本😀\x00" + pieces.SIGN
+    units = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 70))) for _ in range(300)}
+    units |= {pieces.SIGN + w for w in ("the", "there", "international", "x" * 64, "x" * 65)} | {pieces.SIGN * k for k in (1, 2, 40)}
+    fresh = pieces.Pieces(MODEL)
+    found = fresh.learn(units)
+    assert {u: found[u] for u in units} == {u: model._unit(u) for u in units}
+
+
 def test_pieces_round_trip(spark, model):
     rows = awkward_texts() + [(70, "x" * 700), (71, "the end " * 300), (71, "the end " * 300)]
     got = pieces.decode(pieces.encode(frame(spark, rows), MODEL, chunk=256), MODEL).collect()
