@@ -12,13 +12,12 @@ from dataclasses import dataclass
 from uuid import NAMESPACE_URL, UUID, uuid5
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import ids
 from palisade.functions.jsonx import safe_url
 from palisade.functions.times import utc_millis_text
-from palisade.operators.scale import numbered
 from palisade.schemas import Graph
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -332,18 +331,38 @@ def _identified(namespace: bytes):
     return run
 
 
+def _keys_in_order(objects: DataFrame) -> DataFrame:
+    """(actor_id, type, id) of the objects of known actors, each actor's run sorted and whole in its task; no JSON."""
+    keys = objects.filter(F.col("actor_id").isNotNull()).select("actor_id", "type", "id")
+    return keys.repartition("actor_id").sortWithinPartitions("actor_id", "type", "id")
+
+
 def bundle_ids(objects: DataFrame, publisher: Publisher = Publisher()) -> DataFrame:
     """(actor_id, bundle_id, objects): a name-based identifier over all sorted object identifiers."""
-    ordered = objects.select("actor_id", "id", "type").repartition("actor_id").sortWithinPartitions("actor_id", "type", "id")
-    return ordered.select("actor_id", "id").mapInArrow(
+    return _keys_in_order(objects).select("actor_id", "id").mapInArrow(
         _identified(publisher.namespace.bytes), "actor_id string, bundle_id string, objects long"
     )
 
 
 def bundles(objects: DataFrame, publisher: Publisher = Publisher()) -> DataFrame:
-    """(actor_id, bundle_id, objects, ordinal, id, json): the objects of each actor's one bundle, numbered in order."""
-    placed = numbered(objects, (("actor_id", True), ("type", True), ("id", True)), ["actor_id"], "ordinal")
-    return placed.join(bundle_ids(placed, publisher), "actor_id").select(
+    """(actor_id, bundle_id, objects, ordinal, id, json): the objects of each actor's one bundle, numbered in order.
+
+    Numbers come from the identifiers alone, in the one shuffle that ``bundle_ids`` needs as well. The JSON texts are
+    joined to them by identifier, so that a reader who doesn't ask for them neither builds nor moves them.
+    """
+    order = Window.partitionBy("actor_id").orderBy("type", "id")
+    placed = _keys_in_order(objects).withColumn("ordinal", F.row_number().over(order).cast("bigint"))
+    named = placed.join(bundle_ids(objects, publisher), "actor_id")
+    # copies of an object are told apart by a number; a missing identifier counts as the empty one
+    filled = F.coalesce("id", F.lit(""))
+    same = Window.partitionBy("actor_id", "type", "_id")
+    named = named.withColumn("_id", filled).withColumn("_copy", F.row_number().over(same.orderBy("ordinal")))
+    bodies = (
+        objects.filter(F.col("actor_id").isNotNull()).select("actor_id", "type", filled.alias("_id"), "json")
+        .withColumn("_copy", F.row_number().over(same.orderBy("json")))
+        .groupBy("actor_id", "type", "_id", "_copy").agg(F.first("json").alias("json"))
+    )
+    return named.join(bodies, ["actor_id", "type", "_id", "_copy"], "left").select(
         "actor_id", "bundle_id", "objects", "ordinal", "id", "json"
     )
 

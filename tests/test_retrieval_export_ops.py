@@ -200,3 +200,28 @@ def test_intake_step_survives_a_replay(spark, tmp_path):
     for batch_id, batch in ((0, rows), (0, rows), (1, more), (1, more)):
         step(batch, batch_id)
     assert sorted(r.submission_id for r in step.known().collect()) == [1, 3, 5]
+
+
+def test_bundle_numbers_come_from_identifiers_and_texts_are_joined_lazily(spark):
+    objects = stix_export.export_objects(search_graph(spark))
+    want = sorted(objects.select("actor_id", "type", "id", "json").collect())
+    rows = stix_export.bundles(objects).collect()
+    by_actor = {}
+    for r in sorted(rows, key=lambda r: (r.actor_id, r.ordinal)):
+        by_actor.setdefault(r.actor_id, []).append(r)
+    assert len(rows) == len(want)
+    for actor, of in by_actor.items():
+        mine = [w for w in want if w.actor_id == actor]
+        assert [(r.ordinal, r.objects, r.id, r.json) for r in of] == [(i + 1, len(mine), w.id, w.json) for i, w in enumerate(mine)]
+        names = ",".join(r.id for r in of)
+        assert {r.bundle_id for r in of} == {f"bundle--{uuid.uuid5(stix_export.Publisher().namespace, f'bundle:actor:{actor}:{names}')}"}
+    narrow = stix_export.bundles(objects).select("actor_id", "id", "ordinal")
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "structstojson" not in plan.lower() and "to_json" not in plan.lower() and "ObjectHashAggregate" not in plan and "palisade-" not in plan
+
+
+def test_copies_in_a_bundle_keep_their_own_texts(spark):
+    data = [("a", "note", "note--1", "x"), ("a", "note", "note--1", "x"), ("a", "note", "note--1", "y"), ("b", "tool", "tool--1", "w"), (None, "note", "note--2", "v")]
+    objects = spark.createDataFrame(data, "actor_id string, type string, id string, json string")
+    got = [(r.actor_id, r.objects, r.ordinal, r.id, r.json) for r in stix_export.bundles(objects).collect()]
+    assert sorted(got) == [("a", 3, 1, "note--1", "x"), ("a", 3, 2, "note--1", "x"), ("a", 3, 3, "note--1", "y"), ("b", 1, 1, "tool--1", "w")]
