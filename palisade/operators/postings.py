@@ -7,8 +7,10 @@ the finest shuffle key, so a word that occurs in a third of all documents spread
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.schemas import Graph
 from palisade.sources.postings_index import PostingsIndex
@@ -249,36 +251,38 @@ def frequency_rank(matched: DataFrame) -> DataFrame:
     )
 
 
+def _covers(positions: list[int], slots: list[int], costs: list[float]) -> float:
+    """Summed worth of the covers of one document's hits, which are ordered by position."""
+    last = dict.fromkeys(slots, -1)
+    total, begin = 0.0, -1
+    for at, slot in enumerate(slots):
+        last[slot] = at
+        if (first := min(last.values())) > begin:
+            cost = 0.0
+            for each in costs[first : at + 1]:
+                cost += each
+            noise = positions[at] - positions[first] - (at - first)
+            total += (at - first + 1) / cost / (1 + max(noise, 0))
+            begin = first
+    return total
+
+
+@F.pandas_udf(T.DoubleType())
+def _cover_total(positions: pd.Series, slots: pd.Series, costs: pd.Series) -> pd.Series:
+    return pd.Series([_covers(p.tolist(), s.tolist(), k.tolist()) for p, s, k in zip(positions, slots, costs)], dtype="float64")
+
+
 def cover_density(hits: Column) -> Column:
     """Cover density (Clarke, Cormack and Tudhope) of one document's hits, bounded by r / (r + 1).
 
     One sweep over the hits by position: for each query word the last hit so far; where all words have one and the
     earliest of these lies after the begin of the last cover, a new cover ends. It counts by the density of
-    its weights, damped by the foreign words inside.
+    its weights, damped by the foreign words inside. A cover is added up once, when it ends, so a sweep takes time in
+    proportion to the hits and the query's words.
     """
-    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(
+    ordered = F.sort_array(F.transform(hits, lambda h: F.struct(
         h.getField("pos").alias("pos"), h.getField("slot").alias("slot"), (1.0 / weight_of(h.getField("weight"))).alias("cost"))))
-    slots = F.array_distinct(F.transform(hits, lambda h: h.getField("slot")))
-
-    def sweep(items: Column, words: Column) -> Column:
-        start = F.struct(
-            F.transform(words, lambda _: F.lit(-1)).alias("last"), F.lit(0.0).alias("total"), F.lit(-1).alias("begin"))
-
-        def step(state: Column, at: Column) -> Column:
-            hit = F.get(items, at)
-            last = F.transform(words, lambda w, j: F.when(w == hit.getField("slot"), at).otherwise(F.get(state.getField("last"), j)))
-            first = F.array_min(last)
-            inside = F.slice(items, first + 1, at - first + 1)
-            cost = F.aggregate(inside, F.lit(0.0), lambda acc, x: acc + x.getField("cost"))
-            noise = hit.getField("pos") - F.get(items, first).getField("pos") - (at - first)
-            worth = (at - first + 1) / cost / (1 + F.greatest(noise, F.lit(0)))
-            new = (first >= 0) & (first > state.getField("begin"))
-            return F.struct(last.alias("last"), F.when(new, state.getField("total") + worth).otherwise(state.getField("total")).alias("total"),
-                            F.when(new, first).otherwise(state.getField("begin")).alias("begin"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(items) - 1), start, step).getField("total")
-
-    total = F.when(F.size(hits) > 0, sweep(ordered, slots)).otherwise(F.lit(0.0))
+    total = F.when(F.size(hits) > 0, _cover_total(ordered.getField("pos"), ordered.getField("slot"), ordered.getField("cost"))).otherwise(F.lit(0.0))
     return total / (total + 1)
 
 

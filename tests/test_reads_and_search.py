@@ -125,3 +125,33 @@ def test_cover_density_counts_minimal_covers(spark):
     a = postings.WEIGHTS["A"]
     total = a / 1 + a / (1 + 2) + a / (1 + 1)
     assert abs(got[0] - total / (1 + total)) < 1e-12 and got[1] == 0.0
+
+
+def test_cover_density_of_many_hits_equals_a_plain_sweep_in_linear_time(spark):
+    """Two hits of a rare word around 20,000 of a frequent one: adding up every prefix of the hits would be quadratic."""
+    import random
+    import time
+
+    rng = random.Random(5)
+    weights = postings.WEIGHTS
+
+    def plain(hits):
+        total, begin = 0.0, -1
+        slots = {h[2] for h in hits}
+        for at in range(len(hits)):
+            seen = [max((i for i in range(at + 1) if hits[i][2] == s), default=-1) for s in slots]
+            first = min(seen)
+            if first > begin:
+                cost = sum(1 / weights[h[1]] for h in hits[first : at + 1])
+                total += (at - first + 1) / cost / (1 + max(hits[at][0] - hits[first][0] - (at - first), 0))
+                begin = first
+        return total / (total + 1)
+
+    small = [sorted((p, rng.choice("ABCD"), rng.randrange(1, 4)) for p in rng.sample(range(200), rng.randrange(1, 30))) for _ in range(40)]
+    large = [(0, "A", 1), *[(p, "B", 2) for p in range(1, 20_000)], (20_000, "A", 1)]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(small)], "i int, hits array<struct<pos:int,weight:string,slot:bigint>>")
+    got = {r.i: r.r for r in df.select("i", postings.cover_density(F.col("hits")).alias("r")).collect()}
+    assert all(abs(got[i] - plain(h)) < 1e-12 for i, h in enumerate(small))
+    begun = time.time()
+    one = spark.createDataFrame([(large,)], "hits array<struct<pos:int,weight:string,slot:bigint>>").select(postings.cover_density(F.col("hits")).alias("r")).first().r
+    assert 0 < one < 1 and time.time() - begun < 30
