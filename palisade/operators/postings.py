@@ -41,7 +41,9 @@ def light_stem(word: Column) -> Column:
         word.rlike("^.{3,}(ss|us|is)$"), word
     ).otherwise(F.regexp_replace(word, "^(.{3,})s$", "$1"))
     base = F.regexp_replace(singular, "^(.{2,})ie$", "$1y")
-    return F.regexp_replace(base, "^(.{3,}?)(ings?|edly|ed|ly|ions?|e)$", "$1")
+    stem = F.regexp_replace(base, "^(.{3,}?)(ings?|edly|ed|ly|ions?|e)$", "$1")
+    # no other word ends in what the patterns look for
+    return F.when(F.substring(word, -1, 1).isin(*"sgdyne"), stem).otherwise(word)
 
 
 def _terms(words: Column, stemmed: bool) -> Column:
@@ -152,11 +154,11 @@ def packed() -> Column:
 def word_lists(terms: DataFrame, posted: DataFrame | PostingsIndex) -> DataFrame:
     """(entity_type, id, term, list) of the words asked for.
 
-    A stored index has them; postings are cut down to the words, placed by document once, and folded to one row per
-    (document, word) before queries multiply them; every later grouping reuses that placement.
+    A stored index has them; postings are cut down to the words and folded to one row per (document, word). Either are placed
+    by document once, before queries multiply them; every later grouping reuses that placement.
     """
     if isinstance(posted, PostingsIndex):
-        return posted.lists(terms)
+        return posted.lists(terms).repartition("entity_type", "id")
     placed = posted.join(terms.select("term").distinct(), "term", "left_semi").select(
         "entity_type", "id", "term", packed().alias("_at")
     ).repartition("entity_type", "id")

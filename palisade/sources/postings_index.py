@@ -1,6 +1,6 @@
 """Stored inverted index: postings written once as Parquet, read by the buckets of the words asked for.
 
-One row per (word, document) with its positions, in folders by the hash of the word. Rows are range-partitioned on (bucket, word, document)
+One row per (word, document) with its positions, in folders by the hash of the word. Rows are placed by bucket and hash of the document
 while they are written, so a word that stands in a third of all documents is spread over many files, and every file is sorted:
 a lookup opens the folders of its words only, and Parquet's own statistics skip the rest of a file. Exact names are
 stored beside the words under a mark that no word begins with, so that one lookup serves both.
@@ -12,15 +12,21 @@ import hashlib
 import uuid
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.session import scratch_root
 
 BUCKETS = 64
+#: Places of a bucket: the rows of one word go to so many tasks and files.
+SPREAD = 32
+#: Rows whose positions are gathered at a time before they are moved.
+FOLDED = 200_000
 #: Words asked for that are pushed into the scan by name; with more of them, their folders alone are.
 PUSHED = 64
 EXACT = "="
+_LIST_TABLES = "spark.sql.execution.useObjectHashAggregateExec"
 _SCHEMA = "term string, entity_type string, id string, list array<int>, bucket int"
 
 
@@ -59,20 +65,50 @@ class PostingsIndex:
         return self._asked(asked).select("entity_type", "id", F.substring("term", len(EXACT) + 1, 1 << 30).alias("_key"))
 
 
+def _folded(batches):
+    """Rows (term, entity_type, id, at) as (term, entity_type, id, list): one for each word of a document within a run of rows."""
+    def made(run):
+        rows = pa.Table.from_batches(run).group_by(["term", "entity_type", "id"], use_threads=False).aggregate([("at", "list")])
+        return rows.select(["term", "entity_type", "id", "at_list"]).rename_columns(["term", "entity_type", "id", "list"]).to_batches()
+
+    run, n = [], 0
+    for batch in batches:
+        run.append(batch)
+        n += batch.num_rows
+        if n >= FOLDED:
+            yield from made(run)
+            run, n = [], 0
+    if n:
+        yield from made(run)
+
+
 def write_postings(posted: DataFrame, path: str, exact: DataFrame | None = None) -> None:
-    """Write postings (entity_type, id, term, pos, weight) and, if given, exact names (entity_type, id, exact_keys)."""
+    """Write postings (entity_type, id, term, pos, weight) and, if given, exact names (entity_type, id, exact_keys).
+
+    Positions are gathered where the rows are read, so that a word of a document is moved once however often it stands
+    there, and rows go by hash to ``SPREAD`` places a bucket: the texts are gone through once, without a pass that samples them.
+    """
     from palisade.operators.postings import packed
 
-    rows = posted.select("term", "entity_type", "id", packed().alias("at"))
+    rows = posted.select("term", "entity_type", "id", packed().alias("at")).mapInArrow(
+        _folded, "term string, entity_type string, id string, list array<int>")
     if exact is not None:
         names = exact.select(F.explode("exact_keys").alias("key"), "entity_type", "id").filter("key is not null")
         rows = rows.unionByName(names.select(F.concat(F.lit(EXACT), F.col("key")).alias("term"), "entity_type", "id",
-                                             F.lit(None).cast("int").alias("at")))
+                                             F.array().cast("array<int>").alias("list")))
     order = ["bucket", "term", "entity_type", "id"]
-    placed = rows.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange(*order)
-    # a range holds all of a key, so positions are gathered without a second shuffle
-    lists = placed.groupBy(*order).agg(F.array_sort(F.collect_list("at")).alias("list"))
-    lists.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+    place = F.pmod(F.xxhash64("entity_type", "id"), F.lit(SPREAD)).cast("int")
+    placed = rows.withColumns({"bucket": bucket_of(F.col("term")), "place": place}).repartition("bucket", "place")
+    # a place holds all of a key, so positions are gathered without a second shuffle; by sorting, as there are too many keys
+    # for a table of lists, and the rows are to be written in that order anyway
+    spark = posted.sparkSession
+    tables = spark.conf.get(_LIST_TABLES)
+    spark.conf.set(_LIST_TABLES, "false")
+    try:
+        lists = placed.groupBy(*order, "place").agg(F.array_sort(F.flatten(F.collect_list("list"))).alias("list")).drop("place")
+        lists.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+    finally:
+        spark.conf.set(_LIST_TABLES, tables)
 
 
 def _hadoop(spark: SparkSession, path: str):

@@ -114,3 +114,38 @@ def test_index_is_built_once_and_again_for_other_inputs(spark, tmp_path):
     (source / "x").write_text("22")
     assert store.stored_postings(spark, "once", [str(source)], build).path != first.path and len(calls) == 2
     shutil.rmtree(source)
+
+
+def test_positions_are_gathered_before_rows_move(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"term": ["a", "b", "a"], "entity_type": ["x"] * 3, "id": ["1", "1", "1"], "at": pa.array([4, 8, 12], pa.int32())})
+    rows = [r for part in store._folded(iter([batch, batch])) for r in part.to_pylist()]
+    assert sorted((r["term"], sorted(r["list"])) for r in rows) == [("a", [4, 4, 12, 12]), ("b", [8, 8])]
+    monkeypatch.setattr(store, "FOLDED", 5)
+    docs, _ = documents(spark)
+    posted = postings.postings(docs.unionByName(docs.limit(7)), False, False)
+    store.write_postings(posted, str(tmp_path / "ix"))
+    got = {(r.term, r.id): r.list for r in store.PostingsIndex(spark, str(tmp_path / "ix")).rows().collect()}
+    want = {}
+    for r in posted.select("term", "id", postings.packed().alias("at")).collect():
+        want.setdefault((r.term, r.id), []).append(r.at)
+    assert got == {k: sorted(v) for k, v in want.items()}
+    assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == "true"
+
+
+def test_lists_of_the_index_move_once_by_document(spark, tmp_path):
+    docs, _ = documents(spark)
+    store.write_postings(postings.postings(docs, False, False), str(tmp_path / "ix"))
+    asked = spark.createDataFrame([(f"q{k}", '"ash elm"') for k in range(50)], "query_id string, query string")
+    found = postings.candidates(postings.query_terms(asked, False, False), store.PostingsIndex(spark, str(tmp_path / "ix")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(entity_type#\d+, id#\d+, \d+\), REPARTITION_BY_COL", plan)
+    assert not re.search(r"hashpartitioning\(query_id#\d+, entity_type", plan)
+
+
+def test_stems_of_words_with_other_endings_stay(spark):
+    words = ["cats", "class", "status", "thesis", "parties", "running", "ions", "markedly", "used", "quickly", "nation", "blue", "ash", "firm", "ing", "ly", "é", "x", "1", ""]
+    want = ["cat", "class", "status", "thesis", "party", "runn", "ion", "mark", "used", "quick", "nat", "blu", "ash", "firm", "ing", "ly", "é", "x", "1", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(postings.light_stem(F.col("w"))).collect()] == want
