@@ -7,29 +7,64 @@ of a name's bigrams. A name's bigrams, rarest first, up to that bound plus one,
 with the same list of any partner: the prefix-filter principle. So the join is an equi join on
 rare bigrams; no pair outside it can reach the threshold. Below ``BIGRAM_FLOOR`` the bound can use
 up all bigrams of a short name, and single characters are used in the same way.
+
+Names of one language share so many bigrams that such a join makes every pair several times over. Then
+all names of like length are compared in blocks instead: a product of 0/1 matrices counts the bigrams
+that the pairs of two blocks share, and pairs that lack more than the bound go no further. Both ways are
+lossless and give the same pairs; the numbers of pairs that they would make decide between them.
 """
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade.session import materialize
+
 BIGRAM_FLOOR = 0.82
 COMMON_TOKENS = 20_000  # size bound of the broadcast frequency table
 BITMAP_WORDS = 8  # of 64 bits
 PAIRS_PER_TASK = 20_000_000  # a token whose two sides make more pairs is dealt to several tasks
+FEW_PAIRS = 1_000_000  # up to so many, names are always joined on tokens
+JOINED_PAIR_COST = 8  # of a pair joined on a token, in pairs compared by a product of matrices
+BLOCK_NAMES = 4096  # names in a block, about
+BAND = 1.1  # names of a band differ in length by this factor
+MOST_TASKS = 4096
+
+
+@lru_cache(maxsize=4096)
+def _places(name: str) -> dict[str, int]:
+    """For each character the bits of its places."""
+    found: dict[str, int] = {}
+    for k, char in enumerate(name):
+        found[char] = found.get(char, 0) | 1 << k
+    return found
+
+
+def _longest_common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one step of bits per character."""
+    places, every = _places(a), (1 << len(a)) - 1
+    open_ = every
+    for char in b:
+        met = open_ & places.get(char, 0)
+        open_ = (open_ + met | open_ - met) & every
+    return len(a) - open_.bit_count()
 
 
 def _ratio(a: str, b: str, floor: float):
     """Matcher ratio, or None below the floor; the cheap upper bounds are tried first."""
-    matcher = SequenceMatcher(None, a, b)
-    if matcher.real_quick_ratio() < floor or matcher.quick_ratio() < floor:
+    total = len(a) + len(b)
+    if total and (2 * min(len(a), len(b)) / total < floor or 2 * _longest_common(a, b) / total < floor):
         return None
-    ratio = matcher.ratio()
+    ratio = SequenceMatcher(None, a, b).ratio()
     return ratio if ratio >= floor else None
 
 
@@ -131,37 +166,174 @@ def _signatures(names: DataFrame, name: str, common: DataFrame, threshold: float
     )
 
 
+def _marks(names: list[str], width: int, columns: int, vocabulary: dict) -> np.ndarray:
+    """0/1 rows of the names' numbered tokens, dealt to so many columns."""
+    out = np.zeros((len(names), columns), bool)
+    for row, name in enumerate(names):
+        seen: dict = {}
+        for gram in [name[k : k + width] for k in range(len(name) - width + 1)] or [name]:
+            seen[gram] = number = seen.get(gram, 0) + 1
+            out[row, vocabulary.setdefault((gram, number), len(vocabulary)) % columns] = True
+    return out
+
+
+def _lacks(n: np.ndarray, m: np.ndarray, threshold: float, width: int) -> np.ndarray:
+    """``_lost`` for arrays."""
+    return (0.5 if width == 1 else 1.5) * (1 - threshold) * (n + m) + 0.5 * (n - m) + 1e-6
+
+
+def _share_tokens(a: list[str], b: list[str], threshold: float, width: int, most: int = 1 << 22):
+    """Index arrays of the pairs whose lengths, shared tokens and shared characters allow a ratio at the threshold.
+
+    A shared column makes pairs look more alike, never less, so no pair is lost.
+    """
+    columns = 1 << min(12, max(8, (6 * max(map(len, a + b))).bit_length()))
+    n, m = (np.array([len(x) for x in names], np.float64) for names in (a, b))
+
+    def both(width: int) -> list[np.ndarray]:
+        vocabulary: dict = {}
+        return [_marks(names, width, columns, vocabulary) for names in (a, b)]
+
+    left, right = (x.astype(np.float32) for x in both(width))
+    held_a, held_b = left.sum(axis=1), right.sum(axis=1)
+    bits_a, bits_b = (np.packbits(x, axis=1).view(np.uint64) for x in both(1))
+    chars_a, chars_b = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (bits_a, bits_b))
+    step = max(1, most // len(b))
+    for first in range(0, len(a), step):
+        part = slice(first, first + step)
+        la = n[part][:, None]
+        least = np.maximum(held_a[part][:, None] - _lacks(la, m, threshold, width), held_b - _lacks(m, la, threshold, width))
+        i, j = np.nonzero(left[part] @ right.T >= least)
+        i += first
+        i, j = (x[2 * np.minimum(n[i], m[j]) >= threshold * (n[i] + m[j]) - 1e-9] for x in (i, j))
+        for some in range(0, len(i), 1 << 16):
+            p, q = i[some : some + (1 << 16)], j[some : some + (1 << 16)]
+            common = np.bitwise_count(bits_a[p] & bits_b[q]).sum(axis=1, dtype=np.int64)
+            near = (chars_a[p] - common <= _lacks(n[p], m[q], threshold, 1)) & (chars_b[q] - common <= _lacks(m[q], n[p], threshold, 1))
+            yield p[near], q[near]
+
+
+def _compared(threshold: float, width: int):
+    """Pairs of the names of two blocks that can reach the threshold."""
+    def run(rows: pa.Table) -> pa.Table:
+        left, names = (x.to_pylist() for x in (rows.column("_left"), rows.column("_name")))
+        a, b = ([x for x, mine in zip(names, left) if mine is side] for side in (True, False))
+        found = list(_share_tokens(a, b, threshold, width)) if a and b else []
+        take = lambda side, k: [side[x] for part in found for x in part[k].tolist()]
+        return pa.table({"_a": pa.array(take(a, 0), pa.string()), "_b": pa.array(take(b, 1), pa.string())})
+
+    return run
+
+
+def _reach(threshold: float) -> int:
+    """How many bands apart two names at the threshold can be."""
+    return math.ceil(math.log((2 - threshold) / threshold) / math.log(BAND)) + 1
+
+
+def _band(name: str) -> Column:
+    return F.floor(F.log(F.length(name).cast("double")) / math.log(BAND)).cast("int")
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, threshold: float, width: int, tasks: int) -> DataFrame:
+    """(_a, _b) of all pairs that can reach the threshold, from pairs of blocks of bounded size."""
+    def sized(names: DataFrame, name: str, band: str, blocks: str) -> DataFrame:
+        return names.groupBy(_band(name).alias(band)).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NAMES)).cast("int").alias(blocks))
+
+    reach = _reach(threshold)
+    met = sized(left, "_a", "_band_a", "_na").withColumn(
+        "_band_b", F.explode(F.sequence(F.col("_band_a") - reach, F.col("_band_a") + reach))
+    ).join(sized(right, "_b", "_band_b", "_nb"), "_band_b")
+
+    def dealt(names: DataFrame, name: str, band: str, own: str, other: str) -> DataFrame:
+        rows = names.withColumn(band, _band(name)).join(met, band)
+        block, others = F.pmod(F.xxhash64(name), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.withColumn(own, block).withColumn(other, others).select(
+            "_band_a", "_band_b", "_na", "_nb", F.lit(name == "_a").alias("_left"), F.col(name).alias("_name"))
+
+    keys = ["_band_a", "_band_b", "_na", "_nb"]
+    rows = dealt(left, "_a", "_band_a", "_na", "_nb").unionByName(dealt(right, "_b", "_band_b", "_nb", "_na"))
+    # a fixed number: sizes in bytes say nothing about the pairs that a block makes
+    pairs = rows.repartition(tasks, *keys).groupBy(*keys).applyInArrow(_compared(threshold, width), "_a string, _b string")
+    return pairs.repartition(tasks, "_a", "_b")
+
+
 def similar_pairs(
     labels: DataFrame, names: DataFrame, threshold: float = 0.84, label: str = "label", name: str = "name"
 ) -> DataFrame:
     """(label, name, similarity) of all distinct pairs whose ratio reaches the threshold.
 
-    Both sides are reduced to distinct texts first, so copies cost nothing. A token that is frequent on
-    both sides is dealt to as many tasks as its number of pairs asks for.
+    Both sides are reduced to distinct texts first, so copies cost nothing. Work is dealt out by the number
+    of pairs: a token that is frequent on both sides goes to as many tasks as its pairs ask for, or names are
+    compared in blocks.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     width = 2 if threshold >= BIGRAM_FLOOR else 1
-    left = labels.select(F.col(label).alias("_a")).filter(F.length("_a") > 0).distinct()
-    right = names.select(F.col(name).alias("_b")).filter(F.length("_b") > 0).distinct()
+    left, right = _distinct_names(labels, label, "_a"), _distinct_names(names, name, "_b")
+    prefixes = _prefixes(left, right, threshold, width)
+    compared = _compared_pairs(left, right, threshold)
+    if compared <= FEW_PAIRS or JOINED_PAIR_COST * _joined_pairs(*prefixes) < compared:
+        pairs = _prefix_pairs(*prefixes, threshold, width)
+    else:
+        pairs = _block_pairs(left, right, threshold, width, min(MOST_TASKS, math.ceil(2 * compared / PAIRS_PER_TASK)))
+    scored = pairs.withColumn(
+        "similarity", sequence_ratio(F.col("_a"), F.col("_b"), threshold)
+    )
+    return scored.filter(F.col("similarity").isNotNull()).select(
+        F.col("_a").alias(label), F.col("_b").alias(name), "similarity"
+    )
+
+
+def _distinct_names(rows: DataFrame, name: str, as_: str) -> DataFrame:
+    """Distinct texts that are not empty, stored in as many files as a shuffle has parts: few bytes can be much work."""
+    texts = rows.select(F.col(name).alias(as_)).filter(F.length(as_) > 0).distinct()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(texts.repartition(parts), "similar-names")
+
+
+def _compared_pairs(left: DataFrame, right: DataFrame, threshold: float) -> int:
+    """Number of pairs whose bands of length can meet."""
+    reach = _reach(threshold)
+    a = left.groupBy(_band("_a").alias("_i")).agg(F.count(F.lit(1)).alias("_na"))
+    b = right.groupBy(_band("_b").alias("_i")).agg(F.count(F.lit(1)).alias("_nb"))
+    near = a.withColumn("_i", F.explode(F.sequence(F.col("_i") - reach, F.col("_i") + reach))).join(b, "_i")
+    return int(near.agg(F.sum(F.col("_na").cast("double") * F.col("_nb"))).first()[0] or 0)
+
+
+def _prefixes(left: DataFrame, right: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of both sides, stored once."""
     frequency = _tokens(right, "_b", width).groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
     # Bounded by construction; tokens left out all count as equally rare, which any order allows.
-    common = frequency.orderBy(F.desc("_df"), "_token").limit(COMMON_TOKENS)
-    sig_a = _signatures(left, "_a", common, threshold, width)
-    sig_b = _signatures(right, "_b", common, threshold, width)
+    common = materialize(frequency.orderBy(F.desc("_df"), "_token").limit(COMMON_TOKENS), "similar-tokens")
+    return (materialize(_signatures(left, "_a", common, threshold, width), "similar-prefixes"),
+            materialize(_signatures(right, "_b", common, threshold, width), "similar-prefixes"))
+
+
+def _token_counts(sig_a: DataFrame, sig_b: DataFrame) -> DataFrame:
+    """(_h, _na, _nb) of the tokens in prefixes of both sides."""
+    counts = [sig.select(F.explode("_prefix").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias(n))
+              for sig, n in ((sig_a, "_na"), (sig_b, "_nb"))]
+    return counts[0].join(counts[1], "_h")
+
+
+def _joined_pairs(sig_a: DataFrame, sig_b: DataFrame) -> float:
+    """Number of pairs that a join on the prefixes would make."""
+    return _token_counts(sig_a, sig_b).agg(F.sum(F.col("_na").cast("double") * F.col("_nb"))).first()[0] or 0.0
+
+
+def _prefix_pairs(sig_a: DataFrame, sig_b: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(_a, _b) of all pairs that can reach the threshold, by an equi join on the tokens of their prefixes."""
     bits_a = [f"_a_bits{i}" for i in range(BITMAP_WORDS)]
     bits_b = [f"_b_bits{i}" for i in range(BITMAP_WORDS)]
     exploded_a = sig_a.select("_a", *bits_a, F.col("_prefix").alias("_pa"), F.explode("_prefix").alias("_h"))
     exploded_b = sig_b.select("_b", *bits_b, F.col("_prefix").alias("_pb"), F.explode("_prefix").alias("_h"))
-    counts_a = exploded_a.groupBy("_h").agg(F.count(F.lit(1)).alias("_na"))
-    counts_b = exploded_b.groupBy("_h").agg(F.count(F.lit(1)).alias("_nb"))
     parts = F.ceil(F.col("_na") * F.col("_nb") / F.lit(PAIRS_PER_TASK)).cast("int")
-    hot = counts_a.join(counts_b, "_h").select("_h", parts.alias("_parts")).filter(F.col("_parts") > 1)
+    hot = _token_counts(sig_a, sig_b).select("_h", parts.alias("_parts")).filter(F.col("_parts") > 1)
     dealt = F.coalesce("_parts", F.lit(1))
     salted_a = exploded_a.join(hot, "_h", "left").withColumn("_salt", F.pmod(F.xxhash64("_a"), dealt).cast("int"))
     salted_b = exploded_b.join(hot, "_h", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), dealt - 1)))
     la, lb = F.length("_a"), F.length("_b")
-    pairs = (
+    return (
         salted_a.drop("_parts")
         .join(salted_b.drop("_parts"), ["_h", "_salt"])
         .filter(2 * F.least(la, lb) >= F.lit(threshold) * (la + lb) - 1e-9)
@@ -171,10 +343,3 @@ def similar_pairs(
         .filter(F.element_at(F.array_intersect("_pa", "_pb"), 1) == F.col("_h"))
         .select("_a", "_b")
     )
-    scored = pairs.withColumn(
-        "similarity", sequence_ratio(F.col("_a"), F.col("_b"), threshold)
-    )
-    return scored.filter(F.col("similarity").isNotNull()).select(
-        F.col("_a").alias(label), F.col("_b").alias(name), "similarity"
-    )
-

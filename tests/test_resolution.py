@@ -113,3 +113,23 @@ def test_query_of_similar_titles_keeps_every_title(spark, tmp_path):
     want = {(f"alias-{k}", f"actor-{a}"): round(s, 6) for k, n in names.items() for m, a in first.items()
             if (s := SequenceMatcher(None, n, m).ratio()) >= 0.84}
     assert got == want and len(names) == 8
+
+
+@pytest.mark.parametrize("threshold", [0.84, 0.6])
+def test_names_that_share_their_tokens_are_compared_in_blocks(spark, monkeypatch, threshold):
+    rng = random.Random(11)
+    words = ["the", "thing", "tion", "and", "shan", "er", "Ünder", "ing "]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 14))) for _ in range(40)] + ["x", "𝄞y", "the " * 40]
+    left, right = (sorted({mutate(rng, b) for b in base for _ in range(2)} - {""}) for _ in range(2))
+    monkeypatch.setattr(similarity, "FEW_PAIRS", 0)
+    monkeypatch.setattr(similarity, "BLOCK_NAMES", 7)
+    monkeypatch.setattr(similarity, "PAIRS_PER_TASK", 1000)
+    pairs = similarity.similar_pairs(
+        spark.createDataFrame([(x,) for x in left + left], "label string"), spark.createDataFrame([(x,) for x in right], "name string"), threshold)
+    got = [(r.label, r.name, r.similarity) for r in pairs.collect()]
+    want = {(a, b, s) for a in left for b in right if (s := SequenceMatcher(None, a, b).ratio()) >= threshold}
+    assert len(got) == len(want) and set(got) == want
+    plan = pairs._jdf.queryExecution().toString()
+    assert "_salt" not in plan
+    # work is dealt out by pairs, however few bytes the names have
+    assert len({r[0] for r in pairs.select(F.spark_partition_id()).collect()}) > 1
