@@ -58,8 +58,8 @@ def _reference(source_name, base_url, external_id=None, url=None, description=No
 
 
 def _sorted_references(col: str) -> Column:
-    """Distinct references in the order of their sorted-key JSON text."""
-    keyed = F.collect_set(F.struct(F.to_json(col, _PLAIN).alias("k"), F.col(col).alias("r")))
+    """Distinct references in the order of their sorted-key JSON text, which is made after they are collected."""
+    keyed = F.transform(F.collect_set(col), lambda r: F.struct(F.to_json(r, _PLAIN).alias("k"), r.alias("r")))
     return F.transform(F.array_sort(keyed), lambda x: x.getField("r"))
 
 
@@ -241,10 +241,23 @@ def uses_support(graph: Graph, links: DataFrame) -> DataFrame:
 
 
 def uses_references(graph: Graph, links: DataFrame) -> DataFrame:
-    """(actor_id, technique_id, reference) distinct, in long form: what a popular pair's list is made of."""
-    pairs = links.join(graph.observation_techniques, "observation_id")
-    refs = observation_references(graph, pairs.select("observation_id").distinct())
-    return pairs.join(refs, "observation_id").select("actor_id", "technique_id", "reference").distinct()
+    """(actor_id, technique_id, reference) distinct, in long form: what a popular pair's list is made of.
+
+    A reference that an actor has through one observation only meets the distinct techniques of that observation, which
+    can't make a row twice. So texts move once for each (actor, reference) before they are multiplied; only references
+    of several observations of an actor are compared after it.
+    """
+    refs = observation_references(graph, links.select("observation_id").distinct())
+    techniques = graph.observation_techniques.select("observation_id", "technique_id").distinct()
+    cited = links.select("actor_id", "observation_id").join(refs, "observation_id")
+    found = cited.groupBy("actor_id", "reference").agg(
+        F.min("observation_id").alias("observation_id"), F.max("observation_id").alias("_last"))
+    lone = found.filter(F.col("observation_id") == F.col("_last")).drop("_last")
+    many = found.filter(F.col("observation_id") != F.col("_last")).select(F.col("actor_id").alias("_actor"), F.col("reference").alias("_ref"))
+    shared = cited.join(many, F.col("actor_id").eqNullSafe(F.col("_actor")) & F.col("reference").eqNullSafe(F.col("_ref")), "left_semi")
+    columns = ["actor_id", "technique_id", "reference"]
+    return lone.join(techniques, "observation_id").select(*columns).unionByName(
+        shared.join(techniques, "observation_id").select(*columns).distinct())
 
 
 def _uses(graph: Graph, publisher: Publisher, links: DataFrame) -> DataFrame:

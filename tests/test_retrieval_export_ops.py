@@ -7,9 +7,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from graphs import search_graph
+from graphs import rows, search_graph
 from palisade.functions.vectors import cosine_distance
 from palisade.operators import integrity, jobs, quality, retrieval, stix_export
+from palisade.schemas import Graph
 from palisade.sources import blobs
 from palisade.streaming import jobs as streams
 
@@ -225,3 +226,22 @@ def test_copies_in_a_bundle_keep_their_own_texts(spark):
     objects = spark.createDataFrame(data, "actor_id string, type string, id string, json string")
     got = [(r.actor_id, r.objects, r.ordinal, r.id, r.json) for r in stix_export.bundles(objects).collect()]
     assert sorted(got) == [("a", 3, 1, "note--1", "x"), ("a", 3, 2, "note--1", "x"), ("a", 3, 3, "note--1", "y"), ("b", 1, 1, "tool--1", "w")]
+
+
+def test_references_of_pairs_move_once_and_stay_distinct(spark):
+    X = stix_export
+    r = lambda table, *items: rows(spark, table, *items)
+    graph = Graph(spark, {
+        "sources": r("sources", {"id": "s", "name": "Desk"}),
+        "observations": r("observations", *[{"id": f"o{k}", "source_id": "s", "source_native_id": "same" if k < 3 else None} for k in range(4)]),
+        "evidence": r("evidence", {"id": "e", "source_id": "s", "citation": "Both"}, {"id": "f", "source_id": "s", "citation": "One"}),
+        "observation_evidence": r("observation_evidence", *[{"observation_id": f"o{o}", "evidence_id": e} for o, e in ("0e", "1e", "1f", "1f")]),
+        "observation_techniques": r("observation_techniques", *[{"observation_id": f"o{o}", "technique_id": t} for o, t in ("0t", "1t", "1t", "1u", "3u")]),
+    })
+    links = spark.createDataFrame([("a", "o0"), ("a", "o1"), ("a", "o1"), ("a", "o3"), ("b", "o1"), (None, "o1"), ("b", "o2")], "actor_id string, observation_id string")
+    found = X.uses_references(graph, links)
+    got = sorted(((x.actor_id or "", x.technique_id, x.reference.description or "", x.reference.external_id or "") for x in found.collect()))
+    one = [("t", "Both", ""), ("t", "One", ""), ("t", "", "same"), ("u", "Both", ""), ("u", "One", ""), ("u", "", "same")]
+    assert got == sorted([*[(a, *x) for a in ("", "a", "b") for x in one], ("a", "u", "", "")])
+    # texts are told apart for each actor before they are multiplied
+    assert "_last" in found._jdf.queryExecution().optimizedPlan().toString()
