@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palisade.session import materialize
+
 
 def scan_blobs(spark: SparkSession, root: str, prefix: str = "raw") -> DataFrame:
     """(storage_key, length, content) of every file below ``root/prefix``.
@@ -33,11 +38,8 @@ def write_blobs(rows: DataFrame, root: str) -> DataFrame:
     base = root.rstrip("/").removeprefix("file:")
 
     def store(batches):
-        import os
         import uuid
 
-        import pandas as pd
-
         for frame in batches:
             sizes = []
             for key, content in zip(frame["storage_key"], frame["content"]):
@@ -53,13 +55,80 @@ def write_blobs(rows: DataFrame, root: str) -> DataFrame:
     return rows.select("storage_key", "content").mapInPandas(store, "storage_key string, blob_size bigint")
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def list_blobs(spark: SparkSession, root: str, prefix: str = "raw") -> DataFrame:
+    """(storage_key) of every file with content below ``root/prefix``.
+
+    Folders are listed in tasks, level by level, and names stay there: the driver learns only whether there is another level.
+    """
+    base = root.rstrip("/").removeprefix("file:")
+
+    def names(batches):
+        for frame in batches:
+            for folder in frame["storage_key"]:
+                found = []
+                with os.scandir(os.path.join(base, folder)) as entries:
+                    for entry in entries:
+                        nested = entry.is_dir()
+                        if not _hidden(entry.name) and (nested or entry.stat().st_size):
+                            found.append((f"{folder}/{entry.name}", nested))
+                        if len(found) == 10_000:
+                            yield pd.DataFrame(found, columns=["storage_key", "folder"])
+                            found = []
+                yield pd.DataFrame(found, columns=["storage_key", "folder"]).astype({"storage_key": object, "folder": bool})
+
+    folders, files = spark.range(1).select(F.lit(prefix).alias("storage_key")), None
+    while files is None or not folders.isEmpty():
+        listed = materialize(folders.repartition("storage_key").mapInPandas(names, "storage_key string, folder boolean"), "blob-names")
+        found = listed.filter("not folder").select("storage_key")
+        files = found if files is None else files.unionByName(found)
+        folders = listed.filter("folder").select("storage_key")
+    return files
+
+
+def write_lines(rows: DataFrame, root: str) -> None:
+    """Text files below ``root`` from (file, place, line) rows, each file's lines by place.
+
+    A file may be larger than a task: sorted parts of it are stored, a running sum over the sizes of the parts gives each its start, and
+    every part is written there. A part that is written again has the same bytes. ``root`` is any folder that the executors mount.
+    """
+    base = root.rstrip("/").removeprefix("file:")
+    parts = materialize(rows.select("file", "place", "line").repartitionByRange("file", "place").withColumn("part", F.spark_partition_id()), "line-parts")
+    sizes = parts.groupBy("file", "part").agg(F.sum(F.octet_length("line") + F.lit(1).cast("bigint")).alias("size"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+
+    def put(batches):
+        key, handle = None, None
+        for frame in batches:
+            for file, part, start, line in zip(frame["file"], frame["part"], frame["start"], frame["line"]):
+                if (file, part) != key:
+                    if handle:
+                        handle.close()
+                    path = os.path.join(base, file)
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    key, handle = (file, part), os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT, 0o644), "wb")
+                    handle.seek(start)
+                handle.write(line.encode() + b"\n")
+            yield pd.DataFrame({"lines": [len(frame)]})
+        if handle:
+            handle.close()
+
+    placed = parts.join(F.broadcast(starts), ["file", "part"]).repartition("file", "part").sortWithinPartitions("file", "part", "place")
+    placed.select("file", "part", "start", "line").mapInPandas(put, "lines long").agg(F.sum("lines")).first()
+
+
 def streamed_hashes(spark: SparkSession, root: str, prefix: str = "raw", references: DataFrame | None = None) -> DataFrame:
     """(storage_key, blob_sha256, blob_size, blob_status) of every listed file and every key of ``references``.
 
-    Spark lists the files and each is read in streams of 1 MiB, so that one may be larger than a row. The file source does not list
-    empty files: an empty blob is found by its reference only, a stray one is not reported.
+    Each file is read in streams of 1 MiB, so that one may be larger than a row. Empty files are not listed: an empty blob is found by
+    its reference only, a stray one is not reported.
     """
-    keys = scan_blobs(spark, root, prefix).select("storage_key")
+    keys = list_blobs(spark, root, prefix)
     if references is not None:
         keys = keys.unionByName(references.filter(F.col("storage_key").isNotNull()).select("storage_key"))
     return read_listed_blobs(keys, root)
@@ -85,9 +154,6 @@ def read_listed_blobs(references: DataFrame, root: str) -> DataFrame:
 
     def check(batches):
         import hashlib
-        import os
-
-        import pandas as pd
 
         for frame in batches:
             out = []

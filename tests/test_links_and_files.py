@@ -67,3 +67,24 @@ def test_late_rows_are_counted_once_also_after_a_replay(spark, tmp_path):
     step(late, 2)
     got = {r.window_start.hour: r.late for r in step.total().collect()}
     assert got == {0: 2, 3: 1}
+
+
+def test_a_file_is_written_by_many_tasks(spark, tmp_path):
+    lines = [("b/one.txt" if k % 3 else "a+%2F/two.txt", k, f"é line {k} " + "x" * (k % 50)) for k in range(3000)]
+    rows = spark.createDataFrame(lines, "file string, place long, line string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blobs.write_lines(rows, f"file://{tmp_path}")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for name in ("b/one.txt", "a+%2F/two.txt"):
+        assert (tmp_path / name).read_text() == "".join(f"{x}\n" for f, _, x in lines if f == name)
+
+
+def test_listing_stays_in_tasks_and_passes_over_hidden_and_empty_files(spark, tmp_path):
+    for name in ("raw/a/b/1", "raw/2", "raw/.x/3", "raw/_y", "raw/_k=1/4", "raw/none", "other/5"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name.endswith("none") else b"x")
+    got = blobs.list_blobs(spark, str(tmp_path))
+    assert sorted(r.storage_key for r in got.collect()) == ["raw/2", "raw/_k=1/4", "raw/a/b/1"]
+    assert sorted(r.storage_key for r in blobs.scan_blobs(spark, str(tmp_path)).select("storage_key").collect()) == ["raw/2", "raw/_k=1/4", "raw/a/b/1"]
