@@ -8,6 +8,7 @@ from palisade.operators import normalize as N
 from palisade.plans import adapters as A
 from palisade.plans.registry import query, stamp
 from palisade.session import scratch_dir
+from palisade.sources.blobs import write_lines
 from palisade.sources.bundle_ranges import read_split_bundles
 from palisade.sources.changes import ChangeTable
 from palisade.sources.stix_bundle import check_envelope, split_objects
@@ -118,11 +119,13 @@ def bundle_file_objects(spark, sf_dir):
     tails = ends.select("lang", (c("high") + 1).alias("n"), F.lit('], "x_{after": "\\"}]"}').alias("line"))
     notes = docs.join(F.broadcast(ends), "lang").select("lang", "n", F.when(c("n") > c("low"), F.concat(F.lit(","), c("line"))).otherwise(c("line")).alias("line"))
     root = scratch_dir(spark, "bundle-files")
-    # a file is one sorted run of lines: it can be larger than a row
-    (heads.unionByName(notes).unionByName(tails).repartition("lang").sortWithinPartitions("lang", "n")
-     .withColumnRenamed("line", "value").select("lang", "value").write.partitionBy("lang").text(root))
+    # a file is one run of lines by their numbers: it can be larger than a task
+    write_lines(heads.unionByName(notes).unionByName(tails).filter(c("lang").isNotNull()).select(
+        F.concat(F.lit("lang="), F.url_encode("lang"), F.lit("/lines.txt")).alias("file"), c("n").alias("place"), "line"), root)
     _, rows = read_split_bundles(spark, root)
-    return rows.select(F.regexp_extract("raw_path", "lang=([^/]*)/", 1).alias("bundle"), c("object_index").cast("bigint").alias("object_index"), "object_id",
+    # the path is encoded once more in the file's address
+    lang = F.url_decode(F.url_decode(F.regexp_extract("raw_path", "lang=([^/]*)/", 1)))
+    return rows.select(lang.alias("bundle"), c("object_index").cast("bigint").alias("object_index"), "object_id",
                        "object_type", "object_error", F.sha2(F.get_json_object("payload", "$.content"), 256).alias("content_sha256"))
 
 
