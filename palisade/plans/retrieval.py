@@ -10,6 +10,7 @@ from palisade.operators import evaluate, retrieval as V
 from palisade.plans import adapters as A
 from palisade.plans.registry import query
 from palisade.schemas import Graph
+from palisade.session import materialize
 
 c = F.col
 
@@ -68,17 +69,20 @@ def graph_retrieval(spark, sf_dir):
     """A question about every customer with a vector, answered from the evidence behind its orders."""
     graph = A.order_graph(spark, sf_dir)
     vectors = A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    # the part of an item decides the vector of its evidence
-    part = F.split_part("id", F.lit("-"), F.lit(4)).cast("bigint")
-    embedded = graph.evidence.select(c("id").alias("evidence_id"), part.alias("vec_id")).distinct().join(vectors, "vec_id").select(
-        "evidence_id", F.lit("m1").alias("embedding_model"), F.size("embedding").alias("dimensions"), "embedding")
-    linked = Graph(spark, {**graph.tables, "evidence_embeddings": embedded})
     key = c("c_custkey")
     asked = A.table(spark, sf_dir, "customer").select("c_custkey").join(vectors, key == c("vec_id")).select(
         F.concat(F.lit("q-"), key.cast("string")).alias("question_id"), F.concat(F.lit("cust-"), key.cast("string")).alias("actor_id"),
         F.lit("m1").alias("embedding_model"), F.size("embedding").alias("dimensions"), c("embedding").alias("vector"),
         F.when(key % 2 == 1, F.lit("1995-01-01").cast("timestamp")).alias("date_from"), F.lit(None).cast("timestamp").alias("date_to"))
-    # only actors that are asked about reach the chain of joins
+    # only actors that are asked about reach the chain of joins: their links are stored, so that tables meet them by their true size
+    seen = graph.actor_observations.join(asked.select("actor_id"), "actor_id", "left_semi").select("observation_id")
+    reached = materialize(graph.observation_evidence.join(seen, "observation_id", "left_semi"), "asked-evidence")
+    evidence = graph.evidence.join(reached.select(c("evidence_id").alias("id")), "id", "left_semi")
+    # the part of an item decides the vector of its evidence
+    part = F.split_part("id", F.lit("-"), F.lit(4)).cast("bigint")
+    embedded = evidence.select(c("id").alias("evidence_id"), part.alias("vec_id")).distinct().join(vectors, "vec_id").select(
+        "evidence_id", F.lit("m1").alias("embedding_model"), F.size("embedding").alias("dimensions"), "embedding")
+    linked = Graph(spark, {**graph.tables, "evidence": evidence, "observation_evidence": reached, "evidence_embeddings": embedded})
     rows = V.nearest(asked, V.candidates(linked, asked.select("actor_id")), max_distance=0.95)
     return rows.select("question_id", "evidence_id", "source_name", "intelligence_type", (F.round("distance", 6) + 0.0).alias("distance"), "position")
 
