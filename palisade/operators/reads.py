@@ -15,6 +15,7 @@ from palisade.operators.paging import after_cursor
 from palisade.operators.scale import Order, capped_children, top_n
 from palisade.operators.visibility import own_published, published
 from palisade.schemas import Graph
+from palisade.session import materialize
 
 # --- fixed values: limits of the read models ------------------------------------------------
 MAX_ALIASES = 100
@@ -246,6 +247,8 @@ def actor_search(graph: Graph, queries: DataFrame, hits: int = SEARCH_HITS,
     needles = queries.select(
         F.col("query_id").cast("string").alias("query_id"), normalize_name(F.col("query")).alias("needle")
     ).filter(F.col("needle").isNotNull())
+    # normalized and met once, read several times
+    needles = materialize(needles, "needles")
     actors = own_published(graph.actors).select(
         F.col("id").alias("actor_id"), "canonical_name", "normalized_name", "description"
     )
@@ -256,7 +259,7 @@ def actor_search(graph: Graph, queries: DataFrame, hits: int = SEARCH_HITS,
     texts = actors.select(F.col("normalized_name").alias("text")).unionByName(
         alias_rows.select(F.col("alias_norm").alias("text"))
     )
-    met = containing(needles, texts).join(needles, "needle").select("query_id", "needle", "text")
+    met = materialize(containing(needles, texts).join(needles, "needle").select("query_id", "needle", "text"), "needles-met")
     canonical = actors.join(met, F.col("normalized_name") == F.col("text")).select(
         "query_id", "actor_id",
         F.when(F.col("normalized_name") == F.col("needle"), 0).otherwise(2).alias("match_rank"),

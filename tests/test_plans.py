@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from graphs import search_graph
+from palisade.operators import reads
 from palisade.operators.visibility import published
 from palisade.sources import tables
 
@@ -71,3 +72,20 @@ def test_oracle(spark, name):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 100
+
+
+def test_actor_search_normalizes_its_queries_once(spark):
+    asked = spark.createDataFrame([("q", "ámber")], "query_id string, query string")
+    assert "ArrowEvalPython" not in plan(reads.actor_search(search_graph(spark), asked))
+
+
+def test_graph_retrieval_joins_the_evidence_of_asked_actors_only(spark, monkeypatch):
+    from palisade.plans import retrieval
+
+    held, candidates = [], retrieval.V.candidates
+    monkeypatch.setattr(retrieval.V, "candidates", lambda graph, ids: held.append((graph, ids)) or candidates(graph, ids))
+    retrieval.graph_retrieval(spark, SF)
+    (graph, ids), whole = held[0], retrieval.A.order_graph(spark, SF)
+    reached = whole.actor_observations.join(ids, "actor_id", "left_semi").join(whole.observation_evidence, "observation_id").select("evidence_id").distinct()
+    assert sorted(r[0] for r in graph.evidence.select("id").distinct().collect()) == sorted(r[0] for r in reached.collect())
+    assert graph.observation_evidence.count() < whole.observation_evidence.count()
