@@ -79,13 +79,16 @@ def test_actor_search_normalizes_its_queries_once(spark):
     assert "ArrowEvalPython" not in plan(reads.actor_search(search_graph(spark), asked))
 
 
-def test_graph_retrieval_joins_the_evidence_of_asked_actors_only(spark, monkeypatch):
+def test_graph_retrieval_joins_the_evidence_of_asked_actors_only(spark, monkeypatch, tmp_path):
     from palisade.plans import retrieval
 
+    for name in TABLES:
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        (rows.filter("vec_id < 20") if name == "embeddings" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
     held, candidates = [], retrieval.V.candidates
     monkeypatch.setattr(retrieval.V, "candidates", lambda graph, ids: held.append((graph, ids)) or candidates(graph, ids))
-    retrieval.graph_retrieval(spark, SF)
-    (graph, ids), whole = held[0], retrieval.A.order_graph(spark, SF)
+    retrieval.graph_retrieval(spark, str(tmp_path))
+    (graph, ids), whole = held[0], retrieval.A.order_graph(spark, str(tmp_path))
     reached = whole.actor_observations.join(ids, "actor_id", "left_semi").join(whole.observation_evidence, "observation_id").select("evidence_id").distinct()
     assert sorted(r[0] for r in graph.evidence.select("id").distinct().collect()) == sorted(r[0] for r in reached.collect())
     assert graph.observation_evidence.count() < whole.observation_evidence.count()
