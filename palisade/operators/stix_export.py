@@ -81,9 +81,9 @@ def _nonempty(col: str) -> Column:
     return F.when(F.size(col) > 0, F.col(col))
 
 
-def _emit(df: DataFrame, fields: list[Column]) -> DataFrame:
-    return df.select("actor_id", F.struct(*fields).alias("_o")).select(
-        "actor_id", F.col("_o.type").alias("type"), F.col("_o.id").alias("id"), F.to_json("_o").alias("json")
+def _emit(df: DataFrame, fields: list[Column], owner: str = "actor_id") -> DataFrame:
+    return df.select(owner, F.struct(*fields).alias("_o")).select(
+        owner, F.col("_o.type").alias("type"), F.col("_o.id").alias("id"), F.to_json("_o").alias("json")
     )
 
 
@@ -130,11 +130,12 @@ def export_objects(graph: Graph, publisher: Publisher = Publisher(), actor_ids:
         actors = actors.join(actor_ids, "actor_id", "left_semi")
         links = links.join(actor_ids, "actor_id", "left_semi")
         relations = relations.join(actor_ids, "actor_id", "left_semi")
+    pairs = _technique_pairs(graph, links)
     parts = [
         _intrusion_sets(graph, publisher, actors),
-        _attack_patterns(graph, publisher, links),
+        _attack_patterns(graph, publisher, pairs),
         _notes(graph, publisher, links),
-        _uses(graph, publisher, links),
+        _uses(graph, publisher, links, pairs),
         *_campaigns(graph, publisher, relations),
     ]
     out = parts[0]
@@ -164,22 +165,45 @@ def _intrusion_sets(graph: Graph, publisher: Publisher, actors: DataFrame) -> Da
     ])
 
 
-def _attack_patterns(graph: Graph, publisher: Publisher, links: DataFrame) -> DataFrame:
-    pairs = (
-        links.join(graph.observation_techniques, "observation_id")
-        .select("actor_id", "technique_id").distinct()
+def _technique_pairs(graph: Graph, links: DataFrame) -> DataFrame:
+    """Per (actor, technique): known observations counted (0: links to unknown ones only), first creation and last change.
+
+    Observations meet the links before these are multiplied by techniques.
+    """
+    stamped = graph.observations.select(
+        F.col("id").alias("observation_id"), F.col("id").alias("_known"), "created_at", "updated_at"
+    )
+    return (
+        links.join(stamped, "observation_id", "left")
+        .join(graph.observation_techniques, "observation_id")
+        .groupBy("actor_id", "technique_id")
+        .agg(
+            F.count("_known").alias("observations"),
+            F.min("created_at").alias("created_at"),
+            F.max("updated_at").alias("updated_at"),
+        )
     )
+
+
+def _attack_patterns(graph: Graph, publisher: Publisher, pairs: DataFrame) -> DataFrame:
+    """Each technique's object is made once and then given to its actors.
+
+    The pairs are read just as ``_uses`` reads them, so that both share one shuffle: the count is asked for, although
+    every count will do, and a null technique, which meets nothing, isn't left out before the join.
+    """
     built = (
-        graph.techniques.join(_named_sources(graph), "source_id")
+        graph.techniques.filter(F.col("id").isNotNull()).join(_named_sources(graph), "source_id")
         .withColumn("_refs", F.array(_reference(F.col("source_name"), F.col("base_url"), F.col("external_id"))))
         .withColumnRenamed("id", "technique_id")
     )
-    return _emit(pairs.join(built, "technique_id"), [
+    objects = _emit(built, [
         *_base(publisher, "attack-pattern", F.col("technique_id"), F.col("created_at"), F.col("updated_at")),
         F.col("name"),
         _present("description").alias("description"),
         F.col("_refs").alias("external_references"),
-    ])
+    ], "technique_id").withColumnRenamed("technique_id", "_technique")
+    used = pairs.filter("observations >= 0").select("actor_id", "technique_id")
+    return used.join(objects, F.col("technique_id").eqNullSafe(F.col("_technique"))).select("actor_id", "type", "id", "json")
 
 
 def note_text(publisher: Publisher) -> Column:
@@ -227,17 +251,11 @@ def _notes(graph: Graph, publisher: Publisher, links: DataFrame) -> DataFrame:
 
 def uses_support(graph: Graph, links: DataFrame) -> DataFrame:
     """Per (actor, technique): supporting observations counted, first creation and last change."""
-    stamped = graph.observations.select(F.col("id").alias("observation_id"), "created_at", "updated_at")
-    return (
-        links.join(graph.observation_techniques, "observation_id")
-        .join(stamped, "observation_id")
-        .groupBy("actor_id", "technique_id")
-        .agg(
-            F.count(F.lit(1)).alias("observations"),
-            F.min("created_at").alias("created_at"),
-            F.max("updated_at").alias("updated_at"),
-        )
-    )
+    return _supported(_technique_pairs(graph, links))
+
+
+def _supported(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("observations > 0")
 
 
 def uses_references(graph: Graph, links: DataFrame) -> DataFrame:
@@ -260,11 +278,11 @@ def uses_references(graph: Graph, links: DataFrame) -> DataFrame:
         shared.join(techniques, "observation_id").select(*columns).distinct())
 
 
-def _uses(graph: Graph, publisher: Publisher, links: DataFrame) -> DataFrame:
+def _uses(graph: Graph, publisher: Publisher, links: DataFrame, pairs: DataFrame) -> DataFrame:
     refs = uses_references(graph, links).groupBy("actor_id", "technique_id").agg(
         _sorted_references("reference").alias("_refs")
     )
-    rows = uses_support(graph, links).join(refs, ["actor_id", "technique_id"], "left")
+    rows = _supported(pairs).join(refs, ["actor_id", "technique_id"], "left")
     key = F.concat("actor_id", F.lit(":"), "technique_id")
     return _emit(rows, [
         *_base(publisher, "relationship", key, F.col("created_at"), F.col("updated_at")),

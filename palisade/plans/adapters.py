@@ -187,8 +187,10 @@ def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
         "observation_evidence": lambda: t.lineitem.select(order_id.alias("observation_id"), item_id.alias("evidence_id")),
         "observation_behaviors": lambda: t.orders.select(
             _text("ord-", c("o_orderkey")).alias("observation_id"), _text("beh:", c("o_orderpriority")).alias("behavior_id")),
-        "observation_techniques": lambda: t.lineitem.select(
-            order_id.alias("observation_id"), _text("part-", c("l_partkey")).alias("technique_id")).distinct(),
+        # distinct within the partitions of their observation, by which the links join other tables
+        "observation_techniques": lambda: t.lineitem.select(order_id.alias("observation_id"), "l_partkey")
+            .repartition("observation_id").distinct()
+            .select("observation_id", _text("part-", c("l_partkey")).alias("technique_id")),
     })
 
 

@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import uuid
 from datetime import datetime, timedelta
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from graphs import rows, search_graph
 from palisade.functions.vectors import cosine_distance
 from palisade.operators import integrity, jobs, quality, retrieval, stix_export
+from palisade.plans import adapters
 from palisade.schemas import Graph
 from palisade.sources import blobs
 from palisade.streaming import jobs as streams
@@ -245,3 +247,41 @@ def test_references_of_pairs_move_once_and_stay_distinct(spark):
     assert got == sorted([*[(a, *x) for a in ("", "a", "b") for x in one], ("a", "u", "", "")])
     # texts are told apart for each actor before they are multiplied
     assert "_last" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_attack_patterns_and_uses_are_shuffled_once(spark):
+    frame = lambda columns, *found: spark.createDataFrame(found, columns)
+    day = datetime(2024, 1, 1)
+    graph = Graph(spark, {
+        "sources": frame("id string, name string, base_url string", ("s", "S", None)),
+        "techniques": frame("id string, source_id string, external_id string, name string, description string, created_at timestamp, updated_at timestamp",
+                            *[(t, s, "x", "n", None, day, day) for t, s in (("t1", "s"), ("t1", "s"), ("t2", "s"), ("t3", "no"), (None, "s"))]),
+        "observations": frame("id string, source_id string, source_native_id string, title string, summary string, observed_at timestamp, first_seen timestamp,"
+                              "last_seen timestamp, confidence int, intelligence_type string, created_at timestamp, updated_at timestamp",
+                              *[(o, "s", o, "t", "s", day, None, None, 1, "observed", day + timedelta(k), day + timedelta(k)) for k, o in enumerate(("o1", "o2"))]),
+        "actor_observations": frame("actor_id string, observation_id string",
+                                    ("a1", "o1"), ("a1", "o2"), ("a2", "o1"), ("a2", "gone"), ("a3", "gone"), ("a3", None)),
+        "observation_techniques": frame("observation_id string, technique_id string", ("o1", "t1"), ("o2", "t1"), ("o1", None), ("o1", "t3"), ("gone", "t2"), (None, "t1")),
+    })
+    me = stix_export.Publisher()
+    name = lambda kind, key: f"{kind}--{uuid.uuid5(me.namespace, f'{kind}:{key}')}"
+    objects = stix_export.export_objects(graph, me).filter("type in ('attack-pattern', 'relationship')").select("actor_id", "type", "id")
+    # a link to an unknown observation gives its technique but no use; an unknown or null technique is used but has no object
+    want = [("a1", "attack-pattern", name("attack-pattern", "t1"))] * 2 + [("a2", "attack-pattern", name("attack-pattern", "t1"))] * 2
+    want += [(a, "attack-pattern", name("attack-pattern", "t2")) for a in ("a2", "a3")]
+    want += [(a, "relationship", t and name("relationship", f"{a}:{t}")) for a in ("a1", "a2") for t in ("t1", "t3", None)]
+    assert sorted(map(tuple, objects.collect()), key=str) == sorted(want, key=str)
+    final = objects._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"(?<!, )Exchange hashpartitioning\(actor_id#\d+, technique_id#\d+", final)) == 1
+    support = {(r.actor_id, r.technique_id): (r.observations, r.created_at, r.updated_at)
+               for r in stix_export.uses_support(graph, graph.actor_observations).collect()}
+    assert support == {("a1", "t1"): (2, day, day + timedelta(1))} | {
+        pair: (1, day, day) for pair in (("a1", None), ("a1", "t3"), ("a2", "t1"), ("a2", None), ("a2", "t3"))}
+
+
+def test_techniques_of_observations_are_placed_by_observation(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 7), (None, 7), (None, 7), (2, None)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = adapters.order_graph(spark, str(tmp_path)).observation_techniques
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [("ord-1", "part-7"), ("ord-1", "part-8"), ("ord-2", "part-7"), (None, "part-7"), ("ord-2", None)], key=str)
+    assert found.groupBy("observation_id").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
