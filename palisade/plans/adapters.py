@@ -237,13 +237,13 @@ def text_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two search requests per benchmark item (its first two words; words two to four as a phrase), and
-    one per supplier-nation name and per segment name."""
+    """Two search requests per benchmark item (its first two words, or its only one; words two to four as a phrase), and
+    one per nation name. ``segment_queries`` has those per segment name."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
     both = items.select(
         _text("and-", c("item_id")).alias("query_id"),
-        F.concat(F.get("w", F.lit(0)), F.lit(" "), F.get("w", F.lit(1))).alias("query"),
+        F.array_join(F.slice("w", 1, 2), " ").alias("query"),
     ).unionByName(items.select(
         _text("phrase-", c("item_id")).alias("query_id"),
         F.concat(F.lit('"'), F.array_join(F.slice("w", 2, 3), " "), F.lit('"')).alias("query"),
@@ -254,6 +254,13 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.unionByName(nations)
 
 
+def segment_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search request per segment name."""
+    segment = c("c_mktsegment")
+    return table(spark, sf_dir, "customer").filter(segment.isNotNull()).select(segment).distinct().select(
+        _text("segment-", segment).alias("query_id"), segment.alias("query"))
+
+
 # Job log: 20 consecutive events form one job.
 AS_OF = "2024-01-15 00:00:00"
 

@@ -155,3 +155,22 @@ def test_cover_density_of_many_hits_equals_a_plain_sweep_in_linear_time(spark):
     begun = time.time()
     one = spark.createDataFrame([(large,)], "hits array<struct<pos:int,weight:string,slot:bigint>>").select(postings.cover_density(F.col("hits")).alias("r")).first().r
     assert 0 < one < 1 and time.time() - begun < 30
+
+
+def test_cover_rank_asks_for_segments_and_items_of_one_word(spark, monkeypatch, tmp_path):
+    from palisade.plans import resolution
+
+    tables = {
+        "benchmark": ([(1, "Copper lantern glow here"), (2, "Heron."), (3, None)], "item_id long, text string"),
+        "nation": ([(0, "NATION_0")], "n_nationkey int, n_name string"),
+        "customer": ([(0, "FURNITURE"), (1, "FURNITURE"), (2, "BUILDING"), (3, None)], "c_custkey long, c_mktsegment string"),
+    }
+    for name, (made, schema) in tables.items():
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    texts = ["a copper lantern", "one heron", "furniture 12", "building furniture", "lantern glow here", "nation 0"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "id string, t string").select(
+        F.lit("x").alias("entity_type"), "id", F.array(postings.field(F.col("t"), "A")).alias("fields"))
+    monkeypatch.setattr(resolution, "_graph_index", lambda *_: postings.postings(docs))
+    got = sorted((r.query_id, r.id) for r in resolution.cover_rank(spark, str(tmp_path)).collect())
+    assert got == [("and-1", "d0"), ("and-2", "d1"), ("name-0", "d5"), ("phrase-1", "d4"),
+                   ("segment-BUILDING", "d3"), ("segment-FURNITURE", "d2"), ("segment-FURNITURE", "d3")]
