@@ -81,12 +81,27 @@ _SALTS = 32
 _SLACK = 1e-9
 
 
+def _large_groups(questions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(keys, _qblock, _cblock) of the groups that have more than one block on a side, stored; 0 blocks where a side has no rows.
+
+    There is at most one for each block's worth of rows, so that the table stays small however many actors there are.
+    """
+    rows = F.greatest(F.lit(1), F.least(F.lit(_BLOCK_ROWS), F.floor(F.lit(_BLOCK_VALUES) / F.greatest("dimensions", F.lit(1)))))
+    counted = [side.groupBy(*_ASKED).agg(F.count(F.lit(1)).alias("_n")).select(*_ASKED, "_n", F.lit(own).alias("_own"))
+               for side, own in ((questions, True), (candidates, False))]
+    blocks = lambda own: F.ceil(F.coalesce(F.sum(F.when(F.col("_own") == own, F.col("_n"))), F.lit(0)) / F.first(rows)).cast("int")
+    sized = counted[0].unionByName(counted[1]).groupBy(*_ASKED).agg(blocks(True).alias("_qblock"), blocks(False).alias("_cblock"))
+    return materialize(sized.filter((F.col("_qblock") > 1) | (F.col("_cblock") > 1)), "retrieval-groups")
+
+
 def _dealt(rows: DataFrame, groups: DataFrame, mark: Column, own: str, other: str) -> DataFrame:
-    """Each row in its block (column ``own``), once for every block of the other side."""
+    """Each row in its block (column ``own``), once for every block of the other side; rows of small groups are in the only one."""
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    met = rows.withColumn("_mark", mark).withColumn("_salt", F.pmod("_mark", F.lit(_SALTS)).cast("int")).join(salted, [*_ASKED, "_salt"])
+    met = rows.withColumn("_mark", mark).withColumn("_salt", F.pmod("_mark", F.lit(_SALTS)).cast("int")).join(salted, [*_ASKED, "_salt"], "left")
+    blocks = {name: F.coalesce(name, F.lit(1)) for name in (own, other)}
     return (
-        met.withColumn(own, F.pmod(F.xxhash64("_mark"), F.col(own)).cast("int"))
+        met.withColumns(blocks).filter(F.col(other) > 0)
+        .withColumn(own, F.pmod(F.xxhash64("_mark"), F.col(own)).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         .drop("_mark", "_salt")
     )
@@ -165,15 +180,14 @@ def nearest(
     ``questions``: question_id, actor_id, embedding_model, dimensions, vector, date_from, date_to.
     ``candidates``: actor_id, embedding_model, dimensions, embedding, observed_at, evidence_id, ...
     Further columns of both are kept. Questions and candidates of an actor are dealt into blocks of bounded size, so many that an
-    actor with any number of either is many groups; a pair of blocks is one product of matrices, of which the first
-    ``limit`` per question go on. Distances near a bound are added up in the order of the vector's elements, so they (and ties)
+    actor with any number of either is many groups; only groups of several blocks are looked up. A pair of blocks is one product
+    of matrices, of which the first ``limit`` per question go on. Distances near a bound are added up in the order of the vector's elements, so they (and ties)
     don't depend on the blocks. Null, empty, zero and non-finite vectors and those of another length are never near.
     """
-    a, b = questions.groupBy(*_ASKED), candidates.groupBy(*_ASKED)
-    rows = F.greatest(F.lit(1), F.least(F.lit(_BLOCK_ROWS), F.floor(F.lit(_BLOCK_VALUES) / F.greatest("dimensions", F.lit(1)))))
-    blocks = lambda name: F.ceil(F.count(F.lit(1)) / F.first(rows)).cast("int").alias(name)
-    groups = materialize(a.agg(blocks("_qblock")).join(b.agg(blocks("_cblock")), _ASKED), "retrieval-groups")
-    usable = F.col("_norm").isNotNull() & ~F.isnan("_norm") & (F.col("_norm") > 0)
+    groups = _large_groups(questions, candidates)
+    # a cogroup would let null keys meet
+    known = F.col(_ASKED[0]).isNotNull() & F.col(_ASKED[1]).isNotNull() & F.col(_ASKED[2]).isNotNull()
+    usable = known & F.col("_norm").isNotNull() & ~F.isnan("_norm") & (F.col("_norm") > 0)
     micros = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
     own = [c for c in questions.columns if c not in ("vector", "date_from", "date_to")]
     other = [c for c in candidates.columns if c not in (*_ASKED, "embedding")]

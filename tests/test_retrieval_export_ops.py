@@ -285,3 +285,23 @@ def test_techniques_of_observations_are_placed_by_observation(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(
         [("ord-1", "part-7"), ("ord-1", "part-8"), ("ord-2", "part-7"), (None, "part-7"), ("ord-2", None)], key=str)
     assert found.groupBy("observation_id").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_only_groups_of_several_blocks_are_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "_BLOCK_ROWS", 5)
+    stored, keep = [], retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, label: stored.append(keep(df, label)) or stored[-1])
+    day = datetime(2025, 4, 2)
+    vector = [0.1, 0.7, -0.3]
+    # "asked" has many candidates, "quiet" as many and no question, the others one of each; a null actor meets nothing
+    cand = [(a, "m", 3, vector, day, f"e-{a}-{i}") for a, n in (("asked", 12), ("quiet", 12), (None, 2)) for i in range(n)]
+    cand += [(f"a{i}", "m", 3, vector, day, f"e-a{i}") for i in range(40)]
+    asked = [(f"q-{a}", a, "m", 3, vector, None, None) for a in ["asked", None, *[f"a{i}" for i in range(40)]]]
+    c = spark.createDataFrame(cand, "actor_id string, embedding_model string, dimensions int, embedding array<float>, observed_at timestamp, evidence_id string")
+    q = spark.createDataFrame(asked, "question_id string, actor_id string, embedding_model string, dimensions int, vector array<float>, date_from timestamp, date_to timestamp")
+    got = {}
+    for r in retrieval.nearest(q, c, limit=3, max_distance=2.0).collect():
+        got.setdefault(r.question_id, set()).add(r.evidence_id)
+    assert got.pop("q-asked") == {"e-asked-0", "e-asked-1", "e-asked-10"}
+    assert got == {f"q-a{i}": {f"e-a{i}"} for i in range(40)}
+    assert sorted(tuple(r) for r in stored[0].collect()) == [("asked", "m", 3, 1, 3), ("quiet", "m", 3, 0, 3)]
