@@ -19,6 +19,7 @@ from palisade.functions import ids
 from palisade.functions.jsonx import safe_url
 from palisade.functions.times import utc_millis_text
 from palisade.schemas import Graph
+from palisade.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------
 EXPORTED_RELATION = "attributed-to"
@@ -93,18 +94,21 @@ def _named_sources(graph: Graph) -> DataFrame:
     )
 
 
-def observation_references(graph: Graph, observation_ids: DataFrame) -> DataFrame:
+def observation_references(graph: Graph, observation_ids: DataFrame | None = None) -> DataFrame:
     """(observation_id, reference) in long form: the observation's own source and its evidence."""
     src = _named_sources(graph)
+
+    def asked(rows: DataFrame) -> DataFrame:
+        return rows if observation_ids is None else rows.join(observation_ids, "observation_id", "left_semi")
+
     own = (
-        graph.observations.select(F.col("id").alias("observation_id"), "source_id", "source_native_id")
-        .join(observation_ids, "observation_id", "left_semi")
+        asked(graph.observations.select(F.col("id").alias("observation_id"), "source_id", "source_native_id"))
         .join(src, "source_id")
         .select("observation_id", _reference(F.col("source_name"), F.col("base_url"),
                                              F.col("source_native_id")).alias("reference"))
     )
     cited = (
-        graph.observation_evidence.join(observation_ids, "observation_id", "left_semi")
+        asked(graph.observation_evidence)
         .join(graph.evidence.select(F.col("id").alias("evidence_id"), "source_id", "citation", "excerpt",
                                     "locator"), "evidence_id")
         .join(src, "source_id")
@@ -258,13 +262,16 @@ def _supported(pairs: DataFrame) -> DataFrame:
     return pairs.filter("observations > 0")
 
 
-def uses_references(graph: Graph, links: DataFrame) -> DataFrame:
+def uses_references(graph: Graph, links: DataFrame, stored: bool = False) -> DataFrame:
     """(actor_id, technique_id, reference) distinct, in long form: what a popular pair's list is made of.
 
     A reference that an actor has through one observation only meets the distinct techniques of that observation, which
     can't make a row twice. So texts move once for each (actor, reference) before they are multiplied; only references
-    of several observations of an actor are compared after it.
+    of several observations of an actor are compared after it. ``stored`` does the same work at once and keeps what the texts
+    are multiplied from, so that they move fewer times; for readers of the whole table.
     """
+    if stored:
+        return _stored_uses_references(graph, links)
     refs = observation_references(graph, links.select("observation_id").distinct())
     techniques = graph.observation_techniques.select("observation_id", "technique_id").distinct()
     cited = links.select("actor_id", "observation_id").join(refs, "observation_id")
@@ -278,6 +285,28 @@ def uses_references(graph: Graph, links: DataFrame) -> DataFrame:
         shared.join(techniques, "observation_id").select(*columns).distinct())
 
 
+def _stored_uses_references(graph: Graph, links: DataFrame) -> DataFrame:
+    """``uses_references`` of all links, over a stored table.
+
+    References are placed by observation once and meet there its actors and its list of techniques; these rows are stored. Which
+    (actor, reference) comes more than once is found by a hash alone: one that doesn't is multiplied by its techniques where it
+    stands, and only the rest, which may hold a few too many, is compared after it.
+    """
+    placed = links.select("actor_id", "observation_id").repartition("observation_id").distinct()
+    refs = observation_references(graph).repartition("observation_id").distinct()
+    techniques = graph.observation_techniques.select("observation_id", "technique_id").distinct().groupBy("observation_id").agg(
+        F.collect_list(F.struct("technique_id")).alias("_techniques"))
+    cited = materialize(placed.join(techniques, "observation_id").join(refs, "observation_id").select("actor_id", "_techniques", "reference"),
+                        "cited-references", "zstd").withColumn("_key", F.xxhash64("actor_id", "reference"))
+    many = materialize(cited.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"), "cited-again")
+
+    def multiplied(rows: DataFrame) -> DataFrame:
+        return rows.select("actor_id", F.explode("_techniques").alias("_t"), "reference").select(
+            "actor_id", F.col("_t.technique_id").alias("technique_id"), "reference")
+
+    return multiplied(cited.join(many, "_key", "left_anti")).unionByName(multiplied(cited.join(many, "_key", "left_semi")).distinct())
+
+
 def _uses(graph: Graph, publisher: Publisher, links: DataFrame, pairs: DataFrame) -> DataFrame:
     refs = uses_references(graph, links).groupBy("actor_id", "technique_id").agg(
         _sorted_references("reference").alias("_refs")

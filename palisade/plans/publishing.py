@@ -110,6 +110,6 @@ SELECT DISTINCT actor_id, technique_id, coalesce(description, '') AS description
 """, ("g_actor_obs", "g_obs_techniques", "g_obs", "g_sources", "g_obs_evidence", "g_evidence"))
 def stix_references(spark, sf_dir):
     graph = A.order_graph(spark, sf_dir)
-    rows = X.uses_references(graph, graph.actor_observations)
+    rows = X.uses_references(graph, graph.actor_observations, stored=True)
     part = lambda n: F.coalesce(f"reference.{n}", F.lit("")).alias(n)
     return rows.select("actor_id", "technique_id", part("description"), part("external_id"), c("reference.source_name").alias("source_name"), part("url"))

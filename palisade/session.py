@@ -46,8 +46,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df, label: str):
+def materialize(df, label: str, compression: str | None = None):
     """Write to the shared folder and read back: cuts lineage and fixes the rows of every re-read."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -305,3 +305,23 @@ def test_only_groups_of_several_blocks_are_looked_up(spark, monkeypatch):
     assert got.pop("q-asked") == {"e-asked-0", "e-asked-1", "e-asked-10"}
     assert got == {f"q-a{i}": {f"e-a{i}"} for i in range(40)}
     assert sorted(tuple(r) for r in stored[0].collect()) == [("asked", "m", 3, 1, 3), ("quiet", "m", 3, 0, 3)]
+
+
+def test_stored_references_of_pairs_equal_the_lazy_ones(spark, monkeypatch):
+    X = stix_export
+    r = lambda table, *items: rows(spark, table, *items)
+    graph = Graph(spark, {
+        "sources": r("sources", {"id": "s", "name": "Desk"}),
+        "observations": r("observations", *[{"id": f"o{k}", "source_id": "s", "source_native_id": "same" if k < 3 else None} for k in range(4)]),
+        "evidence": r("evidence", {"id": "e", "source_id": "s", "citation": "Both"}, {"id": "f", "source_id": "s", "citation": "One"}, {"id": "g", "source_id": "s", "citation": "One"}),
+        "observation_evidence": r("observation_evidence", *[{"observation_id": f"o{o}", "evidence_id": e} for o, e in ("0e", "1e", "1f", "1f", "1g", "3f")]),
+        "observation_techniques": spark.createDataFrame([("o0", "t"), ("o1", "t"), ("o1", "t"), ("o1", "u"), ("o3", "u"), ("o3", None), (None, "t")], "observation_id string, technique_id string"),
+    })
+    links = spark.createDataFrame([("a", "o0"), ("a", "o1"), ("a", "o1"), ("a", "o3"), ("b", "o1"), (None, "o1"), ("b", "o2"), ("b", None), ("b", "gone")],
+                                  "actor_id string, observation_id string")
+    kept, keep = {}, X.materialize
+    monkeypatch.setattr(X, "materialize", lambda df, label, *how: kept.setdefault(label, keep(df, label, *how)))
+    got = sorted(map(str, X.uses_references(graph, links, stored=True).collect()))
+    assert got == sorted(map(str, X.uses_references(graph, links).collect())) and len(got) == len(set(got)) == 21
+    # references of one observation of an actor are multiplied without being compared: only a's come more than once
+    assert kept["cited-again"].count() == 3 and kept["cited-references"].count() == 13
