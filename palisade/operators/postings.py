@@ -27,6 +27,8 @@ STOP_WORDS = (
     "same so than too very s t can will just don should now"
 ).split()
 # ------------------------------------------------------------------------------------------
+#: Stands for a missing id where documents are joined.
+_NO_ID = "\x00"
 
 
 def tokens(col: Column) -> Column:
@@ -155,12 +157,12 @@ def word_lists(terms: DataFrame, posted: DataFrame | PostingsIndex) -> DataFrame
     """(entity_type, id, term, list) of the words asked for.
 
     A stored index has them; postings are cut down to the words and folded to one row per (document, word). Either are placed
-    by document once, before queries multiply them; every later grouping reuses that placement.
+    by document once, before queries multiply them; every later grouping reuses that placement. A missing id is ``_NO_ID``.
     """
     if isinstance(posted, PostingsIndex):
-        return posted.lists(terms).repartition("entity_type", "id")
+        return posted.lists(terms).withColumn("id", F.coalesce("id", F.lit(_NO_ID))).repartition("entity_type", "id")
     placed = posted.join(terms.select("term").distinct(), "term", "left_semi").select(
-        "entity_type", "id", "term", packed().alias("_at")
+        "entity_type", F.coalesce("id", F.lit(_NO_ID)).alias("id"), "term", packed().alias("_at")
     ).repartition("entity_type", "id")
     return placed.groupBy("entity_type", "id", "term").agg(F.collect_list("_at").alias("list"))
 
@@ -168,21 +170,31 @@ def word_lists(terms: DataFrame, posted: DataFrame | PostingsIndex) -> DataFrame
 def candidates(terms: DataFrame, posted: DataFrame | PostingsIndex) -> DataFrame:
     """(query_id, entity_type, id, alt, parts): documents holding every positive word of an alternative.
 
-    Word order is not looked at yet, so that positions are only unpacked for documents that have all the words. Whether the
-    terms are broadcast is left to the sizes that Spark sees.
+    The words of a (query, document) are counted first, without their positions; these are gathered once for each document and
+    meet only the queries that have all their words there. Word order is not looked at yet. Whether the terms are broadcast is
+    left to the sizes that Spark sees.
     """
-    need = terms.filter(~F.col("negated")).groupBy("query_id", "alt").agg(F.count(F.lit(1)).alias("need"))
-    return (
-        word_lists(terms, posted).join(terms, "term")
-        .groupBy("query_id", "entity_type", "id", "alt")
-        .agg(
-            F.count_if(~F.col("negated")).alias("have"),
-            F.collect_list(F.struct("clause", "negated", "size", "offset", "list")).alias("parts"),
-        )
-        .join(need, ["query_id", "alt"])
-        .filter(F.col("have") == F.col("need"))
-        .drop("have", "need")
-    )
+    lists = word_lists(terms, posted)
+    word = F.struct("clause", "negated", "size", "offset", "term")
+    asked = terms.groupBy("query_id", "alt").agg(F.count_if(~F.col("negated")).alias("need"), F.collect_list(word).alias("words"))
+    positive = terms.filter(~F.col("negated")).select("query_id", "alt", "term")
+    # the count asks for the list, although any would do, so that both readers of the lists share one shuffle
+    counted = lists.join(positive, "term").groupBy("query_id", "entity_type", "id", "alt").agg(F.count_if(F.size("list") >= 0).alias("have"))
+    whole = counted.join(asked.select("query_id", "alt", "need"), ["query_id", "alt"]).filter(F.col("have") == F.col("need")).drop("have", "need")
+    held = lists.groupBy("entity_type", "id").agg(F.collect_list(F.struct("term", "list")).alias("held"))
+    met = whole.join(held, ["entity_type", "id"]).join(asked.drop("need"), ["query_id", "alt"])
+
+    def part(w: Column) -> Column:
+        place = F.array_position(F.col("held.term"), w.getField("term")).cast("int") - 1
+        return F.struct(*[w.getField(n).alias(n) for n in ("clause", "negated", "size", "offset")], F.get("held.list", place).alias("list"))
+
+    parts = F.filter(F.transform("words", part), lambda p: p.getField("list").isNotNull())
+    return met.select("query_id", "entity_type", F.nullif("id", F.lit(_NO_ID)).alias("id"), "alt", _once(parts).alias("parts"))
+
+
+def _once(made: Column) -> Column:
+    """A value as the one row of a generator: no later filter or column works it out again."""
+    return F.explode(F.array(made))
 
 
 def _satisfied(parts: Column, clause: Column) -> Column:
@@ -227,7 +239,7 @@ def match(terms: DataFrame, posted: DataFrame | PostingsIndex) -> DataFrame:
     clauses = F.transform(
         F.array_distinct(F.transform("parts", lambda p: F.struct(p.getField("clause").alias("clause"), p.getField("negated").alias("negated")))),
         lambda k: F.struct(k.getField("negated").alias("negated"), _satisfied(F.col("parts"), k.getField("clause")).alias("hits")))
-    tested = candidates(terms, posted).select("query_id", "entity_type", "id", "alt", clauses.alias("clauses"))
+    tested = candidates(terms, posted).select("query_id", "entity_type", "id", "alt", _once(clauses).alias("clauses"))
     return tested.filter(
         F.forall("clauses", lambda k: k.getField("negated") != (F.size(k.getField("hits")) > 0))
     ).select(
