@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.schemas import Graph
-from palisade.sources.postings_index import PostingsIndex
+from palisade.sources.postings_index import PostingsIndex, listed
 
 # --- fixed values: field weights and English stop words -------------------------------------
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -116,6 +116,26 @@ def postings(docs: DataFrame, stemmed: bool = True, stop_words: bool = True) ->
     )
 
 
+def posting_lists(docs: DataFrame, stemmed: bool = True, stop_words: bool = True) -> DataFrame:
+    """(term, entity_type, id, list): the rows of ``postings``, packed and gathered for each row of ``docs``.
+
+    Words go to arrays a document at a time, so that its id isn't repeated for each word.
+    """
+    def words(text: Column) -> Column:
+        return F.transform(tokens(text), lambda w: F.when(
+            ~w.isin(*STOP_WORDS) if stop_words else F.lit(True), light_stem(w) if stemmed else w))
+
+    made = F.transform("fields", lambda f: F.struct(words(f.getField("text")).alias("words"), f.getField("weight").alias("weight")))
+    return docs.select("entity_type", "id", made.alias("fields")).mapInArrow(
+        listed(list(WEIGHTS)), "term string, entity_type string, id string, list array<int>")
+
+
+def index_input(docs: DataFrame, stemmed: bool = True, stop_words: bool = True, exact: DataFrame | None = None) -> tuple:
+    """What an index of ``docs`` is written from: lists, exact names and the documents of several rows."""
+    again = docs.groupBy("entity_type", "id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return posting_lists(docs, stemmed, stop_words), exact, again
+
+
 def query_terms(queries: DataFrame, stemmed: bool = True, stop_words: bool = True) -> DataFrame:
     """(query_id, alt, clause, term, offset, size, negated) of web-style queries.
 

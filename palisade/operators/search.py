@@ -132,7 +132,7 @@ def stored_index(graph: Graph, label: str, inputs: Sequence[str], stemmed: bool
     """The stored index over all entity kinds of a graph made from the files ``inputs``."""
     def build():
         exact = entity_rows(graph).select("entity_type", "id", "exact_keys")
-        return P.postings(P.documents(graph), stemmed, stop_words), exact
+        return P.index_input(P.documents(graph), stemmed, stop_words, exact)
 
     return stored_postings(graph.spark, f"{label}-{int(stemmed)}{int(stop_words)}", inputs, build)
 

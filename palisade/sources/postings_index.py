@@ -12,11 +12,13 @@ import hashlib
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.session import scratch_root
+from palisade.session import materialize, scratch_root
 
 BUCKETS = 64
 #: Places of a bucket: the rows of one word go to so many tasks and files.
@@ -82,6 +84,72 @@ def _folded(batches):
         yield from made(run)
 
 
+def _listed(docs: pa.RecordBatch, weights: list[str]) -> pa.RecordBatch:
+    """Rows (term, entity_type, id, list) of documents (entity_type, id, fields) whose fields have words, null if dropped, and a weight."""
+    fields = docs.column("fields")
+    inside = fields.flatten()
+    words = inside.field("words")
+    n_words = np.diff(words.offsets.to_numpy())
+    n_fields = np.diff(fields.offsets.to_numpy())
+    of_field = np.repeat(np.repeat(np.arange(len(docs)), n_fields), n_words)
+    kind = pc.index_in(inside.field("weight"), value_set=pa.array(weights)).to_numpy(zero_copy_only=False)
+    first = np.cumsum(np.r_[0, np.bincount(of_field, minlength=len(docs))])[:-1]
+    at = (np.arange(len(of_field)) - first[of_field] + 1) * 4 + np.repeat(kind, n_words)
+    coded = words.flatten().dictionary_encode()
+    kept = np.flatnonzero(coded.indices.is_valid().to_numpy(zero_copy_only=False))
+    codes = coded.indices.take(pa.array(kept)).to_numpy().astype(np.int64)
+    key = of_field[kept].astype(np.int64) * max(1, len(coded.dictionary)) + codes
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+    edges = pa.array(np.r_[starts, len(order)].astype(np.int32))
+    heads = order[starts]
+    row = pa.array(of_field[kept][heads])
+    lists = pa.ListArray.from_arrays(edges, pa.array(at[kept][order].astype(np.int32)))
+    return pa.RecordBatch.from_arrays(
+        [coded.dictionary.take(pa.array(codes[heads])), docs.column("entity_type").take(row), docs.column("id").take(row), lists],
+        ["term", "entity_type", "id", "list"])
+
+
+def listed(weights: list[str]):
+    """``_listed`` for runs of at most about ``FOLDED`` words, or one document."""
+    def run(batches):
+        for batch in batches:
+            fields = batch.column("fields")
+            upto = fields.flatten().field("words").offsets.to_numpy()[fields.offsets.to_numpy() - fields.offsets[0].as_py()]
+            begin = 0
+            while begin < len(batch):
+                end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + FOLDED, side="right")) - 1)
+                yield _listed(batch.slice(begin, end - begin), weights)
+                begin = end
+
+    return run
+
+
+def write_lists(lists: DataFrame, path: str, again: DataFrame, exact: DataFrame | None = None) -> None:
+    """``write_postings`` of rows (term, entity_type, id, list), one for each word of a document row.
+
+    ``again`` (entity_type, id) has the documents of several rows: only their lists are put together, so that all others are
+    sorted and written as they come.
+    """
+    again = materialize(again.select(F.struct("entity_type", "id").alias("_again")), "postings-again")
+    order = ["bucket", "term", "entity_type", "id"]
+    rows = lists.select("term", "entity_type", "id", "list")
+    if again.first() is not None:
+        known = F.struct("entity_type", "id") == F.col("_again")
+        twice = rows.join(again, known, "left_semi").groupBy("term", "entity_type", "id").agg(F.array_sort(F.flatten(F.collect_list("list"))).alias("list"))
+        rows = rows.join(again, known, "left_anti").unionByName(twice)
+    if exact is not None:
+        rows = rows.unionByName(_exact_names(exact).distinct())
+    place = F.pmod(F.xxhash64("entity_type", "id"), F.lit(SPREAD)).cast("int")
+    placed = rows.withColumns({"bucket": bucket_of(F.col("term")), "place": place}).repartition("bucket", "place").drop("place")
+    placed.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+
+
+def _exact_names(exact: DataFrame) -> DataFrame:
+    names = exact.select(F.explode("exact_keys").alias("key"), "entity_type", "id").filter("key is not null")
+    return names.select(F.concat(F.lit(EXACT), F.col("key")).alias("term"), "entity_type", "id", F.array().cast("array<int>").alias("list"))
+
+
 def write_postings(posted: DataFrame, path: str, exact: DataFrame | None = None) -> None:
     """Write postings (entity_type, id, term, pos, weight) and, if given, exact names (entity_type, id, exact_keys).
 
@@ -93,9 +161,7 @@ def write_postings(posted: DataFrame, path: str, exact: DataFrame | None = None)
     rows = posted.select("term", "entity_type", "id", packed().alias("at")).mapInArrow(
         _folded, "term string, entity_type string, id string, list array<int>")
     if exact is not None:
-        names = exact.select(F.explode("exact_keys").alias("key"), "entity_type", "id").filter("key is not null")
-        rows = rows.unionByName(names.select(F.concat(F.lit(EXACT), F.col("key")).alias("term"), "entity_type", "id",
-                                             F.array().cast("array<int>").alias("list")))
+        rows = rows.unionByName(_exact_names(exact))
     order = ["bucket", "term", "entity_type", "id"]
     place = F.pmod(F.xxhash64("entity_type", "id"), F.lit(SPREAD)).cast("int")
     placed = rows.withColumns({"bucket": bucket_of(F.col("term")), "place": place}).repartition("bucket", "place")
@@ -127,8 +193,9 @@ def stamp_of(spark: SparkSession, paths: Sequence[str]) -> str:
 
 
 def stored_postings(spark: SparkSession, label: str, inputs: Sequence[str],
-                    build: Callable[[], tuple[DataFrame, DataFrame | None]]) -> PostingsIndex:
-    """The index of these input files below the session's shared folder; ``build`` is only called if it isn't there yet.
+                    build: Callable[[], tuple]) -> PostingsIndex:
+    """The index of these input files below the session's shared folder; ``build`` is only called if it isn't there yet. It
+    returns what ``write_postings`` takes, or what ``write_lists`` does: postings and exact names, or lists, exact names and ``again``.
 
     It is written beside its place and then renamed, so a job that dies leaves no half index, and of two that build it at
     once one is kept.
@@ -138,8 +205,11 @@ def stored_postings(spark: SparkSession, label: str, inputs: Sequence[str],
     final, fs = _hadoop(spark, path)
     if not fs.exists(final):
         made = f"{root}/postings-{label}-{uuid.uuid4().hex}"
-        posted, exact = build()
-        write_postings(posted, made, exact)
+        posted, exact, *again = build()
+        if again:
+            write_lists(posted, made, again[0], exact)
+        else:
+            write_postings(posted, made, exact)
         if not fs.rename(_hadoop(spark, made)[0], final) and not fs.exists(final):
             raise OSError(f"{made} can't be renamed to {path}")
     return PostingsIndex(spark, path)

@@ -148,3 +148,20 @@ def test_stems_of_words_with_other_endings_stay(spark):
     want = ["cat", "class", "status", "thesis", "party", "runn", "ion", "mark", "used", "quick", "nat", "blu", "ash", "firm", "ing", "ly", "é", "x", "1", ""]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert [r[0] for r in df.select(postings.light_stem(F.col("w"))).collect()] == want
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_lists_of_whole_documents_equal_postings(spark, tmp_path, monkeypatch, stemmed):
+    monkeypatch.setattr(store, "FOLDED", 9)
+    docs, _ = documents(spark)
+    odd = spark.createDataFrame([(None, "the cats of ash"), (None, "cat"), ("e", ""), ("f", None), ("g", "the of"), ("h", "elm " * 30)], "id string, t string").select(
+        F.lit("x").alias("entity_type"), "id", F.array(postings.field(F.col("t"), "B"), postings.field(F.lit("ash"), "D")).alias("fields"))
+    docs = docs.unionByName(docs.filter("id in ('d1', 'd2')")).unionByName(odd)
+    exact = docs.select("entity_type", "id", F.array(F.col("id"), F.col("id"), F.lit("n")).alias("exact_keys"))
+    store.write_postings(postings.postings(docs, stemmed, stemmed), str(tmp_path / "a"), exact)
+    lists, names, again = postings.index_input(docs, stemmed, stemmed, exact)
+    store.write_lists(lists, str(tmp_path / "b"), again, names)
+    show = lambda at: sorted(map(str, spark.read.parquet(str(tmp_path / at)).select("term", "entity_type", "id", "list", "bucket").collect()))
+    assert show("a") == show("b") and len(show("a")) > 300
+    # nothing is put together for documents of one row
+    assert lists.filter("id = 'h' and term = 'elm'").select(F.size("list")).first()[0] == 30
