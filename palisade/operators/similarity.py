@@ -35,9 +35,11 @@ BITMAP_WORDS = 8  # of 64 bits
 PAIRS_PER_TASK = 20_000_000  # a token whose two sides make more pairs is dealt to several tasks
 FEW_PAIRS = 1_000_000  # up to so many, names are always joined on tokens
 JOINED_PAIR_COST = 8  # of a pair joined on a token, in pairs compared by a product of matrices
-BLOCK_NAMES = 4096  # names in a block, about
+BLOCK_NAMES = 4096  # names in a block, about; twice as many of names under SHORT
+SHORT = 128
 BAND = 1.1  # names of a band differ in length by this factor
 MOST_TASKS = 4096
+_WORD, _CHARS = 64, 256  # bits of a word; columns of characters
 
 
 @lru_cache(maxsize=4096)
@@ -182,6 +184,37 @@ def _lacks(n: np.ndarray, m: np.ndarray, threshold: float, width: int) -> np.nda
     return (0.5 if width == 1 else 1.5) * (1 - threshold) * (n + m) + 0.5 * (n - m) + 1e-6
 
 
+def _coded_chars(names: list[str]) -> np.ndarray:
+    """Characters of the names as columns of ``_placed_chars``; the last one is none, and all that a name of more than 64 has."""
+    out = np.full((len(names), _WORD), _CHARS, np.int64)
+    for row, name in enumerate(names):
+        if len(name) <= _WORD:
+            out[row, : len(name)] = [ord(x) % _CHARS for x in name]
+    return out
+
+
+def _placed_chars(names: list[str]) -> np.ndarray:
+    """For each name and character the bits of its places; no bits in names of more than 64."""
+    out = np.zeros((len(names), _CHARS + 1), np.uint64)
+    for row, name in enumerate(names):
+        for k, x in enumerate(name if len(name) <= _WORD else ""):
+            out[row, ord(x) % _CHARS] |= np.uint64(1 << k)
+    return out
+
+
+def _common_bound(p: np.ndarray, q: np.ndarray, places: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """At least the length of the longest common subsequence of each pair, for all pairs at a time; infinite for a name of more than 64.
+
+    Characters that share a column make it longer, never shorter.
+    """
+    long = ~places.any(axis=1)[p] | (codes[:, 0] == _CHARS)[q]
+    open_ = np.full(len(p), ~np.uint64(0))
+    for column in codes.T:
+        met = open_ & places[p, column[q]]
+        open_ = (open_ + met) | (open_ - met)
+    return np.where(long, np.inf, _WORD - np.bitwise_count(open_).astype(np.float64))
+
+
 def _share_tokens(a: list[str], b: list[str], threshold: float, width: int, most: int = 1 << 22):
     """Index arrays of the pairs whose lengths, shared tokens and shared characters allow a ratio at the threshold.
 
@@ -197,19 +230,26 @@ def _share_tokens(a: list[str], b: list[str], threshold: float, width: int, most
     left, right = (x.astype(np.float32) for x in both(width))
     held_a, held_b = left.sum(axis=1), right.sum(axis=1)
     bits_a, bits_b = (np.packbits(x, axis=1).view(np.uint64) for x in both(1))
+    # tokens held less those that may lack, as sums of a part of either name; slack is for single precision and lets pass only
+    lose, keep = (float(_lacks(x, y, threshold, width)) for x, y in ((0.0, 1.0), (1.0, 0.0)))
+    slack = 0.01 + 1e-6 * max(n.max(), m.max())
+    own, other = ((held - keep * size - slack).astype(np.float32) for held, size in ((held_a, n), (held_b, m)))
+    past_a, past_b = ((lose * size).astype(np.float32) for size in (n, m))
     chars_a, chars_b = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (bits_a, bits_b))
+    places, codes = _placed_chars(a), _coded_chars(b)
     step = max(1, most // len(b))
     for first in range(0, len(a), step):
         part = slice(first, first + step)
-        la = n[part][:, None]
-        least = np.maximum(held_a[part][:, None] - _lacks(la, m, threshold, width), held_b - _lacks(m, la, threshold, width))
-        i, j = np.nonzero(left[part] @ right.T >= least)
+        common = left[part] @ right.T
+        i, j = np.nonzero((common - own[part, None] >= -past_b) & (common + past_a[part, None] >= other))
         i += first
         i, j = (x[2 * np.minimum(n[i], m[j]) >= threshold * (n[i] + m[j]) - 1e-9] for x in (i, j))
         for some in range(0, len(i), 1 << 16):
             p, q = i[some : some + (1 << 16)], j[some : some + (1 << 16)]
             common = np.bitwise_count(bits_a[p] & bits_b[q]).sum(axis=1, dtype=np.int64)
             near = (chars_a[p] - common <= _lacks(n[p], m[q], threshold, 1)) & (chars_b[q] - common <= _lacks(m[q], n[p], threshold, 1))
+            p, q = p[near], q[near]
+            near = _common_bound(p, q, places, codes) * 2 >= threshold * (n[p] + m[q]) - 1e-6
             yield p[near], q[near]
 
 
@@ -237,7 +277,8 @@ def _band(name: str) -> Column:
 def _block_pairs(left: DataFrame, right: DataFrame, threshold: float, width: int, tasks: int) -> DataFrame:
     """(_a, _b) of all pairs that can reach the threshold, from pairs of blocks of bounded size."""
     def sized(names: DataFrame, name: str, band: str, blocks: str) -> DataFrame:
-        return names.groupBy(_band(name).alias(band)).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NAMES)).cast("int").alias(blocks))
+        held = F.when(F.max(F.length(name)) < SHORT, F.lit(2 * BLOCK_NAMES)).otherwise(F.lit(BLOCK_NAMES))
+        return names.groupBy(_band(name).alias(band)).agg(F.ceil(F.count(F.lit(1)) / held).cast("int").alias(blocks))
 
     reach = _reach(threshold)
     met = sized(left, "_a", "_band_a", "_na").withColumn(

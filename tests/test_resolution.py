@@ -2,6 +2,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,17 @@ def test_names_that_share_their_tokens_are_compared_in_blocks(spark, monkeypatch
     assert "_salt" not in plan
     # work is dealt out by pairs, however few bytes the names have
     assert len({r[0] for r in pairs.select(F.spark_partition_id()).collect()}) > 1
+
+
+def test_pairs_are_held_against_common_characters_before_they_are_compared():
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("abcdefgh Ü東") for _ in range(rng.randrange(1, 66))) for _ in range(60)} | {"x" * 64, "x" * 65, "東Ü"})
+    p, q = (np.repeat(np.arange(len(names)), len(names)), np.tile(np.arange(len(names)), len(names)))
+    bound = similarity._common_bound(p, q, similarity._placed_chars(names), similarity._coded_chars(names))
+    for i, j, most in zip(p, q, bound):
+        a, b = names[i], names[j]
+        assert most == (similarity._longest_common(a, b) if max(len(a), len(b)) <= 64 else float("inf"))
+    # the same characters in another order share their bigrams and characters, but no long run
+    a, b = ["ab" * 10 + "cd" * 10 + "ef" * 10], ["ef" * 10 + "cd" * 10 + "ab" * 10]
+    assert sum(len(x) for x, _ in similarity._share_tokens(a, b, 0.84, 2)) == 0
+    assert sum(len(x) for x, _ in similarity._share_tokens(a, a, 0.84, 2)) == 1
